@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing
+from . import chat, langid, mixing, neardup, store, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,21 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_replicate(table(spark, sf_dir, "documents"))
 
 
+def token_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return tokens.write_and_digest(docs, store.fresh_dir(spark, "tokens"), token_vocabulary())
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(langid.sample_labelled(docs.where(remainder("doc_id", 4) != 2)))
@@ -53,10 +68,41 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op4_mix_sources": op4_mix_sources,
+    "op6_token_output": op6_token_output,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_language_id": op9_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_near_duplicates": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words
+        ), grams AS (
+            SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+        ), frequency AS (
+            SELECT g, count(*) AS f FROM grams GROUP BY g
+        ), ranked AS (
+            SELECT doc_id, n, g, row_number() OVER (PARTITION BY doc_id ORDER BY f, g) AS r FROM grams JOIN frequency USING (g)
+        ), prefix AS (
+            SELECT doc_id, n, g FROM ranked WHERE r <= n - ceil(0.8 * n) + 1
+        ), candidates AS (
+            SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM prefix a JOIN prefix b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+        ), links AS (
+            SELECT c.a, c.b FROM candidates c JOIN sets x ON x.doc_id = c.a JOIN sets y ON y.doc_id = c.b
+            WHERE 100 * len(list_intersect(x.s, y.s)) >= 80 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)))
+        ), edges AS (
+            SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+        ), reach AS (
+            SELECT a AS doc_id, a AS other FROM edges
+            UNION
+            SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other
+        ), smallest AS (
+            SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+        )
+        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id, coalesce(m.component_id, s.doc_id) = s.doc_id AS kept
+        FROM sets s LEFT JOIN smallest m ON m.doc_id = s.doc_id""",
     "op1_chat_format": """
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
