@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, neardup, store, tokens
+from . import chat, langid, mixing, neardup, store, substring, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_replicate(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), k=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def token_vocabulary() -> str:
     import public_tokenizers
 
@@ -68,6 +72,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op4_mix_sources": op4_mix_sources,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_token_output": op6_token_output,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_language_id": op9_language_id,
