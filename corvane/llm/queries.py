@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, neardup, store, substring, tokens
+from . import chat, langid, lm, mixing, neardup, store, substring, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,17 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.write_and_digest(docs, store.fresh_dir(spark, "tokens"), token_vocabulary())
 
 
+def subword_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op7_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score_documents(table(spark, sf_dir, "documents"), subword_vocabulary(), remainder("doc_id", 7) != 2)
+    return scored.withColumn("held_out", F.coalesce(remainder("doc_id", 7) == 2, F.lit(False)))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
@@ -74,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op4_mix_sources": op4_mix_sources,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_token_output": op6_token_output,
+    "op7_lattice_scores": op7_lattice_scores,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_language_id": op9_language_id,
 }
