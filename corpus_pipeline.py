@@ -1,6 +1,62 @@
-"""The corpus pipeline: language ID, near-dedup, decontamination, mixing, token output."""
+"""The corpus pipeline over `documents`: language ID, near-dedup, decontamination, mixing, token output.
+
+Every stage but the last returns the columns of its input documents. A stage's result is written as Parquet to the shared
+folder and read again as the next one's documents.
+"""
+
 from __future__ import annotations
-STAGES = []
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from corvane.llm import decontaminate, langid, mixing, neardup, store, tokens
+from corvane.llm.queries import table, token_vocabulary
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the labelled documents; those in no language (null text or no letter) go."""
+    model = langid.fit(langid.sample_labelled(docs))
+    return langid.identify_languages(docs, model).where("lang_pred <> 'und'").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
+    return neardup.keep_one_of_each(docs, k=5, percent=80)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test passage go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every source gets the same share of as many rows as there are documents."""
+    return mixing.poisson_replicate(docs).select(docs.columns)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed documents as id shards with their index, read back: doc_id, start, n_tokens, ids_crc32."""
+    return tokens.write_and_digest(docs, store.fresh_dir(spark, "pipeline-tokens"), token_vocabulary())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mixing", source_mixing),
+    ("token_output", token_output),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = store.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: Suffix automata, MinHash, tiling and the tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError

@@ -119,13 +119,15 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, percen
     number = {(x["item_id"], x["version"]): n for n, x in enumerate(names)}
     which = np.array([number[k] for k in zip(rows.column("item_id").to_pylist(), rows.column("version").to_pylist(), strict=True)], np.int64)
     sent = docs.sparkSession.sparkContext.broadcast((rows.column("seed").to_numpy(), which, rows.column("i").to_numpy(), names))
-    chosen = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    own = [] if text_col in keep else [F.col(f"`{text_col}`").alias("__text")]
+    chosen = docs.select(*[F.col(f"`{c}`") for c in keep], *own)
+    text_at = chosen.columns.index("__text" if own else text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seed, item, place, items = sent.value
         for b in batches:
             leaks: list[list[dict]] = [[] for _ in range(b.num_rows)]
-            for lo, grams, row, at, _ in _seeds(b.column(b.num_columns - 1), least):
+            for lo, grams, row, at, _ in _seeds(b.column(text_at), least):
                 grams = grams.view(np.int64)
                 left = np.searchsorted(seed, grams, "left")
                 hit = np.flatnonzero(seed[np.minimum(left, len(seed) - 1)] == grams) if len(seed) else np.zeros(0, np.int64)
@@ -140,7 +142,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, percen
                     found = _judge(items[it[a]]["item_id"], i[a:z], j[a:z], items[it[a]]["words"], least, percent)
                     if found:
                         leaks[lo + r[a]].append(found)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(leaks, _leak_type())], names=[*keep, "leaks"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(leaks, _leak_type())], names=[*keep, "leaks"])
 
     schema = T.StructType([*(f for f in chosen.schema.fields if f.name != "__text"), T.StructField("leaks", _LEAKS)])
     return chosen.mapInArrow(run, schema)

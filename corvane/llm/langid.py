@@ -189,14 +189,16 @@ def identify_languages(docs: DataFrame, model: Model, text_col: str = "text", ke
     """The columns in `keep` (all, by default) with lang_pred and score, which replace columns so named."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    own = [] if text_col in keep else [F.col(f"`{text_col}`").alias("__text")]
+    chosen = docs.select(*[F.col(f"`{c}`") for c in keep], *own)
+    at = chosen.columns.index("__text" if own else text_col)
     schema = T.StructType([*(f for f in chosen.schema.fields if f.name != "__text"), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lut = None
         for b in batches:
             lut = char_classes(sent.value) if lut is None else lut
-            names, scores = classify(sent.value, lut, b.column(b.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            names, scores = classify(sent.value, lut, b.column(at))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     return chosen.mapInArrow(run, schema)

@@ -220,3 +220,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     joined = signed.select("id", "n_shingles", "h1", "h2").join(reps, ["h1", "h2", "n_shingles"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
     return joined.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without near copies of another kept one; rows repeated with id and text stay once."""
+    ids = F.col(f"`{id_col}`")
+    gone = materialise(near_duplicates(docs, k, percent, id_col=id_col, text_col=text_col).where("NOT kept").select(ids.alias("__gone")).distinct(), "near-copies")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    left = docs.join(gone, ids == F.col("__gone"), "left_anti")
+    again = docs.groupBy(ids.alias("__id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id")
+    if again.isEmpty():
+        return left
+    once = left.join(again, ids.eqNullSafe(F.col("__id")), "left_anti")
+    repeated = left.join(again, ids.eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col, text_col])
+    return once.unionByName(repeated)
