@@ -137,8 +137,10 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, percen
                 to = np.repeat(left - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(hit) else hit
                 order = np.lexsort((at[src], item[to], row[src]))
                 r, it, i, j = row[src][order], item[to][order], place[to][order], at[src][order]
-                cuts = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (it[1:] != it[:-1])]) if len(r) else []
-                for a, z in zip(cuts, [*cuts[1:], len(r)], strict=True):
+                if not len(r):
+                    continue
+                cuts = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (it[1:] != it[:-1])])
+                for a, z in zip(cuts, np.r_[cuts[1:], len(r)], strict=True):
                     found = _judge(items[it[a]]["item_id"], i[a:z], j[a:z], items[it[a]]["words"], least, percent)
                     if found:
                         leaks[lo + r[a]].append(found)
