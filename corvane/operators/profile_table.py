@@ -55,10 +55,14 @@ def nearest_quantiles(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, q25 double, q50 double, q75 double")
-    spread = 4 / ACCURACY
-    edges = [max(0.0, q - spread) for q in QUANTILES] + [min(1.0, q + spread) for q in QUANTILES]
     value = {c: _c(c).cast("double") for c in columns}
-    bounds = df.agg(*[F.struct(F.count(value[c]).alias("n"), F.percentile_approx(value[c], edges, ACCURACY).alias("e")).alias(f"b{i}") for i, c in enumerate(columns)]).first()
+    sizes = df.agg(*[F.count(value[c]).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+
+    def edges(n: int) -> list[float]:
+        spread = 4 / ACCURACY + 2 / max(1, n)
+        return [max(0.0, q - spread) for q in QUANTILES] + [min(1.0, q + spread) for q in QUANTILES]
+
+    bounds = df.agg(*[F.struct(F.lit(sizes[f"n{i}"]).alias("n"), F.percentile_approx(value[c], edges(sizes[f"n{i}"]), ACCURACY).alias("e")).alias(f"b{i}") for i, c in enumerate(columns)]).first()
     wanted = [(c, k, bounds[f"b{i}"]["n"], bounds[f"b{i}"]["e"][k], bounds[f"b{i}"]["e"][k + len(QUANTILES)]) for i, c in enumerate(columns) if bounds[f"b{i}"]["n"] for k in range(len(QUANTILES))]
     if not wanted:
         return df.sparkSession.createDataFrame([], "column string, q25 double, q50 double, q75 double")

@@ -122,7 +122,7 @@ def adaptive_length(samples: DataFrame, chars: str, task: str = "question-answer
     upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("c"))).crossJoin(F.broadcast(total))
     p95 = upto.where(F.col("upto") > F.floor(F.col("all") * 0.95)).agg(F.min("c").alias("p"))
     estimate = F.greatest(F.lit(256), F.floor((F.col("p") / 4 + 50) * 1.2))
-    return p95.select(F.coalesce(F.least(F.lit(2048), F.pow(F.lit(2), F.ceil(F.log2(estimate))).cast("int")), F.lit(2048)).alias("max_length"))
+    return p95.select(F.when(F.col("p").isNull(), 2048).otherwise(F.least(F.lit(2048), F.pow(F.lit(2), F.ceil(F.log2(estimate))).cast("int"))).alias("max_length"))
 
 
 def memory_needed(size: Column, method: Column | str) -> Column:
@@ -186,7 +186,7 @@ def trial_count(objective: Column | str, advised: Column, single: bool = False)
     if single:
         return F.lit(1)
     most = lookup(objective, TRIALS, 4).cast("int")
-    return F.coalesce(F.greatest(F.lit(2), F.least(most, advised)), F.lit(3))
+    return F.when(advised.isNull(), 3).otherwise(F.greatest(F.lit(2), F.least(most, advised)))
 
 
 def advised_parameters(advice: Column, baseline: Column, overrides: Column | None = None) -> Column:
