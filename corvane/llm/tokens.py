@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +33,9 @@ from pyspark.sql.window import Window
 from .store import materialise
 from .words import mix
 
-SEGMENT_CHARS = 1 << 18
-CACHE_WORDS = 400_000
+SEGMENT_CHARS, GROUP_CHARS = 1 << 18, 1 << 20
+#: Words whose ids a worker keeps, about 250 bytes each.
+CACHE_WORDS = 1_200_000
 KEYS_PER_INDEX = 100_000
 #: White space before a space: there, cutting before the space could change the ids.
 UNSAFE = re.compile(r"\s ")
@@ -68,7 +70,7 @@ class Encoder:
         return 4 if self.wide else 2
 
     def _batch(self, texts: list[str]) -> list[bytes]:
-        return [array.array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array.array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _spaced(self, words: list[str]) -> list[bytes]:
         """The ids of each word behind a space. Words without white space at their ends are encoded as one text and cut at the tokens that begin with a space."""
@@ -76,7 +78,7 @@ class Encoder:
         plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, np.uint32 if self.wide else np.uint16)
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32 if self.wide else np.uint16)
             starts = np.flatnonzero(self.opens[ids]) * self.id_bytes
             if len(starts) == len(some) and starts[0] == 0:
                 body = ids.tobytes()
@@ -94,10 +96,42 @@ class Encoder:
             yield (text[at:to] if at == 0 else text[at + 1 : to]).split(" ") if to - at > 1 or at == 0 else [""]
             at = to
 
+    def _ids_of(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of the words of each text, each word behind a space; one look-up a word, and one encoding of all new words."""
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        get = self.words.get
+        found = [list(map(get, words)) for words in texts]
+        open_ = [(ids, words, [i for i, x in enumerate(ids) if x is None]) for ids, words in zip(found, texts, strict=True) if None in ids]
+        new = list({words[i] for _, words, at in open_ for i in at})
+        if new:
+            self.words.update(zip(new, self._spaced(new), strict=True))
+            for ids, words, at in open_:
+                for i in at:
+                    ids[i] = get(words[i])
+        return [b"".join(ids) for ids in found]
+
+    def _whole(self, text: str) -> bool:
+        return not self.cuts or text[0] == " " or UNSAFE.search(text) is not None
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each of a bounded group of texts."""
+        out = [b""] * len(texts)
+        whole = [i for i, t in enumerate(texts) if t and self._whole(t)]
+        for i, ids in zip(whole, self._batch([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        rest = sorted({i for i, t in enumerate(texts) if t} - set(whole))
+        words = [texts[i].split(" ") for i in rest]
+        heads = self._batch([w[0] for w in words])
+        for i, head, tail in zip(rest, heads, self._ids_of([w[1:] for w in words]), strict=True):
+            out[i] = head + tail
+        return out
+
     def encode(self, text: str) -> Iterator[bytes]:
+        """The ids of one text of any length, segment by segment."""
         if not text:
             return
-        if not self.cuts or text[0] == " " or UNSAFE.search(text):
+        if self._whole(text):
             yield self._batch([text])[0]
             return
         first = True
@@ -105,14 +139,7 @@ class Encoder:
             if first:
                 yield self._batch([words[0]])[0]
                 words, first = words[1:], False
-            new = set(words).difference(self.words)
-            if new:
-                if len(self.words) + len(new) > CACHE_WORDS:
-                    self.words.clear()
-                    new = set(words)
-                new = list(new)
-                self.words.update(zip(new, self._spaced(new), strict=True))
-            yield b"".join(map(self.words.__getitem__, words))
+            yield self._ids_of([words])[0]
 
 
 _encoders: dict[int, Encoder] = {}
@@ -185,6 +212,30 @@ class PerfectHash:
         return out
 
 
+def _written(enc: Encoder, texts: pa.Array, end: bytes, out: pa.NativeFile) -> Iterator[int]:
+    """Write the ids of each text and the end id; yields their numbers. Texts go in groups; a longer one goes alone, in segments."""
+    sizes = pc.utf8_length(texts).to_pylist()
+    at = 0
+    while at < len(sizes):
+        to, chars = at, 0
+        while to < len(sizes) and chars + sizes[to] <= GROUP_CHARS:
+            chars += sizes[to]
+            to += 1
+        if to == at:
+            n = 0
+            for part in enc.encode(texts[at].as_py()):
+                out.write(part)
+                n += len(part)
+            out.write(end)
+            yield n // enc.id_bytes + 1
+            at += 1
+            continue
+        for ids in enc.encode_all(texts.slice(at, to - at).to_pylist()):
+            out.write(ids + end)
+            yield len(ids) // enc.id_bytes + 1
+        at = to
+
+
 def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all documents and their index; returns the documents' keys with shard, offset in the shard and token count."""
     spark = docs.sparkSession
@@ -206,15 +257,9 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id
             for b in batches:
                 ids = b.column(0).to_pylist()
                 ordinals, offsets, sizes = [], [], []
-                for doc, text in zip(ids, b.column(1), strict=True):
+                for doc, n in zip(ids, _written(enc, b.column(1), end, out), strict=True):
                     ordinal = ordinal + 1 if doc == last else 0
                     last = doc
-                    n = 0
-                    for part in enc.encode(text.as_py()):
-                        out.write(part)
-                        n += len(part)
-                    out.write(end)
-                    n = n // enc.id_bytes + 1
                     ordinals.append(ordinal)
                     offsets.append(offset)
                     sizes.append(n)
