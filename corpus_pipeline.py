@@ -39,7 +39,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed documents as id shards with their index, read back: doc_id, start, n_tokens, ids_crc32."""
-    return tokens.write_and_digest(docs, store.fresh_dir(spark, "pipeline-tokens"), token_vocabulary())
+    # The stages share workers, so the encoder keeps fewer words than where it runs alone.
+    return tokens.write_and_digest(docs, store.fresh_dir(spark, "pipeline-tokens"), token_vocabulary(), cache_words=100_000)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .store import tidied
+
 SAMPLE, MOST_CENTROIDS, ROUNDS = 8192, 32, 12
 VISIT, LEAST = 0.6, 2500
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
@@ -125,7 +127,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, visit: float = VISI
                 x = _unit(_matrix(batch.column(1)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest(x[:, :half], a), pa.int32()), pa.array(nearest(x[:, half:], b), pa.int32())], names=["id", "v", "asks", "block", "j"])
 
-    indexed = regular.mapInArrow(index, "id bigint, v array<double>, asks boolean, block int, j int")
+    indexed = regular.mapInArrow(tidied(index), "id bigint, v array<double>, asks boolean, block int, j int")
     odd = rows.where(F.size("v") != d).select("*", (-F.size("v")).cast("int").alias("block"), F.lit(0).alias("j"))
     entries = indexed.union(odd)
     counts = np.zeros((len(first), len(second)), np.int64)
@@ -151,7 +153,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, visit: float = VISI
                 at = pa.array(rows_, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(blocks, pa.int32()), pa.array(met, pa.list_(pa.int32()))], names=["id", "v", "block", "cells"])
 
-    asked = regular.where("asks").select("id", "v").mapInArrow(walk, "id bigint, v array<double>, block int, cells array<int>").union(odd.where("asks").select("id", "v", "block", F.array(F.lit(0))))
+    asked = regular.where("asks").select("id", "v").mapInArrow(tidied(walk), "id bigint, v array<double>, block int, cells array<int>").union(odd.where("asks").select("id", "v", "block", F.array(F.lit(0))))
     parts = entries.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"))
     n_asked = max(1, -(-regular.where("asks").count() // BLOCK_QUERIES))
     upto = lambda m: F.explode(F.sequence(F.lit(0), m - 1))

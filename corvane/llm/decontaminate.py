@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import small_batches, tidied
 from .words import hash_words, rolled, text_pieces
 
 LEAST, PERCENT = 5, 80
@@ -105,12 +106,13 @@ def benchmark_seeds(benchmark: DataFrame, least: int = LEAST, id_col: str = "ite
                 yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), b.column(0).take(rows), b.column(1).take(rows), pa.array(at), pa.array(words[row])], names=["seed", "item_id", "version", "i", "words"])
 
     items = benchmark.select(F.col(f"`{id_col}`").cast("bigint").alias("item_id"), F.xxhash64(f"`{text_col}`").alias("version"), F.col(f"`{text_col}`").cast("string").alias("text")).distinct()
-    return items.mapInArrow(run, "seed bigint, item_id bigint, version bigint, i bigint, words bigint")
+    return items.mapInArrow(tidied(run), "seed bigint, item_id bigint, version bigint, i bigint, words bigint")
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """The columns in `keep` (all, by default) and `leaks`: the items whose passages a document holds."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != "leaks"]
+    small_batches(docs.sparkSession)
     seeds = benchmark_seeds(benchmark, least)
     if seeds.count() > broadcast_seeds:
         return _leaks_by_join(docs, seeds, least, percent, id_col, text_col, keep)
@@ -147,7 +149,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, percen
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(leaks, _leak_type())], names=[*keep, "leaks"])
 
     schema = T.StructType([*(f for f in chosen.schema.fields if f.name != "__text"), T.StructField("leaks", _LEAKS)])
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(tidied(run), schema)
 
 
 def _leak_type() -> pa.DataType:
@@ -170,7 +172,7 @@ def _leaks_by_join(docs: DataFrame, seeds: DataFrame, least: int, percent: int,
         return pa.table({"__id": got.column("__id").slice(0, 1), "__version": got.column("__version").slice(0, 1), "leak": pa.array([found], _leak_type().value_type)})
 
     texts = keyed.select("__id", "__version", F.col(f"`{text_col}`").cast("string").alias("text")).dropDuplicates(["__id", "__version"])
-    placed = texts.mapInArrow(emit, "seed bigint, __id bigint, __version bigint, j bigint").join(seeds, "seed")
+    placed = texts.mapInArrow(tidied(emit), "seed bigint, __id bigint, __version bigint, j bigint").join(seeds, "seed")
     tiled = placed.groupBy("__id", "__version", "item_id", "version").applyInArrow(judge, f"__id bigint, __version bigint, leak {LEAK}").where("leak IS NOT NULL")
     leaks = tiled.groupBy("__id", "__version").agg(F.array_sort(F.collect_list("leak")).alias("__leaks"))
     empty = F.array().cast(f"array<{LEAK}>")

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import small_batches, tidied
+
 # HTML element names by role.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 DROPPED = {"head", "template", "svg", "math", "canvas", "object", "select", "option", "button", "datalist", "audio", "video", "map", "dialog"} | RAW
@@ -280,5 +282,6 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             texts = [main_text(x.as_py()) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    small_batches(pages.sparkSession)
     chosen = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
-    return chosen.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return chosen.mapInArrow(tidied(run), "page_id bigint, url string, text string, n_chars bigint")

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .store import small_batches, tidied
 from .words import text_pieces
 
 SAMPLE_ROWS, ROW_CHARS = 64, 400
@@ -188,6 +189,7 @@ def sample_labelled(labelled: DataFrame, text_col: str = "text", lang_col: str =
 def identify_languages(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns in `keep` (all, by default) with lang_pred and score, which replace columns so named."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     own = [] if text_col in keep else [F.col(f"`{text_col}`").alias("__text")]
     chosen = docs.select(*[F.col(f"`{c}`") for c in keep], *own)
@@ -201,4 +203,4 @@ def identify_languages(docs: DataFrame, model: Model, text_col: str = "text", ke
             names, scores = classify(sent.value, lut, b.column(at))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(tidied(run), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import materialise
+from .store import materialise, small_batches, tidied
 from .words import hashed_texts, mix, rolled
 
 ROWS, BANDS, BATCH = 4, 32, 32
@@ -111,7 +111,7 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
                 yield pa.RecordBatch.from_arrays([ids.slice(at0 + lo, hi - lo), *[pa.array(x, t) for x, t in zip(out, kinds, strict=True)]], names=["id", "n_shingles", "h1", "h2", "sig", "bands"])
 
     chosen = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return chosen.mapInArrow(run, "id bigint, n_shingles bigint, h1 bigint, h2 bigint, sig binary, bands array<bigint>")
+    return chosen.mapInArrow(tidied(run), "id bigint, n_shingles bigint, h1 bigint, h2 bigint, sig binary, bands array<bigint>")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
@@ -135,7 +135,7 @@ def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percen
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(survives(sa, sb, threshold, miss)))
 
     joined = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
-    likely = materialise(joined.mapInArrow(prune, "a bigint, b bigint"), "likely-pairs")
+    likely = materialise(joined.mapInArrow(tidied(prune), "a bigint, b bigint"), "likely-pairs")
     texts = _texts_of(docs, likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), id_col, text_col, "pair-texts")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +144,7 @@ def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percen
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     with_texts = likely.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return with_texts.mapInArrow(confirm, "a bigint, b bigint")
+    return with_texts.mapInArrow(tidied(confirm), "a bigint, b bigint")
 
 
 def _across(shared: DataFrame, comps: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent: int, miss: float, id_col: str, text_col: str) -> DataFrame:
@@ -202,6 +202,7 @@ def _across(shared: DataFrame, comps: DataFrame, sigs: DataFrame, docs: DataFram
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept), one row for each row of `docs`."""
+    small_batches(docs.sparkSession)
     signed = materialise(signatures(docs, k, id_col, text_col), "signatures")
     sets = signed.where("n_shingles > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("rep"))
     sets = materialise(sets, "shingle-sets")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import materialise, small_batches, tidied
 from .words import bounds, hash_words, hashed_texts, inverse, mix, powers, rolled
 
 SUB = 6
@@ -124,7 +124,7 @@ def _emit(docs: DataFrame, k: int) -> DataFrame:
         if held:
             yield from _joined(held)
 
-    return docs.select("id", "version", "text").mapInArrow(run, _PIECE)
+    return docs.select("id", "version", "text").mapInArrow(tidied(run), _PIECE)
 
 
 def _reduced(rows: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def _reduced(rows: DataFrame) -> DataFrame:
         if rest is not None and len(rest[0]):
             yield settle(rest)
 
-    return rows.mapInArrow(run, _PIECE)
+    return rows.mapInArrow(tidied(run), _PIECE)
 
 
 def _window_questions(docs: DataFrame, branching: DataFrame, k: int) -> DataFrame:
@@ -191,7 +191,7 @@ def _window_questions(docs: DataFrame, branching: DataFrame, k: int) -> DataFram
         if held:
             yield from _joined(held)
 
-    return joined.mapInArrow(run, _PIECE)
+    return joined.mapInArrow(tidied(run), _PIECE)
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -209,6 +209,7 @@ def repeated_spans(docs: DataFrame, k: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of `docs`: id, text (kept words joined by a space), n_words, n_removed, kept_sha256."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     keyed = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("own"), text.alias("text")).select("own", F.coalesce("own", F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("version"), "text")
     spans = repeated_spans(keyed, k).groupBy("id", "version").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
@@ -231,4 +232,4 @@ def remove_repeats(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_co
                     column.append(value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], names=["id", "text", "n_words", "n_removed", "kept_sha256"])
 
-    return joined.mapInArrow(run, "id bigint, text string, n_words bigint, n_removed bigint, kept_sha256 string").withColumnRenamed("id", id_col)
+    return joined.mapInArrow(tidied(run), "id bigint, text string, n_words bigint, n_removed bigint, kept_sha256 string").withColumnRenamed("id", id_col)

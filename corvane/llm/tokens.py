@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .store import materialise
+from .store import materialise, small_batches, tidied
 from .words import mix
 
 SEGMENT_CHARS, GROUP_CHARS = 1 << 18, 1 << 20
 #: Words whose ids a worker keeps, about 250 bytes each.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 800_000
 KEYS_PER_INDEX = 100_000
 #: White space before a space: there, cutting before the space could change the ids.
 UNSAFE = re.compile(r"\s ")
@@ -61,6 +61,7 @@ class Encoder:
         self.code = "I" if self.wide else "H"
         self.cuts = '"type":"ByteLevel"' in tokenizer_json.replace(" ", "") and '"normalizer":null' in tokenizer_json.replace(" ", "").replace("\n", "") and '"add_prefix_space":false' in tokenizer_json.replace(" ", "")
         self.words: dict[str, bytes] = {}
+        self.most = CACHE_WORDS
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True  # tokens that begin with a space
@@ -98,7 +99,7 @@ class Encoder:
 
     def _ids_of(self, texts: list[list[str]]) -> list[bytes]:
         """The ids of the words of each text, each word behind a space; one look-up a word, and one encoding of all new words."""
-        if len(self.words) > CACHE_WORDS:
+        if len(self.words) > self.most:
             self.words.clear()
         get = self.words.get
         found = [list(map(get, words)) for words in texts]
@@ -236,9 +237,10 @@ def _written(enc: Encoder, texts: pa.Array, end: bytes, out: pa.NativeFile) -> I
         at = to
 
 
-def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """Write all documents and their index; returns the documents' keys with shard, offset in the shard and token count."""
     spark = docs.sparkSession
+    small_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         sent = spark.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
@@ -248,6 +250,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id
         from pyspark import TaskContext
 
         enc = encoder(sent.value)
+        enc.most = cache_words
         shard = TaskContext.get().partitionId()
         end = array.array(enc.code, [end_id]).tobytes()
         meta: list[tuple[list, list, list, list]] = []
@@ -270,7 +273,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id
         for ids, ordinals, offsets, sizes in meta:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ordinals, pa.int64()), pa.array([shard] * len(ids), pa.int32()), pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "ordinal", "shard", "offset", "n_tokens"])
 
-    keys = materialise(ordered.mapInArrow(run, SHARD_TYPE), "token-keys")
+    keys = materialise(ordered.mapInArrow(tidied(run), SHARD_TYPE), "token-keys")
     write_index(keys, folder)
     return keys
 
@@ -296,7 +299,7 @@ def with_index_file(keys: DataFrame, files: int) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_file_of(key_hashes(*_key_arrays(b)), files), pa.int64())], names=[*names, "__file"])
 
-    return keys.mapInArrow(run, T.StructType([*keys.schema.fields, T.StructField("__file", T.LongType())]))
+    return keys.mapInArrow(tidied(run), T.StructType([*keys.schema.fields, T.StructField("__file", T.LongType())]))
 
 
 def write_index(keys: DataFrame, folder: str) -> int:
@@ -367,7 +370,7 @@ def read_payloads(located: DataFrame, folder: str, wide: bool, schema: str, dige
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c) if got else pa.array([], pa.int64()) for c in columns]], names=[*b.schema.names, *names])
 
     ordered = located.repartition("shard").sortWithinPartitions("shard", "offset")
-    return ordered.mapInArrow(run, f"{SHARD_TYPE}, {schema}")
+    return ordered.mapInArrow(tidied(run), f"{SHARD_TYPE}, {schema}")
 
 
 def shard_starts(keys: DataFrame) -> DataFrame:
@@ -380,9 +383,9 @@ def ids_crc32(ids: np.ndarray) -> tuple[int]:
     return (zlib.crc32(ids.astype("<u4").tobytes()),)
 
 
-def write_and_digest(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0) -> DataFrame:
+def write_and_digest(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Write `docs`, then look every key up in the index and read its ids: doc_id, start, n_tokens, ids_crc32."""
-    written = write_token_shards(docs, folder, tokenizer_path, end_id)
+    written = write_token_shards(docs, folder, tokenizer_path, end_id, cache_words=cache_words)
     spark = docs.sparkSession
     asked = docs.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("ordinal"))
     with open(tokenizer_path, encoding="utf-8") as f:

@@ -37,7 +37,7 @@ def _cached_powers(base: int, n: int) -> np.ndarray:
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
-    return _cached_powers(base, 1 << max(20, (n - 1).bit_length()))[:n] if n <= 1 << 22 else np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)])
+    return _cached_powers(base, 1 << max(12, (n - 1).bit_length()))[:n] if n <= 1 << 22 else np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)])
 
 
 def inverse(base: int) -> int:
