@@ -39,7 +39,7 @@ SCOPES = {"ul", "ol", "menu", "dl", "table", "article", "section", "div", "main"
 BOILER_TAGS = {"nav", "footer", "aside", "form", "menu", "fieldset", "search"}
 CONTENT_TAGS = {"article": 2.5, "main": 1.5}
 TEXT_TAGS = {"p": 1.0, "h1": 1.0, "h2": 0.8, "h3": 0.6, "h4": 0.4, "h5": 0.4, "h6": 0.4, "blockquote": 0.8, "pre": 0.8, "figcaption": 0.3, "li": 0.0, "td": 0.0, "tr": 0.0, "dd": 0.2, "dt": 0.2}
-BOILER_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion sidebar aside menu nav navbar navigation navi breadcrumb breadcrumbs pagination pager footer foot header masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets comment comments disqus replies reply respond copyright legal disclaimer skip toc tags taglist".split())
+BOILER_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense adslot adbox adunit adcontainer banner sponsor sponsored promo promotion sidebar aside menu nav navbar navigation navi breadcrumb breadcrumbs pagination pager footer foot header masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets comment comments disqus replies reply respond copyright legal disclaimer skip toc tags taglist".split())
 CONTENT_NAMES = frozenset("article content post entry story body text main prose maintext articlebody postbody".split())
 ROLE_NAMES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
 
@@ -47,7 +47,9 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"
 ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 NAME_PART = re.compile(r"[a-z]+")
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-SMOOTHNESS, CERTAIN = 1.2, 1e6
+NEUTRAL_WORD = re.compile(r"(?:has|with|without|no)-", re.I)
+CUES = re.compile(r"©|\(c\) ?\d{4}|all rights reserved|privacy policy|terms of (?:use|service)|\bcookies?\b|\bsubscribe\b|\bnewsletter\b|\bsign (?:up|in)\b|\blog ?in\b|\badvertisement\b|\bsponsored\b|share this|leave a (?:reply|comment)|read more|related (?:posts|articles)", re.I)
+SMOOTHNESS, CERTAIN = 0.5, 1e6
 
 
 @dataclass
@@ -69,8 +71,8 @@ class Block:
     text: str = ""
 
 
-def attribute_evidence(attributes: str) -> tuple[bool, float, float]:
-    """(hidden, boilerplate, content) evidence of a tag's class, id, role and style."""
+def attribute_evidence(attributes: str, inside: bool = False) -> tuple[bool, float, float]:
+    """(hidden, boilerplate, content) evidence of a tag's class, id, role and style. inside: in an article or what is named as content, whose own header is no page header."""
     hidden, boiler, content = False, 0.0, 0.0
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "").lower()
@@ -81,8 +83,10 @@ def attribute_evidence(attributes: str) -> tuple[bool, float, float]:
             content = max(content, 2.0 if value in ("main", "article") else 0.0)
         elif name in ("class", "id"):
             for word in value.split():
+                if NEUTRAL_WORD.match(word):
+                    continue
                 parts = NAME_PART.findall(word)
-                if any(p in BOILER_NAMES for p in parts):
+                if any(p in BOILER_NAMES and not (inside and p == "header") for p in parts):
                     boiler = max(boiler, 6.0)
                 if any(p in CONTENT_NAMES for p in parts) or "".join(parts) in CONTENT_NAMES:
                     content = max(content, 1.5)
@@ -141,6 +145,8 @@ def blocks_of(page: str) -> list[Block]:
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
+            elif tag in ("td", "th"):
+                add(" ")
             elif tag not in INLINE and tag not in VOID:
                 flush()
                 links = 0
@@ -176,7 +182,7 @@ def blocks_of(page: str) -> list[Block]:
             close(SELF_CLOSING[tag], SCOPES - {"div"} if tag != "li" else {"ul", "ol", "menu"})
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "math"):
             continue
-        hidden, boiler, content = attribute_evidence(m[3]) if m[3] else (False, 0.0, 0.0)
+        hidden, boiler, content = attribute_evidence(m[3], node.has_article or node.content > 0) if m[3] and tag not in ("html", "body") else (False, 0.0, 0.0)
         child = Node(tag, node, node.depth + 1, node.drop or hidden or tag in DROPPED)
         child.has_article = node.has_article or tag in ("article", "main")
         own = CERTAIN if tag in BOILER_TAGS or (tag == "header" and not node.has_article) else boiler
@@ -191,8 +197,10 @@ def costs(block: Block) -> float:
     """Log odds of content over boilerplate."""
     n = len(block.text)
     link_share = block.linked / max(1, sum(map(len, block.parts)))
-    score = -0.6 + block.node.content - block.node.boiler + TEXT_TAGS.get(block.node.tag, 0.0)
-    score += min(n, 400) / 160 - 3.0 * link_share
+    score = -0.2 + block.node.content - block.node.boiler + TEXT_TAGS.get(block.node.tag, 0.0)
+    score += min(n, 400) / 100 - 4.0 * link_share
+    if n < 200 and not block.node.has_article and CUES.search(block.text):
+        score -= 2.5
     score += 0.5 if block.text[-1] in ".!?…:;\"'”»" else 0.0
     return score
 
