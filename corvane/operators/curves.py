@@ -1,4 +1,4 @@
-"""Diagnoses over improvement logs, loss curves and trials: reference loops as windows.
+"""Diagnoses over improvement logs, loss curves and trials, as windows.
 
 A log has run_id and iteration; a curve has run_id, checkpoint, step and losses; trial lines have trial and seq.
 """
