@@ -172,14 +172,13 @@ def classify(model: Model, lut: np.ndarray, texts: pa.Array) -> tuple[list[str],
 
 
 def sample_labelled(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, chars: int = ROW_CHARS, seed: int = 9) -> dict[str, list[str]]:
-    """At most `rows` texts of `chars` characters per language: those with the smallest hashes among all labelled rows."""
+    """The texts of smallest hash per language, cut to `chars` characters: `rows` of them, or all distinct ones if there are fewer. Copies count once.
+
+    Only (lang, h) is shuffled, copies merged before; each task then keeps its own smallest hashes, and only these get their texts.
+    """
     usable = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit(seed), F.col(text_col)).alias("h"), F.substring(text_col, 1, chars).alias("text"))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return {}
-    limits = labelled.sparkSession.createDataFrame([(k, min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, 4 * rows / n)))) for k, n in counts.items()], "l string, most long")
-    few = usable.join(F.broadcast(limits), F.col("lang") == F.col("l")).where(F.col("h") <= F.col("most")).drop("l", "most").dropDuplicates(["lang", "h"])
-    first = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= rows)
+    smallest = usable.select("lang", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= rows)
+    first = usable.join(F.broadcast(smallest), ["lang", "h"]).groupBy("lang", "r").agg(F.min("text").alias("text"))
     out: dict[str, list[str]] = {}
     for r in first.orderBy("lang", "r").collect():
         out.setdefault(r["lang"], []).append(r["text"])

@@ -282,6 +282,15 @@ def test_language_id_on_odd_rows(spark):
     assert langid.identify_languages(spark.createDataFrame([], DOCS), model).collect() == []
 
 
+def test_language_sample_is_whole_for_many_copies(spark):
+    texts = [(f"kalomi {i}", "xx") for i in range(20)] * 500 + [(f"thring {i % 300}", "yy") for i in range(3000)] + [("once", "zz"), (None, "xx"), ("none", None)]
+    labelled = spark.createDataFrame(texts, "text string, lang string")
+    hashes = {k: sorted((r["h"], r["text"]) for r in labelled.where(F.col("lang") == k).dropna().distinct().select("text", F.xxhash64(F.lit(9), "text").alias("h")).collect()) for k in ("xx", "yy", "zz")}
+    got = langid.sample_labelled(labelled)
+    assert got == {k: [t for _, t in v[: langid.SAMPLE_ROWS]] for k, v in hashes.items()}
+    assert {k: len(v) for k, v in got.items()} == {"xx": 20, "yy": 64, "zz": 1}
+
+
 @pytest.fixture(scope="module")
 def encoder():
     with open(queries.token_vocabulary(), encoding="utf-8") as f:
