@@ -28,7 +28,6 @@ from .store import materialise, small_batches, tidied
 from .words import hash_words, hashed_texts, inverse, mix, powers, text_pieces
 
 MARK = "▁"
-LONGEST = 12
 EM_ROUNDS = 2
 ALPHA = 0.05
 BUCKET_BYTES = 16 << 20
@@ -48,9 +47,8 @@ class Lattice:
     """Pieces with probabilities, and the sums over all segmentations of many words at a time."""
 
     def __init__(self, vocabulary: list[tuple[str, float]]):
-        pieces = [(p, s) for p, s in vocabulary if len(p) <= LONGEST or _byte_of(p) is not None]
-        self.texts = [p for p, _ in pieces]
-        scores = np.array([s for _, s in pieces], float)
+        self.texts = [p for p, _ in vocabulary]
+        scores = np.array([s for _, s in vocabulary], float)
         # A negative score is a merge rank here: rank r starts with weight 1 / (r + 1); byte pieces start low.
         weight = 1 / (1 + np.abs(scores))
         self.bytes = np.full(256, -1)
@@ -67,6 +65,7 @@ class Lattice:
             self.bytes[missing] = len(self.texts) + np.arange(len(missing))
             self.texts += [f"<0x{b:02X}>" for b in missing]
             weight = np.r_[weight, np.full(len(missing), 1e-6)]
+        self.longest = max((len(self.texts[i]) for i in plain), default=0)
         hashes = np.array([_hash_text(self.texts[i]) for i in plain], np.uint64)
         order = np.argsort(hashes)
         self.keys, self.ids = hashes[order], np.array(plain)[order]
@@ -87,7 +86,7 @@ class Lattice:
         out = []
         for j in range(1, length + 1):
             here = []
-            for i in range(max(0, j - LONGEST), j):
+            for i in range(max(0, j - self.longest), j):
                 h = mix((sums[j] - sums[i]) * back[i])
                 at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
                 rows = np.flatnonzero(self.keys[at] == h)
@@ -224,7 +223,7 @@ def _lattice(sent) -> Lattice:
 
 
 def fit_weights(words: DataFrame, vocabulary: list[tuple[str, float]], rounds: int = EM_ROUNDS) -> np.ndarray | None:
-    """Piece weights after expectation-maximisation over all distinct training words. words: word, c."""
+    """Piece weights after expectation-maximisation over all training words, each as often as it occurs. words: word, c."""
     spark = words.sparkSession
     weight = None
     for _ in range(rounds):
@@ -234,13 +233,13 @@ def fit_weights(words: DataFrame, vocabulary: list[tuple[str, float]], rounds: i
             lattice, total = None, None
             for b in batches:
                 lattice = lattice or _lattice(sent)
-                got = lattice.expected(b.column(0).to_pylist(), np.ones(b.num_rows))
+                got = lattice.expected(b.column(0).to_pylist(), b.column(1).to_numpy().astype(float))
                 total = got if total is None else total + got
             if total is not None:
                 used = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["piece", "n"])
 
-        sums = words.where("c > 0").select("word").mapInArrow(tidied(expect), "piece bigint, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        sums = words.where("c > 0").select("word", "c").mapInArrow(tidied(expect), "piece bigint, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         if not sums:
             return None
         weight = np.full(len(Lattice(vocabulary).texts), ALPHA)

@@ -352,6 +352,29 @@ def test_lattice_sums_over_all_segmentations():
     assert lattice.log_probabilities(said).sum() > before  # expectation-maximisation never lowers it
 
 
+def test_lattice_has_every_piece_however_long():
+    long = "▁characteristics"
+    lattice = lm.Lattice([("▁", -1.0), (long, -2.0), ("a", -3.0), ("b" * 30, -4.0)])
+    p = {t: lattice.log_p[i] for i, t in enumerate(lattice.texts)}
+    spelled = lambda t: sum(p[f"<0x{b:02X}>"] for c in t for b in c.encode())
+    got = lattice.log_probabilities([long[1:], "b" * 30])
+    assert long in lattice.texts and got[0] >= p[long] > spelled("characteristics")
+    assert np.isclose(got[1], np.logaddexp(p["▁"], spelled("▁")) + np.logaddexp(p["b" * 30], spelled("b" * 30)))
+    vocabulary = lm.read_vocabulary(queries.subword_vocabulary())
+    assert set(lm.Lattice(vocabulary).texts) >= {t for t, _ in vocabulary}
+
+
+def test_piece_weights_follow_the_counts_of_words(spark):
+    vocabulary = [("▁", -1.0), ("▁aa", -2.0), ("▁bb", -2.0), ("a", -3.0), ("b", -3.0)]
+    words = spark.createDataFrame([("aa", 90), ("bb", 10), ("unseen", 0)], "word string, c long")
+    weight = lm.fit_weights(words, vocabulary)
+    lattice = lm.Lattice(vocabulary)
+    for _ in range(lm.EM_ROUNDS):
+        want = lattice.expected(["aa", "bb"], np.array([90.0, 10.0])) + lm.ALPHA
+        lattice.set_weights(want, 0.0)
+    assert np.allclose(weight, want) and weight[1] > 5 * weight[2]
+
+
 def test_lm_scores_base_and_folds(spark):
     rows = [(i, t) for i, t in enumerate(random_texts(120, 5))] + [(200, None), (201, ""), (None, "w1 w2"), (5, "w1 unseenword")]
     docs = spark.createDataFrame(corpus(rows), DOCS)
