@@ -6,6 +6,10 @@ the source and to the sink. Blocks that follow each other, and blocks that follo
 joined by edges whose capacity grows with the share of the DOM path they have in common. The minimum cut, found by maximum
 flow (shortest augmenting paths), separates content from boilerplate.
 
+A cue such as `cookies` or `log in` counts in a short block only with other evidence: half of it linked, a boilerplate name, or a
+place outside the long blocks; there, a heading or a sibling of a long block is still content, except for legal lines. A
+block without links, boilerplate name or cue has no cost of being content. Mathematics is text, without its annotations.
+
 What is never text (scripts, styles, templates, form controls, the head) makes no block. White space inside a block, and
 a line break, is one space; character references are decoded; blocks are joined by a blank line in page order.
 
@@ -30,9 +34,12 @@ from .store import small_batches, tidied
 
 # HTML element names by role.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
-DROPPED = {"head", "template", "svg", "math", "canvas", "object", "select", "option", "button", "datalist", "audio", "video", "map", "dialog"} | RAW
+DROPPED = {"head", "template", "svg", "canvas", "object", "select", "option", "button", "datalist", "audio", "video", "map", "dialog"} | RAW
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+MATH_TOKENS = {"mi", "mn", "mo", "ms", "mtext"}
+MATH = {"math", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "merror", "mpadded", "mphantom", "menclose", "mfenced", "maction", "semantics", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mprescripts", "mtable", "mtr", "mlabeledtr", "mtd", "mspace", "mglyph", "annotation", "annotation-xml"} | MATH_TOKENS
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "table", "ul"}
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "menu", "dl", "table", "article", "section", "div", "main", "body"}
@@ -48,7 +55,9 @@ ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|style|aria-hidden)(
 NAME_PART = re.compile(r"[a-z]+")
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NEUTRAL_WORD = re.compile(r"(?:has|with|without|no)-", re.I)
-CUES = re.compile(r"©|\(c\) ?\d{4}|all rights reserved|privacy policy|terms of (?:use|service)|\bcookies?\b|\bsubscribe\b|\bnewsletter\b|\bsign (?:up|in)\b|\blog ?in\b|\badvertisement\b|\bsponsored\b|share this|leave a (?:reply|comment)|read more|related (?:posts|articles)", re.I)
+LEGAL = re.compile(r"©|\(c\) ?\d{4}|all rights reserved|privacy policy|terms of (?:use|service)", re.I)
+CUES = re.compile(LEGAL.pattern + r"|\bcookies?\b|\bsubscribe\b|\bnewsletter\b|\bsign (?:up|in)\b|\blog ?in\b|\badvertisement\b|\bsponsored\b|share this|leave a (?:reply|comment)|read more|related (?:posts|articles)", re.I)
+LONG = 200
 SMOOTHNESS, CERTAIN = 0.5, 1e6
 
 
@@ -147,7 +156,7 @@ def blocks_of(page: str) -> list[Block]:
                 links = max(0, links - 1)
             elif tag in ("td", "th"):
                 add(" ")
-            elif tag not in INLINE and tag not in VOID:
+            elif tag not in INLINE and tag not in VOID and tag not in MATH:
                 flush()
                 links = 0
                 close({tag}, set())
@@ -162,6 +171,13 @@ def blocks_of(page: str) -> list[Block]:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             at = len(page) if end is None else page.find(">", end.end()) + 1 or len(page)
             continue
+        if tag in MATH:
+            if tag in MATH_TOKENS:
+                add(" ")
+            elif not m[3].endswith("/") and (tag.startswith("annotation") or tag == "math" and attribute_evidence(m[3])[0]):
+                end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+                at = at if end is None else page.find(">", end.end()) + 1 or len(page)
+            continue
         if tag in INLINE or (tag in VOID and tag != "hr"):
             if tag == "img" or tag == "wbr":
                 continue
@@ -180,7 +196,7 @@ def blocks_of(page: str) -> list[Block]:
             close({"p"}, SCOPES)
         if tag in SELF_CLOSING:
             close(SELF_CLOSING[tag], SCOPES - {"div"} if tag != "li" else {"ul", "ol", "menu"})
-        if tag in VOID or m[3].endswith("/") and tag in ("svg", "math"):
+        if tag in VOID or m[3].endswith("/") and tag == "svg":
             continue
         hidden, boiler, content = attribute_evidence(m[3], node.has_article or node.content > 0) if m[3] and tag not in ("html", "body") else (False, 0.0, 0.0)
         child = Node(tag, node, node.depth + 1, node.drop or hidden or tag in DROPPED)
@@ -193,13 +209,27 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def costs(block: Block) -> float:
+def link_share(block: Block) -> float:
+    return block.linked / max(1, sum(map(len, block.parts)))
+
+
+def at_edges(blocks: list[Block]) -> list[bool]:
+    """Whether the place of each block is evidence against it: before the first or after the last long block, and no heading or, without a legal line, sibling of a long block."""
+    long = [i for i, b in enumerate(blocks) if len(b.text) >= LONG and link_share(b) < 0.5]
+    first, last = (long[0], long[-1]) if long else (len(blocks), -1)
+    beside = {id(blocks[i].node.parent) for i in long}
+    return [not first <= i <= last and b.node.tag not in HEADINGS and (bool(long) and id(b.node.parent) not in beside or LEGAL.search(b.text) is not None) for i, b in enumerate(blocks)]
+
+
+def costs(block: Block, at_edge: bool) -> float:
     """Log odds of content over boilerplate."""
-    n = len(block.text)
-    link_share = block.linked / max(1, sum(map(len, block.parts)))
-    score = -0.2 + block.node.content - block.node.boiler + TEXT_TAGS.get(block.node.tag, 0.0)
-    score += min(n, 400) / 100 - 4.0 * link_share
-    if n < 200 and not block.node.has_article and CUES.search(block.text):
+    n, linked = len(block.text), link_share(block)
+    cue = n < LONG and not block.node.has_article and (linked >= 0.5 or block.node.boiler > 0 or at_edge) and CUES.search(block.text) is not None
+    score = block.node.content - block.node.boiler + TEXT_TAGS.get(block.node.tag, 0.0)
+    score += min(n, 400) / 100 - 4.0 * linked
+    if linked or block.node.boiler or cue:
+        score -= 0.2
+    if cue:
         score -= 2.5
     score += 0.5 if block.text[-1] in ".!?…:;\"'”»" else 0.0
     return score
@@ -270,7 +300,7 @@ def main_text(page: str | None) -> str:
     blocks = blocks_of(page) if page else []
     if not blocks:
         return ""
-    score = [costs(b) for b in blocks]
+    score = [costs(b, edge) for b, edge in zip(blocks, at_edges(blocks), strict=True)]
     edges, last = [], {}
     for i, b in enumerate(blocks):
         if i:

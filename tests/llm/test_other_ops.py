@@ -99,6 +99,25 @@ def test_main_text():
     assert html.main_text("<article><p>" + "word " * 50000 + "</p></article>") == ("word " * 50000).strip()
 
 
+def test_main_text_of_pages_without_content_names():
+    long = "<p>" + "The kitchen was warm while the family talked about the garden and the trip. " * 4 + "</p>"
+    text = " ".join(long[3:-4].split())
+    page = lambda *parts: "<html><body><div>" + "".join(parts) + "</div></body></html>"
+    short = ["She baked cookies for the fair.", "They log in at noon.", "Read more books!"]
+    for s in short:
+        assert html.main_text(page("<h1>How to bake cookies</h1>", f"<p>{s}</p>", long, f"<p>{s}</p>", long, f"<p>{s}</p>")).split("\n\n") == ["How to bake cookies", s, text, s, text, s]
+        assert html.main_text(page(f"<h2>How to subscribe</h2><p>{s}</p>")) == f"How to subscribe\n\n{s}"
+    items = ["2 eggs", "flour", "salt", "50 g butter", "1 lemon", "milk 20 ml", "cocoa", "sugar", "yeast"]
+    listed = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+    for parts, want in (((long, listed, long), [text, *items, text]), ((long, listed), [text, *items]), ((listed, long), [*items, text])):
+        assert html.main_text(page(*parts)).split("\n\n") == want
+    assert html.main_text(page("<p>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='TeX'>x=2</annotation></semantics></math> be given.</p>", long)) == f"Let x = 2 be given.\n\n{text}"
+    assert html.main_text(page("<p>A <math aria-hidden='true'><mi>y</mi></math>proof <math/>follows.</p>")) == "A proof follows."
+    # With other evidence a cue still counts.
+    for banner in ("<div><p>We use cookies.</p></div>", "<p><a href=x>Log in</a> or <a href=y>subscribe</a></p>"):
+        assert html.main_text(f"<html><body>{banner}<div><div>{long}{long}</div></div><p>&copy; 2020 All rights reserved</p></body></html>") == f"{text}\n\n{text}"
+
+
 def test_pages_table_gives_the_articles(spark):
     import html as references
 
