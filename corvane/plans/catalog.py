@@ -439,6 +439,13 @@ def dedup_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.lexical_dedup(items).select("pair_id", "drop_rule")
 
 
+@query()
+def dedup_lexical_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup_lexical over whole texts; held against brute force in the tests."""
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), F.col("text").alias("question"))
+    return dedup.lexical_dedup(items).select("pair_id", "drop_rule")
+
+
 @query("""
     WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 500), e AS (SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.35),
     ids AS (SELECT j AS id, list(i) AS earlier, row_number() OVER (ORDER BY j) AS r FROM e GROUP BY j),

@@ -82,6 +82,22 @@ def test_lexical_dedup_is_greedy(spark):
     assert got == greedy(items)
 
 
+def test_registered_lexical_dedup_reads_whole_texts(spark):
+    from corvane.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    items = sorted((r["doc_id"], r["text"]) for r in catalog.table(spark, sf, "documents").collect())
+    want = greedy(items)
+    assert {r["pair_id"]: r["drop_rule"] for r in catalog.QUERIES["dedup_lexical_whole"](spark, sf).collect()} == want
+    assert want != greedy([(i, t.split("\n")[0]) for i, t in items]) and set(want.values()) > {None}
+
+
+def test_copies_of_a_set_are_compared_once(spark):
+    items = [(i, f"alpha bravo charlie {'!' * (i % 3)}") for i in range(60)] + [(100 + i, "alpha bravo charlie deltas") for i in range(60)]
+    sets = spark.createDataFrame(items, "id long, t string").select("id", Q.signature_words("t").alias("sig"))
+    assert dedup.jaccard_cliques(sets).count() == 60 + 60 + 120
+
+
 def test_chain_keeps_both_ends(spark):
     # a ~ b ~ c but not a ~ c: b goes, c stays
     items = [(1, "alpha bravo charlie"), (2, "alpha bravo charlie deltas echoes"), (3, "charlie deltas echoes bravo foxtrot")]
