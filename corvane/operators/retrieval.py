@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from corvane.functions.text import col
 from corvane.operators.registry import incompatibility, methods_that_fit
 
+BLOCK = 2048
+
 
 def size_class(words: Column, rows: Column) -> Column:
     n = F.coalesce(words, rows)
@@ -46,6 +48,44 @@ def top_k(items: DataFrame, vector: str, query: list[float], k: int, key: str) -
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
 
 
+def top_k_each(items: DataFrame, queries: DataFrame, vector: str, k: int, key: str, block: int = BLOCK) -> DataFrame:
+    """(query_id, key, score, rank): the k nearest rows of `items` to each row of `queries`, its own key left out, ties (to 12 digits) by key.
+
+    Exact. Every block of queries meets every block of rows of its dimension in one group of bounded size, which keeps its own k
+    a query; only these meet. Null and zero vectors are neither found nor find.
+    """
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.window import Window
+
+    vectors = lambda df: df.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("d", F.size("v"))
+    rows, asked = vectors(items), vectors(queries)
+    nx, ny = (max(1, math.ceil(df.count() / block)) for df in (asked, rows))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("d", dealt(nx).alias("x"), every(ny).alias("y"), F.lit(0).alias("side"), "id", "v")
+    right = rows.select("d", every(nx).alias("x"), dealt(ny).alias("y"), F.lit(1).alias("side"), "id", "v")
+
+    def best(got: pa.Table) -> pa.Table:
+        got = got.sort_by("id")
+        side, ids = got.column("side").to_numpy(), got.column("id").to_numpy()
+        m = got.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        norm = np.sqrt((m**2).sum(1))
+        usable = (norm > 0) & np.isfinite(norm)
+        a, b = np.flatnonzero((side == 0) & usable), np.flatnonzero((side == 1) & usable)
+        score = np.round((m[a] / norm[a, None]) @ (m[b] / norm[b, None]).T, 12)
+        score[ids[a][:, None] == ids[b][None, :]] = -np.inf
+        order = np.argsort(-score, 1, kind="stable")[:, :k]
+        found = np.take_along_axis(score, order, 1)
+        q, at = np.nonzero(np.isfinite(found))
+        return pa.table({"query_id": pa.array(ids[a[q]], pa.int64()), key: pa.array(ids[b[order[q, at]]], pa.int64()), "score": pa.array(found[q, at], pa.float64())})
+
+    near = left.union(right).groupBy("d", "x", "y").applyInArrow(best, f"query_id bigint, `{key}` bigint, score double")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
+
+
 def eligible_cards(cards: DataFrame, memory_gb: float) -> DataFrame:
     """Cards of known size without a reason against them that some method fits."""
     fit = methods_that_fit(cards.where("parameters_b IS NOT NULL"), F.lit(memory_gb))

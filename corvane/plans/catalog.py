@@ -656,6 +656,15 @@ def retrieval_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("vec_id", "rank", "score"), "score")
 
 
+@query("""
+    WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.e, q.e) AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id)
+    SELECT query_id, vec_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 6""")
+def retrieval_top_k_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose id is divisible by 50, against all rows but itself."""
+    v = table(spark, sf_dir, "embeddings")
+    return rounded(retrieval.top_k_each(v, v.where("vec_id % 50 = 0"), "embedding", 6, "vec_id"), "score")
+
+
 @query("""
     WITH r AS (SELECT 's' || s_suppkey AS model_id, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rank, s_suppkey % 3 = 0 AS cached, s_suppkey % 5 = 0 AS tried FROM supplier)
     SELECT model_id, cached FROM r WHERE NOT tried ORDER BY cached DESC, rank LIMIT 3""")

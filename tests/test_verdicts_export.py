@@ -1,4 +1,6 @@
 import json
+import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -110,3 +112,16 @@ def test_retrieval(spark):
     assert [r["model_id"] for r in retrieval.candidates(ranked, tried, cached, only_cached=True).collect()] == ["d"]
     assert retrieval.picked(retrieval.candidates(ranked, tried, cached), "c").first()["model_id"] == "c"
     assert retrieval.picked(retrieval.candidates(ranked, tried, cached), "zzz").first()["model_id"] == "d"
+
+
+def test_each_query_searches_all_rows(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(230)] + [(300 + i, [1.0, 0.0, 0.0, 0.0]) for i in range(12)] + [(400, [0.0] * 4), (450, None), (500, [1.0, 2.0])]
+    items = spark.createDataFrame(rows, "k long, v array<double>")
+    unit = {k: [x / math.hypot(*v) for x in v] for k, v in rows if v and any(v)}
+    score = lambda a, b: round(sum(x * y for x, y in zip(unit[a], unit[b], strict=True)), 9)
+    want = {q: sorted(((-score(q, k), k) for k in unit if k != q and len(unit[k]) == len(unit[q])))[:6] for q in unit if q % 50 == 0}
+    for block in (16, 1024):
+        got = retrieval.top_k_each(items, items.where("k % 50 = 0"), "v", 6, "k", block).collect()
+        found = {q: [(-round(r["score"], 9) + 0.0, r["k"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in want}
+        assert found == {q: [(s + 0.0, k) for s, k in v] for q, v in want.items()} and len(got) == sum(map(len, want.values()))
