@@ -1,13 +1,19 @@
 """Language-model scores: marginal likelihood of a text over all subword segmentations.
 
 A text is its words (maximal runs outside {0x20, 0x09-0x0D}, A-Z lower-cased) and an end. Each word, behind a word mark, is
-a lattice of the pieces of an existing public vocabulary; characters outside it go by byte pieces. The vocabulary's own
-scores start the piece probabilities and expectation-maximisation over the counts of all training words refines them. A word's
-probability is the sum over all its segmentations, by a forward recursion in log space; a text's is the product over its
-words and the end, so piece and end probabilities sum to 1 and the model is a distribution over texts.
+a lattice of the pieces of an existing public vocabulary; characters outside it go by byte pieces, and a word seen in
+training is one more piece of its own lattice. The vocabulary's own scores start the piece probabilities and
+expectation-maximisation over all training words refines them. A word's probability is the sum over all its segmentations, by
+a forward recursion in log space; a text's is the product over its words and the end.
+
+The weights: with N training tokens, a word seen c times has weight (c - D) / N as a piece of its own, and D / N of each
+of the V distinct words is left to spelling, D being n1 / (n1 + 2 n2) for n1 and n2 words seen once and twice (absolute
+discounting). As each distinct word leaves the same D to spelling, expectation-maximisation counts each distinct word once.
+Piece probabilities and the word end, which closes a spelled word, sum to 1, so all texts together have probability 1 at most.
 
 Word counts go over all training texts. Documents are dealt into buckets; each bucket asks for each of its distinct words
-once, so a frequent word reaches a reducer once per bucket and never once per occurrence.
+once, so a frequent word reaches a reducer once per bucket and never once per occurrence, and at most GROUPED buckets of a
+word meet in one row.
 
 Defined cases: null text is empty and has the end alone; null ids are in neither fold (not learned from, not held out);
 without training texts the pieces keep the vocabulary's scores and no token is known; repeated rows are scored each;
@@ -28,9 +34,12 @@ from .store import materialise, small_batches, tidied
 from .words import hash_words, hashed_texts, inverse, mix, powers, text_pieces
 
 MARK = "▁"
-EM_ROUNDS = 2
+EM_ROUNDS = 3
 ALPHA = 0.05
 BUCKET_BYTES = 16 << 20
+#: Buckets that ask for a word in one row.
+GROUPED = 4096
+LEADING_BITS = 20
 _BASE = 0x9E6C63D0876A9A47 | 1
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 256))
 
@@ -68,13 +77,17 @@ class Lattice:
         self.longest = max((len(self.texts[i]) for i in plain), default=0)
         hashes = np.array([_hash_text(self.texts[i]) for i in plain], np.uint64)
         order = np.argsort(hashes)
-        self.keys, self.ids = hashes[order], np.array(plain)[order]
-        self.set_weights(weight, 0.0)
+        self.keys, self.ids = hashes[order], np.array(plain, np.int64)[order]
+        # Most runs of characters are no piece; the leading bits of their hashes tell so for nearly all of them.
+        self.maybe = np.zeros(1 << LEADING_BITS, bool)
+        self.maybe[self.keys >> np.uint64(64 - LEADING_BITS)] = True
+        self.set_weights(weight, weight.sum() / 4)
 
     def set_weights(self, weight: np.ndarray, end: float) -> None:
+        """Weights of the pieces and of the word end; their probabilities sum to 1."""
         total = weight.sum() + end
         self.log_p = np.log(weight / total)
-        self.log_end = math.log(end / total) if end > 0 else math.log(1e-3)
+        self.log_end = math.log(end / total)
 
     def _edges(self, codes: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
         """For each end position of equally long words (rows of code points): (start, rows, piece)."""
@@ -88,10 +101,13 @@ class Lattice:
             here = []
             for i in range(max(0, j - self.longest), j):
                 h = mix((sums[j] - sums[i]) * back[i])
-                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                rows = np.flatnonzero(self.keys[at] == h)
-                if len(rows):
-                    here.append((i, rows, self.ids[at[rows]]))
+                rows = np.flatnonzero(self.maybe[h >> np.uint64(64 - LEADING_BITS)])
+                if not len(rows):
+                    continue
+                at = np.minimum(np.searchsorted(self.keys, h[rows]), len(self.keys) - 1)
+                piece = self.keys[at] == h[rows]
+                if piece.any():
+                    here.append((i, rows[piece], self.ids[at[piece]]))
             out.append(here)
         return out
 
@@ -112,11 +128,11 @@ class Lattice:
         return alpha
 
     def log_probabilities(self, words: list[str]) -> np.ndarray:
-        """Natural log of each word's marginal probability."""
+        """Natural log of each word's marginal probability: all its segmentations, and the word end."""
         out = np.zeros(len(words))
         for rows, codes in _by_length(words):
             spelled, _ = self._fallback(codes)
-            out[rows] = self._forward(codes, self._edges(codes), spelled)[-1]
+            out[rows] = self._forward(codes, self._edges(codes), spelled)[-1] + self.log_end
         return out
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
@@ -173,8 +189,8 @@ def _by_length(words: list[str], block: int = 1 << 17) -> Iterator[tuple[np.ndar
 
 
 _ROW = "bucket int, word string, c bigint"
-#: Classes of unseen words; what each distinct word's count gives up to them.
-BINS, DISCOUNT = 24, 0.4
+#: Classes of unseen words in class_score.
+BINS = 24
 
 
 def bucketed(docs: DataFrame, id_col: str, text_col: str, learn) -> tuple[DataFrame, int]:
@@ -215,51 +231,56 @@ def word_hashes(words: pa.Array) -> np.ndarray:
 
 
 def _lattice(sent) -> Lattice:
-    vocabulary, weight = sent.value
+    vocabulary, weights = sent.value
     lattice = Lattice(vocabulary)
-    if weight is not None:
-        lattice.set_weights(weight, 0.0)
+    if weights is not None:
+        lattice.set_weights(*weights)
     return lattice
 
 
-def fit_weights(words: DataFrame, vocabulary: list[tuple[str, float]], rounds: int = EM_ROUNDS) -> np.ndarray | None:
-    """Piece weights after expectation-maximisation over all training words, each as often as it occurs. words: word, c."""
+def fit_weights(words: DataFrame, vocabulary: list[tuple[str, float]], rounds: int = EM_ROUNDS) -> tuple[np.ndarray, float] | None:
+    """Weights of the pieces and of the word end after expectation-maximisation over all distinct training words. words: word, c."""
     spark = words.sparkSession
-    weight = None
+    weights = None
     for _ in range(rounds):
-        sent = spark.sparkContext.broadcast((vocabulary, weight))
+        sent = spark.sparkContext.broadcast((vocabulary, weights))
 
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            lattice, total = None, None
+            lattice, total, seen = None, None, 0
             for b in batches:
                 lattice = lattice or _lattice(sent)
-                got = lattice.expected(b.column(0).to_pylist(), b.column(1).to_numpy().astype(float))
-                total = got if total is None else total + got
+                got = lattice.expected(b.column(0).to_pylist(), np.ones(b.num_rows))
+                total, seen = got if total is None else total + got, seen + b.num_rows
             if total is not None:
                 used = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["piece", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[used, -1], pa.int64()), pa.array(np.r_[total[used], float(seen)])], names=["piece", "n"])
 
-        sums = words.where("c > 0").select("word", "c").mapInArrow(tidied(expect), "piece bigint, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        sums = words.where("c > 0").select("word").mapInArrow(tidied(expect), "piece bigint, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         if not sums:
             return None
-        weight = np.full(len(Lattice(vocabulary).texts), ALPHA)
+        weight, end = np.full(len(Lattice(vocabulary).texts), ALPHA), 0.0
         for r in sums:
-            weight[r["piece"]] += r["n"]
-    return weight
+            if r["piece"] < 0:
+                end = r["n"]
+            else:
+                weight[r["piece"]] += r["n"]
+        weights = (weight, end)
+    return weights
 
 
-def with_log_p(words: DataFrame, vocabulary: list[tuple[str, float]], weight: np.ndarray | None) -> DataFrame:
-    """Adds h (the word's hash) and lattice (log10 of its marginal probability over all segmentations)."""
-    sent = words.sparkSession.sparkContext.broadcast((vocabulary, weight))
+def with_log_p(words: DataFrame, vocabulary: list[tuple[str, float]], weights: tuple[np.ndarray, float] | None) -> DataFrame:
+    """Adds h (the word's hash), lattice (log10 of its marginal probability over all segmentations) and chars. words: word, c."""
+    sent = words.sparkSession.sparkContext.broadcast((vocabulary, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = None
         for b in batches:
             lattice = lattice or _lattice(sent)
-            p = lattice.log_probabilities(b.column(0).to_pylist()) / math.log(10)
-            yield pa.RecordBatch.from_arrays([pa.array(word_hashes(b.column(0)).view(np.int64)), b.column(1), b.column(2), pa.array(p), pa.array([len(w) for w in b.column(0).to_pylist()], pa.int64())], names=["h", "c", "buckets", "lattice", "chars"])
+            said = b.column(0).to_pylist()
+            p = lattice.log_probabilities(said) / math.log(10)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(word_hashes(b.column(0)).view(np.int64)), pa.array(p), pa.array([len(w) for w in said], pa.int64())], names=["word", "c", "h", "lattice", "chars"])
 
-    return words.select("word", "c", "buckets").mapInArrow(tidied(run), "h bigint, c bigint, buckets array<int>, lattice double, chars bigint")
+    return words.select("word", "c").mapInArrow(tidied(run), "word string, c bigint, h bigint, lattice double, chars bigint")
 
 
 def likelihood_bin():
@@ -267,43 +288,51 @@ def likelihood_bin():
     return F.least(F.lit(BINS - 1), F.floor(-4 * F.col("lattice") / (F.col("chars") + 1))).cast("int")
 
 
+def discount(once: int, twice: int) -> float:
+    """What each distinct word's count leaves to spelling; 0.9 at most, 0.5 where nothing tells."""
+    return min(0.9, once / (once + 2 * twice)) if once else 0.5
+
+
 def score_documents(docs: DataFrame, vocabulary_path: str, learn, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_tokens, n_known, train_tokens, base_score, score, open_score.
+    """One row per document: id, n_tokens, n_known, train_tokens, base_score, score, class_score.
 
-    learn: a boolean column, true for training documents. A word w with count c > 0 among N training tokens and V distinct
-    words has probability (c - D + D * V * L(w)) / N, with L its lattice probability and D the absolute discount: the whole word
-    is one more piece of its own lattice. In `score`, as in the base, a word never seen in training counts as its class, here
-    one of BINS by lattice likelihood per character; the classes share what the lattice leaves to unseen words like
-    words seen once. In `open_score` it counts as its own string, D * V * L(w) / N.
+    learn: a boolean column, true for training documents. `score` is the log10 probability of the text: the sum over its
+    words of log10((c - D) / N + D * V / N * L) (without the first part for unseen words), with L the word's lattice
+    probability, and log10 of the end's share of N. In `class_score`, as in the base, a word never seen in training counts as
+    its class instead of itself, here one of BINS by lattice likelihood per character; the classes share what spelling
+    leaves to unseen words like words seen once.
     """
     small_batches(docs.sparkSession)
     vocabulary = read_vocabulary(vocabulary_path)
     dealt, n = bucketed(docs, id_col, text_col, learn)
     asked = dealt.groupBy("bucket").applyInArrow(_bucket_words, _ROW)
-    words = materialise(asked.groupBy("word").agg(F.sum("c").alias("c"), F.collect_list("bucket").alias("buckets")), "words")
-    weight = fit_weights(words, vocabulary)
-    scored = materialise(with_log_p(words, vocabulary, weight), "word-scores")
+    by_group = asked.groupBy("word", F.floor(F.col("bucket") / GROUPED).alias("g")).agg(F.sum("c").alias("c"), F.collect_list("bucket").alias("buckets"))
+    grouped = materialise(by_group.select("word", "c", "buckets"), "asked-words")
+    words = grouped.groupBy("word").agg(F.sum("c").alias("c")) if n > GROUPED else grouped.select("word", "c")
+    weights = fit_weights(words, vocabulary)
+    scored = materialise(with_log_p(words, vocabulary, weights), "word-scores")
     seen = F.col("c") > 0
-    s = scored.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(seen).alias("v"), F.coalesce(F.sum(F.when(seen, F.pow(F.lit(10.0), "lattice"))), F.lit(0.0)).alias("known_mass")).first()
+    s = scored.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(seen).alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice"), F.coalesce(F.sum(F.when(seen, F.pow(F.lit(10.0), "lattice"))), F.lit(0.0)).alias("known_mass")).first()
     ends = dealt.where("learn").count()
     once = {r["bin"]: r["n"] for r in scored.where("c = 1").groupBy(likelihood_bin().alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    total, types = s["n"] + ends, s["v"]
-    d = DISCOUNT
+    total, types, d = s["n"] + ends, s["v"], discount(s["once"], s["twice"])
+    # Without training words, spelling has one token's share.
+    spelled, whole = (d * types, total) if types else (1.0, total + 1)
     left = max(1e-9, 1 - s["known_mass"])
     share = [math.log10(left * (once.get(b, 0) + 1 / BINS) / (sum(once.values()) + 1)) for b in range(BINS)]
-    room = math.log10(d * types / total) if types else 0.0
-    opened = F.lit(room) + F.col("lattice")
-    known = F.log10((F.col("c") - F.lit(d) + F.lit(d * types) * F.pow(F.lit(10.0), "lattice")) / F.lit(float(max(total, 1))))
+    room = math.log10(spelled / whole)
+    known = F.log10((F.col("c") - F.lit(d) + F.lit(spelled) * F.pow(F.lit(10.0), "lattice")) / F.lit(float(whole)))
     classed = F.lit(room) + F.element_at(F.array(*[F.lit(x) for x in share]), likelihood_bin() + 1)
-    answers = scored.select(F.explode("buckets").alias("bucket"), "h", "c", F.when(seen, known).otherwise(classed).alias("s"), F.when(seen, known).otherwise(opened).alias("o"))
-    end_s = math.log10(ends / total) if ends else -1.0
+    values = scored.select("word", "h", "c", F.when(seen, known).otherwise(F.lit(room) + F.col("lattice")).alias("s"), F.when(seen, known).otherwise(classed).alias("k"))
+    answers = grouped.select("word", "buckets").join(values, "word").select(F.explode("buckets").alias("bucket"), "h", "c", "s", "k")
+    end_s = math.log10(max(ends, 0.5) / whole)
     norm = math.log10(total + types + (1 if ends else 0) + 1)
     end_base = math.log10(ends + 1) - norm
 
     def score(key: tuple, left_: pa.Table, right: pa.Table) -> pa.Table:
         h = right.column("h").to_numpy().view(np.uint64)
         by = np.argsort(h)
-        h, c, s_, o = h[by], *(right.column(x).to_numpy()[by] for x in ("c", "s", "o"))
+        h, c, s_, k_ = h[by], *(right.column(x).to_numpy()[by] for x in ("c", "s", "k"))
         logs = np.log10(c + 1.0) - norm
         cols: tuple[list, ...] = ([], [], [], [], [])
         for _, _, words_, offsets in hashed_texts(left_.column("text"), lower=True):
@@ -312,10 +341,10 @@ def score_documents(docs: DataFrame, vocabulary_path: str, learn, id_col: str =
             doc = np.repeat(np.arange(len(sizes)), sizes)
             cols[0].append(sizes + 1)
             cols[1].append(np.bincount(doc, c[at] > 0, len(sizes)).astype(np.int64) + (ends > 0))
-            for k, (values, end) in enumerate(((logs, end_base), (s_, end_s), (o, end_s)), 2):
-                cols[k].append(np.bincount(doc, values[at], len(sizes)) + end)
+            for i, (values_, end) in enumerate(((logs, end_base), (s_, end_s), (k_, end_s)), 2):
+                cols[i].append(np.bincount(doc, values_[at], len(sizes)) + end)
         joined = [np.concatenate(x) if x else np.zeros(0) for x in cols]
-        return pa.table({"id": left_.column("id"), "n_tokens": pa.array(joined[0].astype(np.int64)), "n_known": pa.array(joined[1].astype(np.int64)), "base_score": pa.array(joined[2]), "score": pa.array(joined[3]), "open_score": pa.array(joined[4])})
+        return pa.table({"id": left_.column("id"), "n_tokens": pa.array(joined[0].astype(np.int64)), "n_known": pa.array(joined[1].astype(np.int64)), "base_score": pa.array(joined[2]), "score": pa.array(joined[3]), "class_score": pa.array(joined[4])})
 
-    result = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(score, "id bigint, n_tokens bigint, n_known bigint, base_score double, score double, open_score double")
-    return result.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score", "open_score")
+    result = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(score, "id bigint, n_tokens bigint, n_known bigint, base_score double, score double, class_score double")
+    return result.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score", "class_score")
