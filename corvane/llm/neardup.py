@@ -1,11 +1,15 @@
 """Near-duplicate documents by MinHash bands and sequential Bayesian verification.
 
-Documents with equal shingle sets are one candidate, the one with the smallest id. Signatures are cut into bands; in each
-band bucket every candidate is paired with the bucket's smallest id only, never with all others. A pair's signatures are
-compared batch by batch and dropped once the posterior probability (uniform prior) of reaching the threshold falls under
-`miss`; what survives is confirmed on the full shingle sets. Buckets whose members then still lie in different components
-are compared exhaustively across components, in blocks of bounded size, so that no link is lost to the pairing with one
-member. Components are found by contraction in Spark joins.
+Documents with equal shingle sets are one candidate, a numbered set with one row (the smallest id) to read its text from.
+Signatures are cut into bands; in each band bucket every candidate is paired with the bucket's first one only, never with all
+others. A pair's signatures are compared batch by batch and dropped once the posterior probability (uniform prior) of reaching
+the threshold falls under `miss`; what survives is confirmed on the full shingle sets. Buckets whose members then still lie in
+different components are compared across components, in blocks of bounded size, so that no link is lost to the pairing with
+one member: first by signatures alone, then texts are fetched for the rows of a block that the signatures leave in doubt.
+Components are found by contraction in Spark joins.
+
+A bucket or set that holds a large share of all rows meets in no task: counts of buckets, of a bucket's components and of sets
+are combined before the shuffle, and rows get them back by joins of two plain shuffles, which adaptive execution splits.
 
 Defined cases: null or empty text, or text without words, has no shingle and no link; fewer words than a shingle are one
 shingle; null ids stand alone (component null, kept); rows that share an id each follow their own text; repeated rows are
@@ -91,13 +95,34 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+class Overlaps:
+    """Intersection sizes of one of many sets with many others at a time."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        self.starts = np.r_[0, np.cumsum(self.sizes)]
+        distinct, self.at = np.unique(np.concatenate(sets), return_inverse=True) if sets else (np.zeros(0), np.zeros(0, np.int64))
+        self.marked = np.zeros(len(distinct), np.int32)
+
+    def similar(self, x: int, others: np.ndarray, percent: int) -> np.ndarray:
+        """Which of these sets (none empty) reach the similarity with set x."""
+        mine = self.at[self.starts[x] : self.starts[x + 1]]
+        self.marked[mine] = 1
+        sizes = self.sizes[others]
+        ends = np.cumsum(sizes)
+        places = np.arange(ends[-1]) + np.repeat(self.starts[others] - ends + sizes, sizes)
+        both = np.add.reduceat(self.marked[self.at[places]], ends - sizes)
+        self.marked[mine] = 0
+        return 100 * both >= percent * (sizes + self.sizes[x] - both)
+
+
 def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, set hash of two longs, signature, band hashes) of each document."""
+    """(id, version, n_shingles, set hash of two longs, signature, band hashes) of each document; version: a hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, at0 = b.column(0), 0
-            for lo, hi, words, offsets in hashed_texts(b.column(1), lower=True):
+            ids = b.column(0)
+            for lo, hi, words, offsets in hashed_texts(b.column(2), lower=True):
                 out: tuple[list, ...] = ([], [], [], [], [])
                 for i in range(hi - lo):
                     s = shingle_hashes(words[offsets[i] : offsets[i + 1]], k)
@@ -108,16 +133,16 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
                     out[3].append(None if sig is None else sig.tobytes())
                     out[4].append(None if sig is None else band_hashes(sig).tolist())
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids.slice(at0 + lo, hi - lo), *[pa.array(x, t) for x, t in zip(out, kinds, strict=True)]], names=["id", "n_shingles", "h1", "h2", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), *[pa.array(x, t) for x, t in zip(out, kinds, strict=True)]], names=["id", "version", "n_shingles", "h1", "h2", "sig", "bands"])
 
-    chosen = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return chosen.mapInArrow(tidied(run), "id bigint, n_shingles bigint, h1 bigint, h2 bigint, sig binary, bands array<bigint>")
+    return keyed(docs, id_col, text_col).mapInArrow(tidied(run), "id bigint, version bigint, n_shingles bigint, h1 bigint, h2 bigint, sig binary, bands array<bigint>")
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    """(id, text) of these ids only, written once; the ids are broadcast if they are few."""
-    ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-    return materialise(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(ids, "id", "left_semi"), name)
+def _texts_of(docs: DataFrame, nodes: DataFrame, heads: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """(node, text) of these sets only, written once; their rows are broadcast if they are few. heads: node, id, version."""
+    wanted = heads.join(nodes, "node", "left_semi")
+    wanted = F.broadcast(wanted) if nodes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else wanted
+    return materialise(keyed(docs, id_col, text_col).join(wanted, ["id", "version"]).select("node", "text").dropDuplicates(["node"]), name)
 
 
 def _sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -125,7 +150,7 @@ def _sets(texts: pa.Array, k: int) -> list[np.ndarray]:
 
 
 def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent: int, miss: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) that pass the Bayesian test and then the exact one."""
+    """The pairs (a, b) of sets that pass the Bayesian test and then the exact one. sigs: node, id, version, sig."""
     threshold = percent / 100
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,104 +159,133 @@ def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percen
                 sa, sb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(b.num_rows, -1) for c in (2, 3))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(survives(sa, sb, threshold, miss)))
 
-    joined = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
+    joined = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
     likely = materialise(joined.mapInArrow(tidied(prune), "a bigint, b bigint"), "likely-pairs")
-    texts = _texts_of(docs, likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), id_col, text_col, "pair-texts")
+    texts = _texts_of(docs, likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), sigs.select("node", "id", "version"), id_col, text_col, "pair-texts")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [similar(x, y, percent) for x, y in zip(_sets(b.column(2), k), _sets(b.column(3), k), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    with_texts = likely.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    with_texts = likely.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     return with_texts.mapInArrow(tidied(confirm), "a bigint, b bigint")
 
 
+def _doubtful(got: pa.Table, bucket: int, threshold: float, miss: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a block's left side: the rows of its right side that the signatures leave in doubt.
+
+    Rows of one component, pairs with the bucket's first set (compared before) and pairs that share an earlier band are left out.
+    """
+    node, comp = got.column("node").to_numpy(), got.column("comp").to_numpy()
+    side, pivot, major = got.column("side").to_numpy(), got.column("pivot")[0].as_py(), got.column("major")[0].as_py()
+    sig = np.frombuffer(b"".join(got.column("sig").to_pylist()), np.uint32).reshape(len(node), -1)
+    bands = np.array([band_hashes(s) for s in sig])
+    right = np.flatnonzero((side == 1) & (node != pivot))
+    for x in np.flatnonzero((side == 0) & (node != pivot)):
+        open_ = right[(comp[right] != comp[x]) & ((comp[right] == major) | (node[right] > node[x]))]
+        if len(open_):
+            same = bands[open_] == bands[x]
+            yield x, open_[(bands[x][same.argmax(1)] == bucket) & survives(sig[open_], sig[x][None], threshold, miss)]
+
+
 def _across(shared: DataFrame, comps: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent: int, miss: float, id_col: str, text_col: str) -> DataFrame:
     """Links across components within buckets of three or more: the members outside a bucket's largest component against all, block by block."""
-    placed = shared.where("n > 2").join(comps.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "pivot", F.coalesce("comp", "id").alias("comp"))
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    inside = placed.join(mixed, "bucket")
-    sizes = inside.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.sum("m").alias("n"), (F.sum("m") - F.max("m")).alias("out"))
-    members = materialise(inside.join(sizes, "bucket"), "mixed-buckets")
-    texts = _texts_of(docs, members.select("id").distinct(), id_col, text_col, "bucket-texts")
-    full = texts.join(sigs.select("id", "sig"), "id")
-    n_all, n_out = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("out") / BLOCK).cast("int")
-    spread = F.xxhash64("id", F.lit(8))
+    placed = shared.where("n > 2").join(comps, "node", "left").select("bucket", "node", "pivot", F.coalesce("comp", "node").alias("comp"))
+    parts = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
+    sizes = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.sum("m").alias("all"), (F.sum("m") - F.max("m")).alias("out")).where("out > 0")
+    members = materialise(placed.join(materialise(sizes, "mixed-buckets"), "bucket"), "mixed-members")
+    n_all, n_out = F.ceil(F.col("all") / BLOCK).cast("int"), F.ceil(F.col("out") / BLOCK).cast("int")
+    spread = F.xxhash64("node", F.lit(8))
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = members.where("comp <> major").withColumn("i", F.pmod(spread, n_out).cast("int")).withColumn("j", upto(n_all)).withColumn("side", F.lit(0))
     right = members.withColumn("j", F.pmod(spread, n_all).cast("int")).withColumn("i", upto(n_out)).withColumn("side", F.lit(1))
-    columns = ["bucket", "i", "j", "side", "id", "pivot", "comp", "major"]
-    rows = left.select(columns).union(right.select(columns)).join(full, "id").select(*columns, "sig", "text")
+    columns = ["bucket", "i", "j", "side", "node", "pivot", "comp", "major"]
+    signed = left.select(columns).union(right.select(columns)).join(sigs.select("node", "sig"), "node").select(*columns, "sig")
     threshold = percent / 100
 
-    def compare(key: tuple, got: pa.Table) -> pa.Table:
-        side = got.column("side").to_numpy()
-        ids, comp = got.column("id").to_numpy(), got.column("comp").to_numpy()
-        bucket, pivot, major = key[0].as_py(), got.column("pivot")[0].as_py(), got.column("major")[0].as_py()
-        sig = np.frombuffer(b"".join(got.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
-        bands = np.array([band_hashes(s) for s in sig])
-        text = got.column("text")
-        sets: dict[int, np.ndarray] = {}
-
-        def full_set(x: int) -> np.ndarray:
-            if x not in sets:
-                sets[x] = _sets(pa.array([text[x].as_py()], pa.string()), k)[0]
-            return sets[x]
+    def doubtful(key: tuple, got: pa.Table) -> pa.Table:
+        at: set[int] = set()
+        for x, others in _doubtful(got, key[0].as_py(), threshold, miss):
+            if len(others):
+                at.add(int(x))
+                at.update(others.tolist())
+        return got.take(pa.array(sorted(at), pa.int64()))
+
+    kinds = "bucket bigint, i int, j int, side int, node bigint, pivot bigint, comp bigint, major bigint, sig binary"
+    rows = materialise(signed.groupBy("bucket", "i", "j").applyInArrow(doubtful, kinds), "doubtful-rows")
+    texts = _texts_of(docs, rows.select("node").distinct(), sigs.select("node", "id", "version"), id_col, text_col, "bucket-texts")
 
+    def compare(key: tuple, got: pa.Table) -> pa.Table:
+        node, comp = got.column("node").to_numpy(), got.column("comp").to_numpy()
+        overlaps = Overlaps(_sets(got.column("text"), k))
         links: tuple[list[int], list[int]] = ([], [])
-        right_rows = np.flatnonzero(side == 1)
-        for x in np.flatnonzero(side == 0):
-            open_ = right_rows[(comp[right_rows] != comp[x]) & (ids[right_rows] != pivot) & ((comp[right_rows] == major) | (ids[right_rows] > ids[x]))]
-            if ids[x] == pivot or not len(open_):
-                continue
-            same = bands[open_] == bands[x]
-            first = bands[x][same.argmax(1)]
-            open_ = open_[(first == bucket) & survives(sig[open_], sig[x][None], threshold, miss)]
-            order = np.argsort(-(sig[open_] == sig[x]).sum(1), kind="stable")
-            done: set[int] = set()
-            for y in open_[order]:
-                if comp[y] not in done and similar(full_set(x), full_set(y), percent):
-                    done.add(comp[y])
-                    links[0].append(int(ids[x]))
-                    links[1].append(int(ids[y]))
+        for x, others in _doubtful(got, key[0].as_py(), threshold, miss):
+            if len(others):
+                linked = others[overlaps.similar(x, others, percent)]
+                for y in linked[np.unique(comp[linked], return_index=True)[1]].tolist():  # one link a component
+                    links[0].append(int(node[x]))
+                    links[1].append(int(node[y]))
         return pa.table({"a": pa.array(links[0], pa.int64()), "b": pa.array(links[1], pa.int64())})
 
-    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    return rows.join(texts, "node").groupBy("bucket", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept), one row for each row of `docs`."""
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, version, text); version tells the texts of one id apart."""
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.xxhash64(text).alias("version"), text.alias("text"))
+
+
+def judged(docs: DataFrame, k: int, percent: int, miss: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, version, n_shingles, component_id, comp), one row for each row of `docs`; comp numbers the component, null without shingles or id."""
     small_batches(docs.sparkSession)
     signed = materialise(signatures(docs, k, id_col, text_col), "signatures")
-    sets = signed.where("n_shingles > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("rep"))
-    sets = materialise(sets, "shingle-sets")
-    sigs = signed.where("n_shingles > 0").join(sets.select(F.col("rep").alias("id"), "h1", "h2", "n_shingles"), ["id", "h1", "h2", "n_shingles"], "left_semi").dropDuplicates(["id", "h1", "h2"])
-    sigs = materialise(sigs.select("id", "sig", "bands"), "set-signatures")
-    banded = sigs.select("id", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = signed.where("n_shingles > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct("id", "version")).alias("head"))
+    sets = materialise(found.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "n_shingles", "head.id", "head.version"), "shingle-sets")
+    same = ["id", "version", "h1", "h2", "n_shingles"]
+    sigs = signed.join(sets, same).select("node", "id", "version", "sig", "bands").dropDuplicates(["node"])
+    sigs = materialise(sigs, "set-signatures")
+    banded = sigs.select("node", F.explode("bands").alias("bucket"))
+    buckets = materialise(banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     shared = materialise(banded.join(buckets, "bucket"), "shared-buckets")
-    pairs = shared.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     links = materialise(_verified(pairs, sigs, docs, k, percent, miss, id_col, text_col), "verified-links")
     comps = components(links)
     more = materialise(_across(shared, comps, sigs, docs, k, percent, miss, id_col, text_col), "verified-links")
     if not more.isEmpty():
         comps = components(links.union(more))
-    reps = sets.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
-    joined = signed.select("id", "n_shingles", "h1", "h2").join(reps, ["h1", "h2", "n_shingles"], "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
-    return joined.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    least = comps.join(sets.select("node", "id"), "node").groupBy("comp").agg(F.min("id").alias("least"))
+    names = comps.join(materialise(least, "component-ids"), "comp").select("node", "comp", "least")
+    reps = sets.join(names, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("comp", "node").alias("comp"), F.coalesce("least", "id").alias("least"))
+    joined = signed.select(*same).join(reps, ["h1", "h2", "n_shingles"], "left")
+    has = F.col("id").isNotNull()
+    return joined.select("id", "version", "n_shingles", F.when(has, F.coalesce("least", "id")).alias("component_id"), F.when(has, F.col("comp")).alias("comp"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, kept), one row for each row of `docs`."""
+    found = judged(docs, k, percent, miss, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near copies of another kept one; rows repeated with id and text stay once."""
-    ids = F.col(f"`{id_col}`")
-    gone = materialise(near_duplicates(docs, k, percent, id_col=id_col, text_col=text_col).where("NOT kept").select(ids.alias("__gone")).distinct(), "near-copies")
+    """The documents without near copies of another kept one; rows repeated with id and text stay once.
+
+    Of a component that holds several texts of its smallest id, one of them stays. A row is dropped by id and text, so another text of the
+    same id stays if its own component says so.
+    """
+    found = materialise(judged(docs, k, percent, MISS, id_col, text_col), "near-copies")
+    gone = found.where("id <> component_id").select("id", "version")
+    # Texts of one id that share a component, beyond the first.
+    kept = found.where("id = component_id AND comp IS NOT NULL").groupBy("comp", "id").agg(F.min("version").alias("least"), F.max("version").alias("most")).where("least < most")
+    also = found.join(kept, ["comp", "id"]).where("version > least").select("id", "version")
+    gone = materialise(gone.union(also).distinct().select(F.col("id").alias("__id"), F.col("version").alias("__version")), "gone-copies")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    left = docs.join(gone, ids == F.col("__gone"), "left_anti")
-    again = docs.groupBy(ids.alias("__id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id")
+    ids, version = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    left = docs.join(gone, (ids.cast("bigint") == F.col("__id")) & (version == F.col("__version")), "left_anti")
+    again = found.groupBy("id", "version").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("__id"), F.col("version").alias("__version"))
     if again.isEmpty():
         return left
-    once = left.join(again, ids.eqNullSafe(F.col("__id")), "left_anti")
-    repeated = left.join(again, ids.eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col, text_col])
-    return once.unionByName(repeated)
+    repeats = ids.cast("bigint").eqNullSafe(F.col("__id")) & (version == F.col("__version"))
+    return left.join(again, repeats, "left_anti").unionByName(left.join(again, repeats, "left_semi").dropDuplicates([id_col, text_col]))

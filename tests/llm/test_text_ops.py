@@ -93,21 +93,41 @@ def test_near_duplicates_match_brute_force(spark, k):
 
 
 def test_links_across_components_of_a_bucket_are_found(spark, monkeypatch):
-    """With one wide-open band every document shares a bucket, so all links but those to its first member come from the second round."""
+    """Without any component, all links of a bucket but those to its first set come from the second round."""
     monkeypatch.setattr(neardup, "BLOCK", 4)
     rows = near_copies(9)
     docs = spark.createDataFrame(corpus(rows), DOCS)
     signed = store.materialise(neardup.signatures(docs, 2, "doc_id", "text").where("n_shingles > 0"), "signed")
-    sets = signed.dropDuplicates(["h1", "h2"]).select("id", "sig", "bands")
-    shared = sets.select(F.explode("bands").alias("bucket"), "id")
-    n = shared.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n"))
+    sets = signed.dropDuplicates(["h1", "h2"]).select(F.col("id").alias("node"), "id", "version", "sig", "bands")
+    shared = sets.select(F.explode("bands").alias("bucket"), "node")
+    n = shared.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n"))
     nothing = spark.createDataFrame([], "node long, comp long")
     found = {(min(r), max(r)) for r in neardup._across(shared.join(n, "bucket"), nothing, sets, docs, 2, 80, 1e-6, "doc_id", "text").collect()}
-    full = {r["id"] for r in sets.collect()}
+    full = {r["node"] for r in sets.collect()}
     want = components_by_hand([x for x in rows if x[0] in full], 2, 80)
     assert found and all(want[a] == want[b] for a, b in found)
 
 
+def test_overlaps_are_those_of_sets():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 40))).astype(np.uint64) for _ in range(30)]
+    overlaps = neardup.Overlaps(sets)
+    for x in range(30):
+        others = rng.permutation(30)[:11]
+        assert overlaps.similar(x, others, 40).tolist() == [neardup.similar(sets[x], sets[y], 40) for y in others]
+
+
+def test_rows_that_share_an_id_follow_their_own_text(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(1, one), (2, one + " x"), (2, two), (3, two + " y"), (4, two + " y")]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(corpus(rows), DOCS)).collect())
+    assert got == [(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (4, 2, False)]
+    kept = neardup.keep_one_of_each(spark.createDataFrame(corpus([*rows, (2, two), (5, None), (5, None), (6, ""), (7, one.upper()), (7, two.upper())]), DOCS))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["text"]) == [(1, one), (2, two)]
+    same = neardup.keep_one_of_each(spark.createDataFrame(corpus([(1, one), (1, one.upper()), (1, "else")]), DOCS)).collect()
+    assert sorted(r["text"].lower() for r in same) == sorted([one, "else"])
+
+
 def test_near_duplicates_of_odd_tables(spark):
     empty = spark.createDataFrame([], DOCS)
     assert neardup.near_duplicates(empty).collect() == []
