@@ -106,7 +106,6 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    # Up to ann.LEAST vectors the search visits every cell.
     "op10_nearest_neighbours": """
         WITH v AS (
             SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS norm FROM embeddings

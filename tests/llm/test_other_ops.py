@@ -163,11 +163,37 @@ def test_multi_sequence_walk_is_in_order():
     a, b, counts = rng.random(5), rng.random(4), rng.integers(0, 9, (5, 4))
     total = (a[:, None] + b[None]).ravel()
     order = np.argsort(total)
-    for target in (0, 1, 20, 60, counts.sum()):
-        met = ann.visited_cells(a, b, counts, target)
-        n = int(met.sum())
-        assert set(np.flatnonzero(met.ravel())) == set(order[:n])
-        assert counts[met].sum() >= min(target, counts.sum()) and (n == 0 or counts.ravel()[order[: n - 1]].sum() < target)
+    for target in (1, 20, 60, counts.sum()):
+        at = ann.walk(a, b, counts, target)
+        held = np.cumsum(counts.ravel()[order])
+        n = int(np.searchsorted(held, target)) + 1
+        assert at == total[order[n - 1]]
+
+
+def test_lists_are_packed_in_blocks():
+    counts = np.array([3, 4, 0, 9, 2, 25, 1])
+    block, parts = ann.packed(counts, 10)
+    assert (np.diff(block) >= 0).all() and len(parts) == block[-1] + 1
+    for b in range(len(parts)):
+        held = counts[block == b].sum()
+        assert parts[b] == max(1, -(-held // 10)) and ((block == b).sum() == 1 or held <= 10)
+
+
+def test_cell_bounds_exclude_no_entry():
+    rng = np.random.default_rng(2)
+    x = ann._unit(rng.normal(size=(300, 6)))
+    index = ann.Index(3, ann.kmeans(x[:, :3], 5), ann.kmeans(x[:, 3:], 5))
+    to = index.halves(x)
+    at = [t.argmin(1) for t in to]
+    for side in (0, 1):
+        for c in range(5):
+            mine = np.sqrt(to[side].min(1))[at[side] == c]
+            index.near[side][c], index.far[side][c] = mine.min(), mine.max()
+    q = ann._unit(rng.normal(size=(40, 6)))
+    low = index.bounds(index.halves(q))
+    real = ((q[:, None] - x[None]) ** 2).sum(2)
+    bound = low[0][:, at[0]] + low[1][:, at[1]]
+    assert (bound <= real + 1e-12).all() and bound.max() > 0.1
 
 
 def nearest_by_hand(rows, k=5):
@@ -191,13 +217,47 @@ def test_search_is_exact_on_small_tables(spark):
     assert ann.search(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
-def test_search_recall_beyond_the_exact_size(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK_ROWS", 200)
-    df = queries.table(spark, "/root/testdata/sf0.1", "embeddings")
-    got = {(r["query_id"], r["vec_id"]) for r in ann.search(df, F.col("vec_id") % 50 == 0, least=100).collect()}
-    rows = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in df.collect()]
-    want = {(q, i) for q, _, i, _ in nearest_by_hand(rows)}
-    assert len(got & want) / len(want) >= 0.9
+@pytest.mark.parametrize("rows,queries_at_once", [(4096, 4096), (60, 7)])
+def test_search_is_exact_whatever_the_blocks(spark, monkeypatch, rows, queries_at_once):
+    """Clustered vectors, one vector repeated very often, and rows repeated with their id."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", queries_at_once)
+    rng = random.Random(5)
+    centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    table = [(i, [c + rng.gauss(0, 0.1) for c in rng.choice(centres)]) for i in range(900)] + [(5000 + i, centres[0]) for i in range(200)] + [(50, centres[1])] * 3
+    df = spark.createDataFrame(table, "vec_id long, embedding array<float>").repartition(5)
+    exact = [(r["vec_id"], list(r["embedding"])) for r in df.dropDuplicates().collect()]
+    got = sorted(tuple(r)[:3] for r in ann.search(df, F.col("vec_id") % 50 == 0).collect() if r["query_id"] != 50)
+    assert got == [r[:3] for r in nearest_by_hand(exact) if r[0] != 50]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_search_recall(spark, sf):
+    """Unstructured vectors of two sizes: the table's own."""
+    df = queries.table(spark, f"/root/testdata/{sf}", "embeddings")
+    got = {(r["query_id"], r["vec_id"]) for r in ann.search(df, F.col("vec_id") % 50 == 0).collect()}
+    want = {(q, i) for q, _, i, _ in nearest_by_hand([(r["vec_id"], [float(x) for x in r["embedding"]]) for r in df.collect()])}
+    assert got == want
+
+
+def test_structured_vectors_leave_few_cells():
+    rng = np.random.default_rng(6)
+    shares = []
+    for n in (2000, 20000):
+        x = ann._unit(rng.normal(size=(40, 32))[rng.integers(0, 40, n)] + rng.normal(size=(n, 32)) * 0.05)
+        k = int(np.sqrt(n) / 2)
+        index = ann.Index(16, ann.kmeans(x[:4000, :16], k), ann.kmeans(x[:4000, 16:], k))
+        to = index.halves(x)
+        i, j = (t.argmin(1) for t in to)
+        np.add.at(index.counts, (i, j), 1)
+        for side, at in enumerate((i, j)):
+            np.minimum.at(index.near[side], at, np.sqrt(to[side].min(1)))
+            np.maximum.at(index.far[side], at, np.sqrt(to[side].min(1)))
+        q = x[:50]
+        fifth = np.sort(2 - 2 * q @ x.T, 1)[:, 5]
+        first, second = index.bounds([t[:50] for t in to])
+        shares.append(float((first[:, i] + second[:, j] <= fifth[:, None]).mean()))
+    assert max(shares) < 0.1
 
 
 def test_pipeline(spark):
