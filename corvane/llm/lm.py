@@ -78,9 +78,11 @@ class Lattice:
         hashes = np.array([_hash_text(self.texts[i]) for i in plain], np.uint64)
         order = np.argsort(hashes)
         self.keys, self.ids = hashes[order], np.array(plain, np.int64)[order]
-        # Most runs of characters are no piece; the leading bits of their hashes tell so for nearly all of them.
-        self.maybe = np.zeros(1 << LEADING_BITS, bool)
-        self.maybe[self.keys >> np.uint64(64 - LEADING_BITS)] = True
+        # The leading bits of a hash tell where its keys begin; most runs of characters are no piece and have none.
+        lead, at, run = np.unique(self.keys >> np.uint64(64 - LEADING_BITS), return_index=True, return_counts=True)
+        self.begins = np.full(1 << LEADING_BITS, -1, np.int32)
+        self.begins[lead] = at
+        self.deepest = int(run.max()) if len(run) else 0
         self.set_weights(weight, weight.sum() / 4)
 
     def set_weights(self, weight: np.ndarray, end: float) -> None:
@@ -101,21 +103,24 @@ class Lattice:
             here = []
             for i in range(max(0, j - self.longest), j):
                 h = mix((sums[j] - sums[i]) * back[i])
-                rows = np.flatnonzero(self.maybe[h >> np.uint64(64 - LEADING_BITS)])
+                begins = self.begins.take((h >> np.uint64(64 - LEADING_BITS)).view(np.int64))
+                rows = np.flatnonzero(begins >= 0)
                 if not len(rows):
                     continue
-                at = np.minimum(np.searchsorted(self.keys, h[rows]), len(self.keys) - 1)
-                piece = self.keys[at] == h[rows]
+                at, h = begins[rows], h[rows]
+                for _ in range(self.deepest - 1):
+                    at = np.where(self.keys.take(at) < h, np.minimum(at + 1, len(self.keys) - 1), at)
+                piece = self.keys.take(at) == h
                 if piece.any():
-                    here.append((i, rows[piece], self.ids[at[piece]]))
+                    here.append((i, rows[piece], self.ids.take(at[piece])))
             out.append(here)
         return out
 
-    def _fallback(self, codes: np.ndarray) -> tuple[np.ndarray, dict[int, list[int]]]:
-        """Log probability of each character by its byte pieces, and the pieces of each distinct character."""
+    def _fallback(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+        """Log probability of each character by its byte pieces; the number of each character, and the pieces of each number."""
         distinct, at = np.unique(codes, return_inverse=True)
-        parts = {int(c): [int(self.bytes[b]) for b in chr(c).encode("utf-8", "replace")] for c in distinct}
-        return np.array([sum(self.log_p[x] for x in parts[int(c)]) for c in distinct])[at].reshape(codes.shape), parts
+        parts = [[int(self.bytes[b]) for b in chr(c).encode("utf-8", "replace")] for c in distinct.tolist()]
+        return np.array([sum(self.log_p[x] for x in xs) for xs in parts])[at].reshape(codes.shape), at.reshape(codes.shape), parts
 
     def _forward(self, codes: np.ndarray, edges: list, spelled: np.ndarray) -> np.ndarray:
         n, length = codes.shape
@@ -131,7 +136,7 @@ class Lattice:
         """Natural log of each word's marginal probability: all its segmentations, and the word end."""
         out = np.zeros(len(words))
         for rows, codes in _by_length(words):
-            spelled, _ = self._fallback(codes)
+            spelled, _, _ = self._fallback(codes)
             out[rows] = self._forward(codes, self._edges(codes), spelled)[-1] + self.log_end
         return out
 
@@ -139,32 +144,31 @@ class Lattice:
         """Expected uses of each piece in all segmentations of the words, times their counts."""
         out = np.zeros(len(self.texts))
         for rows, codes in _by_length(words):
-            spelled, parts = self._fallback(codes)
+            spelled, at, parts = self._fallback(codes)
             edges = self._edges(codes)
             alpha = self._forward(codes, edges, spelled)
             beta = np.full_like(alpha, -np.inf)
             length = codes.shape[1]
-            beta[length] = 0
-            weight = counts[rows]
+            beta[length] = np.log(counts[rows]) - alpha[length]
+            used, uses = [], []
+            by_char = np.zeros(len(parts))
             for j in range(length, 0, -1):
                 by_bytes = beta[j] + spelled[:, j - 1]
                 beta[j - 1] = np.logaddexp(beta[j - 1], by_bytes)
-                share = np.exp(alpha[j - 1] + by_bytes - alpha[length]) * weight
-                for c, total in zip(*_sums(codes[:, j - 1], share), strict=True):
-                    for x in parts[int(c)]:
-                        out[x] += total
+                by_char += np.bincount(at[:, j - 1], np.exp(alpha[j - 1] + by_bytes), len(parts))
                 for i, r, piece in edges[j - 1]:
                     through = beta[j, r] + self.log_p[piece]
-                    out += np.bincount(piece, np.exp(alpha[i, r] + through - alpha[length, r]) * weight[r], len(out))
+                    used.append(piece)
+                    uses.append(np.exp(alpha[i, r] + through))
                     beta[i, r] = np.logaddexp(beta[i, r], through)
+            if used:
+                out += np.bincount(np.concatenate(used), np.concatenate(uses), len(out))
+            for xs, n in zip(parts, by_char.tolist(), strict=True):
+                for x in xs:
+                    out[x] += n
         return out
 
 
-def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, at = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(at, values)
-
-
 def _byte_of(piece: str) -> int | None:
     return int(piece[3:5], 16) if len(piece) == 6 and piece.startswith("<0x") and piece.endswith(">") else None
 
