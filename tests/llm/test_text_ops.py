@@ -287,6 +287,41 @@ def test_phrase_counts_match_greedy_parsing():
         assert got[k].tolist() == [phrases_by_hand(sample[lang][0], t) for t in texts]
 
 
+def test_many_languages_of_many_letters():
+    """100 languages of 3000 letters each: a table of bounded size, and phrase counts as by hand."""
+    rng = random.Random(8)
+    pool = [chr(c) for c in range(0x4E00, 0x4E00 + 9000)]
+    sample = {f"l{i}": ["".join(rng.sample(pool, 3000))] for i in range(100)}
+    model = langid.fit(sample)
+    assert model.nbytes < 100 << 20 and len(model.languages) == 100
+    texts = [sample["l3"][0][50:90], sample["l99"][0][7:50] + sample["l4"][0][:9], "".join(rng.sample(pool, 30)), "Xyz é"]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    ends = np.cumsum([len(t) for t in texts])
+    got = langid.phrases(model, langid.char_classes(model), codes, ends - [len(t) for t in texts], ends)
+    for k in (0, 3, 4, 42, 99):
+        name = model.languages[k]
+        assert got[k].tolist() == [phrases_by_hand(sample[name][0], t) for t in texts]
+
+
+def test_predictions_match_a_parser_by_hand(spark):
+    """The whole result: language, and score from the two least normalised phrase counts."""
+    rng = random.Random(12)
+    samples = {"aa": ["".join(rng.choices("abc ", k=300)), "cab"], "bb": ["".join(rng.choices("bcd ", k=5000))], "cc": ["".join(rng.choices("ef", k=40))]}
+    texts = ["".join(rng.choices(rng.choice(["abc", "bcd", "abcd", "ef", "abcdef"]), k=rng.randint(1, 60))) for _ in range(60)]
+    squeezed = {k: re.sub(" +", " ", " ".join(v)) for k, v in samples.items()}
+    got = langid.identify_languages(spark.createDataFrame(corpus(list(enumerate(texts))), DOCS), langid.fit(samples)).collect()
+    for r in got:
+        costs = sorted((phrases_by_hand(squeezed[k], texts[r["doc_id"]]) * math.log2(max(len(" ".join(samples[k])), langid.LEAST_SAMPLE)), k) for k in samples)
+        assert r["lang_pred"] == costs[0][1] and math.isclose(r["score"], 1 - costs[0][0] / costs[1][0], abs_tol=1e-12)
+
+
+def test_held_out_accuracy(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang", F.length("text").alias("n"))
+    got = queries.op9_language_id(spark, "/root/testdata/sf0.01").where("held_out").join(docs, "doc_id").where("n >= 50")
+    right, every = got.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count(F.lit(1))).first()
+    assert every > 150 and right / every > 0.95
+
+
 def test_language_id_on_odd_rows(spark):
     rng = random.Random(7)
     say = lambda syllables: " ".join("".join(rng.choices(syllables, k=3)) for _ in range(20))
@@ -310,6 +345,10 @@ def test_language_sample_is_whole_for_many_copies(spark):
     got = langid.sample_labelled(labelled)
     assert got == {k: [t for _, t in v[: langid.SAMPLE_ROWS]] for k, v in hashes.items()}
     assert {k: len(v) for k, v in got.items()} == {"xx": 20, "yy": 64, "zz": 1}
+    # Whole texts, as many as the characters allow; a longer one only where there is no other.
+    long = spark.createDataFrame([("a" * 900, "xx"), ("b" * 40, "xx"), ("c" * 50, "xx"), ("d" * 60, "xx"), ("e" * 700, "yy"), ("f" * 600, "yy")], "text string, lang string")
+    some = langid.sample_labelled(long, chars=100)
+    assert some["yy"] == ["f" * 600] and "a" * 900 not in some["xx"] and 0 < sum(map(len, some["xx"])) <= 100
 
 
 @pytest.fixture(scope="module")
