@@ -1,21 +1,26 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
 A page is cut into blocks of text at block-level tags. A linear classifier over container names, class names, tag, length,
-link share and punctuation gives each block a cost of being content and a cost of being boilerplate: the capacities from
-the source and to the sink. Blocks that follow each other, and blocks that follow each other under the same parent, are
-joined by edges whose capacity grows with the share of the DOM path they have in common. The minimum cut, found by maximum
-flow (shortest augmenting paths), separates content from boilerplate.
+link share, punctuation, cue words and the share of the page's text that lies in the same container gives each block a cost of
+being content and a cost of being boilerplate: the capacities from the source and to the sink. Blocks that follow each other,
+and blocks that follow each other under the same parent, are joined by edges whose capacity falls with every container that
+opens or closes between them, most of all at tags such as `nav`, `article` or `form`. No capacity is out of the edges' reach:
+a sentence between the marks of a comment goes with them, a short line between paragraphs stays with them.
 
-A cue such as `cookies` or `log in` counts in a short block only with other evidence: half of it linked, a boilerplate name, or a
-place outside the long blocks; there, a heading or a sibling of a long block is still content, except for legal lines. A
-block without links, boilerplate name or cue has no cost of being content. Mathematics is text, without its annotations.
+The minimum cut, found by maximum flow, separates content from boilerplate. Edges between neighbours in page order and among
+siblings never cross, so nearly every network is reduced exactly in linear time: a block with two open neighbours at most passes
+its excess on to them, and leaves between them an edge of the capacity that is left through it. What cannot be reduced goes
+by shortest augmenting paths.
+
+A cue such as `cookies` or `log in` counts in short blocks outside an article. A block without links, boilerplate name or cue
+has no cost of being content. Mathematics is text, without its annotations.
 
 What is never text (scripts, styles, templates, form controls, the head) makes no block. White space inside a block, and
 a line break, is one space; character references are decoded; blocks are joined by a blank line in page order.
 
 Defined cases: null or empty html gives an empty text; text outside any tag is a block of its own; unclosed tags end with
-their parents; equal costs go to content if the block's costs are equal, so nothing is dropped without evidence; repeated
-rows give repeated rows; other columns are not carried.
+their parents; equal cuts go to content, so nothing is dropped without evidence; repeated rows give repeated rows; other
+columns are not carried. The work is linear in the page, however long or deep it is.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from .store import small_batches, tidied
 
 # HTML element names by role.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
-DROPPED = {"head", "template", "svg", "canvas", "object", "select", "option", "button", "datalist", "audio", "video", "map", "dialog"} | RAW
+DROPPED = {"head", "template", "svg", "canvas", "select", "option", "button", "datalist", "audio", "video"} | RAW
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 MATH_TOKENS = {"mi", "mn", "mo", "ms", "mtext"}
@@ -43,9 +48,11 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "table", "ul"}
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "menu", "dl", "table", "article", "section", "div", "main", "body"}
-BOILER_TAGS = {"nav", "footer", "aside", "form", "menu", "fieldset", "search"}
-CONTENT_TAGS = {"article": 2.5, "main": 1.5}
-TEXT_TAGS = {"p": 1.0, "h1": 1.0, "h2": 0.8, "h3": 0.6, "h4": 0.4, "h5": 0.4, "h6": 0.4, "blockquote": 0.8, "pre": 0.8, "figcaption": 0.3, "li": 0.0, "td": 0.0, "tr": 0.0, "dd": 0.2, "dt": 0.2}
+BOILER_TAGS = {"nav", "footer", "aside", "form", "menu", "fieldset", "search", "dialog"}
+CONTENT_TAGS = {"article": 1.5, "main": 0.75}
+TEXT_TAGS = {"p": 0.4, "h1": 0.4, "h2": 0.3, "h3": 0.25, "h4": 0.15, "h5": 0.15, "h6": 0.15, "blockquote": 0.3, "pre": 0.3, "figcaption": 0.1, "dd": 0.1, "dt": 0.1}
+BOUNDARIES = BOILER_TAGS | {"header", "article", "main", "section"}
+LISTS = {"ul", "ol", "dl", "table", "thead", "tbody", "tfoot", "tr", "blockquote", "figure", "hgroup", "center"}
 BOILER_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense adslot adbox adunit adcontainer banner sponsor sponsored promo promotion sidebar aside menu nav navbar navigation navi breadcrumb breadcrumbs pagination pager footer foot header masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets comment comments disqus replies reply respond copyright legal disclaimer skip toc tags taglist".split())
 CONTENT_NAMES = frozenset("article content post entry story body text main prose maintext articlebody postbody".split())
 ROLE_NAMES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
@@ -57,11 +64,15 @@ HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NEUTRAL_WORD = re.compile(r"(?:has|with|without|no)-", re.I)
 LEGAL = re.compile(r"©|\(c\) ?\d{4}|all rights reserved|privacy policy|terms of (?:use|service)", re.I)
 CUES = re.compile(LEGAL.pattern + r"|\bcookies?\b|\bsubscribe\b|\bnewsletter\b|\bsign (?:up|in)\b|\blog ?in\b|\badvertisement\b|\bsponsored\b|share this|leave a (?:reply|comment)|read more|related (?:posts|articles)", re.I)
+READERS = re.compile(r"\b\d+ (?:seconds?|minutes?|hours?|days?|weeks?|months?|years?) ago\b|^\d+ (?:comments?|replies|responses)\b|^(?:reply|report|permalink|comments)\b|\b(?:says|wrote|commented):?$", re.I)
 LONG = 200
-SMOOTHNESS, CERTAIN = 0.5, 1e6
+#: Evidence of boilerplate: tags and roles, and names.
+BY_TAG, BY_NAME = 5.0, 2.5
+#: Capacity between neighbours in one container, and what is left of it past a list, any other container, a named one and a boundary tag.
+SMOOTHNESS, PAST_LIST, PAST_OTHER, PAST_NAMED, PAST_BOUNDARY = 1.2, 0.7, 0.5, 0.25, 0.1
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     tag: str
     parent: Node | None
@@ -70,9 +81,10 @@ class Node:
     boiler: float = 0.0
     content: float = 0.0
     has_article: bool = False
+    named: bool = False
 
 
-@dataclass
+@dataclass(eq=False)
 class Block:
     node: Node
     parts: list[str] = field(default_factory=list)
@@ -88,17 +100,17 @@ def attribute_evidence(attributes: str, inside: bool = False) -> tuple[bool, flo
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and HIDDEN_STYLE.search(value)):
             hidden = True
         elif name == "role":
-            boiler = max(boiler, CERTAIN if value in ROLE_NAMES else 0.0)
-            content = max(content, 2.0 if value in ("main", "article") else 0.0)
+            boiler = max(boiler, BY_TAG if value in ROLE_NAMES else 0.0)
+            content = max(content, 1.0 if value in ("main", "article") else 0.0)
         elif name in ("class", "id"):
             for word in value.split():
                 if NEUTRAL_WORD.match(word):
                     continue
                 parts = NAME_PART.findall(word)
                 if any(p in BOILER_NAMES and not (inside and p == "header") for p in parts):
-                    boiler = max(boiler, 6.0)
+                    boiler = max(boiler, BY_NAME)
                 if any(p in CONTENT_NAMES for p in parts) or "".join(parts) in CONTENT_NAMES:
-                    content = max(content, 1.5)
+                    content = max(content, 0.75)
     return hidden, boiler, content
 
 
@@ -201,8 +213,9 @@ def blocks_of(page: str) -> list[Block]:
         hidden, boiler, content = attribute_evidence(m[3], node.has_article or node.content > 0) if m[3] and tag not in ("html", "body") else (False, 0.0, 0.0)
         child = Node(tag, node, node.depth + 1, node.drop or hidden or tag in DROPPED)
         child.has_article = node.has_article or tag in ("article", "main")
-        own = CERTAIN if tag in BOILER_TAGS or (tag == "header" and not node.has_article) else boiler
+        own = BY_TAG if tag in BOILER_TAGS or (tag == "header" and not node.has_article) else boiler
         child.boiler = max(node.boiler, own)
+        child.named = own > 0 or content > 0
         child.content = max(node.content, CONTENT_TAGS.get(tag, 0.0), content)
         node = child
     flush()
@@ -213,51 +226,67 @@ def link_share(block: Block) -> float:
     return block.linked / max(1, sum(map(len, block.parts)))
 
 
-def at_edges(blocks: list[Block]) -> list[bool]:
-    """Whether the place of each block is evidence against it: before the first or after the last long block, and no heading or, without a legal line, sibling of a long block."""
-    long = [i for i, b in enumerate(blocks) if len(b.text) >= LONG and link_share(b) < 0.5]
-    first, last = (long[0], long[-1]) if long else (len(blocks), -1)
-    beside = {id(blocks[i].node.parent) for i in long}
-    return [not first <= i <= last and b.node.tag not in HEADINGS and (bool(long) and id(b.node.parent) not in beside or LEGAL.search(b.text) is not None) for i, b in enumerate(blocks)]
+def container(block: Block) -> Node:
+    """The nearest element around a block's own that is no list or table."""
+    n = block.node.parent or block.node
+    while n.tag in LISTS and n.parent is not None:
+        n = n.parent
+    return n
+
 
+def shares(blocks: list[Block]) -> list[float]:
+    """For each block, the unlinked text of its container over that of the container with most, boilerplate tags and names aside."""
+    inside = [id(container(b)) for b in blocks]
+    mass: dict[int, float] = {}
+    for b, c in zip(blocks, inside, strict=True):
+        if not b.node.boiler:
+            mass[c] = mass.get(c, 0.0) + len(b.text) * (1 - link_share(b))
+    most = max(mass.values(), default=0.0)
+    return [mass.get(c, 0.0) / most if most else 0.0 for c in inside]
 
-def costs(block: Block, at_edge: bool) -> float:
+
+def costs(block: Block, share: float) -> float:
     """Log odds of content over boilerplate."""
-    n, linked = len(block.text), link_share(block)
-    cue = n < LONG and not block.node.has_article and (linked >= 0.5 or block.node.boiler > 0 or at_edge) and CUES.search(block.text) is not None
-    score = block.node.content - block.node.boiler + TEXT_TAGS.get(block.node.tag, 0.0)
-    score += min(n, 400) / 100 - 4.0 * linked
+    n, linked, text = len(block.text), link_share(block), block.text
+    score = block.node.content - block.node.boiler + TEXT_TAGS.get(block.node.tag, 0.0) + share
+    score += min(n, 400) / 400 - 3.0 * linked
+    cue = 0.0
+    if n < LONG and not block.node.has_article:
+        # Beside the main text such a word is one like others, unless it is a link.
+        cue = 3.0 if LEGAL.search(text) else 2.0 if READERS.search(text) else 1.5 * (1.0 if linked >= 0.5 or block.node.boiler else 1 - share) if CUES.search(text) else 0.0
     if linked or block.node.boiler or cue:
-        score -= 0.2
-    if cue:
-        score -= 2.5
-    score += 0.5 if block.text[-1] in ".!?…:;\"'”»" else 0.0
-    return score
-
-
-def likeness(a: Node, b: Node) -> float:
-    """The share of the DOM path that two elements have in common."""
-    depth = max(a.depth, b.depth, 1)
-    while a.depth > b.depth:
-        a = a.parent
-    while b.depth > a.depth:
-        b = b.parent
-    while a is not b:
-        a, b = a.parent, b.parent
-    return a.depth / depth
+        score -= 0.2 + cue
+    return score + (0.3 if text[-1] in ".!?…:;\"'”»" else 0.0)
 
 
-def minimum_cut(score: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """The labelling (true: content) of least cost: a node pays its score's size against its sign, an edge its weight across."""
-    n = len(score)
-    to: list[dict[int, float]] = [{} for _ in range(n)]
-    for a, b, w in edges:
-        to[a][b] = to[a].get(b, 0.0) + w
-        to[b][a] = to[b].get(a, 0.0) + w
-    supply = [max(x, 0.0) for x in score]
-    demand = [max(-x, 0.0) for x in score]
+def tie(a: Node, b: Node) -> float:
+    """Capacity between two elements' blocks: less for every container between them and the element that holds both."""
+    w, ends = SMOOTHNESS, (a, b)
+
+    def past(n: Node) -> float:
+        if n.tag in BOUNDARIES:
+            return PAST_BOUNDARY
+        if n in ends:
+            return 1.0
+        return PAST_NAMED if n.named else PAST_LIST if n.tag in LISTS else PAST_OTHER
+
+    while a is not b:
+        if a.depth >= b.depth:
+            w *= past(a)
+            a = a.parent
+        else:
+            w *= past(b)
+            b = b.parent
+    return w
+
+
+def _augmented(score: dict[int, float], to: dict[int, dict[int, float]]) -> set[int]:
+    """Maximum flow by shortest augmenting paths; the nodes on the sink's side of the minimum cut nearest to the sink."""
+    supply = {i: max(x, 0.0) for i, x in score.items()}
+    demand = {i: max(-x, 0.0) for i, x in score.items()}
+    to = {i: dict(x) for i, x in to.items()}
     while True:
-        came: dict[int, int] = {i: -1 for i in range(n) if supply[i] > 1e-12}
+        came: dict[int, int] = {i: -1 for i, x in supply.items() if x > 1e-12}
         queue, end = deque(came), -1
         while queue and end < 0:
             i = queue.popleft()
@@ -280,36 +309,83 @@ def minimum_cut(score: list[float], edges: list[tuple[int, int, float]]) -> list
         for a, b in path:
             to[a][b] -= flow
             to[b][a] += flow
-    # What the sink can still be reached from is boilerplate; the rest, ties included, is content.
-    back: list[list[int]] = [[] for _ in range(n)]
-    for i in range(n):
-        for j, c in to[i].items():
+    back: dict[int, list[int]] = {i: [] for i in to}
+    for i, others in to.items():
+        for j, c in others.items():
             if c > 1e-12:
                 back[j].append(i)
-    out = [i for i in range(n) if demand[i] > 1e-12]
+    out = [i for i, x in demand.items() if x > 1e-12]
     gone = set(out)
     while out:
         for i in back[out.pop()]:
             if i not in gone:
                 gone.add(i)
                 out.append(i)
-    return [i not in gone for i in range(n)]
+    return gone
 
 
-def main_text(page: str | None) -> str:
+def minimum_cut(score: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """The labelling (true: content) of least cost: a node pays its score's size against its sign, an edge its weight across. Of equal ones, that with most content."""
+    left = dict(enumerate(score))
+    to: dict[int, dict[int, float]] = {i: {} for i in left}
+    for a, b, w in edges:
+        if a != b and w > 0:
+            to[a][b] = to[a].get(b, 0.0) + w
+            to[b][a] = to[b].get(a, 0.0) + w
+    gone: list[tuple[int, float, dict[int, float]]] = []
+    ready = [i for i in left if len(to[i]) <= 2]
+    while ready:
+        v = ready.pop()
+        if v not in left or len(to[v]) > 2:
+            continue
+        s, near = left.pop(v), to.pop(v)
+        gone.append((v, s, near))
+        for u in near:
+            del to[u][v]
+        if len(near) == 1:
+            ((u, w),) = near.items()
+            left[u] += min(max(s, -w), w)
+        elif len(near) == 2:
+            (a, wa), (b, wb) = near.items()
+            zero, one = max(s, 0.0), max(-s, 0.0)
+            both0, both1 = min(zero, one + wa + wb), min(one, zero + wa + wb)
+            only_b, only_a = min(zero + wb, one + wa), min(zero + wa, one + wb)
+            left[a] -= (only_a - both0 + both1 - only_b) / 2
+            left[b] -= (only_b - both0 + both1 - only_a) / 2
+            through = (only_a + only_b - both0 - both1) / 2
+            if through > 1e-12:
+                to[a][b] = to[a].get(b, 0.0) + through
+                to[b][a] = to[b].get(a, 0.0) + through
+        ready += [u for u in near if len(to[u]) <= 2]
+    label = {}
+    if left:
+        sink = _augmented(left, to)
+        label = {i: i not in sink for i in left}
+    for v, s, near in reversed(gone):
+        content = max(-s, 0.0) + sum(w for u, w in near.items() if not label[u])
+        boiler = max(s, 0.0) + sum(w for u, w in near.items() if label[u])
+        label[v] = content <= boiler + 1e-9
+    return [label[i] for i in range(len(score))]
+
+
+def labelled(page: str | None) -> tuple[list[Block], list[float], list[bool]]:
+    """Blocks, their scores, and which of them are content."""
     blocks = blocks_of(page) if page else []
-    if not blocks:
-        return ""
-    score = [costs(b, edge) for b, edge in zip(blocks, at_edges(blocks), strict=True)]
+    score = [costs(b, share) for b, share in zip(blocks, shares(blocks), strict=True)]
     edges, last = [], {}
     for i, b in enumerate(blocks):
         if i:
-            edges.append((i - 1, i, SMOOTHNESS * likeness(blocks[i - 1].node, b.node)))
+            edges.append((i - 1, i, tie(blocks[i - 1].node, b.node)))
         parent = id(b.node.parent)
         if last.get(parent, i - 1) != i - 1:
             edges.append((last[parent], i, SMOOTHNESS / 2))
         last[parent] = i
-    return "\n\n".join(b.text for b, keep in zip(blocks, minimum_cut(score, edges), strict=True) if keep)
+    return blocks, score, minimum_cut(score, edges)
+
+
+def main_text(page: str | None) -> str:
+    blocks, _, content = labelled(page)
+    return "\n\n".join(b.text for b, keep in zip(blocks, content, strict=True) if keep)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
