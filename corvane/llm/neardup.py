@@ -33,7 +33,8 @@ from .words import hashed_texts, mix, rolled
 
 ROWS, BANDS, BATCH = 4, 32, 32
 MISS = 1e-6
-BLOCK = 256
+#: Members of a block, and shingles of all its texts.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 BROADCAST_IDS = 200_000
 _MULTIPLIERS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -191,17 +192,21 @@ def _doubtful(got: pa.Table, bucket: int, threshold: float, miss: float) -> Iter
 
 def _across(shared: DataFrame, comps: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent: int, miss: float, id_col: str, text_col: str) -> DataFrame:
     """Links across components within buckets of three or more: the members outside a bucket's largest component against all, block by block."""
-    placed = shared.where("n > 2").join(comps, "node", "left").select("bucket", "node", "pivot", F.coalesce("comp", "node").alias("comp"))
-    parts = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
-    sizes = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.sum("m").alias("all"), (F.sum("m") - F.max("m")).alias("out")).where("out > 0")
-    members = materialise(placed.join(materialise(sizes, "mixed-buckets"), "bucket"), "mixed-members")
-    n_all, n_out = F.ceil(F.col("all") / BLOCK).cast("int"), F.ceil(F.col("out") / BLOCK).cast("int")
+    placed = shared.where("n > 2").join(comps, "node", "left").select("bucket", "node", "pivot", "n_shingles", F.coalesce("comp", "node").alias("comp"))
+    parts = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("s"))
+    largest = F.max_by(F.struct("comp", "m", "s"), F.struct("m", "comp"))
+    summed = parts.groupBy("bucket").agg(largest.alias("top"), F.sum("m").alias("all"), F.sum("s").alias("s")).where("all > top.m")
+    blocks = lambda m, s: F.ceil(F.greatest(m / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    sizes = summed.select("bucket", F.col("top.comp").alias("major"), blocks(F.col("all"), F.col("s")).alias("n_all"), blocks(F.col("all") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("n_out"))
+    members = placed.join(materialise(sizes, "mixed-buckets"), "bucket").join(sigs.select("node", "sig"), "node")
+    members = materialise(members, "mixed-members")
+    n_all, n_out = F.col("n_all"), F.col("n_out")
     spread = F.xxhash64("node", F.lit(8))
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = members.where("comp <> major").withColumn("i", F.pmod(spread, n_out).cast("int")).withColumn("j", upto(n_all)).withColumn("side", F.lit(0))
     right = members.withColumn("j", F.pmod(spread, n_all).cast("int")).withColumn("i", upto(n_out)).withColumn("side", F.lit(1))
     columns = ["bucket", "i", "j", "side", "node", "pivot", "comp", "major"]
-    signed = left.select(columns).union(right.select(columns)).join(sigs.select("node", "sig"), "node").select(*columns, "sig")
+    signed = left.select(*columns, "sig").union(right.select(*columns, "sig"))
     threshold = percent / 100
 
     def doubtful(key: tuple, got: pa.Table) -> pa.Table:
@@ -244,9 +249,9 @@ def judged(docs: DataFrame, k: int, percent: int, miss: float, id_col: str, text
     found = signed.where("n_shingles > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct("id", "version")).alias("head"))
     sets = materialise(found.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "n_shingles", "head.id", "head.version"), "shingle-sets")
     same = ["id", "version", "h1", "h2", "n_shingles"]
-    sigs = signed.join(sets, same).select("node", "id", "version", "sig", "bands").dropDuplicates(["node"])
+    sigs = signed.join(sets, same).select("node", "id", "version", "n_shingles", "sig", "bands").dropDuplicates(["node"])
     sigs = materialise(sigs, "set-signatures")
-    banded = sigs.select("node", F.explode("bands").alias("bucket"))
+    banded = sigs.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     buckets = materialise(banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     shared = materialise(banded.join(buckets, "bucket"), "shared-buckets")
     pairs = shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()

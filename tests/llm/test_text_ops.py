@@ -98,8 +98,8 @@ def test_links_across_components_of_a_bucket_are_found(spark, monkeypatch):
     rows = near_copies(9)
     docs = spark.createDataFrame(corpus(rows), DOCS)
     signed = store.materialise(neardup.signatures(docs, 2, "doc_id", "text").where("n_shingles > 0"), "signed")
-    sets = signed.dropDuplicates(["h1", "h2"]).select(F.col("id").alias("node"), "id", "version", "sig", "bands")
-    shared = sets.select(F.explode("bands").alias("bucket"), "node")
+    sets = signed.dropDuplicates(["h1", "h2"]).select(F.col("id").alias("node"), "id", "version", "n_shingles", "sig", "bands")
+    shared = sets.select(F.explode("bands").alias("bucket"), "node", "n_shingles")
     n = shared.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n"))
     nothing = spark.createDataFrame([], "node long, comp long")
     found = {(min(r), max(r)) for r in neardup._across(shared.join(n, "bucket"), nothing, sets, docs, 2, 80, 1e-6, "doc_id", "text").collect()}
