@@ -2,13 +2,18 @@
 
 The k-word windows of the corpus are the edges of a de Bruijn graph. Following published compaction schemes, consecutive
 windows of a document that share their minimiser (the smallest hash of SUB words inside the window) form one path piece;
-equal windows always fall to equal minimisers, so pieces are joined by minimiser alone. Of equal pieces, all but the first
-in (document, start) order are repeats as a whole: a long repeated nonbranching path costs one row per piece and not one
-per window. Pieces that share a minimiser but differ (the path branches there) are resolved window by window, only for
-these pieces. Every decision keeps its source coordinates, and the words to remove are verified against the text by the
-hash of each window at its coordinates.
+equal windows always fall to equal minimisers. Of equal pieces, all but the first in (document, start) order are repeats as a
+whole, so a long repeated nonbranching path costs one row per piece and not one per window. Pieces that share a minimiser but
+differ (the path branches there) are resolved window by window, only for these pieces.
 
-Each task first joins its own equal pieces, so a passage that fills the corpus reaches a reducer once per task.
+Every repeat keeps the coordinates of an earlier occurrence. Repeats that follow each other in a document, and whose earlier
+occurrences follow each other too, compact to one path. A path is then verified: a 128-bit BLAKE2 digest of its words is taken
+from the earlier document's text, joined to the path by its source coordinates, and compared with that of the words about to
+be removed; only then they go.
+
+Each task first joins its own equal pieces, so a passage that fills the corpus reaches a reducer once per task. Pieces are
+dealt by minimiser and piece, so a minimiser in very many contexts is spread over all tasks; its distinct pieces are only
+counted, combined before the shuffle. Nothing but one row is held from batch to batch.
 
 Defined cases: null text has no words; a null id counts as the smallest id; rows that share an id and text are one
 occurrence and keep the same words; rows that share an id but not the text are ordered by text hash where their starts
@@ -24,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .store import materialise, small_batches, tidied
 from .words import bounds, hash_words, hashed_texts, inverse, mix, powers, rolled
@@ -86,14 +92,33 @@ def _first_of(order: tuple[np.ndarray, ...], keys: tuple[np.ndarray, ...]) -> tu
     return by, first
 
 
-#: kind 0: a piece that a reducer must compare; 1: a repeat, known to the task already.
-_PIECE = "kind int, m bigint, h bigint, id bigint, version bigint, start bigint, n bigint"
+#: kind 0: a piece that a reducer must compare; 1: a repeat of the windows at (fid, fversion, fstart); 2: the first of equal pieces.
+_PIECE = "kind int, m bigint, h bigint, id bigint, version bigint, start bigint, n bigint, fid bigint, fversion bigint, fstart bigint"
 _NAMES = [x.split()[0] for x in _PIECE.split(", ")]
+_SPAN = ["id", "version", "start", "n", "fid", "fversion", "fstart"]
+
+
+def _rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+    """Rows of m, h and, if given, the span's columns; absent ones are zero."""
+    n = len(columns[0])
+    full = [np.full(n, kind, np.int32), *columns, *[np.zeros(n, np.int64)] * (9 - len(columns))]
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in full], names=_NAMES)
+
+
+def compacted(*span: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans (the columns of _SPAN), those that continue each other here and at their earlier occurrence made one."""
+    by = np.lexsort((span[2], span[1], span[0]))
+    doc, version, start, n, fdoc, fversion, fstart = (x[by] for x in span)
+    new = np.ones(len(by), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (version[1:] != version[:-1]) | (start[1:] != start[:-1] + n[:-1]) | (fdoc[1:] != fdoc[:-1]) | (fversion[1:] != fversion[:-1]) | (fstart[1:] != fstart[:-1] + n[:-1])
+    at = np.flatnonzero(new)
+    return doc[at], version[at], start[at], np.add.reduceat(n, at) if len(at) else n, fdoc[at], fversion[at], fstart[at]
 
 
-def _rows(*columns: np.ndarray) -> pa.RecordBatch:
-    kinds = [pa.int32(), *[pa.int64()] * 6]
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c, t) for c, t in zip(columns, kinds, strict=True)], names=_NAMES)
+def _repeats(*span: np.ndarray) -> pa.RecordBatch:
+    found = compacted(*span)
+    zero = np.zeros(len(found[0]), np.int64)
+    return _rows(1, zero, zero, *found)
 
 
 def _joined(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
@@ -102,9 +127,10 @@ def _joined(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     by, first = _first_of((doc, start, version), (m, h))
     m, h, doc, version, start, n = (x[by] for x in (m, h, doc, version, start, n))
     lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-    same = (doc == doc[lead]) & (start == start[lead]) & (version == version[lead]) & ~first
-    keep = ~same
-    yield _rows(*(x[keep] for x in (np.where(first, 0, 1).astype(np.int32), m, h, doc, version, start, n)))
+    again = ((doc != doc[lead]) | (start != start[lead]) | (version != version[lead])) & ~first
+    yield _rows(0, *(x[first] for x in (m, h, doc, version, start, n)))
+    if again.any():
+        yield _repeats(*(x[again] for x in (doc, version, start, n)), *(x[lead[again]] for x in (doc, version, start)))
 
 
 def _emit(docs: DataFrame, k: int) -> DataFrame:
@@ -128,42 +154,32 @@ def _emit(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _reduced(rows: DataFrame) -> DataFrame:
-    """Of rows grouped by minimiser in a partition: repeats (kind 1), and pieces whose minimiser has others that differ (kind 2).
-
-    The rows come sorted by (m, h, id, start, version), so equal pieces follow each other and nothing is held but one
-    minimiser's distinct pieces at a batch's end.
-    """
+    """Of sorted questions, equal ones following each other: repeats (kind 1) and the first of each (kind 2); known repeats go through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple[np.ndarray, ...] | None = None
-
-        def settle(cols: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-            kind, m, h, doc, version, start, n = cols
-            ask = kind == 0
-            first = np.ones(len(m), bool)
-            first[1:] = (m[1:] != m[:-1]) | (h[1:] != h[:-1])
-            lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-            same = (doc == doc[lead]) & (start == start[lead]) & (version == version[lead])
-            _, inverse_, distinct = np.unique(m[first], return_inverse=True, return_counts=True)
-            branching = np.zeros(len(m), bool)
-            branching[first] = distinct[inverse_] > 1
-            repeat = ask & ~first & ~same
-            out = np.where((kind == 1) | repeat, 1, np.where(first & branching, 2, 0)).astype(np.int32)
-            take = out > 0
-            return _rows(*(x[take] for x in (out, m, h, doc, version, start, n)))
-
+        lead: tuple[np.ndarray, ...] | None = None
         for b in batches:
-            cols = tuple(c.to_numpy(zero_copy_only=False) for c in b.columns)
-            if rest is not None:
-                cols = tuple(np.concatenate(x) for x in zip(rest, cols, strict=True))
-            if not len(cols[1]):
+            known = b.filter(pa.array(b.column(0).to_numpy() == 1))
+            if known.num_rows:
+                yield known
+            b = b.filter(pa.array(b.column(0).to_numpy() == 0))
+            if not b.num_rows:
                 continue
-            cut = int(np.searchsorted(cols[1], cols[1][-1], "left"))
-            rest = tuple(c[cut:] for c in cols)
-            if cut:
-                yield settle(tuple(c[:cut] for c in cols))
-        if rest is not None and len(rest[0]):
-            yield settle(rest)
+            cols = tuple(c.to_numpy(zero_copy_only=False) for c in b.columns[1:7])
+            own = 0 if lead is None else 1
+            if lead is not None:
+                cols = tuple(np.r_[x, y] for x, y in zip(lead, cols, strict=True))
+            m, h, doc, version, start, n = cols
+            first = np.ones(len(m), bool)
+            first[1:] = (m[1:] != m[:-1]) | (h[1:] != h[:-1])
+            at = np.flatnonzero(first)[np.cumsum(first) - 1]
+            lead = tuple(x[at[-1]][None] for x in cols)
+            again = ((doc != doc[at]) | (start != start[at]) | (version != version[at])) & ~first
+            first[:own] = False
+            if first.any():
+                yield _rows(2, *(x[first] for x in cols))
+            if again.any():
+                yield _repeats(*(x[again] for x in (doc, version, start, n)), *(x[at[again]] for x in (doc, version, start)))
 
     return rows.mapInArrow(tidied(run), _PIECE)
 
@@ -195,16 +211,51 @@ def _window_questions(docs: DataFrame, branching: DataFrame, k: int) -> DataFram
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    """Questions go by minimiser, known repeats anywhere; equal keys follow each other in a partition."""
-    key = F.when(F.col("kind") == 0, F.col("m")).otherwise(F.xxhash64("id", "start"))
-    return rows.withColumn("m", key).withColumn("h", F.when(F.col("kind") == 0, F.col("h")).otherwise(F.lit(0).cast("bigint"))).repartition("m").sortWithinPartitions("m", "h", "kind", "id", "start", "version").select(*_NAMES)
+    """Questions go by minimiser and piece, known repeats anywhere; equal questions follow each other in a partition."""
+    asks = F.col("kind") == 0
+    to = [F.when(asks, F.col("m")).otherwise(F.xxhash64("id", "start")), F.when(asks, F.col("h")).otherwise(F.lit(0).cast("bigint"))]
+    return rows.repartition(*to).sortWithinPartitions("m", "h", "id", "start", "version")
 
 
-def repeated_spans(docs: DataFrame, k: int) -> DataFrame:
-    """(id, version, start, n): n windows from word `start` on, each of which also starts earlier. docs: id, version, text."""
+def repeated_paths(docs: DataFrame, k: int) -> DataFrame:
+    """(id, version, start, n, fid, fversion, fstart): n windows from word `start` on, which are those from `fstart` on in an earlier place. docs: id, version, text."""
     found = materialise(_reduced(_dealt(_emit(docs, k))), "path-pieces")
-    finer = materialise(_reduced(_dealt(_window_questions(docs, found.where("kind = 2").select("id", "version", "start", "n"), k))), "path-windows")
-    return found.where("kind = 1").union(finer.where("kind = 1")).select("id", "version", "start", "n")
+    distinct = found.where("kind = 2")
+    branching = materialise(distinct.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("m"), "branching-minimisers")
+    finer = _reduced(_dealt(_window_questions(docs, distinct.select("m", "id", "version", "start", "n").join(branching, "m", "left_semi"), k))).where("kind = 1")
+    repeats = found.where("kind = 1").select(*_SPAN).union(finer.select(*_SPAN)).repartition("id", "version")
+    # Paths of pieces and of windows that continue each other are one path.
+    keys = ["id", "version", "fid", "fversion", "shift"]
+    order = Window.partitionBy(*keys).orderBy("start")
+    ended = F.max(F.col("start") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = repeats.withColumn("shift", F.col("fstart") - F.col("start")).withColumn("new", F.when(F.col("start") <= ended, 0).otherwise(1))
+    numbered = marked.withColumn("path", F.sum("new").over(order))
+    paths = numbered.groupBy(*keys, "path").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"))
+    return paths.select("id", "version", "start", (F.col("end") - F.col("start")).alias("n"), "fid", "fversion", (F.col("start") + F.col("shift")).alias("fstart"))
+
+
+def _digest(raw: bytes) -> bytes:
+    """Of the words of these bytes."""
+    return hashlib.blake2b(b" ".join(raw.split()), digest_size=16).digest()
+
+
+def with_source_digests(docs: DataFrame, paths: DataFrame, k: int) -> DataFrame:
+    """paths with `digest`: that of the words at their earlier occurrence."""
+    place = ["fid", "fversion", "fstart", "n"]
+    asked = paths.groupBy("fid", "fversion").agg(F.collect_set(F.struct("fstart", "n")).alias("asked"))
+    sources = docs.join(asked.withColumnRenamed("fid", "id").withColumnRenamed("fversion", "version"), ["id", "version"]).select("id", "version", "text", "asked.fstart", "asked.n").dropDuplicates(["id", "version"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                raw = b.column(2)[i].as_py().encode()
+                lo, hi = bounds(np.frombuffer(raw, np.uint8))
+                starts, counts = b.column(3)[i].as_py(), b.column(4)[i].as_py()
+                digests = [_digest(raw[lo[s] : hi[s + n + k - 2]]) for s, n in zip(starts, counts, strict=True)]
+                same = [np.full(len(starts), b.column(c)[i].as_py(), np.int64) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, same), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.binary())], names=[*place, "digest"])
+
+    return paths.join(sources.mapInArrow(tidied(run), "fid bigint, fversion bigint, fstart bigint, n bigint, digest binary"), place)
 
 
 def remove_repeats(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,21 +263,23 @@ def remove_repeats(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_co
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     keyed = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("own"), text.alias("text")).select("own", F.coalesce("own", F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("version"), "text")
-    spans = repeated_spans(keyed, k).groupBy("id", "version").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    joined = keyed.join(spans, ["id", "version"], "left").select("own", "text", F.coalesce("spans.start", F.array().cast("array<bigint>")).alias("start"), F.coalesce("spans.n", F.array().cast("array<bigint>")).alias("n"))
+    paths = materialise(repeated_paths(keyed, k), "repeated-paths")
+    spans = with_source_digests(keyed, paths, k).groupBy("id", "version").agg(F.collect_list(F.struct("start", "n", "digest")).alias("spans"))
+    joined = keyed.join(spans, ["id", "version"], "left").select("own", "text", "spans.start", "spans.n", "spans.digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [])
-            for text, start, n in zip(b.column(1), b.column(2), b.column(3), strict=True):
-                data = np.frombuffer(text.as_py().encode(), np.uint8)
-                lo, hi = bounds(data)
+            for text, *spans in zip(*b.columns[1:], strict=True):
+                raw = text.as_py().encode()
+                lo, hi = bounds(np.frombuffer(raw, np.uint8))
                 gone = np.zeros(len(lo) + 1, np.int64)
-                s = np.array(start.as_py(), np.int64)
-                np.add.at(gone, s, 1)
-                np.add.at(gone, np.minimum(s + np.array(n.as_py(), np.int64) + k - 1, len(lo)), -1)
+                for start, n, digest in zip(*((x.as_py() or ()) for x in spans), strict=True):
+                    end = start + n + k - 1
+                    if _digest(raw[lo[start] : hi[end - 1]]) == digest:
+                        gone[start] += 1
+                        gone[end] -= 1
                 keep = np.flatnonzero(np.cumsum(gone)[:-1] == 0)
-                raw = data.tobytes()
                 left = b" ".join([raw[x:y] for x, y in zip(lo[keep].tolist(), hi[keep].tolist(), strict=True)])
                 for column, value in zip(out, (left.decode(), len(lo), len(lo) - len(keep), hashlib.sha256(left).hexdigest()), strict=True):
                     column.append(value)

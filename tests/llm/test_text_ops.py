@@ -191,6 +191,41 @@ def test_substring_dedup_of_odd_tables(spark, monkeypatch):
     assert sorted(r["n_removed"] for r in again) == [0, 30, 30, 30]
 
 
+def test_a_minimiser_in_many_contexts_is_spread(spark):
+    """One phrase in 20000 contexts: its pieces differ, and no task gets more than its share of them."""
+    rng = random.Random(6)
+    pool = [f"w{i}" for i in range(5000)]
+    phrase = "the very common words of all"
+    texts = [" ".join(rng.choices(pool, k=18)) + f" {phrase} " + " ".join(rng.choices(pool, k=18)) for _ in range(20000)]
+    docs = spark.createDataFrame(corpus(list(enumerate(texts))), DOCS).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("version"), "text").repartition(8)
+    dealt = substring._dealt(substring._emit(docs, 20).where("kind = 0")).withColumn("p", F.spark_partition_id())
+    hot = dealt.groupBy("m").count().orderBy(F.desc("count")).first()
+    assert hot["count"] > 300
+    parts = [r["count"] for r in dealt.where(F.col("m") == hot["m"]).groupBy("p").count().collect()]
+    assert len(parts) > 1 and max(parts) < 2 * hot["count"] / len(parts)
+    assert substring.remove_repeats(docs.withColumnRenamed("id", "doc_id")).where("n_removed > 0").count() == 0
+
+
+def test_repeats_compact_to_paths_and_are_verified(spark):
+    rng = random.Random(7)
+    pool = [f"w{i}" for i in range(300)]
+    one, two = ([rng.choice(pool) for _ in range(200)] for _ in range(2))
+    rows = [(1, " ".join(one)), (2, " ".join(two)), (3, " ".join(["x", *one[20:160], "y", *two])), (4, " ".join(one))]
+    docs = spark.createDataFrame(corpus(rows), DOCS).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("version"), "text").repartition(3)
+    paths = substring.repeated_paths(docs, 20)
+    found = sorted((r["id"], r["start"], r["n"], r["fid"], r["fstart"]) for r in paths.collect())
+    assert (3, 142, 181, 2, 0) in found and len(found) <= 6
+    assert sum(n for i, _, n, _, _ in found if i == 3) == 121 + 181 and sum(n for i, _, n, _, _ in found if i == 4) == 181
+    # A path whose source holds other words is not removed.
+    wrong = paths.where("id = 3").withColumn("fstart", F.col("fstart") + 1).where("n < 150")
+    digests = substring.with_source_digests(docs, wrong, 20).collect()
+    texts = dict(rows)
+    for r in digests:
+        words_ = texts[3].split()[r["start"] : r["start"] + r["n"] + 19]
+        source = texts[r["fid"]].split()[r["fstart"] : r["fstart"] + r["n"] + 19]
+        assert substring._digest(" ".join(source).encode()) == r["digest"] != substring._digest(" ".join(words_).encode())
+
+
 def tiles_by_hand(item, doc, least):
     """Longest common runs of unmarked words, marked greedily."""
     mi, mj, total = [False] * len(item), [False] * len(doc), 0
