@@ -262,11 +262,26 @@ def leak_rows(seed):
 @pytest.mark.parametrize("broadcast", [10**6, 0])
 def test_decontamination_matches_brute_force(spark, broadcast):
     items, docs = leak_rows(4)
-    bench = spark.createDataFrame([(i, ", ".join(x).upper()) for i, x in enumerate(items)] + [(90, None), (91, "too few words"), (92, "")], "item_id long, text string")
-    rows = [(i, " ".join(x)) for i, x in enumerate(docs)] + [(200, None), (201, "")]
+    bench = spark.createDataFrame([(i, ", ".join(x).upper()) for i, x in enumerate(items)] + [(90, None), (91, "too few words"), (92, ""), (93, "One")], "item_id long, text string")
+    rows = [(i, " ".join(x)) for i, x in enumerate(docs)] + [(200, None), (201, ""), (202, "one of too-few \u201cwords\u201d")]
     got = {(r["doc_id"], r["item_id"]): r["matched_words"] for r in decontaminate.contaminated(spark.createDataFrame(corpus(rows), DOCS), bench, broadcast_seeds=broadcast).collect()}
     want = {(d, i): n for d, w in enumerate(docs) for i, x in enumerate(items) if 100 * (n := tiles_by_hand(x, w, 5)) >= 80 * len(x)}
-    assert got == want and want
+    assert got == want | {(202, 91): 3} and want
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_phrases_of_many_items_ask_no_document(spark, broadcast):
+    """Items begin with one prompt, documents repeat it; only the document with an item's own words leaks."""
+    prompt = "please answer the next question now"
+    items = [(i, f"{prompt} " + " ".join(f"q{i}x{j}" for j in range(12))) for i in range(300)]
+    held = decontaminate.items_of(items, 5)
+    shared = {x: sum(x in item.seeds for item in held) for x in held[0].seeds}
+    kept = decontaminate.indexed_seeds(held[0], shared, 5, 80)
+    assert len(kept) < len(held[0].seeds) and all(shared[x] == 1 for x in kept)
+    rows = [(i, f"{prompt} " * 200) for i in range(20)] + [(50, f"x {prompt} " * 30 + items[7][1])]
+    docs = spark.createDataFrame(corpus(rows), DOCS).withColumnRenamed("doc_id", "key")
+    got = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"), id_col="key", broadcast_seeds=broadcast).collect()
+    assert [(r["key"], r["item_id"], r["matched_words"]) for r in got] == [(50, 7, 18)]
 
 
 def test_decontamination_keeps_clean_documents_and_columns(spark):
