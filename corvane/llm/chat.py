@@ -90,14 +90,16 @@ def schema_paths(schema: T.StructType) -> list[str]:
     return out
 
 
-def layout_of(paths: list[str]) -> Layout | None:
-    """The layout with this fingerprint, else the first whose paths are all there."""
-    return BY_FINGERPRINT.get(fingerprint(paths)) or next((x for x in LAYOUTS if set(x.paths) <= set(paths)), None)
+def layout_of(paths: list[str], by_turn: bool = False) -> Layout | None:
+    """The layout with this fingerprint, else the first whose paths are all there; by_turn: of those with a role a row, if there is one."""
+    found = [x for x in LAYOUTS if set(x.paths) <= set(paths)]
+    rows = [x for x in found if x.role_field]
+    return rows[0] if by_turn and rows else BY_FINGERPRINT.get(fingerprint(paths)) or (found[0] if found else None)
 
 
-def _turn(role: Column, text: Column) -> Column:
+def _turn(role: Column, text: Column, rename: bool = True) -> Column:
     role = F.coalesce(role.cast("string"), F.lit(""))
-    for old, new in ROLE_NAMES.items():
+    for old, new in ROLE_NAMES.items() if rename else ():
         role = F.when(role == old, F.lit(new)).otherwise(role)
     return F.struct(role.alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
 
@@ -106,16 +108,20 @@ def _joined(columns: list[Column]) -> Column:
     return columns[0] if len(columns) == 1 else F.concat_ws("\n\n", *[F.when(c != "", c) for c in columns])
 
 
-def canonical_turns(df: DataFrame, id_col: str, order_col: str | None = None) -> DataFrame:
-    """(conv_id, ord, idx, role, text) of a table whose own schema is the layout."""
-    layout = layout_of(schema_paths(df.schema))
+def canonical_turns(df: DataFrame, id_col: str, order_col: str | None = None, layout: str | None = None) -> DataFrame:
+    """(conv_id, ord, idx, role, text) of a table whose own schema is the layout, or that of this name.
+
+    With an order column, rows are turns where the schema has a layout of turns, whatever other columns there are. The role of a
+    row that is a turn stays as it is; those inside records get the canonical names.
+    """
+    layout = next(x for x in LAYOUTS if x.name == layout) if layout else layout_of(schema_paths(df.schema), order_col is not None)
     if layout is None:
         turns = F.array().cast(TURNS_TYPE)
     elif layout.listing:
         field, role, text = layout.listing
         turns = F.transform(F.col(f"`{field}`"), lambda m: _turn(m[role], m[text]))
     else:
-        turns = F.array(*[_turn(F.col(f"`{layout.role_field}`") if role is None else F.lit(role), _joined([F.col(f"`{f}`") for f in fs])) for role, fs in layout.fields])
+        turns = F.array(*[_turn(F.col(f"`{layout.role_field}`") if role is None else F.lit(role), _joined([F.col(f"`{f}`") for f in fs]), rename=False) for role, fs in layout.fields])
     order = F.col(f"`{order_col}`").cast("bigint") if order_col else F.lit(0).cast("bigint")
     return df.select(F.col(f"`{id_col}`").alias("conv_id"), order.alias("ord"), F.posexplode(turns).alias("idx", "turn")).select("conv_id", "ord", "idx", "turn.role", "turn.text")
 
@@ -194,6 +200,11 @@ def format_turns(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     )
 
 
+def loss_text(formatted: Column, spans: Column) -> Column:
+    """All text under the loss mask of a formatted string, cut at its spans and unescaped, nothing between."""
+    return F.concat_ws("", F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))))
+
+
 def parse_formatted(formatted: Column) -> Column:
     """The turns of a formatted string, unescaped: array<struct<role,text>>."""
     parts = F.filter(F.split(formatted, "<\\|turn\\|>"), lambda p: p != "")

@@ -28,8 +28,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = chat.format_turns(typed.unionByName(chat.canonical_turns_of_json(extra, "conv_id", "record").drop("layout")))
     back = done.withColumn("turns", chat.parse_formatted(F.col("formatted")))
     digest = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
-    loss = F.concat_ws("", F.transform("loss_turns", lambda i: F.element_at("turns", i + 1)["text"]))
-    return back.withColumn("loss", loss).select(
+    return back.withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans"))).select(
         "conv_id",
         F.size("turns").cast("bigint").alias("n_turns"),
         F.sha2(digest.cast("binary"), 256).alias("turns_sha256"),
