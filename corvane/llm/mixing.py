@@ -15,6 +15,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Rows of the rate table up to which it is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 10_000
@@ -32,18 +33,14 @@ def hash_place(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... as an array that ends where the rest is below double precision."""
-    most = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
-    log_rate = F.ln(F.when(rate > 0, rate))
-    start = F.struct((-rate).alias("log_p"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("cdf"))
-
-    def step(acc: Column, k: Column) -> Column:
-        log_p = F.when(k == 0, -rate).otherwise(acc["log_p"] + log_rate - F.ln(F.greatest(k, F.lit(1)).cast("double")))
-        total = acc["sum"] + F.exp(log_p)
-        return F.struct(log_p.alias("log_p"), total.alias("sum"), F.concat(acc["cdf"], F.array(total)).alias("cdf"))
-
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(0), most), start, step, lambda acc: acc["cdf"]))
+def poisson_cdf(rates: DataFrame) -> DataFrame:
+    """(source, cdf): P(X <= k) for k = 0, 1, ... as an array that ends where the rest is below double precision. rates: source, rate."""
+    most = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 40).cast("int")
+    each = rates.where("rate > 0").select("source", "rate", F.explode(F.sequence(F.lit(0), most)).alias("k"))
+    upto = Window.partitionBy("source").orderBy("k")
+    log_p = F.col("k") * F.ln("rate") - F.col("rate") - F.sum(F.ln(F.greatest("k", F.lit(1)).cast("double"))).over(upto)
+    summed = each.withColumn("log_p", log_p).select("source", "k", F.sum(F.exp("log_p")).over(upto).alias("c"))
+    return summed.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("cdf"))
 
 
 def source_rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, epochs: float = 1.0, source_col: str = "source") -> DataFrame:
@@ -63,7 +60,7 @@ def source_rates(docs: DataFrame, weights: Mapping[str | None, float] | None = N
 
 def poisson_replicate(docs: DataFrame, weights: Mapping[str | None, float] | None = None, epochs: float = 1.0, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", copy_col: str = "copy", place_col: str = "place") -> DataFrame:
     """Documents times their Poisson counts, shuffled globally: partitions by a hash of (seed, id, copy), sorted by it."""
-    rates = source_rates(docs, weights, epochs, source_col).select(F.col("source").alias("__mix_source"), poisson_cdf(F.col("rate")).alias("__mix_cdf"))
+    rates = poisson_cdf(source_rates(docs, weights, epochs, source_col)).toDF("__mix_source", "__mix_cdf")
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     columns = [F.col(f"`{c}`") for c in docs.columns if c not in (copy_col, place_col)]

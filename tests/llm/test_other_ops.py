@@ -51,6 +51,9 @@ def test_layout_of_a_schema(spark):
     assert chat.layout_of(chat.schema_paths(df.schema)).name == "messages"
     assert turns_of(chat.canonical_turns(df, "conv_id")) == {1: [("user", "q")]}
     assert chat.canonical_turns(spark.createDataFrame([(1, 2)], "conv_id long, other int"), "conv_id").collect() == []
+    both = spark.createDataFrame([(1, 1, [("user", "no")], "gpt", "b"), (1, 0, None, "human", "a")], "conv_id long, turn long, messages array<struct<role:string,content:string>>, role string, text string")
+    assert turns_of(chat.canonical_turns(both, "conv_id", "turn")) == {1: [("human", "a"), ("gpt", "b")]}
+    assert turns_of(chat.canonical_turns(both, "conv_id", "turn", layout="messages")) == {1: [("user", "no")]}
     assert chat.fingerprint(["text", "role", "conv_id"]) == chat.fingerprint(["role", "text"]) != chat.fingerprint(["text"])
 
 
@@ -61,13 +64,13 @@ def test_format_is_reversible_and_marks_the_loss(spark):
     rows = [(c, t, rng.choice(["user", "assistant", "system", say()]), say()) for c in range(40) for t in range(rng.randint(1, 6))]
     rows += [(100, 0, None, None), (101, 1, "assistant", "x"), (101, 1, "assistant", "x"), (101, 0, "user", "")]
     done = chat.format_turns(chat.canonical_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), "conv_id", "turn"))
-    back = {r["conv_id"]: r for r in done.withColumn("turns", chat.parse_formatted(F.col("formatted"))).collect()}
-    names = chat.ROLE_NAMES
+    back = {r["conv_id"]: r for r in done.withColumn("turns", chat.parse_formatted(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans"))).collect()}
     for c in {r[0] for r in rows}:
-        want = [(names.get(r, r) or "", t or "") for _, r, t in sorted(((x[1], x[2], x[3]) for x in rows if x[0] == c), key=lambda x: (x[0], x[1] or "", x[2] or ""))]
+        want = [(r or "", t or "") for _, r, t in sorted(((x[1], x[2], x[3]) for x in rows if x[0] == c), key=lambda x: (x[0], x[1] or "", x[2] or ""))]
         got = back[c]
         assert [(t["role"], t["text"]) for t in got["turns"]] == want
         assert [i for i, (r, _) in enumerate(want) if r == "assistant"] == got["loss_turns"]
+        assert got["loss"] == "".join(t for r, t in want if r == "assistant")
         bodies = [got["formatted"][s["start"] : s["end"]] for s in got["loss_spans"]]
         assert [b.replace("\\1", "").replace("\\2", "\n").replace("\\0", "\\") for b in bodies] == [t for r, t in want if r == "assistant"]
         inside = got["formatted"].replace(chat.TURN, "").replace(chat.END, "")
@@ -218,8 +221,11 @@ def test_pages_of_odd_tables(spark):
 
 
 def test_poisson_counts_follow_the_inverse_distribution(spark):
-    for rate in (0.05, 0.7, 3.0, 900.0):
-        cdf = spark.range(1).select(mixing.poisson_cdf(F.lit(rate)).alias("c")).first()["c"]
+    rates = (0.05, 0.7, 3.0, 900.0, 5000.0)
+    found = {r["source"]: r["cdf"] for r in mixing.poisson_cdf(spark.createDataFrame([(str(x), x) for x in rates] + [("none", 0.0), (None, 2.0)], "source string, rate double")).collect()}
+    assert set(found) == {*map(str, rates), None}
+    for rate in rates:
+        cdf = found[str(rate)]
         k = int(rate)
         assert abs(cdf[k] - sum(math.exp(-rate + i * math.log(rate) - math.lgamma(i + 1)) for i in range(k + 1))) < 1e-9 and cdf[-1] > 1 - 1e-9
 
