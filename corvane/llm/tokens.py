@@ -34,7 +34,7 @@ from .store import materialise, small_batches, tidied
 from .words import mix
 
 SEGMENT_CHARS, GROUP_CHARS = 1 << 18, 1 << 20
-#: Words whose ids a worker keeps, about 250 bytes each.
+#: Words whose ids a worker keeps, about 250 bytes each; those not met among as many as half of them go first.
 CACHE_WORDS = 1_500_000
 KEYS_PER_INDEX = 100_000
 #: White space before a space: there, cutting before the space could change the ids.
@@ -61,6 +61,7 @@ class Encoder:
         self.code = "I" if self.wide else "H"
         self.cuts = '"type":"ByteLevel"' in tokenizer_json.replace(" ", "") and '"normalizer":null' in tokenizer_json.replace(" ", "").replace("\n", "") and '"add_prefix_space":false' in tokenizer_json.replace(" ", "")
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.most = CACHE_WORDS
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocab.values(), default=0) + 1, bool)
@@ -99,13 +100,17 @@ class Encoder:
 
     def _ids_of(self, texts: list[list[str]]) -> list[bytes]:
         """The ids of the words of each text, each word behind a space; one look-up a word, and one encoding of all new words."""
-        if len(self.words) > self.most:
-            self.words.clear()
-        get = self.words.get
+        if len(self.words) > self.most // 2:
+            self.older, self.words = self.words, {}
+        get, older = self.words.get, self.older
         found = [list(map(get, words)) for words in texts]
         open_ = [(ids, words, [i for i, x in enumerate(ids) if x is None]) for ids, words in zip(found, texts, strict=True) if None in ids]
-        new = list({words[i] for _, words, at in open_ for i in at})
-        if new:
+        new = {words[i] for _, words, at in open_ for i in at}
+        if new and older:
+            self.words.update((w, older[w]) for w in new & older.keys())
+            new -= older.keys()
+        new = list(new)
+        if open_:
             self.words.update(zip(new, self._spaced(new), strict=True))
             for ids, words, at in open_:
                 for i in at:

@@ -413,6 +413,10 @@ def test_encoder_gives_the_tokenizers_ids(encoder, monkeypatch):
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(800)]
     want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(x, np.uint16).tolist() for x in encoder.encode_all(texts)] == want
+    monkeypatch.setattr(encoder, "most", 8)  # far fewer words than the texts have
+    for _ in range(2):
+        assert [np.frombuffer(x, np.uint16).tolist() for at in range(0, 800, 50) for x in encoder.encode_all(texts[at : at + 50])] == want
+        assert len(encoder.older) < 400
     monkeypatch.setattr(tokens, "SEGMENT_CHARS", 3)
     assert [np.frombuffer(b"".join(encoder.encode(t)), np.uint16).tolist() for t in texts] == want
 
