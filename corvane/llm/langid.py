@@ -232,7 +232,10 @@ def sample_labelled(labelled: DataFrame, text_col: str = "text", lang_col: str =
     bound = min(chars, ALL_CHARS // len(languages))
     # Texts that fit come first, by hash; the others by length.
     order = Window.partitionBy("lang").orderBy(F.greatest("n", F.lit(bound)), "h")
-    ranked = distinct.where(F.col("lang").isin(languages)).withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows)
+    # First among hashes of equal remainder, so that no task gets all texts of a language.
+    share = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy(F.greatest("n", F.lit(bound)), "h")
+    dealt = distinct.where(F.col("lang").isin(languages)).withColumn("r", F.row_number().over(share)).where(F.col("r") <= rows)
+    ranked = dealt.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows)
     smallest = ranked.withColumn("upto", F.sum("n").over(order)).where((F.col("upto") <= bound) | (F.col("r") == 1)).select("lang", "h", "r")
     first = usable.join(F.broadcast(smallest), ["lang", "h"]).groupBy("lang", "r").agg(F.min("text").alias("text"))
     out: dict[str, list[str]] = {}
