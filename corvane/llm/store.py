@@ -7,6 +7,7 @@ import ctypes
 import functools
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -28,12 +29,54 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_open: list[list[str]] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _paths[found] = path
+    return found
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialise` wrote and nothing will read again."""
+    for df in tables:
+        path = _paths.pop(df, None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables written inside are deleted at the end, but those written by the function it gives: results that others read.
+
+        with workspace(spark) as keep:
+            result = keep(operator(docs), "result")
+    """
+    _open.append([])
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        found = materialise(df, name)
+        _open[-1].remove(_paths[found])
+        return found
+
+    try:
+        yield keep
+    finally:
+        for path in _open.pop():
+            _delete(spark, path)
 
 
 #: Bytes of a batch that a Python worker gets at once.

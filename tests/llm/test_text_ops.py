@@ -45,6 +45,23 @@ def test_words_are_whitespace_runs_whatever_the_piece_size(monkeypatch):
     assert len(set(found.values())) == len(found)
 
 
+def test_intermediate_tables_can_be_deleted(spark):
+    from pathlib import Path
+
+    tables = lambda: {p.name for p in Path(store.shared_dir(spark).removeprefix("file://")).iterdir()}
+    docs, before = spark.createDataFrame(corpus(near_copies(3)), DOCS), None
+    store.materialise(docs, "first")
+    before = tables()
+    with store.workspace(spark) as keep:
+        result = keep(neardup.keep_one_of_each(docs, k=2), "result")
+        inside = tables() - before
+    left = tables() - before
+    assert len(inside) > 5 and len(left) == 1 and next(iter(left)).startswith("result-")
+    assert 0 < result.count() < docs.count()
+    store.discard(result)
+    assert tables() == before
+
+
 def jaccard_sets(text, k):
     w = WORD.findall(lower(text))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
