@@ -1,7 +1,10 @@
 """The corpus pipeline over `documents`: language ID, near-dedup, decontamination, mixing, token output.
 
 Every stage but the last returns the columns of its input documents. A stage's result is written as Parquet to the shared
-folder and read again as the next one's documents.
+folder and read again as the next one's documents; its own intermediate tables are deleted then, and those of the stage before.
+
+Defined cases: an empty table passes through; documents with null ids stay (a null id is near to nothing and is stored as one id
+of null documents); further columns pass all stages but the last, which returns its own.
 """
 
 from __future__ import annotations
@@ -55,7 +58,10 @@ STAGES: list[tuple[str, Stage]] = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = store.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with store.workspace(spark) as keep:
+            kept = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        store.discard(docs)  # the stage before; the input is no table of ours
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
