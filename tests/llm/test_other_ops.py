@@ -1,9 +1,11 @@
 """Chat formatting, HTML, mixing, search and the pipeline."""
 
+import hashlib
 import json
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -366,6 +368,65 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
 
 
+def pipeline_by_hand(docs, items):
+    """(doc_id, start, n_tokens, crc) of the five stages over (id, text, lang, source) rows, each by its plain definition."""
+    from tokenizers import Tokenizer
+
+    from tests.llm import test_text_ops as plain
+
+    fold = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    docs = [d for d in docs if d[1] and any(c.isalpha() for c in d[1])]
+    first = plain.components_by_hand([(d[0], d[1]) for d in docs], 5, 80)
+    docs = [d for d in docs if first[d[0]] == d[0]]
+    docs = [d for d in docs if not any(100 * plain.tiles_by_hand(fold(x), fold(d[1]), 5) >= 80 * len(fold(x)) for _, x in items)]
+    sizes = Counter(d[3] for d in docs)
+    out, start = [], 0
+    tokenizer = Tokenizer.from_file(queries.token_vocabulary())
+    for i, text, _, source in sorted(docs):
+        rate = len(docs) / len(sizes) / sizes[source]
+        u = (int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        times, upto = 0, math.exp(-rate)
+        while upto <= u:
+            times += 1
+            upto += math.exp(-rate + times * math.log(rate) - math.lgamma(times + 1))
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        for _ in range(times):
+            out.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+            start += len(ids)
+    return out
+
+
+def test_pipeline_matches_its_stages_by_hand(spark, tmp_path):
+    rng = random.Random(20)
+    pool = {"xx": ["kalo", "mira", "tosa", "beni", "luka", "dore", "sami", "vona"], "yy": ["thrash", "inging", "ouldst", "ghtly", "whelm", "strong", "thence", "shrub"]}
+    items = [(k, " ".join(rng.choice(pool["yy"]) + str(rng.randint(0, 99)) for _ in range(12))) for k in range(4)]
+    docs = []
+    for i in range(90):
+        lang = rng.choice(["xx", "yy"])
+        w = [rng.choice(pool[lang]) + rng.choice(["", "", str(rng.randint(0, 9))]) for _ in range(rng.randint(6, 40))]
+        docs.append((i, " ".join(w), lang, rng.choice("aab")))
+    for i in range(90, 130):
+        w = docs[rng.randrange(90)][1].split()
+        if len(w) > 30 and rng.random() < 0.5:
+            w[-1] = "other"
+        docs.append((i, " ".join(w), "xx", rng.choice("ab")))
+    for i in range(130, 145):
+        x = rng.choice(items)[1].split()
+        docs.append((i, " ".join(["so", *x[6:], "and", *x[: rng.choice([1, 6])]]), "yy", "b"))
+    docs += [(200, None, "xx", "a"), (201, "", "yy", "a"), (202, "12 . 7", None, "b")]
+    spark.createDataFrame([(*d, None, "x") for d in docs], "doc_id long, text string, lang string, source string, n_chars long, copy string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = pipeline_by_hand(docs, items)
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == want and len({r[0] for r in want}) < 100
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_entry_registers_the_queries():
     import __spark_entry__ as e
 
