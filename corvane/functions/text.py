@@ -5,10 +5,10 @@ Null in, null out, unless said otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,17 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` dealt to all cores where its source comes in fewer parts than there are cores, as a small file does; costly text work follows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or len(df.inputFiles()) >= cores else df.repartition(cores, *keys)
+
+
 def ws_strip(c: Column | str) -> Column:
     """Strip Unicode white space at both ends (Spark's trim strips spaces only)."""
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
@@ -45,6 +56,11 @@ def stripped_lines(c: Column | str) -> Column:
     return F.filter(F.transform(lines(c), ws_strip), lambda x: x != "")
 
 
+def repeats(sorted_items: Column, item: Column, i: Column) -> Column:
+    """Whether the i-th item of a sorted array occurs in it more than once."""
+    return (item == F.get(sorted_items, i - 1)) | (item == F.get(sorted_items, i + 1))
+
+
 def count_matches(c: Column | str, pattern: str) -> Column:
     return F.size(F.regexp_extract_all(col(c), F.lit(pattern), F.lit(0)))
 

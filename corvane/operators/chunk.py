@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.functions.text import col, count_contained, count_matches, ratio, stripped_lines, word_count, words
+from corvane.functions.text import bound, col, count_contained, count_matches, ratio, spread, stripped_lines, word_count, words
+from corvane.operators.dedup import written
 from corvane.operators.profile_text import sentences
 
 # Phrases of legal notices and of front matter.
@@ -42,7 +43,7 @@ def _joined(pieces: Column, starts: Column) -> Column:
 
 def sentence_chunks(docs: DataFrame, key: str = "doc_id", text_col: str = "text", size: int = CHUNK, context: int = CONTEXT, least_words: int = 0) -> DataFrame:
     """(key, chunk_id, text, prev_context, next_context, char_count, sentence_count): whole sentences packed to about `size` characters."""
-    split = docs.select(key, sentences(text_col, least=1).alias("s"))
+    split = spread(docs, key).select(key, sentences(text_col, least=1).alias("s"))
     packed = split.select(key, F.posexplode(_joined(F.col("s"), pack(F.transform("s", F.length), size))).alias("chunk_id", "text"))
     order = Window.partitionBy(key).orderBy("chunk_id")
     near = lambda c, take: F.coalesce(take(c, F.lit(context)), F.lit("")) if context else F.lit("")
@@ -130,6 +131,17 @@ def boundary_chunks(split: DataFrame, key: str, size: int = 1500) -> DataFrame:
     return split.select(key, F.posexplode(_joined(F.col("s"), starts)).alias("chunk_id", "text"))
 
 
+def numbered(df: DataFrame, *order: Column | str, name: str = "i") -> DataFrame:
+    """`df` with its rows numbered from 0 in this order, without a sort in one task: each range partition numbers its own rows, and gets the count of those before it."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = written(ranged, "numbered")
+    part = F.shiftright("__at", 33)  # the upper bits are the partition, the lower ones the place in it
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))  # a row a partition
+    joined = placed.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return joined.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__before", "__at")
+
+
 def row_chunk_plan(n_rows: Column) -> Column:
     """array<struct<chunk_id,start,end>> over n rows: windows whose size and overlap grow with n."""
     size = F.when(n_rows <= 50, n_rows).when(n_rows <= 200, 50).when(n_rows <= 1000, 100).otherwise(200)
@@ -177,8 +189,10 @@ def text_richness(c: Column | str) -> Column:
 def boilerplate_rule(c: Column | str) -> Column:
     """Which rule makes a chunk boilerplate (empty, contents, references, legal, cover, headings, links, signs), or null."""
     c = F.coalesce(col(c), F.lit(""))
-    n = word_count(c)
-    rows = stripped_lines(c)
+    return bound(F.struct(c.alias("c"), word_count(c).alias("n"), stripped_lines(c).alias("rows")), lambda x: _rule(x["c"], x["n"], x["rows"]))
+
+
+def _rule(c: Column, n: Column, rows: Column) -> Column:
     short = F.size(F.filter(rows, lambda x: word_count(x) < 6))
     capital = lambda w: (F.upper(F.left(w, F.lit(1))) == F.left(w, F.lit(1))) & (F.lower(F.left(w, F.lit(1))) != F.left(w, F.lit(1)))
     capitals = F.size(F.filter(words(c), capital))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import col, lines, ratio, words, ws_strip
+from corvane.functions.text import bound, col, lines, ratio, spread, words, ws_strip
 
 # Image file endings, and openings of answers that name their source.
 IMAGE_ENDINGS = "jpeg|jpg|png|gif|webp|svg|figure"
@@ -59,21 +59,26 @@ def squeeze(c: Column | str) -> Column:
 
 def drop_repeated_lines(docs: DataFrame, key: str, text_col: str) -> DataFrame:
     """`text_col` without any copy of the lines that repeat, where a document has ten or more lines of over three characters."""
-    each = docs.select(key, F.explode(F.transform(lines(text_col), ws_strip)).alias("line")).where(F.length("line") > 3)
-    counts = each.groupBy(key, "line").agg(F.count(F.lit(1)).alias("n"))
-    long_lines = F.sum("n")
-    packed = counts.groupBy(key).agg(long_lines.alias("total"), F.collect_list(F.when(F.col("n") > 2, F.struct("line", "n"))).alias("some"))
-    least = F.greatest(F.lit(3), F.floor(F.col("total") * 0.02))
-    repeated = packed.where("total >= 10").select(key, F.transform(F.filter("some", lambda x: x["n"] >= least), lambda x: x["line"]).alias("__gone"))
-    gone = F.coalesce("__gone", F.array().cast("array<string>"))
-    kept = F.array_join(F.filter(lines(text_col), lambda x: ~F.array_contains(gone, ws_strip(x))), "\n")
-    return docs.join(repeated, key, "left").withColumn(text_col, kept).drop("__gone")
+    return docs.withColumn(text_col, without_repeated_lines(text_col))
+
+
+def without_repeated_lines(c: Column | str) -> Column:
+    """The same of one text: its lines are sorted, so a line repeats so often if the one so many places on is the same."""
+
+    def kept(long: Column) -> Column:
+        least = F.greatest(F.lit(3), F.floor(F.size(long) * 0.02)).cast("int")
+        repeated = F.array_distinct(F.filter(long, lambda x, i: x == F.get(long, i + least - 1)))
+        gone = bound(repeated, lambda g: F.map_from_arrays(g, F.array_repeat(F.lit(True), F.size(g))))
+        return bound(gone, lambda g: F.array_join(F.filter(lines(c), lambda x: F.try_element_at(g, ws_strip(x)).isNull()), "\n"))
+
+    long_lines = F.array_sort(F.filter(F.transform(lines(c), ws_strip), lambda x: F.length(x) > 3))
+    return bound(long_lines, lambda long: F.when(F.size(long) >= 10, kept(long)).otherwise(col(c)))
 
 
 def clean_documents(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, text, original_chars, cleaned_chars, removed_percent): the whole cleaning."""
     c = F.coalesce(F.col(text_col), F.lit(""))
-    staged = docs.select(key, F.length(c).alias("original_chars"), drop_noise_lines(pre_clean(strip_artefacts(c))).alias("text"))
+    staged = spread(docs, key).select(key, F.length(c).alias("original_chars"), drop_noise_lines(pre_clean(strip_artefacts(c))).alias("text"))
     done = drop_repeated_lines(staged, key, "text").withColumn("text", squeeze("text"))
     return with_report(done)
 

@@ -78,12 +78,12 @@ def loss_curve(history: DataFrame) -> DataFrame:
     return points.join(last, ["run_id", "number"]).select("run_id", F.col("at").alias("step"), F.round("epoch", 3).alias("epoch"), F.round("loss", 4).alias("train_loss"), F.round("eval_loss", 4).alias("eval_loss"))
 
 
-def parse_metric_lines(lines: DataFrame) -> DataFrame:
-    """(trial, seq, loss, eval_loss) of log lines that are JSON or Python dicts; other lines have nulls."""
+def parse_metric_lines(lines: DataFrame, *keep: str) -> DataFrame:
+    """(trial, seq, loss, eval_loss) and the columns in `keep` of log lines that are JSON or Python dicts; other lines have nulls."""
     number = r"\s*:\s*([-+0-9.eE]+)"
     value = lambda key: F.nullif(F.regexp_extract("line", f"['\"]{key}['\"]{number}", 1), F.lit("")).try_cast("double")
     shown = F.startswith(F.col("line"), F.lit("{"))
-    return lines.select("trial", "seq", F.when(shown, value("loss")).alias("loss"), F.coalesce(F.when(shown, value("eval_loss")), F.nullif(F.regexp_extract("line", r"'eval_loss':\s*([\d.eE+\-]+)", 1), F.lit("")).try_cast("double")).alias("eval_loss"))
+    return lines.select("trial", "seq", *keep, F.when(shown, value("loss")).alias("loss"), F.coalesce(F.when(shown, value("eval_loss")), F.nullif(F.regexp_extract("line", r"'eval_loss':\s*([\d.eE+\-]+)", 1), F.lit("")).try_cast("double")).alias("eval_loss"))
 
 
 def last_metrics(parsed: DataFrame) -> DataFrame:
@@ -93,13 +93,13 @@ def last_metrics(parsed: DataFrame) -> DataFrame:
 
 
 def evaluations(parsed: DataFrame) -> DataFrame:
-    """(trial, seq, eval_no, eval_loss, train_loss, best, gap, previous_gap, first_gap): one row per new evaluation loss."""
+    """(trial, seq, eval_no, eval_loss, train_loss, best, gap, previous_gap, first_gap): one row per new evaluation loss; no gap before the first training loss."""
     by = Window.partitionBy("trial").orderBy("seq")
     before = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = parsed.withColumn("train_loss", F.last("loss", ignorenulls=True).over(before)).where("eval_loss IS NOT NULL")
     new = filled.withColumn("was", F.lag("eval_loss").over(by)).where("was IS NULL OR was <> eval_loss")
     out = new.withColumn("eval_no", F.row_number().over(by)).withColumn("best", F.min("eval_loss").over(before)).withColumn("gap", F.col("eval_loss") - F.col("train_loss"))
-    return out.withColumn("previous_gap", F.lag("gap").over(by)).withColumn("first_gap", F.first("gap").over(before)).drop("was", "loss")
+    return out.withColumn("previous_gap", F.lag("gap").over(by)).withColumn("first_gap", F.first("gap", ignorenulls=True).over(before)).drop("was", "loss")
 
 
 def early_stops(parsed: DataFrame, cross_trial_best: float | None = None) -> DataFrame:

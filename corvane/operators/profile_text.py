@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import col, lines, literal_set, nfkc, ratio, stripped_lines, word_count, word_tokens, words, ws_strip
+from corvane.functions.text import bound, col, literal_set, nfkc, ratio, repeats, spread, stripped_lines, word_count, word_tokens, words, ws_strip
 
 # Frequent words that mark a language, in the order in which ties are settled.
 LANGUAGE_MARKERS = {
@@ -40,21 +40,27 @@ def garbled_ratio(c: Column | str) -> Column:
     return F.when(c == "", 1.0).otherwise(ratio(bad, F.length(c)))
 
 
+def repeated_lines(c: Column | str) -> Column:
+    """struct<lines,repeated>: non-blank lines of a document, and how many of them occur more than once in it."""
+    return bound(F.array_sort(stripped_lines(_text(c))), lambda l: F.struct(F.size(l).alias("lines"), F.size(F.filter(l, lambda x, i: repeats(l, x, i))).alias("repeated")))
+
+
 def boilerplate_ratio(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """(key, line_count, boilerplate_ratio): share of non-blank lines that occur more than once in their document."""
-    each = docs.select(key, F.explode_outer(stripped_lines(_text(text_col))).alias("line"))
-    counts = each.groupBy(key, "line").agg(F.count("line").alias("n"))
-    sums = counts.groupBy(key).agg(F.sum("n").alias("line_count"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("repeated"))
-    return sums.select(key, "line_count", ratio(F.col("repeated"), F.col("line_count")).alias("boilerplate_ratio"))
+    counted = docs.select(key, repeated_lines(text_col).alias("l"))
+    return counted.select(key, F.col("l.lines").cast("bigint").alias("line_count"), ratio(F.col("l.repeated"), F.col("l.lines")).alias("boilerplate_ratio"))
 
 
 def language(c: Column | str) -> Column:
     """The language with most distinct marker words among the first characters; fewer than three: unknown."""
-    tokens = F.array_distinct(word_tokens(F.left(_text(c), F.lit(LANGUAGE_SAMPLE))))
-    votes = {k: F.size(F.array_intersect(tokens, literal_set(v))) for k, v in LANGUAGE_MARKERS.items()}
-    best = F.greatest(*votes.values())
-    won = reduce(lambda acc, kv: acc.when(kv[1] == best, F.lit(kv[0])), votes.items(), F.when(best < LANGUAGE_LEAST, F.lit("unknown")))
-    return won
+    tokens = word_tokens(F.left(_text(c), F.lit(LANGUAGE_SAMPLE)))
+    votes = lambda t: F.struct(*[F.size(F.array_intersect(literal_set(v), t)).alias(k) for k, v in LANGUAGE_MARKERS.items()])
+
+    def won(v: Column) -> Column:
+        best = F.greatest(*[v[k] for k in LANGUAGE_MARKERS])
+        return reduce(lambda acc, k: acc.when(v[k] == best, F.lit(k)), LANGUAGE_MARKERS, F.when(best < LANGUAGE_LEAST, F.lit("unknown")))
+
+    return bound(bound(tokens, votes), won)
 
 
 def sentences(c: Column | str, least: int = 6) -> Column:
@@ -64,8 +70,7 @@ def sentences(c: Column | str, least: int = 6) -> Column:
 
 
 def lexical_diversity(c: Column | str, sample: int = 500) -> Column:
-    first = F.slice(words(F.lower(_text(c))), 1, sample)
-    return ratio(F.size(F.array_distinct(first)), F.size(first))
+    return bound(F.slice(words(F.lower(_text(c))), 1, sample), lambda first: ratio(F.size(F.array_distinct(first)), F.size(first)))
 
 
 def structure_hints(c: Column | str) -> Column:
@@ -89,27 +94,28 @@ def snippets(c: Column | str) -> Column:
 def text_profile(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: counts, quality, language, sentence statistics, suitability, warnings, risk flags."""
     text = _text(text_col)
-    counts = F.col("words_per")
-    base = docs.select(key, text.alias("text")).withColumn("words_per", F.transform(sentences("text"), word_count))
-    n = F.size(counts)
-    total = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
-    short = F.length(ws_strip(F.col("text"))) < 50
+    stripped = ws_strip(F.col("text"))
+    measures = lambda p: F.struct(F.size(p).alias("n"), F.aggregate(p, F.lit(0), lambda a, x: a + x).alias("total"), F.size(F.filter(p, lambda x: x < 5)).alias("few"), F.size(F.filter(p, lambda x: x > 60)).alias("many"))
+    per_sentence = bound(F.transform(sentences("text"), word_count), measures)
+    counted = spread(docs.select(key, text.alias("text")), key).select(key, "text", per_sentence.alias("s"), repeated_lines("text").alias("l"), (F.length(stripped) < 50).alias("short"))
+    n, short = F.col("s.n"), F.col("short")
     zero = lambda x: F.when(short, 0.0).otherwise(x)
-    out = base.select(
+    out = counted.select(
         key,
         F.length("text").alias("char_count"),
         word_count("text").alias("word_count"),
-        F.size(F.filter(lines("text"), lambda x: ws_strip(x) != "")).alias("line_count"),
+        F.col("l.lines").alias("line_count"),
         garbled_ratio("text").alias("garbled_ratio"),
         F.when(short, "unknown").otherwise(language("text")).alias("language"),
         F.when(short, 0).otherwise(n).alias("sentence_count"),
-        zero(ratio(total, n)).alias("avg_sentence_length"),
-        zero(ratio(F.size(F.filter(counts, lambda x: x < 5)), n)).alias("short_sentence_ratio"),
-        zero(ratio(F.size(F.filter(counts, lambda x: x > 60)), n)).alias("long_sentence_ratio"),
+        zero(ratio(F.col("s.total"), n)).alias("avg_sentence_length"),
+        zero(ratio(F.col("s.few"), n)).alias("short_sentence_ratio"),
+        zero(ratio(F.col("s.many"), n)).alias("long_sentence_ratio"),
         zero(lexical_diversity("text")).alias("lexical_diversity"),
         short.alias("too_short"),
         (F.col("text") == "").alias("is_empty"),
-    ).join(boilerplate_ratio(docs, key, text_col).drop("line_count"), key, "left").na.fill(0.0, ["boilerplate_ratio"])
+        ratio(F.col("l.repeated"), F.col("l.lines")).alias("boilerplate_ratio"),
+    )
     diversity, shorts, mean, count = (F.col(x) for x in ("lexical_diversity", "short_sentence_ratio", "avg_sentence_length", "sentence_count"))
     rules = [(diversity < 0.3, 3, F.concat(F.lit("low_lexical_diversity:"), F.format_string("%.2f", diversity))), (shorts > 0.5, 2, F.concat(F.lit("many_short_fragments:"), F.format_string("%.0f%%", shorts * 100))), (mean < 5, 2, F.concat(F.lit("very_short_avg_sentence:"), F.format_string("%.1f", mean), F.lit("_words"))), (count < 5, 2, F.concat(F.lit("very_few_sentences:"), count.cast("string")))]
     lost = reduce(lambda a, b: a + b, [F.when(test, tenths).otherwise(0) for test, tenths, _ in rules])

@@ -51,8 +51,17 @@ def feasibility_findings(profiles: DataFrame) -> DataFrame:
     return profiles.select("file", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("file", "x.*")
 
 
+def verdict_counts(findings: DataFrame) -> DataFrame:
+    """One row: status (the worst), n_blocking and n_warnings; for any number of findings, whose messages stay rows."""
+    sums = findings.agg(F.max("severity").alias("worst"), F.count_if(F.col("severity") == 2).cast("int").alias("n_blocking"), F.count_if(F.col("severity") == 1).cast("int").alias("n_warnings"))
+    return sums.select(F.element_at(F.array(*[F.lit(s) for s in SEVERITY]), F.coalesce("worst", F.lit(0)) + 1).alias("status"), "n_blocking", "n_warnings")
+
+
 def merge_verdict(findings: DataFrame) -> DataFrame:
-    """One row: status (the worst), blocking_reasons and warnings in the order of files and rules; GO without findings."""
+    """One row for the files of one request: status (the worst), blocking_reasons and warnings in the order of files and rules; GO without findings.
+
+    All messages meet in this row; for a corpus, take verdict_counts and keep the findings as they are.
+    """
     packed = findings.agg(F.max("severity").alias("worst"), F.array_sort(F.collect_list(F.struct("file", "at", "severity", "message"))).alias("all"))
     of = lambda s: F.transform(F.filter("all", lambda x: x["severity"] == s), lambda x: x["message"])
     return packed.select(F.element_at(F.array(*[F.lit(s) for s in SEVERITY]), F.coalesce("worst", F.lit(0)) + 1).alias("status"), of(2).alias("blocking_reasons"), of(1).alias("warnings"))

@@ -309,7 +309,7 @@ def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     c AS (SELECT k AS chunk_id, CASE WHEN k = 0 THEN 0 ELSE k * greatest(1, size - lap) - lap END AS lo, k * greatest(1, size - lap) + size AS hi FROM p, range(0, (SELECT (n - 1) // greatest(1, size - lap) + 1 FROM p)) t(k))
     SELECT chunk_id::INT AS chunk_id, count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM r JOIN c ON i >= lo AND i < hi GROUP BY chunk_id""")
 def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.row_number().over(Window.orderBy("o_orderkey")) - 1).cast("bigint").alias("i"))
+    orders = chunk.numbered(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
     return chunk.row_chunks(orders, "i").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
 
 
@@ -426,7 +426,7 @@ def qa_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH RECURSIVE q AS (SELECT doc_id AS id, lower({strip("regexp_replace(split_part(text, chr(10), 1), '" + WS + "+', ' ', 'g')")}) AS n, {signature_sql("split_part(text, chr(10), 1)")} AS s FROM documents),
+    WITH RECURSIVE q AS (SELECT doc_id AS id, lower({strip("regexp_replace(text, '" + WS + "+', ' ', 'g')")}) AS n, {signature_sql("text")} AS s FROM documents),
     e AS (SELECT a.id AS i, b.id AS j, CASE WHEN a.n = b.n AND a.n <> '' THEN 1 WHEN length(a.n) >= 30 AND length(b.n) >= 30 AND left(a.n, 60) = left(b.n, 60) THEN 2 ELSE 3 END AS rule FROM q a JOIN q b ON a.id < b.id
         WHERE (a.n = b.n AND a.n <> '') OR (length(a.n) >= 30 AND length(b.n) >= 30 AND left(a.n, 60) = left(b.n, 60)) OR (len(a.s) > 0 AND len(b.s) > 0 AND 2 * greatest(len(a.s), len(b.s)) < 4 * least(len(a.s), len(b.s)) AND 2 * len(list_intersect(a.s, b.s)) > len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))),
     ids AS (SELECT j AS id, list(i) AS earlier, row_number() OVER (ORDER BY j) AS r FROM e GROUP BY j),
@@ -435,13 +435,6 @@ def qa_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules AS (SELECT j AS id, min(rule) AS drop_rule FROM e, fin WHERE list_contains(dropped, j) AND NOT list_contains(dropped, i) GROUP BY j)
     SELECT q.id AS pair_id, drop_rule::INT AS drop_rule FROM q LEFT JOIN rules USING (id)""")
 def dedup_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), F.substring_index("text", "\n", 1).alias("question"))
-    return dedup.lexical_dedup(items).select("pair_id", "drop_rule")
-
-
-@query()
-def dedup_lexical_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """dedup_lexical over whole texts; held against brute force in the tests."""
     items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), F.col("text").alias("question"))
     return dedup.lexical_dedup(items).select("pair_id", "drop_rule")
 
@@ -521,7 +514,7 @@ def verdict_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.cast("string").alias("file"), F.lit("txt").alias("file_kind"), F.lit(None).cast("bigint").alias("row_count"), F.size(profile_text.words("text")).alias("word_count"), F.lit(None).cast("int").alias("n_columns"), F.lit(None).cast("int").alias("mostly_null_columns"), F.lit(None).cast("int").alias("near_constant_columns"),
         F.lit(None).cast("double").alias("duplicate_ratio"), F.when(k % 50 == 0, 0.35).when(k % 50 == 1, 0.25).otherwise(0.0).alias("garbled_ratio"), F.when(k % 40 == 0, 0.6).otherwise(0.1).alias("boilerplate_ratio"), F.array().cast("array<string>").alias("risk_flags"),
     )
-    return verdicts.merge_verdict(verdicts.feasibility_findings(profiles)).select("status", F.size("blocking_reasons").alias("n_blocking"), F.size("warnings").alias("n_warnings"))
+    return verdicts.verdict_counts(verdicts.feasibility_findings(profiles))
 
 
 @query(f"""
@@ -646,20 +639,10 @@ def model_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.select("p_partkey", registry.incompatibility().alias("reason"), joined(registry.model_tasks()).alias("tasks"))
 
 
-@query("""
-    WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_cosine_similarity(v.embedding::DOUBLE[], q.e) AS score FROM embeddings v, q WHERE label % 2 = 0 AND vec_id <> 0)
-    SELECT vec_id, (row_number() OVER (ORDER BY score DESC, vec_id))::INT AS rank, round(score, 6) AS score FROM s ORDER BY score DESC, vec_id LIMIT 6""")
-def retrieval_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings")
-    first = v.where("vec_id = 0").select("embedding").first()
-    found = retrieval.top_k(v.where("label % 2 = 0 AND vec_id <> 0"), "embedding", list(first["embedding"]) if first else [0.0], 6, "vec_id")
-    return rounded(found.select("vec_id", "rank", "score"), "score")
-
-
 @query("""
     WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.e, q.e) AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id)
     SELECT query_id, vec_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 6""")
-def retrieval_top_k_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def retrieval_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row whose id is divisible by 50, against all rows but itself."""
     v = table(spark, sf_dir, "embeddings")
     return rounded(retrieval.top_k_each(v, v.where("vec_id % 50 = 0"), "embedding", 6, "vec_id"), "score")
@@ -670,7 +653,7 @@ def retrieval_top_k_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT model_id, cached FROM r WHERE NOT tried ORDER BY cached DESC, rank LIMIT 3""")
 def retrieval_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").withColumn("model_id", F.concat(F.lit("s"), F.col("s_suppkey").cast("string")))
-    ranked = s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("s_acctbal"), "s_suppkey"))).select("model_id", "rank")
+    ranked = chunk.numbered(s, F.desc("s_acctbal"), F.col("s_suppkey"), name="rank").select("model_id", "rank")
     return retrieval.candidates(ranked, s.where("s_suppkey % 5 = 0"), s.select("model_id", (F.col("s_suppkey") % 3 == 0).alias("cached"))).select("model_id", "cached")
 
 
@@ -777,13 +760,13 @@ def metric_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- curves and trials
 
-LOG_SQL = """log AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS iteration, value / 500 AS v, CASE WHEN event_id % 7 <> 0 THEN value / 100 END AS t, CASE WHEN event_id % 5 <> 0 THEN value / 90 + (event_id % 3) END AS e, event_type AS o FROM events QUALIFY iteration <= 6)"""
+LOG_SQL = """log AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS iteration, value / 500 AS v, CASE WHEN event_id % 7 <> 0 THEN value / 100 END AS t, CASE WHEN event_id % 5 <> 0 THEN value / 90 + (event_id % 3) END AS e, event_type AS o FROM events)"""
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as an improvement log: a run per user, an entry per event."""
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    e = table(spark, sf_dir, "events").withColumn("iteration", n).where("iteration <= 6")
+    e = table(spark, sf_dir, "events").withColumn("iteration", n)
     return e.select(F.col("user_id").alias("run_id"), "iteration", (F.col("value") / 500).alias("primary_metric_value"), F.when(F.col("event_id") % 7 != 0, F.col("value") / 100).alias("train_loss"), F.when(F.col("event_id") % 5 != 0, F.col("value") / 90 + F.col("event_id") % 3).alias("eval_loss"), F.create_map(F.lit("kind"), F.col("event_type")).alias("hparam_overrides"))
 
 
@@ -839,7 +822,7 @@ def trainer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVALS_SQL = LINES_SQL + """, f AS (SELECT *, last_value(loss IGNORE NULLS) OVER (PARTITION BY trial ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t FROM p),
     e AS (SELECT *, lag(eval_loss) OVER (PARTITION BY trial ORDER BY seq) AS was FROM f WHERE eval_loss IS NOT NULL),
     n AS (SELECT *, row_number() OVER w AS no, min(eval_loss) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best, eval_loss - t AS gap FROM e WHERE was IS NULL OR was <> eval_loss WINDOW w AS (PARTITION BY trial ORDER BY seq)),
-    g AS (SELECT *, lag(gap) OVER w AS pg, first_value(gap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fg FROM n WINDOW w AS (PARTITION BY trial ORDER BY seq)),
+    g AS (SELECT *, lag(gap) OVER w AS pg, first_value(gap IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fg FROM n WINDOW w AS (PARTITION BY trial ORDER BY seq)),
     r AS (SELECT trial, seq, best, CASE WHEN no >= 2 AND gap > pg AND gap > fg THEN 'divergence' WHEN best > 0.3 THEN 'cross_trial' END AS rule FROM g)"""
 
 

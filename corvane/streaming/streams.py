@@ -28,8 +28,9 @@ def early_stop_stream(lines: DataFrame) -> DataFrame:
     State per trial: last and best evaluation loss, first and previous gap, last training loss. Lines are taken in the
     order of seq inside a batch; after a stop further lines are ignored.
     """
-    parsed = parse_metric_lines(lines.withColumn("trial", F.col("trial").cast("string")))
-    joined = lines.select(F.col("trial").cast("string").alias("trial"), F.col("seq").cast("long").alias("seq"), "cross_trial_best", *[parse_expr(c) for c in ("loss", "eval_loss")]) if "cross_trial_best" in lines.columns else parsed.select("trial", F.col("seq").cast("long").alias("seq"), F.lit(None).cast("double").alias("cross_trial_best"), "loss", "eval_loss")
+    best_elsewhere = F.col("cross_trial_best").cast("double") if "cross_trial_best" in lines.columns else F.lit(None).cast("double")
+    typed = lines.select(F.col("trial").cast("string").alias("trial"), F.col("seq").cast("long").alias("seq"), best_elsewhere.alias("cross_trial_best"), "line")
+    parsed = parse_metric_lines(typed, "cross_trial_best")
 
     def step(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, best, first, previous, train, evals, stopped = state.get if state.exists else (None, None, None, None, None, 0, False)
@@ -56,11 +57,5 @@ def early_stop_stream(lines: DataFrame) -> DataFrame:
         state.update((last, best, first, previous, None if train is None else float(train), evals, stopped))
         yield pd.DataFrame(out, columns=["trial", "seq", "rule", "best"])
 
-    return joined.groupBy("trial").applyInPandasWithState(step, STOPS, STATE, "append", GroupStateTimeout.NoTimeout)
+    return parsed.groupBy("trial").applyInPandasWithState(step, STOPS, STATE, "append", GroupStateTimeout.NoTimeout)
 
-
-def parse_expr(key: str):
-    """A trainer line's number as an expression over `line`."""
-    shown = F.startswith(F.col("line"), F.lit("{"))
-    value = F.nullif(F.regexp_extract("line", f"['\"]{key}['\"]" + r"\s*:\s*([-+0-9.eE]+)", 1), F.lit("")).try_cast("double")
-    return F.when(shown, value).alias(key)

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import curves, history
@@ -134,6 +135,23 @@ def test_early_stop_stream_agrees_with_the_table(spark, tmp_path):
     assert {tuple(r) for r in spark.sql("SELECT * FROM stops").collect()} == STOPS
 
 
+@pytest.mark.parametrize("best", [None, 0.9])
+def test_early_stops_before_any_training_loss(spark, tmp_path, best):
+    """Gaps begin with the first training loss, for the stream and the table alike; lines of all forms go through one parser."""
+    lines = ["{'eval_loss': 1.0}", "{'loss': 0.5}", "{'eval_loss': 1.1}", 'x {"eval_loss": 9}', '{"eval_loss": 1.3}', "step 'eval_loss': 1.6"]
+    rows = [("a", i, x) for i, x in enumerate(lines)]
+    want = {("a", 0, "cross_trial", 1.0)} if best else {("a", 4, "divergence", 1.0)}
+    table = spark.createDataFrame(rows, "trial string, seq long, line string")
+    assert {tuple(r) for r in curves.early_stops(curves.parse_metric_lines(table), best).collect()} == want
+    table.withColumn("cross_trial_best", F.lit(best).cast("double")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("trial string, seq long, line string, cross_trial_best double").parquet(str(tmp_path / "in"))
+    name = f"early_{best is None}"
+    q = early_stop_stream(stream).writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "state")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {tuple(r) for r in spark.sql(f"SELECT * FROM {name}").collect()} == want
+
+
 def test_study(spark):
     rows = [(1, 0, 5.0), (1, 1, 4.0), (1, 2, 4.0), (1, 3, 6.0), (1, 4, 1.0), (2, 0, None), (2, 1, 3.0), (2, 2, float("inf"))]
     got = {r["study"]: (r["stopped_at"], r["best_number"]) for r in curves.study_stop(spark.createDataFrame(rows, "study int, number int, value double")).collect()}

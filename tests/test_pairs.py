@@ -88,7 +88,7 @@ def test_registered_lexical_dedup_reads_whole_texts(spark):
     sf = "/root/testdata/sf0.001"
     items = sorted((r["doc_id"], r["text"]) for r in catalog.table(spark, sf, "documents").collect())
     want = greedy(items)
-    assert {r["pair_id"]: r["drop_rule"] for r in catalog.QUERIES["dedup_lexical_whole"](spark, sf).collect()} == want
+    assert {r["pair_id"]: r["drop_rule"] for r in catalog.QUERIES["dedup_lexical"](spark, sf).collect()} == want
     assert want != greedy([(i, t.split("\n")[0]) for i, t in items]) and set(want.values()) > {None}
 
 

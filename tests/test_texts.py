@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import chunk, clean
@@ -118,3 +119,31 @@ def test_semantic_chunks_follow_boundaries(spark):
     split = spark.createDataFrame([(1, ["x" * 150, "y" * 150, "z" * 150], [1, 2])], "doc_id long, s array<string>, breaks array<int>")
     got = chunk.boundary_chunks(split, "doc_id", size=600).orderBy("chunk_id").collect()
     assert [len(r["text"]) for r in got] == [301, 150]  # the first break comes under 200 characters
+
+
+def test_rows_are_numbered_over_range_partitions(spark):
+    rows = [((i * 37) % 500, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(7)
+    got = chunk.numbered(df, F.desc("k"))
+    assert sorted((499 - r["k"], r["i"]) for r in got.collect()) == [(i, i) for i in range(500)] and got.columns == ["k", "v", "i"]
+    assert chunk.numbered(df.limit(0), "k").collect() == []
+
+
+def test_repeated_lines_within_a_row(spark):
+    texts = ["a\nb\na\n\n b \nc", "", None, "one", "\n".join(["long line"] * 3 + [f"line {i}" for i in range(9)]), "\n".join(["long line"] * 2 + [f"line {i}" for i in range(9)])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: (r["line_count"], round(r["boilerplate_ratio"], 6)) for r in P.boilerplate_ratio(df, "doc_id").collect()}
+    assert got == {0: (5, 0.8), 1: (0, 0.0), 2: (0, 0.0), 3: (1, 0.0), 4: (12, 0.25), 5: (11, 0.181818)}
+    kept = {r["doc_id"]: r["text"] for r in clean.drop_repeated_lines(df, "doc_id", "text").collect()}
+    assert kept[4] == "\n".join(f"line {i}" for i in range(9)) and all(kept[i] == texts[i] for i in (0, 1, 2, 3, 5))
+
+
+def test_intermediate_tables_need_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from corvane.operators import dedup
+
+    conf = SimpleNamespace(get=lambda *a: None, set=lambda *a: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf))
+    with pytest.raises(ValueError, match="share"):
+        dedup.written(SimpleNamespace(sparkSession=cluster), "x")
