@@ -298,11 +298,37 @@ def chunk_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.summary_chunks(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE x AS (SELECT doc_id, {sentence_list('text', 1)} AS s FROM documents),
+    s AS (SELECT doc_id, s, list_transform(range(0, len(s) + 1), lambda i: coalesce(list_sum(list_transform(s[1:i], lambda y: length(y) + 1)), 0)::BIGINT) AS p, len(s) AS n FROM x WHERE len(s) > 0),
+    step AS (
+        SELECT doc_id, 0 AS chunk_id, 0::BIGINT AS lo, greatest(1, len(list_filter(p[2:], lambda y: y - 1 <= 1500))) AS hi, 0::BIGINT AS again FROM s
+        UNION ALL
+        SELECT z.doc_id, chunk_id + 1, z.next, greatest(z.next + 1, len(list_filter(z.p[2:], lambda y: y - z.p[z.next + 1] - 1 <= 1500))), z.again FROM (
+            SELECT s.doc_id, s.p, chunk_id, s.p[hi + 1] - s.p[back + 1] AS again, greatest(back, lo + 1) AS next
+            FROM (SELECT step.*, greatest(lo, least(hi - 1, len(list_filter(s.p[1:hi], lambda y: s.p[hi + 1] - y - 1 > 200)))) AS back FROM step JOIN s USING (doc_id) WHERE hi < s.n) b JOIN s USING (doc_id)) z
+    )
+    SELECT doc_id, chunk_id, lo::INT AS start, hi::INT AS "end", array_to_string(s[lo + 1:hi], ' ') AS text, again::INT AS overlap_size FROM step JOIN s USING (doc_id)""")
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.fixed_chunks(table(spark, sf_dir, "documents"))
 
 
+@query(f"""
+    WITH RECURSIVE x AS (SELECT doc_id, {sentence_list('text', 1)} AS s FROM documents),
+    step AS (
+        SELECT doc_id, 1 AS i, 0 AS chunk_id, length(s[1]) AS used, false AS full_ FROM x WHERE len(s) > 0
+        UNION ALL
+        SELECT doc_id, i, chunk_id + opens::INT, CASE WHEN opens THEN n ELSE used + n + 1 END, NOT opens AND used + n + 1 > 3000 FROM (
+            SELECT step.doc_id, step.i + 1 AS i, chunk_id, used, length(s[step.i + 1]) AS n, full_ OR ((step.i % 3 = 0 OR used + length(s[step.i + 1]) + 1 > 3000) AND used >= 500) AS opens FROM step JOIN x USING (doc_id) WHERE step.i < len(s))
+    )
+    SELECT doc_id, chunk_id, string_agg(s[i], ' ' ORDER BY i) AS text FROM step JOIN x USING (doc_id) GROUP BY doc_id, chunk_id""")
+def chunk_by_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A boundary before every third sentence."""
+    split = table(spark, sf_dir, "documents").select("doc_id", profile_text.sentences("text", 1).alias("s"))
+    breaks = F.filter(F.sequence(F.lit(0), F.size("s")), lambda i: (i > 0) & (i % 3 == 0))
+    return chunk.boundary_chunks(split.withColumn("breaks", breaks), "doc_id")
+
+
 @query("""
     WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders),
     p AS (SELECT n, CASE WHEN n <= 50 THEN n WHEN n <= 200 THEN 50 WHEN n <= 1000 THEN 100 ELSE 200 END AS size, CASE WHEN n <= 50 THEN 0 WHEN n <= 200 THEN 5 WHEN n <= 1000 THEN 10 ELSE 20 END AS lap FROM (SELECT count(*) AS n FROM orders)),
@@ -501,6 +527,48 @@ def qa_page_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa_rules.triage_pages(pages, judged).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""
+    SELECT n_nationkey AS k, CASE n_nationkey % 4 WHEN 3 THEN '' ELSE 'q ' || n_name END AS question, CASE n_nationkey % 4 WHEN 3 THEN '' ELSE 'a' END AS answer,
+        CASE n_nationkey % 4 WHEN 3 THEN 'no tool' ELSE '{"tool": {"name": "' || n_name || '"}}' END AS call FROM nation""")
+def qa_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies with fences, bare line breaks in strings, single quotes or nothing; and the last call of a tool in a text."""
+    k, name = F.col("n_nationkey"), F.col("n_name")
+    record = lambda gap, q: F.concat(F.lit(f"[{{{q}question{q}: {q}q{gap}"), name, F.lit(f"{q}, {q}answer{q}: {q}a{q}, {q}confidence{q}: 0.5}}]"))
+    reply = F.when(k % 4 == 0, F.concat(F.lit("Sure:\n```json\n"), record(" ", '"'), F.lit("\n```"))).when(k % 4 == 1, record("\n", '"')).when(k % 4 == 2, record(" ", "'")).otherwise("nothing here")
+    text = F.when(k % 4 == 3, "{no} call").otherwise(F.concat(F.lit('{"tool": 1} then {"tool": {"name": "'), name, F.lit('"}} and {"other": 2}')))
+    first = F.get(qa_rules.parse_pairs(reply), 0)
+    return table(spark, sf_dir, "nation").select(k.alias("k"), F.coalesce(first["question"], F.lit("")).alias("question"), F.coalesce(first["answer"], F.lit("")).alias("answer"), F.coalesce(qa_rules.last_tool_call(text), F.lit("no tool")).alias("call"))
+
+
+@query("SELECT vec_id AS pair_id, CASE WHEN vec_id >= 400 THEN 'lexical' ELSE 'kept' END AS fate FROM embeddings")
+def dedup_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions that repeat from the 400th on, and vectors none of which are as near as 0.9."""
+    h = F.md5((F.col("vec_id") % 400).cast("string"))
+    question = F.concat_ws(" ", *[F.substring(h, 1 + 8 * i, 8) for i in range(4)])
+    items = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pair_id"), question.alias("question"), "embedding")
+    return dedup.two_stage_dedup(items, question_vector="embedding").select("pair_id", "fate")
+
+
+@query(f"""
+    WITH {PAIRS}, f AS (SELECT pair_id, question, source_file FROM pairs ORDER BY pair_id LIMIT 100)
+    SELECT pair_id, 'Say: ' || {strip('question')} AS question, source_file || '[eval]' AS source_file FROM f WHERE pair_id % 3 = 0""")
+def dedup_eval_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rephrased, unchanged and empty questions in turn."""
+    near, k = pairs(spark, sf_dir), F.col("pair_id") % 3
+    rephrased = near.select("pair_id", F.when(k == 0, F.concat(F.lit(" Say: "), F.col("question"))).when(k == 1, F.col("question")).otherwise(" ").alias("rephrased"))
+    return dedup.eval_pool(near, rephrased).select("pair_id", "question", "source_file")
+
+
+@query("""
+    WITH f AS (SELECT n_name, CASE WHEN n_nationkey % 2 = 0 THEN left(repeat('text of ' || n_name || ' ', 60), 600) ELSE repeat('word ', 20) || n_name END AS p FROM nation ORDER BY n_name LIMIT 3)
+    SELECT left(string_agg(p, chr(10) || chr(10) ORDER BY n_name), 3000) AS excerpt FROM f""")
+def qa_verdict_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("n_name")
+    summary = F.when(F.col("n_nationkey") % 2 == 0, name).otherwise(F.concat(F.lit("word " * 20), name))
+    files_ = table(spark, sf_dir, "nation").select(name.alias("filename"), summary.alias("summary"), F.repeat(F.concat(F.lit("text of "), name, F.lit(" ")), F.lit(60)).alias("text"))
+    return qa_rules.verdict_excerpt(files_)
+
+
 # ---------------------------------------------------------------- verdicts, export
 
 
@@ -526,6 +594,16 @@ def verdict_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("n_pairs", "volume", "diversity", "alignment", "score", "verdict"), "volume", "diversity", "score")
 
 
+@query("SELECT * FROM (VALUES ('two words', 'BLOCKED', 'prompt: too short', 0), ('a request of five words', 'BLOCKED', 'empty_text: no words', 1), ('', 'BLOCKED', 'prompt: too short', 0)) v(prompt, status, reason, n_warnings)")
+def verdict_assess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request over the same profiles with prompts vague and not."""
+    k = F.col("r_regionkey")
+    none = lambda t: F.lit(None).cast(t)
+    profiles = table(spark, sf_dir, "region").where("r_regionkey < 2").select(k.cast("string").alias("file"), F.lit("txt").alias("file_kind"), none("bigint").alias("row_count"), (k * 50).alias("word_count"), none("int").alias("n_columns"), none("int").alias("mostly_null_columns"), none("int").alias("near_constant_columns"), none("double").alias("duplicate_ratio"), F.lit(0.0).alias("garbled_ratio"), (k * 0.6).alias("boilerplate_ratio"), F.array().cast("array<string>").alias("risk_flags"))
+    each = [verdicts.assess(profiles, p).select(F.lit(p).alias("prompt"), "status", F.get("blocking_reasons", 0).alias("reason"), F.size("warnings").alias("n_warnings")) for p in ("two words", "a request of five words", "")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
 GOALS = ["Chat about wine", "résumé my reports, summarise them", "label the tickets", "write code", "answer questions", "TL;DR please", ""]
 
 
@@ -657,6 +735,43 @@ def retrieval_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.candidates(ranked, s.where("s_suppkey % 5 = 0"), s.select("model_id", (F.col("s_suppkey") % 3 == 0).alias("cached"))).select("model_id", "cached")
 
 
+@query("""
+    WITH x AS (SELECT n_nationkey AS k, n_name AS name, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_nationkey * 3000 END AS words FROM nation)
+    SELECT k, CASE WHEN k % 5 = 0 THEN 'very small dataset' WHEN words < 5000 THEN 'small dataset' WHEN words < 50000 THEN 'medium dataset' ELSE 'large dataset' END AS size,
+        'Task: qa. ' || CASE WHEN k % 2 = 0 THEN 'Domain: ' || name || '. ' ELSE '' END || 'Data language: en. Modality: text. Dataset: d. Objective: speed. Hardware: ' || k || 'GB VRAM available. Select a model that fits within VRAM and performs well on the task.' AS query,
+        'Model: ' || name || '. Parameters: ' || k || '.0B. Supported tasks: ' || CASE WHEN k % 2 = 0 THEN 'a, b' ELSE 'text-generation' END || '. Supported languages: en. Tags: ' || CASE WHEN k % 3 = 0 THEN 'x' ELSE '' END || '.' AS card FROM x""")
+def retrieval_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, name = F.col("n_nationkey"), F.col("n_name")
+    empty = F.array().cast("array<string>")
+    n = table(spark, sf_dir, "nation").withColumns({"model_id": name, "parameters_b": k.cast("double"), "supported_tasks": F.when(k % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(empty), "supported_languages": empty, "tags": F.when(k % 3 == 0, F.array(F.lit("x")))})
+    size = retrieval.size_class(F.when(k % 5 != 0, k * 3000), F.when(k % 5 == 0, k))
+    query_ = retrieval.query_text(F.lit("qa"), F.when(k % 2 == 0, name), F.lit(""), F.lit("en"), F.lit("text"), F.lit("d"), F.lit("speed"), k)
+    return n.select(k.alias("k"), size.alias("size"), query_.alias("query"), retrieval.card_text().alias("card"))
+
+
+@query("""
+    SELECT n_nationkey AS k, CASE WHEN n_nationkey % 7 = 6 THEN 3 ELSE greatest(2, least(CASE n_nationkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 4 WHEN 2 THEN 6 ELSE 4 END, n_nationkey % 7)) END::INT AS trials, 1 AS single,
+        CASE WHEN n_nationkey % 3 = 2 THEN 8.0 WHEN n_nationkey % 3 = 1 THEN 4.0 ELSE n_nationkey END::DOUBLE AS rank, CASE WHEN n_nationkey % 3 = 0 THEN 0.1 ELSE 0.3 END::DOUBLE AS decay,
+        CASE WHEN n_nationkey / 10 < 1.2 THEN 'cpu' WHEN n_nationkey / 10 < 1.5 THEN 'gpu_4bit' WHEN n_nationkey / 10 < 2.5 THEN 'gpu_8bit' ELSE 'gpu_half' END AS device, 'a' AS shown FROM nation""")
+def model_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Advice complete, with a value that is no number, and overridden; trial counts; devices; configurations without private keys."""
+    k = F.col("n_nationkey")
+    keys = ["lora_rank", "lora_alpha", "lora_dropout", "learning_rate", "num_train_epochs", "warmup_ratio", "weight_decay"]
+    said = F.create_map(*[x for n in keys for x in (F.lit(n), F.when((k % 3 == 1) & F.lit(n == "lora_alpha"), "none").otherwise(k.cast("string") if n == "lora_rank" else F.lit("0.1")))])
+    base = F.create_map(*[x for n in keys for x in (F.lit(n), F.lit(4.0 if n == "lora_rank" else 0.3))])
+    over = F.when(k % 3 == 2, F.create_map(F.lit("lora_rank"), F.lit(8.0), F.lit("weight_decay"), F.lit(0.3)))
+    got = registry.advised_parameters(said, base, over)
+    objective = F.element_at(F.array(*[F.lit(x) for x in ("speed", "balanced", "quality", "other")]), (k % 4 + 1).cast("int"))
+    advised = F.when(k % 7 != 6, (k % 7).cast("int"))
+    config = registry.public_config(F.create_map(F.lit("a"), F.lit("1"), F.lit("_b"), F.lit("2")))
+    return table(spark, sf_dir, "nation").select(k.alias("k"), registry.trial_count(objective, advised).cast("int").alias("trials"), registry.trial_count(objective, advised, single=True).alias("single"), got["lora_rank"].alias("rank"), got["weight_decay"].alias("decay"), registry.device_policy(k / 10).alias("device"), joined(F.map_keys(config)).alias("shown"))
+
+
+@query("SELECT p_size::VARCHAR AS model_id, sum(p_partkey * 2000) >= 104857600 AS cached FROM part GROUP BY p_size")
+def model_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.is_cached(table(spark, sf_dir, "part").select(F.col("p_size").cast("string").alias("model_id"), (F.col("p_partkey") * 2000).alias("length")))
+
+
 # ---------------------------------------------------------------- metrics
 
 SCORED = PAIRS + ", scored AS (SELECT pair_id, answer AS r, CASE pair_id % 4 WHEN 0 THEN answer WHEN 1 THEN left(answer, 200) || ' ' || question WHEN 2 THEN question ELSE '' END AS g FROM pairs)"
@@ -684,7 +799,15 @@ def metric_rouge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.rouge(scored_pairs(spark, sf_dir), "pair_id", with_l=False), "rouge1", "rouge2")
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {SCORED}, tok AS (SELECT pair_id, regexp_extract_all(lower(r), '[a-z0-9]+') AS tr, regexp_extract_all(lower(g), '[a-z0-9]+') AS tg FROM scored),
+    walk AS (
+        SELECT pair_id, 0 AS i, list_transform(range(0, len(tg) + 1), lambda j: 0) AS row FROM tok
+        UNION ALL
+        SELECT pair_id, i + 1, list_reduce(list_transform(range(1, len(tg) + 1), lambda j: CASE WHEN tr[i + 1] = tg[j] THEN row[j] + 1 ELSE row[j + 1] END), lambda acc, x: list_append(acc, greatest(acc[-1], x)), [0])
+        FROM walk JOIN tok USING (pair_id) WHERE i < len(tr) AND len(tg) > 0
+    ), last AS (SELECT pair_id, max(row[-1]) AS l FROM walk GROUP BY pair_id)
+    SELECT pair_id, round(CASE WHEN len(tr) + len(tg) = 0 THEN 0 ELSE 2 * l / (len(tr) + len(tg)) END, 6)::DOUBLE AS "rougeL" FROM tok JOIN last USING (pair_id)""")
 def metric_rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.rouge(scored_pairs(spark, sf_dir), "pair_id").select("pair_id", "rougeL"), "rougeL")
 
@@ -758,6 +881,17 @@ def metric_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("pair_id", metrics.strip_generation(F.concat("question", F.left("answer", F.lit(20)), F.lit("<|im_end|>\nmore")), "question").alias("text"))
 
 
+@query("""
+    SELECT n_nationkey AS k, CASE WHEN n_nationkey % 3 < 2 THEN least(1, n_nationkey / 10) END::DOUBLE AS good, CASE WHEN n_nationkey % 3 < 2 THEN greatest(0, n_nationkey / 20 - 0.3) END::DOUBLE AS acceptable, length(n_name) AS scored FROM nation""")
+def metric_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds of replies, some out of range or missing; and the column of a scorer that is given."""
+    k = F.col("n_nationkey")
+    both = F.concat(F.lit('So {"good_threshold": '), (k / 10).cast("string"), F.lit(', "acceptable_threshold": "'), (k / 20 - 0.3).cast("string"), F.lit('"} it is'))
+    reply = F.when(k % 3 < 2, both).otherwise('{"good_threshold": 0.5}')
+    n = metrics.optional_score(table(spark, sf_dir, "nation"), lambda df, of: df.withColumn("scored", F.length(of).cast("bigint")), of="n_name")
+    return metrics.optional_score(n).select(k.alias("k"), metrics.parse_thresholds(reply).alias("t"), "scored").select("k", F.round("t.good", 9).alias("good"), F.round("t.acceptable", 9).alias("acceptable"), "scored")
+
+
 # ---------------------------------------------------------------- curves and trials
 
 LOG_SQL = """log AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS iteration, value / 500 AS v, CASE WHEN event_id % 7 <> 0 THEN value / 100 END AS t, CASE WHEN event_id % 5 <> 0 THEN value / 90 + (event_id % 3) END AS e, event_type AS o FROM events)"""
@@ -942,6 +1076,13 @@ def history_fatal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", history.is_fatal(text).alias("fatal"))
 
 
+@query("""SELECT '{"o_orderkey":' || o_orderkey || ',"x":{"d":"' || o_orderstatus || '"},"l":[{"d":1}]}' AS result FROM orders""")
+def history_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with messages on every level."""
+    said = F.lit("m").alias("messages")
+    return history.sanitised(table(spark, sf_dir, "orders").select("o_orderkey", said, F.struct(said, F.col("o_orderstatus").alias("d")).alias("x"), F.array(F.struct(F.lit(1).alias("d"), said)).alias("l")))
+
+
 FILES = ["a.CSV", "b.pdf", "c.txt", "d.xlsx", "e.xlsm", "f.docx", "noext"]
 
 
