@@ -37,6 +37,8 @@ MARK = "▁"
 EM_ROUNDS = 3
 ALPHA = 0.05
 BUCKET_BYTES = 16 << 20
+#: Words that a task sums over at once.
+AT_ONCE = 1 << 17
 #: Buckets that ask for a word in one row.
 GROUPED = 4096
 LEADING_BITS = 20
@@ -242,6 +244,18 @@ def _lattice(sent) -> Lattice:
     return lattice
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about AT_ONCE: words are summed over by their length, many of one length at a time."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= AT_ONCE:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def fit_weights(words: DataFrame, vocabulary: list[tuple[str, float]], rounds: int = EM_ROUNDS) -> tuple[np.ndarray, float] | None:
     """Weights of the pieces and of the word end after expectation-maximisation over all distinct training words. words: word, c."""
     spark = words.sparkSession
@@ -251,7 +265,7 @@ def fit_weights(words: DataFrame, vocabulary: list[tuple[str, float]], rounds: i
 
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             lattice, total, seen = None, None, 0
-            for b in batches:
+            for b in _gathered(batches):
                 lattice = lattice or _lattice(sent)
                 got = lattice.expected(b.column(0).to_pylist(), np.ones(b.num_rows))
                 total, seen = got if total is None else total + got, seen + b.num_rows
@@ -278,7 +292,7 @@ def with_log_p(words: DataFrame, vocabulary: list[tuple[str, float]], weights: t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = None
-        for b in batches:
+        for b in _gathered(batches):
             lattice = lattice or _lattice(sent)
             said = b.column(0).to_pylist()
             p = lattice.log_probabilities(said) / math.log(10)
