@@ -32,11 +32,11 @@ from pyspark.sql.window import Window
 from .store import small_batches, tidied
 from .words import text_pieces
 
-SAMPLE_ROWS, SAMPLE_CHARS = 64, 1 << 18
+SAMPLE_ROWS, SAMPLE_CHARS = 64, 1 << 16
 #: Languages in a model, and characters of all their samples together.
-MOST_LANGUAGES, ALL_CHARS = 512, 1 << 21
+MOST_LANGUAGES, ALL_CHARS = 512, 1 << 20
 #: Bytes of a model that may be sent to the executors.
-MODEL_BYTES = 1 << 29
+MODEL_BYTES = 1 << 30
 PIECE = 1024
 #: Samples shorter than this count as so long, or tiny samples would look predictive.
 LEAST_SAMPLE = 2048
@@ -143,7 +143,7 @@ def fit(samples: dict[str, list[str]]) -> Model:
         roots.append(at * width)
         at += len(to)
     key, target = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (keys, targets))
-    bits = max(4, int(2 * len(key)).bit_length())
+    bits = max(4, int(6 * len(key)).bit_length())
     table = np.full((1 << bits, 2), _EMPTY)
     open_, slot = np.arange(len(key)), ((key * _FACTOR) >> np.uint64(64 - bits)).view(np.int64)
     while len(open_):
