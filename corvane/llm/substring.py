@@ -177,7 +177,7 @@ def _reduced(rows: DataFrame) -> DataFrame:
             again = ((doc != doc[at]) | (start != start[at]) | (version != version[at])) & ~first
             first[:own] = False
             if first.any():
-                yield _rows(2, *(x[first] for x in cols))
+                yield _rows(2, m[first], np.zeros(int(first.sum()), np.int64), *(x[first] for x in cols[2:]))
             if again.any():
                 yield _repeats(*(x[again] for x in (doc, version, start, n)), *(x[at[again]] for x in (doc, version, start)))
 
