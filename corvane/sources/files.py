@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -57,21 +59,32 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
+def encoding_of(start: bytes, cut: bool = True) -> str:
+    """By a file's bytes: a byte order mark decides, else strict UTF-8 (whose last character may be missing bytes if the file was cut), else Windows-1252 if it has no undefined bytes, else UTF-8 with replacement."""
+    if start[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return "UTF-16"
+    for end in range(len(start), max(len(start) - (4 if cut else 1), -1), -1):
+        try:
+            start[:end].decode("utf-8")
+            return "UTF-8"
+        except UnicodeDecodeError:
+            pass
+    try:
+        start.decode("cp1252")
+        return "windows-1252"
+    except UnicodeDecodeError:
+        return "UTF-8"
+
+
 @F.pandas_udf(T.StringType())
 def decode_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Bytes as text: a byte order mark decides, else strict UTF-8, else Windows-1252 if it has no undefined bytes, else UTF-8 with replacement."""
+    """Bytes as text, by encoding_of the whole."""
 
     def decode(b: bytes | None) -> str | None:
         if b is None:
             return None
-        if b[:2] in (b"\xff\xfe", b"\xfe\xff"):
-            return b.decode("utf-16", "replace")
-        for encoding in ("utf-8-sig", "cp1252"):
-            try:
-                return b.decode(encoding)
-            except UnicodeDecodeError:
-                pass
-        return b.decode("utf-8", "replace")
+        encoding = encoding_of(b, cut=False)
+        return b.decode("utf-8-sig" if encoding == "UTF-8" else encoding, "replace")
 
     for s in batches:
         yield s.map(decode)
@@ -82,22 +95,37 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return read_files(spark, path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), decode_text("content").alias("text"))
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", infer: bool = True) -> DataFrame:
-    """A delimited table by the delimiter that gives its header most columns (two at least; the first tried wins ties); bad cells are null, long rows cut."""
-    header = spark.read.option("encoding", encoding).text(path).first()
-    if header is None:
+HEAD_LINES, HEAD_BYTES = 200, 1 << 16
+
+
+def file_head(spark: SparkSession, path: str) -> bytes:
+    """The bytes of a file's first lines; nothing else of it reaches the driver."""
+    lines = spark.read.option("lineSep", "\n").text(path).limit(HEAD_LINES).select(F.substring(F.col("value").cast("binary"), 1, HEAD_BYTES).alias("value")).collect()
+    return b"\n".join(bytes(r["value"]) for r in lines)[:HEAD_BYTES]
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, infer: bool = True) -> DataFrame:
+    """A delimited table by the delimiter that gives its header most columns (two at least; the first tried wins ties); bad cells are null, long rows cut.
+
+    Without a given encoding, the file's first bytes tell it. A quoted header may span lines.
+    """
+    head = file_head(spark, path)
+    encoding = encoding or encoding_of(head)
+    header = head.decode("utf-8-sig" if encoding.upper() == "UTF-8" else encoding, "replace")
+    if not header.strip():
         raise ValueError(f"no delimiter fits {path}: it is empty")
-    widths = {d: len(next(iter(pd.read_csv(_line(header[0]), sep=d, header=None, dtype=str, engine="python").itertuples(index=False)))) for d in DELIMITERS}
+    widths = {d: len(next(csv.reader(io.StringIO(header), delimiter=d))) for d in DELIMITERS}
     best = max(DELIMITERS, key=lambda d: widths[d])
     if widths[best] < 2:
         raise ValueError(f"no delimiter fits {path}")
-    return spark.read.csv(path, sep=best, header=True, inferSchema=infer, encoding=encoding, mode="PERMISSIVE", quote='"', escape='"', multiLine=True, samplingRatio=None)
-
-
-def _line(text: str):
-    import io
-
-    return io.StringIO(text.lstrip("﻿"))
+    windows = encoding.lower() in ("windows-1252", "cp1252")  # not read by Spark itself: ISO-8859-1 but for one block
+    found = spark.read.csv(path, sep=best, header=True, inferSchema=infer, encoding="ISO-8859-1" if windows else encoding, mode="PERMISSIVE", quote='"', escape='"', multiLine=True, samplingRatio=None)
+    if not windows:
+        return found
+    other = {chr(b): bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
+    old, new = ("".join(x) for x in zip(*[(a, b) for a, b in other.items() if b], strict=True))
+    name = lambda c: c.translate(str.maketrans(old, new))
+    return found.select(*[(F.translate(F.col(f"`{f.name}`"), old, new) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")).alias(name(f.name)) for f in found.schema.fields])
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -161,12 +189,15 @@ def extract_documents(files: DataFrame, extractor: Callable[[bytes], str] | None
 
 
 def reuse(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table at path if it can be read, else made, written there and read."""
-    from pyspark.errors import AnalysisException
+    """The table at path if all of it can be read, else (absent or damaged) made, written there and read."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
 
     try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+        found = spark.read.parquet(path)
+        found.write.format("noop").mode("overwrite").save()
+        return found
+    except (PySparkException, Py4JJavaError):
         make().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 

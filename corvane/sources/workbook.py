@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators.profile_table import column_profile, duplicate_rows, table_warnings
+
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
 ROWS = "path string, sheet string, sheet_no int, row_no int, cells array<string>"
 
@@ -89,7 +91,16 @@ def workbook_tables(rows: DataFrame, path: str) -> tuple[dict[str, DataFrame], s
     return tables, longest
 
 
+def workbook_warnings(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row: the warnings and risk flags of all sheets together, sorted and distinct."""
+    each = [table_warnings(column_profile(t.drop("row_no")), duplicate_rows(t.drop("row_no")), sheet=True) for t in tables.values()]
+    both = reduce(DataFrame.unionByName, each)
+    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return both.agg(united("warnings"), united("risk_flags"))
+
+
 def workbook_sample(tables: dict[str, DataFrame], most: int = 300) -> DataFrame:
-    """Rows of all sheets together with `_sheet`, at most so many."""
-    parts = [t.drop("row_no").select(F.lit(s).alias("_sheet"), *[F.col(f"`{c}`").cast("string").alias(c) for c in t.columns if c != "row_no"]) for s, t in tables.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).limit(most)
+    """Rows of all sheets together with `_sheet`, at most so many, in the order of sheets and rows."""
+    parts = [t.select(F.lit(i).alias("__sheet_no"), "row_no", F.lit(s).alias("_sheet"), *[F.col(f"`{c}`").cast("string").alias(c) for c in t.columns if c != "row_no"]) for i, (s, t) in enumerate(tables.items())]
+    united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return united.orderBy("__sheet_no", "row_no").limit(most).drop("__sheet_no", "row_no")

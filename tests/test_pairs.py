@@ -124,3 +124,36 @@ def test_first_independent_of_clique_and_path(spark):
     cliques = [("k", i) for i in range(5)] + [("p1", 4), ("p1", 9), ("p2", 9), ("p2", 10)]
     got = {r["id"]: r["dropped"] for r in dedup.first_independent(spark.createDataFrame(cliques, "g string, id long")).collect()}
     assert got == {0: False, 1: True, 2: True, 3: True, 4: True, 9: False, 10: True}
+
+
+def test_cosine_pairs_match_all_pairs(spark, monkeypatch):
+    """Clustered, repeated, zero and short vectors; small blocks and few lists."""
+    import numpy as np
+
+    from corvane.operators import dedup
+
+    monkeypatch.setattr(dedup, "PIVOTS", 9)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(6, 8))
+    rows = [(i, (centres[i % 6] + rng.normal(size=8) * 0.4).tolist()) for i in range(120)]
+    rows += [(200 + i, rows[i % 3][1]) for i in range(30)] + [(300, [0.0] * 8), (301, None), (302, [1.0, 2.0]), (303, [2.0, 4.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    good = [(i, np.array(v)) for i, v in rows if v and any(v)]
+    cos = lambda x, y: float(x @ y / np.sqrt((x @ x) * (y @ y)))
+    want = {(i, j) for i, x in good for j, y in good if i < j and len(x) == len(y) and cos(x, y) >= 0.9}
+    assert {tuple(r) for r in dedup.cosine_pairs(df, "id", "v", 0.9, block=16).collect()} == want
+    kept = []
+    for i, x in sorted(good, key=lambda r: r[0]):
+        if not any(len(x) == len(y) and cos(x, y) >= 0.9 for _, y in kept):
+            kept.append((i, x))
+    fates = {r["id"]: r["fate"] for r in dedup.semantic_dedup(df, "id", "v", least_question=0.9).collect()}
+    assert {i for i, f in fates.items() if f == "kept"} == {i for i, _ in kept} | {300, 301}
+
+
+def test_copies_cost_no_pairs(spark):
+    from corvane.operators import dedup
+
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(3000)], "id long, v array<double>")
+    assert dedup.cosine_cliques(df, "id", "v", 0.9).count() == 3000
+    text = spark.createDataFrame([(i, f"question {i} about gardens weather kitchens") for i in range(3000)], "pair_id long, question string")
+    assert dedup.jaccard_cliques(text.selectExpr("pair_id AS id", "array('gardens', 'weather') AS sig")).count() == 3000

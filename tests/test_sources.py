@@ -144,3 +144,47 @@ def test_prepare_end_to_end(spark):
     assert out.verdict.first()["status"] in ("GO", "WARNING", "BLOCKED")
     n = out.records.count()
     assert 0 < n <= out.chunks.count() and {r["split"] for r in out.records.select("split").distinct().collect()} == {"train", "val", "test"}
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "cp1252", "utf-8-sig", "utf-16"])
+def test_csv_encoding_is_found(spark, tmp_path, encoding):
+    path = tmp_path / "t.csv"
+    path.write_bytes('"né\nle";"prix"\nété;3\nœuf;4\n'.encode(encoding))
+    got = files.read_csv(spark, str(path))
+    assert got.columns == ["né\nle", "prix"] and [tuple(r) for r in got.collect()] == [("été", 3), ("œuf", 4)]
+
+
+def test_encodings_of_first_bytes():
+    assert files.encoding_of(b"caf\xe9", cut=False) == "windows-1252"
+    assert [files.encoding_of(x) for x in (b"", b"abc", "aé".encode()[:2], b"caf\xe9 au lait", b"\x81\x8d", b"\xff\xfea\x00")] == ["UTF-8", "UTF-8", "UTF-8", "windows-1252", "UTF-8", "UTF-16"]
+
+
+def test_a_damaged_table_is_made_again(spark, tmp_path):
+    make = lambda: spark.range(5)
+    folder = tmp_path / "p"
+    assert files.reuse(spark, str(folder), make).count() == 5
+    for f in folder.glob("*.parquet"):
+        f.write_bytes(b"PAR1 broken")
+    for f in folder.glob(".*.crc"):
+        f.unlink()
+    assert files.reuse(spark, str(folder), make).count() == 5
+
+
+def test_folders_of_json_and_cards(spark, tmp_path):
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "b.json").write_text('{"a": 2}')
+    (tmp_path / "j" / "a.json").write_text('{"a":\n 1}')
+    (tmp_path / "j" / "c.json").write_text("{broken")
+    assert [(r["a"], r["filename"]) for r in files.read_json_folder(spark, str(tmp_path / "j"), "a int").orderBy("filename").collect() if r["a"] is not None] == [(1, "a.json"), (2, "b.json")]
+    (tmp_path / "cards.json").write_text('[{"model_id": "m", "tags": ["x"]}, {"model_id": "n"}]')
+    assert sorted(r["model_id"] for r in files.read_cards(spark, str(tmp_path / "cards.json")).collect()) == ["m", "n"]
+
+
+def test_warnings_of_sheets_are_united(spark):
+    one = spark.createDataFrame([(i, "same", float(i)) for i in range(200)], "row_no int, a string, b double")
+    two = spark.createDataFrame([(1, "x")] * 5, "row_no int, c string")
+    got = workbook.workbook_warnings({"one": one, "two": two}).first()
+    assert "low_variance_column:a" in got["warnings"] and "small_dataset_rows:5" in got["warnings"] and "duplicate_rows:1.0000" in got["warnings"]
+    assert "high_duplicate_row_ratio" in got["risk_flags"]
+    sample = workbook.workbook_sample({"one": one.repartition(4), "two": two}, 202).collect()
+    assert [r["_sheet"] for r in sample] == ["one"] * 200 + ["two"] * 2 and [r["b"] for r in sample[:3]] == ["0.0", "1.0", "2.0"]
