@@ -212,3 +212,9 @@ def is_cached(files: DataFrame) -> DataFrame:
 def public_config(config: Column) -> Column:
     """A map without the keys that begin with an underscore."""
     return F.map_filter(config, lambda k, _: ~F.startswith(k, F.lit("_")))
+
+
+def config_preview(config: Column) -> Column:
+    """The public settings of a configuration as `--key value`, in the order of keys."""
+    kept = F.array_sort(F.map_entries(public_config(config)))
+    return F.array_join(F.transform(kept, lambda e: F.concat(F.lit("--"), e["key"], F.lit(" "), F.coalesce(e["value"], F.lit("")))), " ")

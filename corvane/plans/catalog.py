@@ -132,6 +132,19 @@ def profile_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_table.table_warnings(profile_table.column_profile(some), profile_table.duplicate_rows(some)).select(joined("warnings").alias("warnings"), joined("risk_flags").alias("risk_flags"))
 
 
+@query("""
+    WITH d AS (SELECT count(*) AS k FROM customer GROUP BY c_nationkey, c_mktsegment), r AS (SELECT sum(k) AS n, coalesce(sum(k) FILTER (k > 1), 0) / sum(k) AS r, count(*) AS m FROM d),
+    w AS (SELECT 'duplicate_rows:' || printf('%.4f', r) AS x FROM r WHERE r >= 0.1 UNION ALL SELECT 'low_variance_column:c_mktsegment' FROM r WHERE n >= 500 UNION ALL SELECT 'low_variance_column:c_nationkey' FROM r WHERE n >= 2500),
+    f AS (SELECT 'high_duplicate_row_ratio' AS x FROM r WHERE r >= 0.1 UNION ALL SELECT 'near_constant_column:c_mktsegment' FROM r WHERE n >= 500 UNION ALL SELECT 'near_constant_column:c_nationkey' FROM r WHERE n >= 2500)
+    SELECT 'sheet' AS sheet, (SELECT string_agg(x, '|' ORDER BY x) FROM w) AS warnings, (SELECT string_agg(x, '|' ORDER BY x) FROM f) AS risk_flags
+    UNION ALL SELECT 'empty', 'sheet_empty|small_dataset_rows:0', 'empty_sheet'""")
+def profile_sheet_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The workbook variant: a sheet with rows, and one without."""
+    some = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment")
+    each = [profile_table.table_warnings(profile_table.column_profile(t, sheet=True), profile_table.duplicate_rows(t), sheet=True).select(F.lit(name).alias("sheet"), joined("warnings").alias("warnings"), joined("risk_flags").alias("risk_flags")) for name, t in (("sheet", some), ("empty", some.where("false")))]
+    return each[0].unionByName(each[1])
+
+
 @query("""
     WITH v AS (
         SELECT 'o_orderstatus' AS "column", o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL
@@ -752,7 +765,7 @@ def retrieval_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     SELECT n_nationkey AS k, CASE WHEN n_nationkey % 7 = 6 THEN 3 ELSE greatest(2, least(CASE n_nationkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 4 WHEN 2 THEN 6 ELSE 4 END, n_nationkey % 7)) END::INT AS trials, 1 AS single,
         CASE WHEN n_nationkey % 3 = 2 THEN 8.0 WHEN n_nationkey % 3 = 1 THEN 4.0 ELSE n_nationkey END::DOUBLE AS rank, CASE WHEN n_nationkey % 3 = 0 THEN 0.1 ELSE 0.3 END::DOUBLE AS decay,
-        CASE WHEN n_nationkey / 10 < 1.2 THEN 'cpu' WHEN n_nationkey / 10 < 1.5 THEN 'gpu_4bit' WHEN n_nationkey / 10 < 2.5 THEN 'gpu_8bit' ELSE 'gpu_half' END AS device, 'a' AS shown FROM nation""")
+        CASE WHEN n_nationkey / 10 < 1.2 THEN 'cpu' WHEN n_nationkey / 10 < 1.5 THEN 'gpu_4bit' WHEN n_nationkey / 10 < 2.5 THEN 'gpu_8bit' ELSE 'gpu_half' END AS device, 'a|c' AS shown, '--a 1 --c 3' AS preview FROM nation""")
 def model_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Advice complete, with a value that is no number, and overridden; trial counts; devices; configurations without private keys."""
     k = F.col("n_nationkey")
@@ -763,8 +776,8 @@ def model_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = registry.advised_parameters(said, base, over)
     objective = F.element_at(F.array(*[F.lit(x) for x in ("speed", "balanced", "quality", "other")]), (k % 4 + 1).cast("int"))
     advised = F.when(k % 7 != 6, (k % 7).cast("int"))
-    config = registry.public_config(F.create_map(F.lit("a"), F.lit("1"), F.lit("_b"), F.lit("2")))
-    return table(spark, sf_dir, "nation").select(k.alias("k"), registry.trial_count(objective, advised).cast("int").alias("trials"), registry.trial_count(objective, advised, single=True).alias("single"), got["lora_rank"].alias("rank"), got["weight_decay"].alias("decay"), registry.device_policy(k / 10).alias("device"), joined(F.map_keys(config)).alias("shown"))
+    config = F.create_map(F.lit("c"), F.lit("3"), F.lit("a"), F.lit("1"), F.lit("_b"), F.lit("2"))
+    return table(spark, sf_dir, "nation").select(k.alias("k"), registry.trial_count(objective, advised).cast("int").alias("trials"), registry.trial_count(objective, advised, single=True).alias("single"), got["lora_rank"].alias("rank"), got["weight_decay"].alias("decay"), registry.device_policy(k / 10).alias("device"), joined(F.array_sort(F.map_keys(registry.public_config(config)))).alias("shown"), registry.config_preview(config).alias("preview"))
 
 
 @query("SELECT p_size::VARCHAR AS model_id, sum(p_partkey * 2000) >= 104857600 AS cached FROM part GROUP BY p_size")

@@ -81,3 +81,15 @@ def test_sample_does_not_depend_on_partitions(spark):
 def test_summary(spark):
     s = {r["column"]: r["summary"] for r in P.column_summary(spark.createDataFrame([(1, "a"), (3, "a")], "x int, s string")).collect()}
     assert s == {"x": "range=1.00..3.00, mean=2.00, std=1.41", "s": "a (2)"}
+
+
+def test_estimated_distinct_counts_are_near(spark):
+    from corvane.operators import profile_table
+
+    df = spark.range(20000).selectExpr("id AS a", "id % 7 AS b", "IF(id % 3 = 0, NULL, 's' || id % 500) AS c")
+    exact = {r["column"]: r for r in profile_table.distinct_counts(df).collect()}
+    near = {r["column"]: r for r in profile_table.approximate_counts(df).collect()}
+    assert {c: r["unique_count"] for c, r in exact.items()} == {"a": 20000, "b": 7, "c": 501}
+    for c, r in exact.items():
+        assert near[c]["row_count"] == r["row_count"] and near[c]["null_count"] == r["null_count"] and abs(near[c]["unique_count"] / r["unique_count"] - 1) < 0.05
+    assert profile_table.column_profile(df, approximate=True).count() == 3
