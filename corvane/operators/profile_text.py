@@ -27,6 +27,21 @@ def _text(c: Column | str) -> Column:
     return F.coalesce(col(c), F.lit(""))
 
 
+def printed(c: Column, digits: int) -> Column:
+    """A number of at least 0 with so many decimals as printf has them: by its binary value, an exact half to the even digit."""
+    p = float(10**digits)
+
+    def nearest(x: Column) -> Column:
+        t = x * p
+        # Where the product looks like a half, its rounding error (x split in two, so that both products are exact) tells the side.
+        high = x * 134217729.0 - (x * 134217729.0 - x)
+        error = (high * p - t) + (x - high) * p
+        low = F.floor(t)
+        return F.when(t - low != 0.5, F.floor(t + 0.5)).when(error > 0, low + 1).when(error < 0, low).otherwise(low + low % 2)
+
+    return F.format_string(f"%.{digits}f", bound(c.cast("double"), lambda x: nearest(x) / F.lit(p)))
+
+
 def normalise(c: Column | str, compatibility: bool = True) -> Column:
     """Compatibility form (NFKC), then every run of white space as one space, stripped."""
     c = nfkc(c) if compatibility else col(c)
@@ -117,7 +132,7 @@ def text_profile(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -
         ratio(F.col("l.repeated"), F.col("l.lines")).alias("boilerplate_ratio"),
     )
     diversity, shorts, mean, count = (F.col(x) for x in ("lexical_diversity", "short_sentence_ratio", "avg_sentence_length", "sentence_count"))
-    rules = [(diversity < 0.3, 3, F.concat(F.lit("low_lexical_diversity:"), F.format_string("%.2f", diversity))), (shorts > 0.5, 2, F.concat(F.lit("many_short_fragments:"), F.format_string("%.0f%%", shorts * 100))), (mean < 5, 2, F.concat(F.lit("very_short_avg_sentence:"), F.format_string("%.1f", mean), F.lit("_words"))), (count < 5, 2, F.concat(F.lit("very_few_sentences:"), count.cast("string")))]
+    rules = [(diversity < 0.3, 3, F.concat(F.lit("low_lexical_diversity:"), printed(diversity, 2))), (shorts > 0.5, 2, F.concat(F.lit("many_short_fragments:"), F.concat(printed(shorts * 100, 0), F.lit("%")))), (mean < 5, 2, F.concat(F.lit("very_short_avg_sentence:"), printed(mean, 1), F.lit("_words"))), (count < 5, 2, F.concat(F.lit("very_few_sentences:"), count.cast("string")))]
     lost = reduce(lambda a, b: a + b, [F.when(test, tenths).otherwise(0) for test, tenths, _ in rules])
     notes = F.filter(F.array(*[F.when(test, note) for test, _, note in rules], F.when(F.col("language") == "unknown", F.lit("language_not_detected"))), lambda x: x.isNotNull())
     noise = F.filter(F.array(F.when(F.col("is_empty"), F.lit("empty_text")), F.when((F.col("garbled_ratio") > 0.1) & ~F.col("is_empty"), F.lit("high_garbled_ratio")), F.when(F.col("boilerplate_ratio") > 0.3, F.lit("high_boilerplate"))), lambda x: x.isNotNull())

@@ -202,18 +202,21 @@ LANGUAGE_SQL = f"""languages AS (
             CASE WHEN short OR len(per) = 0 THEN 0 ELSE len(list_filter(per, lambda x: x < 5)) / len(per) END AS few, CASE WHEN short OR len(per) = 0 THEN 0 ELSE len(list_filter(per, lambda x: x > 60)) / len(per) END AS many,
             CASE WHEN short THEN 0 ELSE len(list_distinct(lw)) / len(lw) END AS d, coalesce(b, 0) AS b
         FROM s JOIN languages USING (doc_id) LEFT JOIN bo USING (doc_id)
+    ), noted AS (
+        SELECT *, CASE WHEN short THEN ['text_too_short'] ELSE list_filter([CASE WHEN d < 0.3 THEN 'low_lexical_diversity:' || printf('%.2f', d::DOUBLE) END, CASE WHEN few > 0.5 THEN 'many_short_fragments:' || printf('%.0f%%', few::DOUBLE * 100) END, CASE WHEN mean < 5 THEN 'very_short_avg_sentence:' || printf('%.1f', mean::DOUBLE) || '_words' END,
+            CASE WHEN n < 5 THEN 'very_few_sentences:' || n END, CASE WHEN language = 'unknown' THEN 'language_not_detected' END], lambda x: x IS NOT NULL) END AS notes, list_filter([CASE WHEN g > 0.1 THEN 'high_garbled_ratio' END, CASE WHEN b > 0.3 THEN 'high_boilerplate' END], lambda x: x IS NOT NULL) AS noise FROM m
     ), sc AS (
-        SELECT *, CASE WHEN short THEN 0 ELSE round(1 - CASE WHEN d < 0.3 THEN 0.3 ELSE 0 END - CASE WHEN few > 0.5 THEN 0.2 ELSE 0 END - CASE WHEN mean < 5 THEN 0.2 ELSE 0 END - CASE WHEN n < 5 THEN 0.2 ELSE 0 END, 6) END AS score FROM m
+        SELECT *, CASE WHEN short THEN 0 ELSE round(1 - CASE WHEN d < 0.3 THEN 0.3 ELSE 0 END - CASE WHEN few > 0.5 THEN 0.2 ELSE 0 END - CASE WHEN mean < 5 THEN 0.2 ELSE 0 END - CASE WHEN n < 5 THEN 0.2 ELSE 0 END, 6) END AS score FROM noted
     )
     SELECT doc_id, char_count, word_count, line_count, round(g, 6) AS garbled_ratio, round(b, 6) AS boilerplate_ratio, language, n::INT AS sentence_count, round(mean, 6) AS avg_sentence_length, round(few, 6) AS short_sentence_ratio,
         round(many, 6) AS long_sentence_ratio, round(d, 6) AS lexical_diversity, round(score, 6)::DOUBLE AS suitability,
-        array_to_string(list_filter([CASE WHEN g > 0.1 THEN 'high_garbled_ratio' END, CASE WHEN b > 0.3 THEN 'high_boilerplate' END], lambda x: x IS NOT NULL), '|') AS suspected_noise,
+        array_to_string(noise, '|') AS suspected_noise, array_to_string(notes, '|') AS suitability_warnings, array_to_string(list_sort(list_distinct(list_concat(list_transform(noise, lambda x: 'text_noise:' || x), list_transform(notes, lambda x: 'training:' || x)))), '|') AS warnings,
         array_to_string(list_filter([CASE WHEN b > 0.3 THEN 'high_boilerplate_text' END, CASE WHEN g > 0.2 THEN 'high_garbled_text' END, CASE WHEN score < 0.4 THEN 'low_training_suitability' END], lambda x: x IS NOT NULL), '|') AS risk_flags
     FROM sc""")
 def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = profile_text.text_profile(table(spark, sf_dir, "documents"))
     p = rounded(p, "garbled_ratio", "boilerplate_ratio", "avg_sentence_length", "short_sentence_ratio", "long_sentence_ratio", "lexical_diversity", "suitability")
-    return p.withColumns({c: joined(c) for c in ("suspected_noise", "risk_flags")}).drop("warnings", "suitability_warnings")
+    return p.withColumns({c: joined(c) for c in ("suspected_noise", "risk_flags", "warnings", "suitability_warnings")})
 
 
 @query(f"WITH {LANGUAGE_SQL} SELECT lang, language, count(*) AS n FROM documents JOIN languages USING (doc_id) GROUP BY ALL")

@@ -147,3 +147,13 @@ def test_intermediate_tables_need_a_shared_folder(monkeypatch):
     cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf))
     with pytest.raises(ValueError, match="share"):
         dedup.written(SimpleNamespace(sparkSession=cluster), "x")
+
+
+def test_numbers_are_printed_as_printf_does(spark):
+    import random
+
+    rng = random.Random(5)
+    xs = [i / 200 for i in range(1, 400, 2)] + [i / 40 for i in range(200)] + [0.145, 0.155, 0.025, 62.5, 63.5, 0.125, 2.675, 0.0] + [rng.random() * 100 for _ in range(300)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1)
+    got = df.select("x", *[P.printed(F.col("x"), d).alias(f"p{d}") for d in (0, 1, 2)]).collect()
+    assert [(r["p0"], r["p1"], r["p2"]) for r in got] == [(f"{r['x']:.0f}", f"{r['x']:.1f}", f"{r['x']:.2f}") for r in got]
