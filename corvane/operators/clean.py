@@ -17,7 +17,7 @@ ANSWER_LEAKS = [
     r"^\s*(?:selon|d['’]après|comme (?:le )?(?:précise|indique|mentionne))\s+(?:le\s+)?(?:texte|document|article|passage|auteur)[,:\s]+",
     r"^\s*le\s+(?:texte|document|article|passage)\s+(?:dit|précise|explique|mentionne|décrit|indique)[,:\s]+",
 ]
-#: What converters leave behind, and what takes its place.
+# What converters leave behind, and what takes its place; lines that hold a page number only.
 ARTEFACTS = [
     (rf"(?i)!\s*\[[^\]]*\]\([^)]*\.({IMAGE_ENDINGS})[^)]*\)", ""),
     (rf"(?im)^\s*\[\]\([^)]*\.({IMAGE_ENDINGS})[^)]*\)\s*$", ""),
@@ -26,6 +26,7 @@ ARTEFACTS = [
     (r"(?i)<sup>\d+</sup>", ""),
     (r"\n{3,}", "\n\n"),
 ]
+NUMBER_LINE, PAGE_LINE = r"^[-\s]*\d{1,4}[-\s]*$", r"(?i)^page\s+\d+(\s+of\s+\d+)?$"
 
 
 def strip_artefacts(c: Column | str) -> Column:
@@ -44,8 +45,8 @@ def drop_noise_lines(c: Column | str) -> Column:
 
     def keep(line: Column) -> Column:
         s = ws_strip(line)
-        number = s.rlike(r"^[-\s]*\d{1,4}[-\s]*$") & (F.length(s) <= 8)
-        page = s.rlike(r"(?i)^page\s+\d+(\s+of\s+\d+)?$")
+        number = s.rlike(NUMBER_LINE) & (F.length(s) <= 8)
+        page = s.rlike(PAGE_LINE)
         return ~number & ~page & ((s == "") | s.rlike(r"[a-zA-Z0-9؀-ۿ]"))
 
     return F.array_join(F.filter(lines(c), keep), "\n")
