@@ -184,6 +184,7 @@ def test_pages_without_any_names():
     for _ in range(150):
         page, want = plain_page(rng)
         blocks, score, content = html.labelled(page)
+        assert Counter(b.text for b, c in zip(blocks, content, strict=True) if c) == Counter(want)
         right = Counter(want)
         for b, s, c in zip(blocks, score, content, strict=True):
             is_text = right[b.text] > 0
