@@ -25,7 +25,9 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """`df` dealt to all cores where its source comes in fewer parts than there are cores, as a small file does; costly text work follows."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.isStreaming or len(df.inputFiles()) >= cores else df.repartition(cores, *keys)
+    if df.isStreaming or len(df._jdf.inputFiles()) >= cores:  # the names stay in the JVM, of which there may be very many
+        return df
+    return df.repartition(cores, *keys)
 
 
 def ws_strip(c: Column | str) -> Column:
