@@ -125,3 +125,22 @@ def test_each_query_searches_all_rows(spark):
         got = retrieval.top_k_each(items, items.where("k % 50 = 0"), "v", 6, "k", block).collect()
         found = {q: [(-round(r["score"], 9) + 0.0, r["k"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in want}
         assert found == {q: [(s + 0.0, k) for s, k in v] for q, v in want.items()} and len(got) == sum(map(len, want.values()))
+
+
+def test_records_leave_spark_one_by_one(spark):
+    df = spark.createDataFrame([(i, f"r{i}") for i in range(20)], "k int, record string").repartition(3)
+    assert sorted(X.iter_records(df)) == sorted(f"r{i}" for i in range(20))
+
+
+def test_eligible_cards(spark):
+    rows = [("x/m-7b", 7.0, "text-generation", ["chat"]), ("x/m-70b", 70.0, "text-generation", ["chat"]), ("x/none", None, "text-generation", ["chat"]), ("x/m-7b-awq", 7.0, "text-generation", ["chat"]), ("x/m-1b", 1.0, "fill-mask", [])]
+    cards = spark.createDataFrame([(m, "", "", False, p, t, b) for m, b, p, t in rows], "model_id string, swift_model_type string, swift_task_type string, is_reward boolean, pipeline_tag string, tags array<string>, parameters_b double")
+    assert [r["model_id"] for r in retrieval.eligible_cards(cards, 8.0).collect()] == ["x/m-7b"]
+
+
+def test_verdict_counts_agree_with_the_merged_verdict(spark):
+    rows = [("a", 1, "garbled", 1, "m"), ("a", 2, "empty_text", 2, "n"), ("b", 1, "garbled", 1, "o")]
+    findings = spark.createDataFrame(rows, "file string, at int, rule string, severity int, message string")
+    merged, counts = verdicts.merge_verdict(findings).first(), verdicts.verdict_counts(findings).first()
+    assert (merged["status"], len(merged["blocking_reasons"]), len(merged["warnings"])) == tuple(counts) == ("BLOCKED", 1, 2)
+    assert tuple(verdicts.verdict_counts(findings.where("false")).first()) == ("GO", 0, 0)
