@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.functions.text import spread
 from corvane.operators import chunk, clean, curves, dedup, export, history, metrics, profile_table, profile_text, qa_rules, registry, retrieval, verdicts
 from corvane.plans import prepare
 from corvane.sources import files
@@ -34,6 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, dealt to all cores if they come in few files: for columns of costly text expressions."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def rounded(df: DataFrame, *names: str, to: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, to) for n in names})
 
@@ -221,7 +227,7 @@ def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LANGUAGE_SQL} SELECT lang, language, count(*) AS n FROM documents JOIN languages USING (doc_id) GROUP BY ALL")
 def text_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return docs.groupBy("lang", profile_text.language("text").alias("language")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -232,12 +238,12 @@ def text_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, CASE WHEN heads AND toc THEN 'contains_heading_like_structure|possible_table_of_contents' WHEN heads THEN 'contains_heading_like_structure' WHEN toc THEN 'possible_table_of_contents' ELSE 'unstructured_or_light_structure' END AS hints,
         left(text, 400) AS head, substr(text, greatest(half - 200, 0) + 1, half + 200 - greatest(half - 200, 0)) AS middle, right(text, 400) AS tail FROM h""")
 def text_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", joined(profile_text.structure_hints("text")).alias("hints"), profile_text.snippets("text").alias("s")).select("doc_id", "hints", "s.*")
+    return texts(spark, sf_dir).select("doc_id", joined(profile_text.structure_hints("text")).alias("hints"), profile_text.snippets("text").alias("s")).select("doc_id", "hints", "s.*")
 
 
 @query(f"SELECT doc_id, {strip(f'''regexp_replace(text, '{WS}+', ' ', 'g')''')} AS text FROM documents")
 def text_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", profile_text.normalise("text").alias("text"))
+    return texts(spark, sf_dir).select("doc_id", profile_text.normalise("text").alias("text"))
 
 
 # ---------------------------------------------------------------- cleaning
@@ -254,7 +260,7 @@ def dirty(c: str = "text") -> Column:
 
 @query("SELECT doc_id, " + ARTEFACT_SQL.replace("{x}", DIRTY_SQL) + " AS text FROM documents")
 def clean_artefacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", clean.strip_artefacts(dirty()).alias("text"))
+    return texts(spark, sf_dir).select("doc_id", clean.strip_artefacts(dirty()).alias("text"))
 
 
 @query(f"""
@@ -369,7 +375,7 @@ def chunk_table_richness(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, round(least(1, length(text) / 3000) * 0.25 + least(1, len(list_filter(string_split(text, '.'), lambda x: {strip('x')} <> '')) / 50) * 0.25 + len(list_distinct({split_words('lower(text)')})) / len({split_words('lower(text)')}) * 0.2
         + least(1, len(list_filter(string_split(text, chr(10) || chr(10)), lambda x: {strip('x')} <> '')) / 10) * 0.15, 6) AS richness FROM documents""")
 def chunk_text_richness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(table(spark, sf_dir, "documents").select("doc_id", chunk.text_richness("text").alias("richness")), "richness")
+    return rounded(texts(spark, sf_dir).select("doc_id", chunk.text_richness("text").alias("richness")), "richness")
 
 
 @query(f"""
@@ -383,7 +389,7 @@ def chunk_text_richness(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN len(regexp_extract_all(text, '\\b\\d{{1,2}}\\.\\s+[A-Z][^.\\n]{{0,80}}(?:https?://|www\\.)')) >= 4 AND len(w) < 500 THEN 'links'
         WHEN len(list_filter(['all rights reserved', 'table of contents', 'table des matières', '©', 'disclaimer:', 'trademarks are trademarks', 'this publication is provided', 'knowledge sharing article'], lambda p: contains(low, p))) >= 3 AND len(w) < 250 THEN 'signs' END AS rule FROM x""")
 def chunk_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", chunk.boilerplate_rule("text").alias("rule"))
+    return texts(spark, sf_dir).select("doc_id", chunk.boilerplate_rule("text").alias("rule"))
 
 
 @query("""
@@ -594,7 +600,7 @@ def qa_verdict_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT CASE WHEN count(*) FILTER (s = 'BLOCKED') > 0 THEN 'BLOCKED' WHEN count(*) > 0 THEN 'WARNING' ELSE 'GO' END AS status, count(*) FILTER (s = 'BLOCKED')::INT AS n_blocking, count(*) FILTER (s = 'WARNING')::INT AS n_warnings FROM f""")
 def verdict_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
-    profiles = table(spark, sf_dir, "documents").select(
+    profiles = texts(spark, sf_dir).select(
         k.cast("string").alias("file"), F.lit("txt").alias("file_kind"), F.lit(None).cast("bigint").alias("row_count"), F.size(profile_text.words("text")).alias("word_count"), F.lit(None).cast("int").alias("n_columns"), F.lit(None).cast("int").alias("mostly_null_columns"), F.lit(None).cast("int").alias("near_constant_columns"),
         F.lit(None).cast("double").alias("duplicate_ratio"), F.when(k % 50 == 0, 0.35).when(k % 50 == 1, 0.25).otherwise(0.0).alias("garbled_ratio"), F.when(k % 40 == 0, 0.6).otherwise(0.1).alias("boilerplate_ratio"), F.array().cast("array<string>").alias("risk_flags"),
     )
