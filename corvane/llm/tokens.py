@@ -35,7 +35,7 @@ from .words import mix
 
 SEGMENT_CHARS, GROUP_CHARS = 1 << 18, 1 << 20
 #: Words whose ids a worker keeps, about 250 bytes each; those not met among as many as half of them go first.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 2_000_000
 KEYS_PER_INDEX = 100_000
 #: White space before a space: there, cutting before the space could change the ids.
 UNSAFE = re.compile(r"\s ")
