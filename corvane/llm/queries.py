@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, html, langid, lm, mixing, neardup, store, substring, tokens
+from . import ann, chat, decontaminate, html, langid, lm, mixing, neardup, spelling, store, substring, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,6 +91,11 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.letter_runs(table(spark, sf_dir, "documents"), least=7)
+    return spelling.spelling_variants(spelling.word_counts(spelling.with_slips(runs, every=31), least=7, occurrences=2), times=10)
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op2_extract_html": op2_extract_html,
@@ -102,9 +107,54 @@ QUERIES: dict[str, Query] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_language_id": op9_language_id,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    # A CRC is the exclusive or of what each byte gives by its distance from the end; words meet on what is left without one code point.
+    "op11_spelling_variants": r"""
+        WITH RECURSIVE runs AS (
+            SELECT key, len, run, count(*) AS times FROM (
+                SELECT doc_id::VARCHAR || ':' || run AS key, length(run) AS len, run FROM (
+                    SELECT coalesce(doc_id::VARCHAR, 'null') AS doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+                )
+            ) GROUP BY ALL
+        ), steps AS (
+            SELECT b, b AS v, 0 AS i FROM range(256) t(b)
+            UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, i + 1 FROM steps WHERE i < 8
+        ), once AS (
+            SELECT b, v FROM steps WHERE i = 8
+        ), far AS (
+            SELECT b, v, 0 AS d FROM once
+            UNION ALL SELECT f.b, xor(f.v >> 8, o.v), f.d + 1 FROM far f JOIN once o ON o.b = f.v & 255 WHERE f.d < (SELECT max(strlen(key)) FROM runs)
+        ), bytes AS (
+            SELECT key, strlen(key) AS n, unnest(range(1, strlen(key) + 1)) AS i, hex(encode(key)) AS h FROM (SELECT DISTINCT key FROM runs)
+        ), hashes AS (
+            SELECT key, xor(bit_xor(f.v), 4294967295) AS h
+            FROM (SELECT key, n - i AS d, xor(('0x' || substr(h, (2 * i - 1)::BIGINT, 2))::BIGINT, CASE WHEN i <= 4 THEN 255 ELSE 0 END) AS b FROM bytes) x JOIN far f USING (d, b)
+            GROUP BY key
+        ), words AS (
+            SELECT word, sum(times)::BIGINT AS n FROM (
+                SELECT times, CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % len)::BIGINT) || substr(run, (h % len)::BIGINT + 2) ELSE run END AS word FROM runs JOIN hashes USING (key)
+            ) WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2
+        ), cuts AS (
+            SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+        ), near AS (
+            SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT c.word, c.n, w.word, w.n FROM cuts c JOIN words w ON w.word = c.rest
+            UNION SELECT w.word, w.n, c.word, c.n FROM cuts c JOIN words w ON w.word = c.rest
+        ), best AS (
+            SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS form, max(other_n) AS form_n FROM near GROUP BY word
+        ), formed AS (
+            SELECT w.word, CASE WHEN form_n >= 10 * w.n THEN form END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n
+            FROM words w LEFT JOIN best b ON w.word = b.word
+        ), walk AS (
+            SELECT word, word AS root FROM formed
+            UNION ALL SELECT k.word, f.form FROM walk k JOIN formed f ON f.word = k.root WHERE f.form IS NOT NULL
+        ), ends AS (
+            SELECT k.word, k.root FROM walk k JOIN formed f ON f.word = k.root WHERE f.form IS NULL
+        )
+        SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM formed f JOIN ends e ON e.word = f.word""",
     "op10_nearest_neighbours": """
         WITH v AS (
             SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS norm FROM embeddings
