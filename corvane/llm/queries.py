@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, html, langid, lm, mixing, neardup, spelling, store, substring, tokens
+from . import align, ann, chat, decontaminate, html, langid, lm, mixing, neardup, spelling, store, substring, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,6 +97,21 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(spelling.word_counts(spelling.with_slips(runs, every=31), least=7, occurrences=2), times=10)
 
 
+def groups_digest(groups: str) -> str:
+    return hashlib.sha256(groups.encode()).hexdigest()
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align.align_documents(table(spark, sf_dir, "documents"), token_vocabulary(), subword_vocabulary(), groups_as=groups_digest)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), chosen=remainder("doc_id", 3) != 1)
+    return scored.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op2_extract_html": op2_extract_html,
@@ -108,6 +124,8 @@ QUERIES: dict[str, Query] = {
     "op9_language_id": op9_language_id,
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -1,15 +1,18 @@
 """Spelling variants, tokenizer alignment and toxicity against brute force, on small tables with nulls, ties and repeats."""
 
+import hashlib
 import random
 import re
 import zlib
 from collections import Counter
+from itertools import product
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import queries, spelling
+from corvane.llm import align, queries, spelling, toxicity
 
 DOCS = "doc_id long, text string, lang string, word string, n double"
 SF = "/root/testdata/sf0.001"
@@ -103,3 +106,118 @@ def test_unchanged_parts_cover_every_edit(spark):
     got = spelling.near_words(spark.createDataFrame([(w, 2) for w in words], "word string, n long")).select("word", "near")
     assert shown(got.collect()) == shown((a, b) for a in words for b in words if edits(a, b))
     assert got.where(F.col("word") == F.col("near")).isEmpty()
+
+
+def aligned_by_hand(rows):
+    """Token bytes and overlaps of each text by themselves, from the tokenizers' own outputs."""
+    pair = align.Pair(queries.token_vocabulary(), queries.subword_vocabulary())
+    groups, links = [], []
+    for _, text in rows:
+        whole = (" " + text).encode() if text else b""
+        a = pair.a.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = pair.b.encode(text) if text else []
+        if not whole or b"".join(pair.a_bytes[i] for i in a) != whole or b"".join(pair.b_bytes[i] for i in b) != whole:
+            groups.append(([], [], []))
+            links.append(Counter())
+            continue
+        spans = []
+        for ids, spelt in ((a, pair.a_bytes), (b, pair.b_bytes)):
+            ends = np.cumsum([len(spelt[i]) for i in ids]).tolist()
+            spans.append([(s, e, i) for s, e, i in zip([0, *ends], ends, ids, strict=False)])
+        cuts = sorted({e for _, e, _ in spans[0]} & {e for _, e, _ in spans[1]})
+        shown = [tuple([i for s, e, i in side if lo <= s and e <= hi] for side in spans) for lo, hi in zip([0, *cuts], cuts, strict=False)]
+        groups.append((a, b, shown))
+        links.append(Counter((x, y) for (s, e, x), (t, f, y) in product(*spans) if s < f and t < e))
+    docs = Counter(p for each in links for p in each)
+    best = {}
+    for (x, _), n in docs.items():
+        best[x] = max(best.get(x, 0), n)
+    out = []
+    for (doc, _), (a, b, shown), each in zip(rows, groups, links, strict=True):
+        text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in shown)
+        out.append((doc, len(a), len(b), len(shown), sum(each.values()), sum(n for p, n in each.items() if docs[p] == best[p[0]]), sum(n * docs[p] for p, n in each.items()), hashlib.sha256(text.encode()).hexdigest() if a else ""))
+    return out
+
+
+ODD_TEXTS = [
+    None, "", " ", "  two  spaces ", "line\n\n  indented\ttab\r\nend \n", "<|endoftext|> and </s> <unk> <s>", "\u2581 lower block", "naïve café ﬁ \u00a0nbsp\u2003em 日本語 🙂🙂", "a\x00b", "x" * 300, "don't we'll  I'M 12345 3.14",
+    "\u001c sep\u0085next  \u3000wide", "ends with space ", "\nstarts", "ß ẞ É", "same words same words", "same words same words",
+]
+
+
+def test_alignment_is_that_of_whole_texts(spark, monkeypatch):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(40).collect()]
+    rows = [*enumerate([*ODD_TEXTS, *[t[:1500] for t in texts]]), (None, "same words again"), (3, "same words same words")]
+    docs = spark.createDataFrame([(i, t, "en", "w", 0.5) for i, t in rows], DOCS)
+    found = align.align_documents(docs, queries.token_vocabulary(), queries.subword_vocabulary(), groups_as=queries.groups_digest)
+    assert found.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
+    want = aligned_by_hand(rows)
+    assert sum(1 for r in want if r[1] == 0) >= 3
+    assert shown(found.collect()) == shown(want)
+    assert align.align_documents(docs.where("false"), queries.token_vocabulary(), queries.subword_vocabulary()).count() == 0
+
+
+def test_blocks_of_any_size_align_alike(spark, monkeypatch):
+    pair = align.Pair(queries.token_vocabulary(), queries.subword_vocabulary())
+    texts = [t for t in ODD_TEXTS if t] * 2
+    whole, pairs, docs = align.aligned_block(duckdb.connect(), pair, texts)
+    each = [align.aligned_block(duckdb.connect(), pair, [t])[0][0] for t in texts]
+    for x, y in zip(whole, each, strict=True):
+        assert all(list(x[c]) == list(y[c]) if c in ("pairs", "times") else x[c] == y[c] for c in x)
+    assert dict(zip(pairs.tolist(), docs.tolist(), strict=True)) == Counter(p for x in each for p in x["pairs"].tolist())
+
+
+def test_restored_text_is_the_most_probable_path():
+    rng = np.random.RandomState(3)
+    model = toxicity.language_model(rng.randint(0, 4, toxicity.SYMBOLS**toxicity.ORDER))
+    assert np.allclose(np.exp(model).reshape(-1, toxicity.SYMBOLS).sum(1), 1, atol=1e-4)
+    for token, spaced in (("1d10t", False), ("a.b-c", False), ("m o o n", True), ("$tuup1d", False), ("aaabbc0", False)):
+        ways = toxicity.lattice(token, spaced)
+        scores = {}
+        for path in product(*ways):
+            text, state = "".join(t for t, _ in path), 0
+            p = sum(c for _, c in path)
+            for c in text + " ":
+                gram = state * toxicity.SYMBOLS + toxicity._symbol(c)
+                p, state = p + model[gram], gram % toxicity.SYMBOLS ** (toxicity.ORDER - 1)
+            scores[text] = max(scores.get(text, -1e9), p)
+        assert scores[toxicity.viterbi(ways, model.tolist()).removesuffix(" ")] == pytest.approx(max(scores.values()))
+
+
+INSULTS = "loser idiot pathetic scum worthless moron trash clown disgusting stupid".split()
+
+
+def disguised(word, kind):
+    return {"plain": word, "leet": word.translate(str.maketrans("ioseat", "10534@"))[:-1] + word[-1], "spaced": " ".join(word), "dotted": ".".join(word), "again": "".join(c * (3 if c in "aeiou" else 1) for c in word)}[kind]
+
+
+def test_planted_toxic_texts_are_caught_behind_each_disguise_and_clean_ones_left(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    chosen = queries.remainder("doc_id", 3) != 1
+    model = toxicity.fit_language_model(docs)
+    classifier = toxicity.fit_classifier(toxicity.labelled_words(docs, labels, model, chosen))
+    held = docs.join(labels, "doc_id").where(~chosen & F.col("text").isNotNull()).select("doc_id", "text", "toxic").collect()
+    clean = [r for r in held if not r.toxic]
+    rows = [(i, r.text, 0, "") for i, r in enumerate(clean)]
+    for kind in ("plain", "leet", "spaced", "dotted", "again"):
+        for i, r in enumerate(clean[:60]):
+            words = r.text.split(" ")
+            for k in range(3):
+                words.insert(len(words) * k // 3, disguised(INSULTS[(i + k) % 10], kind))
+            rows.append((i, " ".join(words), 1, kind))
+    scored = toxicity.score_texts(spark.createDataFrame(rows, "doc_id long, text string, want int, kind string"), model, classifier)
+    got = {r.kind: r.share for r in scored.groupBy("kind").agg(F.avg("predicted").alias("share")).collect()}
+    assert got.pop("") <= 0.02
+    assert all(share >= 0.9 for share in got.values()), got
+
+
+def test_toxicity_of_odd_rows(spark):
+    rows = [(1, None, "a", "b", 1.0), (None, "", "a", "b", 1.0), (2, "stupid", "a", "b", 1.0), (2, "stupid", "a", "b", 1.0), (3, "\u200b \x00 %%% 1 2 3 4", None, None, None), (4, "s" * 5000 + " " + "1!" * 3000, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, words string, predicted string, score double")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (2, 1), (4, None)], "doc_id long, toxic int")
+    found = toxicity.score_toxicity(docs, labels, F.lit(True)).collect()
+    assert len(found) == 6 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) and r.words in ("a", None) for r in found)
+    none = toxicity.score_toxicity(docs, labels.where("false"), F.lit(True)).collect()
+    assert {r.score for r in none} == {0.5}
+    assert toxicity.score_toxicity(docs.where("false"), labels, F.lit(True)).count() == 0
