@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,7 +27,7 @@ from pyspark.sql.window import Window
 from .store import materialise, small_batches, tidied
 
 #: Bytes of texts that a block gathers before it is aligned; a longer text is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Before such a space both tokenizers cut: it follows no white space of any kind.
 CUT = re.compile(r"(?<=\S)(?= )")
 UNSAFE = re.compile(r"^\s|\s ")
@@ -71,29 +72,29 @@ class Pair:
         n = self.b.get_piece_size()
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
         self.space = [self.b.piece_to_id("▁")]  # an empty text has no tokens, but an empty piece is a space
-        self.opens = np.array([x.startswith(b" ") for x in self.a_bytes])
+        self.a_opens, self.b_opens = (np.array([x.startswith(b" ") for x in xs]) for xs in (self.a_bytes, self.b_bytes))
         self.a_len, self.b_len = (np.array([len(x) for x in xs], np.int64) for xs in (self.a_bytes, self.b_bytes))
 
-    def _a_ids(self, keys: list[str]) -> list[np.ndarray]:
-        """The ids of each piece behind a space. Pieces without white space at their ends go as one text, which is cut at the tokens that open with a space."""
-        ids = np.array(self.a.encode_batch_fast([" " + " ".join(keys)], add_special_tokens=False)[0].ids, np.int64)
-        starts = np.flatnonzero(self.opens[ids])
-        if len(starts) != len(keys):
-            return [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast([" " + k for k in keys], add_special_tokens=False)]
-        return np.split(ids, starts[1:])
-
-    def encode(self, keys: list[str]) -> tuple[Tokens, Tokens, np.ndarray]:
-        """The tokens of A and B of each piece, and whether both give the piece back."""
-        plain = np.array([bool(k) and not k[0].isspace() and not k[-1].isspace() and "  " not in k for k in keys], bool)
-        a: list[np.ndarray] = [np.zeros(0, np.int64)] * len(keys)
-        for chosen, size in ((plain, 1024), (~plain, 1)):
-            where = np.flatnonzero(chosen).tolist()
-            for at in range(0, len(where), size):
-                some = where[at : at + size]
-                for i, ids in zip(some, self._a_ids([keys[i] for i in some]), strict=True):
-                    a[i] = ids
-        b = [ids if k else self.space for at in range(0, len(keys), 8192) for k, ids in zip(keys[at : at + 8192], self.b.encode(keys[at : at + 8192], num_threads=1), strict=True)]
-        a, b = Tokens.of(a), Tokens.of(b)
+    def _together(self, keys: list[str]) -> tuple[Tokens, Tokens] | None:
+        """Pieces without white space go as one text, which is cut at the tokens that open with a space; nothing if those are not as many."""
+        found = []
+        for ids, opens in ((self.a.encode_batch_fast([" " + " ".join(keys)], add_special_tokens=False)[0].ids, self.a_opens), (self.b.encode(" ".join(keys)), self.b_opens)):
+            ids = np.array(ids, np.int64)
+            starts = np.flatnonzero(opens[ids])
+            if len(starts) != len(keys) or starts[0] != 0:
+                return None
+            found.append(Tokens(ids, np.r_[starts, len(ids)]))
+        return found[0], found[1]
+
+    def _each(self, keys: list[str]) -> tuple[Tokens, Tokens]:
+        b = [ids if k else self.space for k, ids in zip(keys, self.b.encode(keys, num_threads=1), strict=True)]
+        return Tokens.of([e.ids for e in self.a.encode_batch_fast([" " + k for k in keys], add_special_tokens=False)]), Tokens.of(b)
+
+    def encode(self, keys: list[str], plain: int) -> tuple[Tokens, Tokens, np.ndarray]:
+        """The tokens of A and B of each piece, of which the first `plain` have no white space, and whether both give the piece back."""
+        done = [self._together(keys[at : min(at + 512, plain)]) or self._each(keys[at : min(at + 512, plain)]) for at in range(0, plain, 512)]
+        done += [self._each(keys[at : at + 512]) for at in range(plain, len(keys), 512)]
+        a, b = (Tokens.joined([x[i] for x in done]) for i in (0, 1))
         said = [(" " + k).encode() for k in keys]
         sizes = np.fromiter(map(len, said), np.int64, len(said))
         joined = b"".join(said)
@@ -116,6 +117,11 @@ class Tokens:
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         return cls(np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum())), np.r_[0, np.cumsum(counts)])
 
+    @classmethod
+    def joined(cls, parts: list[Tokens]) -> Tokens:
+        before = np.cumsum([0, *[len(t.ids) for t in parts]])
+        return cls(np.concatenate([np.zeros(0, np.int64), *[t.ids for t in parts]]), np.concatenate([*[t.ends[:-1] + n for t, n in zip(parts, before, strict=False)], before[-1:]]))
+
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.ends)
@@ -146,14 +152,33 @@ def tokenizer_pair(a_path: str, b_path: str) -> Pair:
 #: Ends that both have; the groups between them; overlaps of tokens, from the first to the last that is touched.
 ALIGN = f"""
     CREATE TEMP TABLE ends AS SELECT a.e FROM a JOIN b ON a.e = b.e;
-    CREATE TEMP TABLE ga AS SELECT a.*, coalesce(sum((ends.e IS NOT NULL)::INT) OVER (ORDER BY a.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g FROM a LEFT JOIN ends ON a.e = ends.e;
-    CREATE TEMP TABLE gb AS SELECT b.*, coalesce(sum((ends.e IS NOT NULL)::INT) OVER (ORDER BY b.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g FROM b LEFT JOIN ends ON b.e = ends.e;
+    CREATE TEMP TABLE ga AS SELECT a.seq, coalesce(sum((ends.e IS NOT NULL)::INT) OVER (ORDER BY a.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g FROM a LEFT JOIN ends ON a.e = ends.e;
+    CREATE TEMP TABLE gb AS SELECT b.seq, coalesce(sum((ends.e IS NOT NULL)::INT) OVER (ORDER BY b.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g FROM b LEFT JOIN ends ON b.e = ends.e;
     CREATE TEMP TABLE touched AS
         SELECT f.piece, f.id, f.first, l.seq AS last FROM (SELECT b.*, a.seq AS first FROM b ASOF JOIN a ON b.s >= a.s) f ASOF JOIN a l ON f.e - 1 >= l.s;
     CREATE TEMP TABLE links AS
         SELECT t.piece, a.id * {B_IDS} + t.id AS pair, count(*) AS n FROM (SELECT piece, id, unnest(range(first, last + 1)) AS seq FROM touched) t JOIN a ON a.seq = t.seq GROUP BY ALL"""
 
 
+def distinct_pieces(texts: list[str | None]) -> tuple[list[str], int, np.ndarray, np.ndarray]:
+    """The distinct pieces, first those without white space, and their number; the text and the piece of each occurrence, in order."""
+    easy, odd = [], []
+    for i, t in enumerate(texts):
+        if t:
+            (odd if UNSAFE.search(t) else easy).append(i)
+    lists = pc.split_pattern(pa.array([texts[i] for i in easy], pa.large_string()), " ")
+    parts = [pieces(texts[i]) for i in odd]
+    rows = np.repeat(np.array([*easy, *odd], np.int64), np.r_[np.diff(lists.offsets.to_numpy()), np.fromiter(map(len, parts), np.int64, len(parts))].astype(np.int64))
+    coded = pa.chunked_array([lists.flatten(), pa.array(chain.from_iterable(parts), pa.large_string())], pa.large_string()).combine_chunks().dictionary_encode()
+    keys, index = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    spaced = pc.match_substring_regex(keys, r"^$|[\s\pZ\x{85}\x{1c}-\x{1f}]").to_numpy(zero_copy_only=False).astype(bool)
+    order = np.argsort(spaced, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    by_text = np.argsort(rows, kind="stable")
+    return keys.take(pa.array(order)).to_pylist(), int((~spaced).sum()), rows[by_text], place[index][by_text]
+
+
 def numbers(db, name: str, n: int) -> np.ndarray:
     found = db.sql(f"SELECT seq, g FROM {name}").fetchnumpy()
     out = np.zeros(n, np.int64)
@@ -172,10 +197,11 @@ def written_groups(a: Tokens, b: Tokens, g_a: np.ndarray, g_b: np.ndarray) -> tu
 
 def aligned_block(db, pair: Pair, texts: list[str | None]) -> tuple[list[dict], np.ndarray, np.ndarray]:
     """For each text its counts, groups and linked pairs; for the block each pair with the number of texts that hold it."""
-    keys: dict[str, int] = {}
-    got = [np.array([keys.setdefault(p, len(keys)) for p in pieces(t)], np.int64) if t else np.zeros(0, np.int64) for t in texts]
-    a, b, whole = pair.encode(list(keys))
-    got = [x if len(x) and whole[x].all() else x[:0] for x in got]
+    keys, plain, row, piece = distinct_pieces(texts)
+    a, b, whole = pair.encode(keys, plain)
+    # Of a text that is not given back, no piece is left.
+    kept = ~np.isin(row, row[~whole[piece]])
+    row, piece = row[kept], piece[kept]
     good = np.flatnonzero(whole)
     place = np.full(len(keys), -1)
     place[good] = np.arange(len(good))
@@ -187,22 +213,20 @@ def aligned_block(db, pair: Pair, texts: list[str | None]) -> tuple[list[dict],
     for statement in ALIGN.split(";\n"):
         db.execute(statement.replace("CREATE TEMP", "CREATE OR REPLACE TEMP"))
     groups, n_groups = written_groups(a, b, numbers(db, "ga", len(a.ids)), numbers(db, "gb", len(b.ids)))
-    held = [place[x] for x in got]
-    row = np.repeat(np.arange(len(held)), [len(x) for x in held])
-    flat = np.concatenate([np.zeros(0, np.int64), *held])
+    n, flat = len(texts), place[piece]
     # How often each document holds each piece, and so each pair.
     cells, often = np.unique(row * max(1, len(good)) + flat, return_counts=True)
     db.register("held_in", pa.table({"doc": cells // max(1, len(good)), "piece": cells % max(1, len(good)), "often": often}))
     linked = db.sql("SELECT doc, pair, sum(often * n)::BIGINT AS times FROM held_in JOIN links USING (piece) GROUP BY doc, pair ORDER BY doc, pair").to_arrow_table()
     db.unregister("held_in")
     doc, pairs, times = (linked[c].to_numpy() for c in ("doc", "pair", "times"))
-    at = np.searchsorted(doc, np.arange(len(held) + 1))
-    sums = lambda per_piece: np.bincount(row, per_piece[flat], len(held)).astype(np.int64)
+    at, ends = np.searchsorted(doc, np.arange(n + 1)), np.searchsorted(row, np.arange(n + 1))
+    sums = lambda per_piece: np.bincount(row, per_piece[flat], n).astype(np.int64)
     columns = {"n_a": sums(a.counts), "n_b": sums(b.counts), "n_groups": sums(n_groups)}
-    n_links = np.bincount(doc, times, len(held)).astype(np.int64)
+    n_links = np.bincount(doc, times, n).astype(np.int64)
     rows = [
-        {**{c: int(v[i]) for c, v in columns.items()}, "n_links": int(n_links[i]), "groups": ";".join(map(groups.__getitem__, x.tolist())), "pairs": pairs[at[i] : at[i + 1]], "times": times[at[i] : at[i + 1]]}
-        for i, x in enumerate(held)
+        {**{c: int(v[i]) for c, v in columns.items()}, "n_links": int(n_links[i]), "groups": ";".join(map(groups.__getitem__, flat[ends[i] : ends[i + 1]].tolist())), "pairs": pairs[at[i] : at[i + 1]], "times": times[at[i] : at[i + 1]]}
+        for i in range(n)
     ]
     return rows, *np.unique(pairs, return_counts=True)
 
@@ -218,7 +242,7 @@ def aligned_blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc
         from pyspark import TaskContext
 
         db = duckdb.connect(config={"threads": 1})
-        db.execute("SET memory_limit = '600MB'; SET preserve_insertion_order = false")
+        db.execute("SET memory_limit = '400MB'; SET preserve_insertion_order = false")
         pair = tokenizer_pair(a_path, b_path)
         block = TaskContext.get().partitionId() << 32
 
