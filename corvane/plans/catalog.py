@@ -1105,13 +1105,33 @@ def history_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.sanitised(table(spark, sf_dir, "orders").select("o_orderkey", said, F.struct(said, F.col("o_orderstatus").alias("d")).alias("x"), F.array(F.struct(F.lit(1).alias("d"), said)).alias("l")))
 
 
-FILES = ["a.CSV", "b.pdf", "c.txt", "d.xlsx", "e.xlsm", "f.docx", "noext"]
+KIND_ENDINGS = ["CSV", "pdf", "txt", "xlsx", "xlsm", "docx"]
 
 
-@query("SELECT path, CASE WHEN regexp_matches(lower(path), '\\.csv$') THEN 'csv' WHEN regexp_matches(lower(path), '\\.pdf$') THEN 'pdf' WHEN regexp_matches(lower(path), '\\.txt$') THEN 'txt' WHEN regexp_matches(lower(path), '\\.xls[xm]?$') THEN 'excel' END AS kind, least(7200, greatest(1800, length(path) * 10000000 / 5000))::DOUBLE AS timeout FROM (VALUES " + ", ".join(f"('{f}')" for f in FILES) + ") v(path)")
+@query("""
+    WITH f AS (SELECT doc_id, url, text FROM (SELECT doc_id, 'dir.v' || doc_id || '/' || source || CASE doc_id % 7 WHEN 0 THEN '.CSV' WHEN 1 THEN '.pdf' WHEN 2 THEN '.txt' WHEN 3 THEN '.xlsx' WHEN 4 THEN '.xlsm' WHEN 5 THEN '.docx' ELSE '' END AS url, text FROM documents)),
+    k AS (SELECT doc_id, text, lower(split_part(url, '.', -1)) AS e, contains(split_part(url, '/', -1), '.') AS named FROM f)
+    SELECT doc_id, CASE WHEN NOT named THEN NULL WHEN e = 'csv' THEN 'csv' WHEN e = 'pdf' THEN 'pdf' WHEN e = 'txt' THEN 'txt' WHEN e IN ('xlsx', 'xls', 'xlsm') THEN 'excel' END AS kind, least(7200, greatest(1800, length(text) * 10000 / 5000))::DOUBLE AS timeout FROM k""")
 def source_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = spark.createDataFrame([(x,) for x in FILES], "path string")
-    return f.select("path", files.file_kind_or_null("path").alias("kind"), files.extraction_timeout(F.length("path") * 10000000).alias("timeout"))
+    """Every document as a file that is named by its source, with endings in turn."""
+    k = (F.col("doc_id") % 7).cast("int")
+    ending = F.when(k < len(KIND_ENDINGS), F.concat(F.lit("."), F.get(F.array(*map(F.lit, KIND_ENDINGS)), k))).otherwise("")
+    path = F.concat(F.lit("dir.v"), F.col("doc_id").cast("string"), F.lit("/"), "source", ending)
+    return table(spark, sf_dir, "documents").select("doc_id", files.file_kind_or_null(path).alias("kind"), files.extraction_timeout(F.length("text") * 10000).alias("timeout"))
+
+
+@query("""
+    WITH f AS (SELECT doc_id // 20 AS file, string_agg(text, chr(10) ORDER BY doc_id, text) AS text FROM documents GROUP BY 1),
+    k AS (SELECT *, regexp_matches(text, '[^\\x00-\\x7F]') AS high, regexp_matches(text, '[^\\x00-\\x{FF}]') AS wide FROM f)
+    SELECT file, CASE WHEN file % 3 = 0 THEN 'UTF-16' WHEN file % 3 = 1 AND high AND NOT wide THEN 'windows-1252' ELSE 'UTF-8' END AS charset, md5(text) AS text_md5 FROM k""")
+def source_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of twenty documents each in three character sets, found and decoded again."""
+    joined_texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n")
+    each = table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 20).alias("file")).agg(joined_texts.alias("text"))
+    wide = F.col("text").rlike(r"[^\x00-\xFF]")
+    content = F.when(F.col("file") % 3 == 0, F.encode("text", "UTF-16")).when((F.col("file") % 3 == 1) & ~wide, F.encode(F.when(~wide, F.col("text")), "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    written = each.select("file", content.alias("content"))
+    return written.select("file", files.charset_name("content").alias("charset"), F.md5(F.encode(files.decode_text("content"), "UTF-8")).alias("text_md5"))
 
 
 @query("""

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.functions import charsets
 from corvane.functions.text import col
 
 # File kinds by ending, delimiters in the order in which they are tried, first bytes of formats.
@@ -60,34 +61,23 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def encoding_of(start: bytes, cut: bool = True) -> str:
-    """By a file's bytes: a byte order mark decides, else strict UTF-8 (whose last character may be missing bytes if the file was cut), else Windows-1252 if it has no undefined bytes, else UTF-8 with replacement."""
-    if start[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return "UTF-16"
-    for end in range(len(start), max(len(start) - (4 if cut else 1), -1), -1):
-        try:
-            start[:end].decode("utf-8")
-            return "UTF-8"
-        except UnicodeDecodeError:
-            pass
-    try:
-        start.decode("cp1252")
-        return "windows-1252"
-    except UnicodeDecodeError:
-        return "UTF-8"
+    """The character set of a file's bytes (`charsets.detect`); UTF-8 and UTF-16 by their usual names."""
+    found = charsets.detect(start, cut)
+    return found.upper() if found.startswith("utf") else found
 
 
 @F.pandas_udf(T.StringType())
 def decode_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Bytes as text, by encoding_of the whole."""
+    """Bytes as text, by the character set of the whole."""
+    for s in batches:
+        yield s.map(lambda b: None if b is None else charsets.decode(bytes(b)))
 
-    def decode(b: bytes | None) -> str | None:
-        if b is None:
-            return None
-        encoding = encoding_of(b, cut=False)
-        return b.decode("utf-8-sig" if encoding == "UTF-8" else encoding, "replace")
 
+@F.pandas_udf(T.StringType())
+def charset_name(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The character set of bytes."""
     for s in batches:
-        yield s.map(decode)
+        yield s.map(lambda b: None if b is None else encoding_of(bytes(b), cut=False))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -96,36 +86,80 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 HEAD_LINES, HEAD_BYTES = 200, 1 << 16
+#: Sets that Spark reads itself; files in others are read byte for byte and decoded by column.
+READ_BY_SPARK = {"UTF-8", "UTF-16", "UTF-16-LE", "UTF-16-BE", "UTF-32", "ISO-8859-1"}
+
+
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("lineSep", "\n").text(path)
+
+
+def _bytes_of(lines: DataFrame) -> bytes:
+    found = lines.limit(HEAD_LINES).select(F.substring(F.col("value").cast("binary"), 1, HEAD_BYTES).alias("value")).collect()  # bounded
+    return b"\n".join(bytes(r["value"]) for r in found)[:HEAD_BYTES]
 
 
 def file_head(spark: SparkSession, path: str) -> bytes:
     """The bytes of a file's first lines; nothing else of it reaches the driver."""
-    lines = spark.read.option("lineSep", "\n").text(path).limit(HEAD_LINES).select(F.substring(F.col("value").cast("binary"), 1, HEAD_BYTES).alias("value")).collect()
-    return b"\n".join(bytes(r["value"]) for r in lines)[:HEAD_BYTES]
+    return _bytes_of(file_lines(spark, path))
+
+
+def file_evidence(spark: SparkSession, path: str) -> bytes:
+    """The bytes of the first lines, and of lines anywhere that hold bytes beyond ASCII, where the first ones don't."""
+    head = file_head(spark, path)
+    return head if not head.isascii() else head + b"\n" + _bytes_of(file_lines(spark, path).where(F.col("value").rlike(r"[^\x00-\x7F]")))
+
+
+def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell spans lines: then some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not file_lines(spark, path).where(quotes % 2 == 1).isEmpty()
+
+
+def decoded(c: Column, charset: str) -> Column:
+    """Text that was read byte for byte, as ISO-8859-1, in its own character set: by single bytes inside Spark, else in Arrow batches."""
+    if charset in charsets.MULTI_BYTE:
+
+        @F.pandas_udf(T.StringType())
+        def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for s in batches:
+                yield s.map(lambda x: x if x is None or x.isascii() else x.encode("latin-1", "replace").decode(charsets.codec(charset), "replace"))
+
+        return whole(c)
+    return F.translate(c, *_single_bytes(charset))
+
+
+def _single_bytes(charset: str) -> tuple[str, str]:
+    other = {chr(b): bytes([b]).decode(charsets.codec(charset), "ignore") for b in range(0x80, 0x100)}
+    old, new = ("".join(x) for x in zip(*[(a, b) for a, b in other.items() if b], strict=True))
+    return old, new
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, infer: bool = True) -> DataFrame:
     """A delimited table by the delimiter that gives its header most columns (two at least; the first tried wins ties); bad cells are null, long rows cut.
 
-    Without a given encoding, the file's first bytes tell it. A quoted header may span lines.
+    Without a given encoding, the file's first lines tell it, or those anywhere that are no ASCII. A quoted header may span
+    lines; a file is read as one part only if it has cells that do, or two or four bytes a character. In a multi-byte set
+    `|` and a character's second byte can be one and the same: other delimiters are safe.
     """
     head = file_head(spark, path)
-    encoding = encoding or encoding_of(head)
-    header = head.decode("utf-8-sig" if encoding.upper() == "UTF-8" else encoding, "replace")
+    encoding = encoding or encoding_of(file_evidence(spark, path))
+    wide = encoding.upper().startswith(("UTF-16", "UTF-32"))
+    header = charsets.decode(head, encoding.lower())
     if not header.strip():
         raise ValueError(f"no delimiter fits {path}: it is empty")
     widths = {d: len(next(csv.reader(io.StringIO(header), delimiter=d))) for d in DELIMITERS}
     best = max(DELIMITERS, key=lambda d: widths[d])
     if widths[best] < 2:
         raise ValueError(f"no delimiter fits {path}")
-    windows = encoding.lower() in ("windows-1252", "cp1252")  # not read by Spark itself: ISO-8859-1 but for one block
-    found = spark.read.csv(path, sep=best, header=True, inferSchema=infer, encoding="ISO-8859-1" if windows else encoding, mode="PERMISSIVE", quote='"', escape='"', multiLine=True, samplingRatio=None)
-    if not windows:
+    own = encoding.upper() not in READ_BY_SPARK
+    spark_name = "ISO-8859-1" if own else {"UTF-16-LE": "UTF-16LE", "UTF-16-BE": "UTF-16BE"}.get(encoding.upper(), encoding)
+    found = spark.read.csv(path, sep=best, header=True, inferSchema=infer, encoding=spark_name, mode="PERMISSIVE", quote='"', escape='"', multiLine=wide or has_quoted_breaks(spark, path), samplingRatio=None)
+    if not own:
         return found
-    other = {chr(b): bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
-    old, new = ("".join(x) for x in zip(*[(a, b) for a, b in other.items() if b], strict=True))
-    name = lambda c: c.translate(str.maketrans(old, new))
-    return found.select(*[(F.translate(F.col(f"`{f.name}`"), old, new) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")).alias(name(f.name)) for f in found.schema.fields])
+    charset = encoding.lower()
+    name = lambda c: c.encode("latin-1", "replace").decode(charsets.codec(charset), "replace")
+    return found.select(*[(decoded(F.col(f"`{f.name}`"), charset) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")).alias(name(f.name)) for f in found.schema.fields])
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
