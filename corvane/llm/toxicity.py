@@ -3,7 +3,7 @@
 Each token is a lattice: a symbol may stand for letters, be left out or part words; a letter written again may be one letter; single
 characters with spaces between them may be one word. A Viterbi search finds the most probable restored text under a
 character language model (four characters, counted over all documents) and the channel's costs. Log odds of the restored
-words, counted by Spark over all labelled rows (equal texts count once), and a logistic curve over a text's evidence score them.
+words, counted by Spark over a bounded sample of the labelled texts (equal ones count once), and a logistic curve over a text's evidence score them.
 
 Defined cases: null and empty texts have no words and get the score of none; rows that repeat and null ids get their scores each;
 without a row of either label the score is the share of label 1 among the labelled rows, 0.5 without any; texts are restored whole; further columns stay as they are.
@@ -45,6 +45,8 @@ REPEATED = re.compile(r"(.)\1+", re.S)
 CACHE_TOKENS = 400_000
 #: The classifier: at most so many words, whose log odds are this at least after so many standard deviations are taken from them.
 MOST_WORDS, LEAST_LOG_ODDS, DEVIATIONS = 2048, 1.0, 2.0
+#: Labelled texts that the classifier learns from, about.
+LABELLED_TEXTS = 20_000
 #: A text's evidence is its most telling word's log odds and this share of the others': words of one text aren't independent.
 OTHERS = 0.1
 
@@ -306,12 +308,19 @@ def logistic_curve(x: np.ndarray, n: np.ndarray, ones: np.ndarray, ridge: float
     return float(beta[0]), float(beta[1])
 
 
-def labelled_words(docs: DataFrame, labels: DataFrame, model: np.ndarray, chosen: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(words, label) of the labelled documents that are chosen; equal texts count once, by their mean label."""
-    marks = labels.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{label_col}`").cast("int").alias("label")).where("label IN (0, 1)").dropDuplicates(["doc"])
-    rows = docs.where(chosen).select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text")).join(marks, "doc")
-    once = rows.groupBy(F.sha2("text", 256).alias("h")).agg(F.first("text").alias("text"), F.round(F.avg("label")).cast("int").alias("label"))
-    return restored_words(once.select("text", "label"), model).select("words", "label")
+def labelled_words(docs: DataFrame, labels: DataFrame, model: np.ndarray, chosen: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = LABELLED_TEXTS) -> DataFrame:
+    """(words, label) of the labelled documents that are chosen; equal texts count once, by their mean label.
+
+    Of more than `most` distinct texts those of smallest hash are taken, about so many. Only their keys are shuffled and sent; the
+    texts stay where they are read.
+    """
+    doc, h = F.col(f"`{id_col}`").alias("doc"), F.xxhash64(f"`{text_col}`").alias("h")
+    marks = labels.select(doc, F.col(f"`{label_col}`").cast("int").alias("label")).where("label IN (0, 1)").groupBy("doc").agg(F.max("label").alias("label"))
+    keys = materialise(docs.where(chosen).select(doc, h).join(marks, "doc").groupBy("h").agg(F.min("doc").alias("doc"), F.round(F.avg("label")).cast("int").alias("label")), "labelled")
+    share = most / max(1, keys.count())
+    taken = keys.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
+    rows = docs.select(doc, h, F.col(f"`{text_col}`").alias("text")).join(F.broadcast(taken), ["doc", "h"])
+    return restored_words(rows.select("h", "text", "label"), model).dropDuplicates(["h"]).select("words", "label")
 
 
 def score_texts(docs: DataFrame, model: np.ndarray, classifier: Classifier, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
