@@ -39,7 +39,7 @@ from .store import small_batches, tidied
 
 # HTML element names by role.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
-DROPPED = {"head", "template", "svg", "canvas", "select", "option", "button", "datalist", "audio", "video"} | RAW
+DROPPED = {"head", "template", "svg", "canvas", "option", "audio", "video"} | RAW
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 MATH_TOKENS = {"mi", "mn", "mo", "ms", "mtext"}
@@ -58,7 +58,10 @@ CONTENT_NAMES = frozenset("article content post entry story body text main prose
 ROLE_NAMES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: A whole attribute, so that words inside another attribute's value are none.
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Form controls are hidden in a line of text; other elements in a line are told by their attributes.
+MUTE = {"button", "select", "datalist"}
 NAME_PART = re.compile(r"[a-z]+")
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NEUTRAL_WORD = re.compile(r"(?:has|with|without|no)-", re.I)
@@ -90,6 +93,8 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
+    noted: int = 0  # characters in inline elements with evidence of boilerplate, and the most of it
+    evidence: float = 0.0
 
 
 def attribute_evidence(attributes: str, inside: bool = False) -> tuple[bool, float, float]:
@@ -119,10 +124,11 @@ def blocks_of(page: str) -> list[Block]:
     at, node, out = 0, root, []
     links = 0
     open_: Block | None = None
+    lines: list[tuple[str, bool, float, Node]] = []  # open inline elements with evidence: tag, hidden, boilerplate, where
 
     def add(text: str) -> None:
         nonlocal open_
-        if node.drop or not text:
+        if node.drop or not text or any(hidden for _, hidden, _, _ in lines):
             return
         text = references.unescape(text) if "&" in text else text
         if open_ is None:
@@ -132,12 +138,18 @@ def blocks_of(page: str) -> list[Block]:
         open_.parts.append(text)
         if links:
             open_.linked += len(text)
+        if lines:
+            open_.noted += len(text)
+            open_.evidence = max(open_.evidence, *(boiler for _, _, boiler, _ in lines))
 
     def flush() -> None:
         nonlocal open_
         if open_ is not None:
             open_.text = " ".join("".join(open_.parts).split())
             if open_.text:
+                if 2 * open_.noted > sum(map(len, open_.parts)):  # what most of a line is, the line is
+                    n = open_.node
+                    open_.node = Node("span", n, n.depth + 1, False, max(n.boiler, open_.evidence), n.content, n.has_article, True)
                 out.append(open_)
             open_ = None
 
@@ -153,6 +165,16 @@ def blocks_of(page: str) -> list[Block]:
                 return
             n = n.parent
 
+    def leave_lines() -> None:
+        """Inline elements end with the element they began in."""
+        while lines and lines[-1][3] is not node:
+            n: Node | None = node
+            while n is not None and n is not lines[-1][3]:
+                n = n.parent
+            if n is not None:
+                return
+            lines.pop()
+
     while True:
         m = TOKEN.search(page, at)
         if m is None:
@@ -164,14 +186,21 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
+            for i in range(len(lines) - 1, -1, -1):
+                if lines[i][0] == tag:
+                    del lines[i:]
+                    break
             if tag == "a":
                 links = max(0, links - 1)
+            elif tag in MUTE:
+                pass
             elif tag in ("td", "th"):
                 add(" ")
             elif tag not in INLINE and tag not in VOID and tag not in MATH:
                 flush()
                 links = 0
                 close({tag}, set())
+                leave_lines()
             continue
         if tag == "br":
             add(" ")
@@ -190,17 +219,20 @@ def blocks_of(page: str) -> list[Block]:
                 end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
                 at = at if end is None else page.find(">", end.end()) + 1 or len(page)
             continue
+        if tag in MUTE:
+            lines.append((tag, True, 0.0, node))
+            continue
         if tag in INLINE or (tag in VOID and tag != "hr"):
-            if tag == "img" or tag == "wbr":
-                continue
-            if tag in INLINE and not m[3]:
-                continue
-            hidden, boiler, _ = attribute_evidence(m[3])
-            if not hidden and boiler < 1 or tag in VOID:
-                continue
+            if tag in INLINE:
+                hidden, boiler, _ = attribute_evidence(m[3]) if m[3] else (False, 0.0, 0.0)
+                # Elements of the same name inside count too, so that an end tag ends its own.
+                if hidden or boiler or any(x[0] == tag for x in lines):
+                    lines.append((tag, hidden, boiler, node))
+            continue
         if tag in ("td", "th"):
             add(" ")
             close(SELF_CLOSING[tag], SCOPES)
+            leave_lines()
             continue
         flush()
         links = 0
@@ -208,6 +240,7 @@ def blocks_of(page: str) -> list[Block]:
             close({"p"}, SCOPES)
         if tag in SELF_CLOSING:
             close(SELF_CLOSING[tag], SCOPES - {"div"} if tag != "li" else {"ul", "ol", "menu"})
+        leave_lines()
         if tag in VOID or m[3].endswith("/") and tag == "svg":
             continue
         hidden, boiler, content = attribute_evidence(m[3], node.has_article or node.content > 0) if m[3] and tag not in ("html", "body") else (False, 0.0, 0.0)

@@ -206,6 +206,44 @@ def test_long_and_deep_pages_take_seconds():
     assert time.perf_counter() - start < 30
 
 
+WORDS = "the old harbour lay quiet under a pale sky and no boat had left its place since the storm".split()
+
+
+def inline_page(seed):
+    """(html, text): a page whose paragraphs hold inline elements with classes, styles and hidden parts, and attributes that speak of such."""
+    rng = random.Random(seed)
+    shown, said = [], []
+    for _ in range(rng.randint(2, 6)):
+        html_parts, text_parts = [], []
+        for w in rng.choices(WORDS, k=rng.randint(15, 40)):
+            kind = rng.randrange(24)
+            mark = {0: f'<em class="promo">{w}</em>', 1: f'<span class="comment">{w}</span>', 2: f'<span title="the hidden gem" data-x="a role=menu">{w}</span>', 3: f'<b style="color:red">{w}</b>', 4: f'<span class="x"><span class="ad">{w}</span></span>', 5: f'<code class="nav">{w}</code>'}
+            html_parts.append(mark.get(kind, w))
+            text_parts.append(w)
+            if kind == 6:
+                html_parts.append('<span style="display: none">unseen <b>words</b> <span>here</span></span>')
+            elif kind == 7:
+                html_parts.append('<span hidden>unseen</span><button class="btn">press</button>')
+        attribute = rng.choice(["", ' title="the hidden gem"', " data-role='navigation menu'", ' lang="en"'])
+        shown.append(f"<p{attribute}>{' '.join(html_parts)}</p>")
+        said.append(" ".join(text_parts))
+    menu = '<nav><ul><li><a href="/">Home</a></li><li><a href="/b">News</a></li></ul></nav><div class="share"><span class="share">Share this</span></div>'
+    return f"<html><body>{menu}<div><h1>{' '.join(WORDS[:5])}</h1>{''.join(shown)}</div><footer>© 2020</footer></body></html>", "\n\n".join([" ".join(WORDS[:5]), *said])
+
+
+def test_inline_elements_keep_their_text():
+    extract = lambda body: html.main_text(f"<html><body><article><h1>A title of the page</h1>{body}<p>{' '.join(WORDS)}</p></article></body></html>").split("\n\n")[1]
+    assert extract('<p>Before <span style="display:none">x</span> after the span. And it goes on.</p>') == "Before after the span. And it goes on."
+    assert extract('<p>Before <span class="comment">x</span> after the span. And it goes on.</p>') == "Before x after the span. And it goes on."
+    assert extract('<p>He said <em class="promo">now</em> and left the house at once.</p>') == "He said now and left the house at once."
+    assert extract('<p title="the hidden gem">He said now and left the house.</p>') == "He said now and left the house."
+    assert extract("<p>Press <button>OK</button> to go on with the reading of this.</p>") == "Press to go on with the reading of this."
+    assert extract('<p>An unclosed <span style="display:none">x</p><p>second paragraph of the page is seen</p>') == "An unclosed"
+    for seed in range(60):
+        page, text = inline_page(seed)
+        assert html.main_text(page) == text
+
+
 def test_pages_table_gives_the_articles(spark):
     import html as references
 
@@ -369,6 +407,18 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
 
 
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES[:-1]])
+def test_a_stage_passes_columns_of_any_name(spark, stage):
+    docs = queries.table(spark, SF, "documents").where("doc_id < 60")
+    clashing = {c: F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")) for c in ("leaks", "score", "lang_pred", "copy", "place", "component_id", "h", "label", "rate", "a.b")}
+    run = dict(corpus_pipeline.STAGES)[stage]
+    wide = run(spark, docs.withColumns(clashing), SF)
+    assert wide.columns == [*docs.columns, *clashing]
+    rows = sorted(tuple(map(str, r)) for r in wide.collect())
+    plain = run(spark, docs, SF)
+    assert rows == sorted(tuple(map(str, r)) for r in plain.withColumns(clashing).collect()) and rows
+
+
 def pipeline_by_hand(docs, items):
     """(doc_id, start, n_tokens, crc) of the five stages over (id, text, lang, source) rows, each by its plain definition."""
     from tokenizers import Tokenizer
