@@ -27,7 +27,9 @@ from pyspark.sql.window import Window
 from .store import materialise, small_batches, tidied
 
 #: Bytes of texts that a block gathers before it is aligned; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
+#: Words whose tokens A keeps, about 150 bytes each.
+CACHE_WORDS = 200_000
 #: Before such a space both tokenizers cut: it follows no white space of any kind.
 CUT = re.compile(r"(?<=\S)(?= )")
 UNSAFE = re.compile(r"^\s|\s ")
@@ -63,6 +65,8 @@ class Pair:
 
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
+        if hasattr(self.a.model, "_resize_cache"):
+            self.a.model._resize_cache(CACHE_WORDS)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         to_byte = byte_level_bytes()
         vocab = self.a.get_vocab(with_added_tokens=True)
@@ -136,7 +140,8 @@ class Tokens:
     def intervals(self, length: np.ndarray) -> pa.Table:
         """(seq, piece, s, e, id): the tokens as byte intervals of all pieces in a row."""
         e = np.cumsum(length[self.ids])
-        return pa.table({"seq": np.arange(len(self.ids)), "piece": np.repeat(np.arange(len(self.ends) - 1), self.counts), "s": e - length[self.ids], "e": e, "id": self.ids})
+        columns = {"seq": np.arange(len(self.ids)), "piece": np.repeat(np.arange(len(self.ends) - 1), self.counts), "s": e - length[self.ids], "e": e, "id": self.ids}
+        return pa.table({c: x.astype(np.int32) for c, x in columns.items()})  # a block is far below two billion bytes
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -157,7 +162,7 @@ ALIGN = f"""
     CREATE TEMP TABLE touched AS
         SELECT f.piece, f.id, f.first, l.seq AS last FROM (SELECT b.*, a.seq AS first FROM b ASOF JOIN a ON b.s >= a.s) f ASOF JOIN a l ON f.e - 1 >= l.s;
     CREATE TEMP TABLE links AS
-        SELECT t.piece, a.id * {B_IDS} + t.id AS pair, count(*) AS n FROM (SELECT piece, id, unnest(range(first, last + 1)) AS seq FROM touched) t JOIN a ON a.seq = t.seq GROUP BY ALL"""
+        SELECT t.piece, a.id::BIGINT * {B_IDS} + t.id AS pair, count(*) AS n FROM (SELECT piece, id, unnest(range(first, last + 1)) AS seq FROM touched) t JOIN a ON a.seq = t.seq GROUP BY ALL"""
 
 
 def distinct_pieces(texts: list[str | None]) -> tuple[list[str], int, np.ndarray, np.ndarray]:
@@ -175,8 +180,11 @@ def distinct_pieces(texts: list[str | None]) -> tuple[list[str], int, np.ndarray
     order = np.argsort(spaced, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    by_text = np.argsort(rows, kind="stable")
-    return keys.take(pa.array(order)).to_pylist(), int((~spaced).sum()), rows[by_text], place[index][by_text]
+    piece = place[index]
+    if odd:
+        by_text = np.argsort(rows, kind="stable")
+        rows, piece = rows[by_text], piece[by_text]
+    return keys.take(pa.array(order)).to_pylist(), int((~spaced).sum()), rows, piece
 
 
 def numbers(db, name: str, n: int) -> np.ndarray:
@@ -213,6 +221,8 @@ def aligned_block(db, pair: Pair, texts: list[str | None]) -> tuple[list[dict],
     for statement in ALIGN.split(";\n"):
         db.execute(statement.replace("CREATE TEMP", "CREATE OR REPLACE TEMP"))
     groups, n_groups = written_groups(a, b, numbers(db, "ga", len(a.ids)), numbers(db, "gb", len(b.ids)))
+    for name in ("ends", "ga", "gb", "touched", "a", "b"):
+        db.execute(f"DROP TABLE {name}")
     n, flat = len(texts), place[piece]
     # How often each document holds each piece, and so each pair.
     cells, often = np.unique(row * max(1, len(good)) + flat, return_counts=True)
@@ -242,7 +252,7 @@ def aligned_blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc
         from pyspark import TaskContext
 
         db = duckdb.connect(config={"threads": 1})
-        db.execute("SET memory_limit = '400MB'; SET preserve_insertion_order = false")
+        db.execute("SET memory_limit = '200MB'; SET preserve_insertion_order = false")
         pair = tokenizer_pair(a_path, b_path)
         block = TaskContext.get().partitionId() << 32
 
@@ -253,6 +263,7 @@ def aligned_blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc
             types = [pa.int32(), *[pa.int64()] * 6, pa.string(), *[pa.list_(pa.int64())] * 2]
             for at in range(0, len(out), 1000):
                 yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in out[at : at + 1000]], t) for c, t in zip(names, types, strict=True)], names=names)
+            pa.default_memory_pool().release_unused()
 
         ids, texts, size = [], [], 0
         for b in batches:
