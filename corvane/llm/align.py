@@ -27,12 +27,14 @@ from pyspark.sql.window import Window
 from .store import materialise, small_batches, tidied
 
 #: Bytes of texts that a block gathers before it is aligned; a longer text is a block of its own.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 5 << 20
 #: Words whose tokens A keeps, about 150 bytes each.
 CACHE_WORDS = 200_000
 #: Before such a space both tokenizers cut: it follows no white space of any kind.
 CUT = re.compile(r"(?<=\S)(?= )")
 UNSAFE = re.compile(r"^\s|\s ")
+#: The same white space where Arrow looks for it.
+WHITE = r"[\s\x{0b}\pZ\x{85}\x{1c}-\x{1f}]"
 #: Where it begins, a piece is a space and its key.
 BLOCK = "kind int, block bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, pairs array<bigint>, times array<bigint>"
 DOCUMENT, PARTIAL = 0, 1
@@ -167,16 +169,16 @@ ALIGN = f"""
 
 def distinct_pieces(texts: list[str | None]) -> tuple[list[str], int, np.ndarray, np.ndarray]:
     """The distinct pieces, first those without white space, and their number; the text and the piece of each occurrence, in order."""
-    easy, odd = [], []
-    for i, t in enumerate(texts):
-        if t:
-            (odd if UNSAFE.search(t) else easy).append(i)
-    lists = pc.split_pattern(pa.array([texts[i] for i in easy], pa.large_string()), " ")
+    given = pa.array(texts, pa.large_string())
+    held = np.array([bool(t) for t in texts], bool)
+    unsafe = pc.match_substring_regex(given, rf"^{WHITE}|{WHITE} ").fill_null(False).to_numpy(zero_copy_only=False)
+    easy, odd = np.flatnonzero(held & ~unsafe), np.flatnonzero(held & unsafe).tolist()
+    lists = pc.split_pattern(given.take(pa.array(easy)), " ")
     parts = [pieces(texts[i]) for i in odd]
     rows = np.repeat(np.array([*easy, *odd], np.int64), np.r_[np.diff(lists.offsets.to_numpy()), np.fromiter(map(len, parts), np.int64, len(parts))].astype(np.int64))
     coded = pa.chunked_array([lists.flatten(), pa.array(chain.from_iterable(parts), pa.large_string())], pa.large_string()).combine_chunks().dictionary_encode()
     keys, index = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-    spaced = pc.match_substring_regex(keys, r"^$|[\s\pZ\x{85}\x{1c}-\x{1f}]").to_numpy(zero_copy_only=False).astype(bool)
+    spaced = pc.match_substring_regex(keys, rf"^$|{WHITE}").to_numpy(zero_copy_only=False).astype(bool)
     order = np.argsort(spaced, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -194,13 +196,16 @@ def numbers(db, name: str, n: int) -> np.ndarray:
     return out
 
 
-def written_groups(a: Tokens, b: Tokens, g_a: np.ndarray, g_b: np.ndarray) -> tuple[list[str], np.ndarray]:
+def joined(values: pa.Array, ends: np.ndarray, by: str) -> pa.Array:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), by)
+
+
+def written_groups(a: Tokens, b: Tokens, g_a: np.ndarray, g_b: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """`a1,a2|b1;a3|b2,b3` of each piece from the group of each token, and its number of groups."""
-    first_a, first_b = (np.flatnonzero(np.diff(g, prepend=-1)).tolist() + [len(g)] for g in (g_a, g_b))
-    ids_a, ids_b = (list(map(str, t.ids.tolist())) for t in (a, b))
-    each = [f"{ids_a[i]}|{ids_b[k]}" if j - i == 1 == m - k else f"{','.join(ids_a[i:j])}|{','.join(ids_b[k:m])}" for i, j, k, m in zip(first_a, first_a[1:], first_b, first_b[1:], strict=False)]
-    ends = np.searchsorted(first_a[:-1], a.ends)
-    return [";".join(each[i:j]) for i, j in zip(ends.tolist(), ends[1:].tolist(), strict=False)], np.diff(ends)
+    firsts = [np.r_[np.flatnonzero(np.diff(g, prepend=-1)), len(g)] for g in (g_a, g_b)]
+    each = pc.binary_join_element_wise(*[joined(pa.array(t.ids).cast(pa.string()), first, ",") for t, first in zip((a, b), firsts, strict=True)], "|")
+    ends = np.searchsorted(firsts[0][:-1], a.ends)
+    return joined(each, ends, ";"), np.diff(ends)
 
 
 def aligned_block(db, pair: Pair, texts: list[str | None]) -> tuple[list[dict], np.ndarray, np.ndarray]:
@@ -234,8 +239,9 @@ def aligned_block(db, pair: Pair, texts: list[str | None]) -> tuple[list[dict],
     sums = lambda per_piece: np.bincount(row, per_piece[flat], n).astype(np.int64)
     columns = {"n_a": sums(a.counts), "n_b": sums(b.counts), "n_groups": sums(n_groups)}
     n_links = np.bincount(doc, times, n).astype(np.int64)
+    shown = groups.to_pylist()
     rows = [
-        {**{c: int(v[i]) for c, v in columns.items()}, "n_links": int(n_links[i]), "groups": ";".join(map(groups.__getitem__, flat[ends[i] : ends[i + 1]].tolist())), "pairs": pairs[at[i] : at[i + 1]], "times": times[at[i] : at[i + 1]]}
+        {**{c: int(v[i]) for c, v in columns.items()}, "n_links": int(n_links[i]), "groups": ";".join(map(shown.__getitem__, flat[ends[i] : ends[i + 1]].tolist())), "pairs": pairs[at[i] : at[i + 1]], "times": times[at[i] : at[i + 1]]}
         for i in range(n)
     ]
     return rows, *np.unique(pairs, return_counts=True)
