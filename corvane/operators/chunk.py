@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from corvane.functions.text import bound, col, count_contained, count_matches, ratio, spread, stripped_lines, word_count, words
 from corvane.operators.dedup import written
 from corvane.operators.profile_text import sentences
+from corvane.operators.sentences import SentenceModel, trained_sentences
 
 # Phrases of legal notices and of front matter.
 LEGAL_PHRASES = ["all rights reserved", "no representations", "warranties of any kind", "fitness for a particular", "applicable software license", "specifically disclaims", "subject to change without notice"]
@@ -41,9 +42,12 @@ def _joined(pieces: Column, starts: Column) -> Column:
     return F.transform(starts, lambda s, i: F.array_join(F.slice(pieces, s + 1, end(i) - s), " "))
 
 
-def sentence_chunks(docs: DataFrame, key: str = "doc_id", text_col: str = "text", size: int = CHUNK, context: int = CONTEXT, least_words: int = 0) -> DataFrame:
-    """(key, chunk_id, text, prev_context, next_context, char_count, sentence_count): whole sentences packed to about `size` characters."""
-    split = spread(docs, key).select(key, sentences(text_col, least=1).alias("s"))
+def sentence_chunks(docs: DataFrame, key: str = "doc_id", text_col: str = "text", size: int = CHUNK, context: int = CONTEXT, least_words: int = 0, model: SentenceModel | None = None) -> DataFrame:
+    """(key, chunk_id, text, prev_context, next_context, char_count, sentence_count): whole sentences packed to about `size` characters.
+
+    Sentences end by rule, or as a trained model says (`sentences.fit_sentences`).
+    """
+    split = spread(docs, key).select(key, sentences(text_col, least=1).alias("s")) if model is None else trained_sentences(docs.select(key, text_col), model, text_col, "s").select(key, "s")
     packed = split.select(key, F.posexplode(_joined(F.col("s"), pack(F.transform("s", F.length), size))).alias("chunk_id", "text"))
     order = Window.partitionBy(key).orderBy("chunk_id")
     near = lambda c, take: F.coalesce(take(c, F.lit(context)), F.lit("")) if context else F.lit("")

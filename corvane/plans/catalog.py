@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.functions.text import spread
-from corvane.operators import chunk, clean, curves, dedup, export, history, metrics, profile_table, profile_text, qa_rules, registry, retrieval, verdicts
+from corvane.operators import chunk, clean, curves, dedup, export, history, metrics, profile_table, profile_text, qa_rules, registry, retrieval, sentences, verdicts
 from corvane.plans import prepare
 from corvane.sources import files
 
@@ -315,6 +315,20 @@ def chunk_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.sentence_chunks(table(spark, sf_dir, "documents"))
 
 
+@query(f"""
+    WITH t AS (SELECT doc_id, list_filter(list_transform({split_words('text')}, lambda w: regexp_replace(w, '^[^\\p{{L}}\\p{{N}}.]+|[^\\p{{L}}\\p{{N}}.]+$', '', 'g')), lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}]')) AS w FROM documents),
+    p AS (SELECT w[i] AS x, w[i + 1] AS y FROM (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM t)),
+    c AS (SELECT lower(regexp_replace(x, '\\.+$', '')) AS word, count(*) AS n, count(*) FILTER (x LIKE '%.') AS stops, count(*) FILTER (x LIKE '%.' AND y IS NOT NULL AND NOT regexp_matches(y, '^\\p{{Lu}}')) AS before_small FROM p GROUP BY 1),
+    q AS (SELECT *, length(word) - length(replace(word, '.', '')) AS inside, sum(stops) OVER () / sum(n) OVER () AS share FROM c),
+    s AS (SELECT *, 2 * (stops * ln(0.99) + (n - stops) * ln(0.01) - stops * ln(share) - (n - stops) * ln(1 - share)) * exp(-(length(word) - inside)) * (inside + 1) * pow((length(word) - inside)::DOUBLE, -(n - stops)::DOUBLE) * (1 + before_small) AS score FROM q)
+    SELECT word, n, stops, before_small, stops > 0 AND round(score, 6) >= 0.3 AND regexp_matches(word, '\\p{{L}}') AS abbreviation FROM s""")
+def sentence_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sentence splitter learns of each word of the documents."""
+    stops = sentences.word_stops(sentences.token_pairs(table(spark, sf_dir, "documents")))
+    short = sentences.abbreviations(stops).select("word", F.lit(True).alias("abbreviation"))
+    return stops.join(short, "word", "left").withColumn("abbreviation", F.coalesce("abbreviation", F.lit(False)))
+
+
 @query(_chunk_sql(2000, 0, f"SELECT * FROM chunks WHERE len({split_words('text')}) >= 50"))
 def chunk_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.summary_chunks(table(spark, sf_dir, "documents"))
@@ -487,19 +501,37 @@ def dedup_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.lexical_dedup(items).select("pair_id", "drop_rule")
 
 
-@query("""
-    WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 500), e AS (SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.35),
+def _fates_sql(vectors: str, least: float) -> str:
+    """In order, a vector goes if it is so near to a kept earlier one of the view (vec_id, e)."""
+    return f"""
+    WITH RECURSIVE v AS ({vectors}), e AS (SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= {least}),
     ids AS (SELECT j AS id, list(i) AS earlier, row_number() OVER (ORDER BY j) AS r FROM e GROUP BY j),
     walk AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS dropped UNION ALL SELECT ids.r, CASE WHEN len(list_filter(earlier, lambda x: NOT list_contains(dropped, x))) > 0 THEN list_append(dropped, id) ELSE dropped END FROM walk JOIN ids ON ids.r = walk.r + 1),
     fin AS (SELECT dropped FROM walk ORDER BY r DESC LIMIT 1)
-    SELECT vec_id, CASE WHEN list_contains(dropped, vec_id) THEN 'eval_pool' ELSE 'kept' END AS fate FROM v, fin""".replace(" WHERE vec_id < 500", ""))
+    SELECT vec_id, CASE WHEN list_contains(dropped, vec_id) THEN 'eval_pool' ELSE 'kept' END AS fate FROM v, fin"""
+
+
+@query(_fates_sql("SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings", 0.35))
 def dedup_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.semantic_dedup(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", least_question=0.35).select("vec_id", "fate")
 
 
-@query("SELECT vec_id, 'kept' AS fate FROM embeddings")
+# Every fifth vector has a copy whose first number is pushed by a share of the length: 0.3 leaves it nearer than 0.90, 0.6 does not.
+COPIES_SQL = """
+    SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    UNION ALL SELECT vec_id + 1000000, list_prepend(x[1] + push * sqrt(list_sum(list_transform(x, lambda y: y * y))), x[2:]) FROM (SELECT vec_id, embedding::DOUBLE[] AS x, CASE WHEN vec_id % 10 = 0 THEN 0.3::DOUBLE ELSE 0.6::DOUBLE END AS push FROM embeddings WHERE vec_id % 5 = 0)"""
+
+
+def with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    push = F.when(F.col("vec_id") % 10 == 0, 0.3).otherwise(0.6) * length
+    return e.unionByName(e.where("vec_id % 5 = 0").select((F.col("vec_id") + 1000000).alias("vec_id"), F.transform("embedding", lambda x, i: F.when(i == 0, x + push).otherwise(x)).alias("embedding")))
+
+
+@query(_fates_sql(COPIES_SQL, 0.9))
 def dedup_semantic_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.semantic_dedup(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").select("vec_id", "fate")
+    return dedup.semantic_dedup(with_copies(spark, sf_dir), "vec_id", "embedding").select("vec_id", "fate")
 
 
 @query(f"""
@@ -562,12 +594,14 @@ def qa_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(k.alias("k"), F.coalesce(first["question"], F.lit("")).alias("question"), F.coalesce(first["answer"], F.lit("")).alias("answer"), F.coalesce(qa_rules.last_tool_call(text), F.lit("no tool")).alias("call"))
 
 
-@query("SELECT vec_id AS pair_id, CASE WHEN vec_id >= 400 THEN 'lexical' ELSE 'kept' END AS fate FROM embeddings")
+@query(f"""
+    SELECT vec_id AS pair_id, fate FROM ({_fates_sql(f"SELECT * FROM ({COPIES_SQL}) WHERE NOT vec_id BETWEEN 400 AND 999999", 0.9)})
+    UNION ALL SELECT vec_id, 'lexical' FROM embeddings WHERE vec_id >= 400""")
 def dedup_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions that repeat from the 400th on, and vectors none of which are as near as 0.9."""
-    h = F.md5((F.col("vec_id") % 400).cast("string"))
+    """Questions that repeat from the 400th on, and near copies of vectors, some of whose originals are gone by then."""
+    h = F.md5(F.when(F.col("vec_id") < 1000000, F.col("vec_id") % 400).otherwise(F.col("vec_id")).cast("string"))
     question = F.concat_ws(" ", *[F.substring(h, 1 + 8 * i, 8) for i in range(4)])
-    items = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pair_id"), question.alias("question"), "embedding")
+    items = with_copies(spark, sf_dir).select(F.col("vec_id").alias("pair_id"), question.alias("question"), "embedding")
     return dedup.two_stage_dedup(items, question_vector="embedding").select("pair_id", "fate")
 
 

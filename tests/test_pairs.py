@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import dedup
@@ -157,3 +159,82 @@ def test_copies_cost_no_pairs(spark):
     assert dedup.cosine_cliques(df, "id", "v", 0.9).count() == 3000
     text = spark.createDataFrame([(i, f"question {i} about gardens weather kitchens") for i in range(3000)], "pair_id long, question string")
     assert dedup.jaccard_cliques(text.selectExpr("pair_id AS id", "array('gardens', 'weather') AS sig")).count() == 3000
+
+
+def first_come(cliques):
+    """In order, an id goes if it shares a set with a kept earlier one."""
+    sets = {}
+    for g, i in cliques:
+        sets.setdefault(i, set()).add(g)
+    kept, out = set(), {}
+    for i in sorted(sets):
+        out[i] = bool(sets[i] & kept)
+        if not out[i]:
+            kept |= sets[i]
+    return out
+
+
+@pytest.mark.parametrize("at_once", [0, 8, 10**6])
+def test_components_of_any_size_are_settled_alike(spark, at_once):
+    rng = random.Random(at_once)
+    cliques = [(f"c{k // 3}", rng.randrange(90)) for k in range(150)] + [(f"p{i}", i + d) for i in range(100, 112) for d in (0, 1)] + [("lone", 500)]
+    cliques = list(dict.fromkeys(cliques))
+    got = {r["id"]: r["dropped"] for r in dedup.first_independent(spark.createDataFrame(cliques, "g string, id long"), at_once).collect()}
+    assert got == first_come(cliques)
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(f"e{k}", x) for k in range(60) for x in rng.sample(range(100), 2)] + [("one", 200)]
+    parent = {i: i for _, i in edges}
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for k in range(60):
+        a, b = (find(i) for g, i in edges if g == f"e{k}")
+        parent[max(a, b)] = min(a, b)
+    got = {r["id"]: r["comp"] for r in dedup.components(spark.createDataFrame(edges, "g string, id long")).collect()}
+    assert got == {i: find(i) for i in parent}
+
+
+def test_a_long_chain_takes_a_handful_of_jobs(spark):
+    chain = spark.range(100_000).selectExpr("concat('e', id) AS g", "explode(array(id, id + 1)) AS id")
+    tracker, group = spark.sparkContext.statusTracker(), "chain"
+    spark.sparkContext.setJobGroup(group, "")
+    state = dedup.first_independent(chain)
+    jobs = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("other", "")
+    assert state.where("dropped <> (id % 2 = 1)").isEmpty() and state.count() == 100_001
+    assert jobs <= 12
+
+
+@pytest.mark.parametrize("percent", [50, 80])
+def test_jaccard_candidates_lose_no_pair(spark, percent):
+    rng = random.Random(percent)
+    vocabulary = [f"w{i}" for i in range(400)]
+    sets = []
+    for k in range(160):
+        if k % 4 == 0 or not sets:
+            words = rng.sample(vocabulary, rng.randint(1, 120))
+        else:  # a set like an earlier one, up to and over the threshold
+            words = list(rng.choice(sets))
+            for _ in range(rng.randint(0, max(1, len(words) // 2))):
+                rng.choice([lambda: words.append(rng.choice(vocabulary)), lambda: words and words.pop(rng.randrange(len(words)))])()
+        sets.append(set(words))
+    df = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "id long, sig array<string>")
+    want = {(i, j) for i in range(160) for j in range(i + 1, 160) if sets[i] | sets[j] and 100 * len(sets[i] & sets[j]) > percent * len(sets[i] | sets[j]) and sets[i] and sets[j]}
+    assert {tuple(r) for r in dedup.jaccard_pairs(df, percent).collect()} == want and len(want) > 50
+    assert {tuple(sorted(r)) for r in dedup.jaccard_candidates(df, percent).collect()} >= want
+
+
+def test_hashed_cosine_pairs_find_nearly_all(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((150, 48))
+    v = np.concatenate([c + 0.3 * rng.standard_normal((8, 48)) for c in centres])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    cos = unit @ unit.T
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(cos >= 0.90, 1)), strict=True)}
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(9000, None), (9001, [0.0] * 48), (9002, [1.0, 2.0]), (9003, [2.0, 4.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    exact = {tuple(r) for r in dedup.cosine_pairs(df, "id", "v", 0.90).collect()}
+    hashed = {tuple(r) for r in dedup.cosine_pairs_hashed(df, "id", "v", 0.90).collect()}
+    assert exact == want | {(9002, 9003)} and hashed <= exact
+    assert len(hashed) >= 0.95 * len(exact) and len(want) > 300
