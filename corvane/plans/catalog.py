@@ -5,6 +5,7 @@ The SQL is written from the operators' definitions, not from their plans. Double
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -660,14 +661,16 @@ def verdict_assess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each[0].unionByName(each[1]).unionByName(each[2])
 
 
-GOALS = ["Chat about wine", "résumé my reports, summarise them", "label the tickets", "write code", "answer questions", "TL;DR please", ""]
+#: A goal for each order, in SQL that Spark and DuckDB share.
+GOAL = """CASE o_orderkey % 8 WHEN 0 THEN 'Chat about ' || lower(o_orderpriority) WHEN 1 THEN 'résumé my reports, summarise ' || o_orderpriority WHEN 2 THEN 'label the ' || o_orderstatus || ' tickets' WHEN 3 THEN 'write code'
+    WHEN 4 THEN 'answer questions on ' || o_orderpriority WHEN 5 THEN 'TL;DR please' WHEN 6 THEN '' ELSE o_orderpriority END"""
 
 
-@query("""SELECT goal, CASE WHEN regexp_matches(lower(goal), 'chat|conv|dialogue') THEN 'conversational-qa' WHEN regexp_matches(lower(goal), 'summar|resume|tl;dr') THEN 'summarization' WHEN regexp_matches(lower(goal), 'classif|label|sentiment|categor') THEN 'classification'
-    WHEN regexp_matches(lower(goal), 'code|program') THEN 'code-generation' ELSE 'question-answering' END AS task, len(list_filter(string_split(goal, ' '), lambda w: w <> '')) <= 2 AS vague FROM (VALUES """ + ", ".join(f"('{g}')" for g in GOALS) + ") v(goal)")
+@query(f"""SELECT o_orderkey, CASE WHEN regexp_matches(lower(goal), 'chat|conv|dialogue') THEN 'conversational-qa' WHEN regexp_matches(lower(goal), 'summar|resume|tl;dr') THEN 'summarization' WHEN regexp_matches(lower(goal), 'classif|label|sentiment|categor') THEN 'classification'
+    WHEN regexp_matches(lower(goal), 'code|program') THEN 'code-generation' ELSE 'question-answering' END AS task, len(list_filter(string_split(goal, ' '), lambda w: w <> '')) <= 2 AS vague FROM (SELECT o_orderkey, {GOAL} AS goal FROM orders)""")
 def verdict_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    goals = spark.createDataFrame([(g,) for g in GOALS], "goal string")
-    return goals.select("goal", verdicts.intent_task("goal").alias("task"), verdicts.prompt_is_vague("goal").alias("vague"))
+    goals = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(GOAL).alias("goal"))
+    return goals.select("o_orderkey", verdicts.intent_task("goal").alias("task"), verdicts.prompt_is_vague("goal").alias("vague"))
 
 
 @query(f"""
@@ -712,13 +715,17 @@ def export_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- models
 
 MODELS = [("org/model-7B-chat", "qlora", "question-answering"), ("tiny-net", "full", "translation"), ("x-0.5B", "lora", "code-generation"), ("big_70b-base", "auto", "sentiment-analysis"), ("net-large", "dora", "other"), ("extra-large-net", "none", "classification"), ("medium one", "lora_int8", "summarization"), ("plain", "qlora", "chatbot"), ("m-13B", "full", "conversational-qa")]
-MODEL_ROWS = ", ".join(f"('{m}', '{p}', '{t}')" for m, p, t in MODELS)
+#: A model for each part, in SQL that Spark and DuckDB share: names in turn, with the part's size where a name has one over one.
+MODEL_COLUMNS = {c: "CASE p_partkey % 9 " + " ".join(f"WHEN {i} THEN " + re.sub("(70|13|7)(?=[bB])", "' || p_size || '", f"'{m[k]}'") for i, m in enumerate(MODELS)) + " END" for k, c in enumerate(("model", "peft", "task"))}
+MODEL_COLUMNS["model"] = f"'p' || p_partkey || '/' || {MODEL_COLUMNS['model']}"
+MODEL_COLUMNS["pairs"] = "p_partkey * 7 % 22000"
+MODEL_COLUMNS["gb"] = "CASE p_size % 5 WHEN 0 THEN 4 WHEN 1 THEN 8 WHEN 2 THEN 12 WHEN 3 THEN 16 ELSE 24 END"
 MODEL_SQL = f"""m AS (SELECT *, coalesce(nullif(regexp_extract(model, '[-_/](\\d+\\.?\\d*)[Bb](?:\\b|[-_])', 1), '')::DOUBLE, nullif(regexp_extract(model, '(\\d+\\.?\\d*)[Bb][-_]', 1), '')::DOUBLE, nullif(regexp_extract(model, '\\b(\\d+\\.?\\d*)[Bb]\\b', 1), '')::DOUBLE,
-    CASE WHEN regexp_matches(model, 'nano|pico|tiny') THEN 0.1 WHEN regexp_matches(model, 'mini|small|0\\.5') THEN 0.5 WHEN contains(model, 'medium') THEN 3 WHEN contains(model, 'large') AND NOT contains(model, 'extra') THEN 13 WHEN regexp_matches(model, 'xl|extra-large') THEN 30 ELSE 7 END)::DOUBLE AS size_b FROM (VALUES {MODEL_ROWS}) v(model, peft, task))"""
+    CASE WHEN regexp_matches(model, 'nano|pico|tiny') THEN 0.1 WHEN regexp_matches(model, 'mini|small|0\\.5') THEN 0.5 WHEN contains(model, 'medium') THEN 3 WHEN contains(model, 'large') AND NOT contains(model, 'extra') THEN 13 WHEN regexp_matches(model, 'xl|extra-large') THEN 30 ELSE 7 END)::DOUBLE AS size_b FROM (SELECT {", ".join(f"{x} AS {c}" for c, x in MODEL_COLUMNS.items())} FROM part))"""
 
 
-def models(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MODELS, "model string, peft string, task string")
+def models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(*[F.expr(x).alias(c) for c, x in MODEL_COLUMNS.items()])
 
 
 @query(f"""
@@ -726,17 +733,17 @@ def models(spark: SparkSession) -> DataFrame:
     s AS (SELECT *, CASE WHEN peft = 'full' THEN 8.0 ELSE 1.0 END * CASE task WHEN 'conversational-qa' THEN 1.2 WHEN 'instruction-following' THEN 1.5 WHEN 'summarization' THEN 0.8 WHEN 'classification' THEN 0.6 WHEN 'sentiment-analysis' THEN 0.5 WHEN 'code-generation' THEN 2.0 WHEN 'translation' THEN 0.7 ELSE 1 END AS f, (SELECT min(cap) FROM n WHERE size_b <= cap) AS cap FROM m)
     SELECT model, size_b, round(f, 6)::DOUBLE AS multiplier, round_even(lo * f, 0)::BIGINT AS min_viable, round_even(mid * f, 0)::BIGINT AS target, round_even(hi * f, 0)::BIGINT AS saturate FROM s JOIN n USING (cap)""")
 def model_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(registry.data_requirements(models(spark)).select("model", "size_b", "multiplier", "min_viable", "target", "saturate"), "multiplier")
+    return rounded(registry.data_requirements(models(spark, sf_dir)).select("model", "size_b", "multiplier", "min_viable", "target", "saturate"), "multiplier")
 
 
 @query(f"""
-    WITH {MODEL_SQL}, x AS (SELECT model, peft, task, size_b, pairs, gb FROM m, (VALUES (100, 4), (700, 8), (1501, 16), (5000, 24), (20000, 12)) v(pairs, gb))
+    WITH {MODEL_SQL}, x AS (SELECT * FROM m)
     SELECT model, pairs, CASE WHEN size_b <= 0.5 THEN 4 WHEN size_b <= 1.5 THEN 8 WHEN size_b <= 7 THEN 16 WHEN size_b <= 15 THEN 32 ELSE 64 END AS lora_rank, 2 * CASE WHEN size_b <= 0.5 THEN 4 WHEN size_b <= 1.5 THEN 8 WHEN size_b <= 7 THEN 16 WHEN size_b <= 15 THEN 32 ELSE 64 END AS lora_alpha,
         (CASE WHEN peft IN ('lora', 'lora_int8', 'dora') THEN 1e-4 WHEN peft = 'full' THEN 2e-5 ELSE 2e-4 END)::DOUBLE AS learning_rate, CASE WHEN pairs <= 300 THEN 10 WHEN pairs <= 700 THEN 7 WHEN pairs <= 1500 THEN 5 WHEN pairs <= 3000 THEN 3 WHEN pairs <= 8000 THEN 2 ELSE 1 END AS num_train_epochs,
         CASE WHEN gb >= 16 THEN 4 WHEN gb >= 8 THEN 2 ELSE 1 END AS batch_size, 16 // CASE WHEN gb >= 16 THEN 4 WHEN gb >= 8 THEN 2 ELSE 1 END AS accumulation, CASE WHEN task = 'code-generation' THEN 4096 ELSE 2048 END AS max_length,
         (CASE WHEN peft = 'full' THEN 5e-6 ELSE 1e-5 END)::DOUBLE AS rate_low, (CASE WHEN peft = 'full' THEN 1e-4 ELSE 5e-4 END)::DOUBLE AS rate_high, CASE WHEN pairs < 300 THEN 5 WHEN pairs < 700 THEN 4 WHEN pairs < 2000 THEN 2 ELSE 1 END AS epochs_low, CASE WHEN pairs < 300 THEN 12 WHEN pairs < 700 THEN 8 WHEN pairs < 2000 THEN 6 ELSE 3 END AS epochs_high FROM x""")
 def model_hyper_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = models(spark).crossJoin(spark.createDataFrame([(100, 4), (700, 8), (1501, 16), (5000, 24), (20000, 12)], "pairs int, gb int"))
+    x = models(spark, sf_dir)
     return x.select("model", "pairs", registry.hyper_parameters(registry.model_size("model"), "peft", F.col("pairs"), F.col("gb"), "task").alias("h"), registry.search_bounds("peft", F.col("pairs")).alias("b")).select("model", "pairs", "h.*", "b.*")
 
 
@@ -749,13 +756,13 @@ def model_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     WITH {MODEL_SQL}, k AS (SELECT * FROM (VALUES (1, 'qlora', 0.5, 0.01), (2, 'lora_int8', 1.0, 0.01), (3, 'lora', 2.0, 0.01), (4, 'full', 2.0, 1.0)) v(i, method, b, f)),
-    need AS (SELECT model, i, method, round(size_b * b + 3 * (size_b * f * 4) + 1.5, 1) AS gb FROM m, k), a AS (SELECT * FROM (VALUES (4), (8), (24)) v(have)),
-    fit AS (SELECT model, have, list(method ORDER BY i) FILTER (gb <= have - least(3, greatest(0.5, have * 0.2))) AS f, list(method ORDER BY gb, i) FILTER (gb <= have - least(3, greatest(0.5, have * 0.2))) AS least_first FROM need, a GROUP BY model, have)
+    need AS (SELECT model, m.gb AS have, i, method, round(size_b * b + 3 * (size_b * f * 4) + 1.5, 1) AS gb FROM m, k),
+    fit AS (SELECT model, have, list(method ORDER BY i) FILTER (gb <= have - least(3, greatest(0.5, have * 0.2))) AS f, list(method ORDER BY gb, i) FILTER (gb <= have - least(3, greatest(0.5, have * 0.2))) AS least_first FROM need GROUP BY model, have)
     SELECT model, have, floor(have - least(3, greatest(0.5, have * 0.2)))::INT AS budget, coalesce(array_to_string(f, '|'), '') AS fits, CASE WHEN f IS NULL THEN 'qlora' ELSE least_first[1] END AS speed,
         CASE WHEN f IS NULL THEN 'qlora' WHEN list_contains(f, 'lora') THEN 'lora' WHEN list_contains(f, 'lora_int8') THEN 'lora_int8' WHEN list_contains(f, 'qlora') THEN 'qlora' ELSE f[-1] END AS performance,
         CASE WHEN f IS NULL THEN 'qlora' WHEN list_contains(f, 'lora_int8') THEN 'lora_int8' WHEN list_contains(f, 'qlora') THEN 'qlora' WHEN list_contains(f, 'lora') THEN 'lora' ELSE f[1] END AS balanced FROM fit""")
 def model_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = models(spark).crossJoin(spark.createDataFrame([(4,), (8,), (24,)], "have int")).withColumn("parameters_b", registry.model_size("model"))
+    x = models(spark, sf_dir).withColumnRenamed("gb", "have").withColumn("parameters_b", registry.model_size("model"))
     have = F.col("have")
     fit = registry.methods_that_fit(x, have - F.least(F.lit(3.0), F.greatest(F.lit(0.5), have * 0.2)))
     pick = lambda o: registry.choose_method(F.lit(o), F.col("feasible"), F.col("need_gb")).alias(o)
