@@ -122,14 +122,17 @@ def boundary_chunks(split: DataFrame, key: str, size: int = 1500) -> DataFrame:
     A chunk ends at a break once it has a third of `size`, or before it would outgrow twice of it.
     """
     least, most = max(200, size // 3), max(2 * size, size + 400)
-    empty = F.struct(F.lit(0).alias("at"), F.lit(0).alias("used"), F.lit(False).alias("full"), F.array().cast("array<int>").alias("starts"))
+    empty = F.struct(F.lit(0).alias("at"), F.lit(0).alias("met"), F.lit(0).alias("used"), F.lit(False).alias("full"), F.array().cast("array<int>").alias("starts"))
+    # The breaks in order, so that a step looks at the next one only.
+    split = split.select(key, "s", F.array_sort(F.array_distinct(F.filter("breaks", lambda b: b >= 0))).alias("breaks"))
 
     def step(acc: Column, n: Column) -> Column:
         grown = acc["used"] + n + 1
-        may = F.array_contains("breaks", acc["at"]) | (grown > most)
+        here = F.coalesce(F.get("breaks", acc["met"]) == acc["at"], F.lit(False))
+        may = here | (grown > most)
         opens = (acc["at"] == 0) | acc["full"] | (may & (acc["used"] >= least))
         used = F.when(opens, n).otherwise(grown)
-        return F.struct((acc["at"] + 1).alias("at"), used.alias("used"), (~opens & (grown > most)).alias("full"), F.when(opens, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"]).alias("starts"))
+        return F.struct((acc["at"] + 1).alias("at"), (acc["met"] + here.cast("int")).alias("met"), used.alias("used"), (~opens & (grown > most)).alias("full"), F.when(opens, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"]).alias("starts"))
 
     starts = F.aggregate(F.transform("s", F.length), empty, step, lambda acc: acc["starts"])
     return split.select(key, F.posexplode(_joined(F.col("s"), starts)).alias("chunk_id", "text"))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.functions.text import col, ws_strip
 
+BATCH_NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*")
 # Record formats by task, parts of model names, instructions of summaries.
 TASK_FORMATS = {
     "question-answering": "alpaca",
@@ -92,8 +97,85 @@ def write_splits(records: DataFrame, folder: str) -> DataFrame:
     return split_counts(records)
 
 
-def append_json_lines(df: DataFrame, folder: str) -> None:
-    df.write.mode("append").option("ignoreNullFields", "false").json(folder)
+def append_json_lines(df: DataFrame, folder: str, batch: str | None = None) -> None:
+    """Append rows as JSON lines: plainly, or as one batch that is there once and whole or not at all (`append_batch`)."""
+    if batch is None:
+        df.write.mode("append").option("ignoreNullFields", "false").json(folder)
+    else:
+        append_batch(df, folder, batch)
+
+
+def append_batch(df: DataFrame, folder: str, batch: str) -> bool:
+    """Append `df` to a table of batches; False if this batch is there already.
+
+    The rows are staged as files of this attempt, which no reader looks at. One rename then puts the batch's manifest in
+    place, which names them; that of another attempt that was quicker stays. So a job that is killed at any point
+    leaves no rows, and one that is repeated leaves each row once.
+    """
+    if not BATCH_NAME.fullmatch(batch):
+        raise ValueError(f"a batch is named by letters, digits, dots, underscores and dashes: {batch!r}")
+    spark = df.sparkSession
+    manifest = f"{folder}/commits/{batch}.json"
+    if _exists(spark, manifest):
+        return False
+    data = f"batches/{batch}-{uuid.uuid4().hex}"
+    df.write.option("ignoreNullFields", "false").json(f"{folder}/{data}")
+    return _commit(spark, f"{folder}/commits", manifest, json.dumps({"batch": batch, "data": data}))
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, at = _files(spark, path)
+    return files.exists(at)
+
+
+def _commit(spark: SparkSession, folder: str, manifest: str, body: str) -> bool:
+    """Put the manifest in place by a rename that never replaces one; False if there is one."""
+    own = f"{folder}/.{uuid.uuid4().hex}"
+    files, at = _files(spark, own)
+    out = files.create(at, False)
+    out.write(bytearray(body.encode() + b"\n"))
+    out.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    none = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+    target = files.makeQualified(hadoop.Path(manifest))
+    try:
+        hadoop.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(files.makeQualified(at), target, none)
+        return True
+    except Py4JJavaError:
+        if not _exists(spark, manifest):
+            raise
+        files.delete(at, False)
+        return False
+
+
+def batches(spark: SparkSession, folder: str) -> DataFrame:
+    """(batch, data) of the batches that are committed."""
+    if not _exists(spark, f"{folder}/commits"):
+        return spark.createDataFrame([], "batch string, data string")
+    return spark.read.schema("batch string, data string").json(f"{folder}/commits")
+
+
+def read_batches(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The rows of all committed batches, and of nothing else."""
+    paths = [f"{folder}/{r['data']}" for r in batches(spark, folder).collect()]  # one a batch
+    return spark.read.schema(schema).json(paths) if paths else spark.createDataFrame([], schema)
+
+
+def clear_attempts(spark: SparkSession, folder: str) -> int:
+    """Delete the files of attempts that were not committed, when no job is appending; returns how many attempts there were."""
+    files, at = _files(spark, f"{folder}/batches")
+    if not files.exists(at):
+        return 0
+    known = {r["data"].rsplit("/", 1)[-1] for r in batches(spark, folder).collect()}
+    left = [x.getPath() for x in files.listStatus(at) if x.getPath().getName() not in known]
+    for path in left:
+        files.delete(path, True)
+    return len(left)
 
 
 def write_json_document(df: DataFrame, path: str) -> None:
