@@ -61,7 +61,7 @@ def with_parities(words: DataFrame) -> DataFrame:
     """Adds `len` and, for each band, the letters that occur an odd number of times as bits: `p0`, `p1`, `p2`."""
     bits = F.transform(F.split("word", ""), _bit)
     bands = [_odd(F.col("bits"), band) for band in range(BANDS)]
-    return words.withColumn("bits", bits).select("word", "n", F.length("word").alias("len"), *[m.alias(p) for m, p in zip(bands, PARITIES, strict=True)])
+    return words.withColumn("bits", bits).select("word", "n", F.length("word").alias("len"), *[m.cast("int").alias(p) for m, p in zip(bands, PARITIES, strict=True)])
 
 
 def _cut(word: Column, shorter: Column, part: Column) -> tuple[Column, Column]:
@@ -74,11 +74,11 @@ def _cut(word: Column, shorter: Column, part: Column) -> tuple[Column, Column]:
 def _keyed(words: DataFrame, shorter: Column, bands: list[list[int]], name: str) -> DataFrame:
     """A row for each part and set of bands, with the key on which near words meet: length, part, equal bands, the word's rest."""
     parts = words.select("word", "n", *PARITIES, shorter.alias("shorter"), F.explode(F.array(*map(F.lit, range(PARTS)))).alias("part"))
-    rest, middle = _cut(F.col("word"), F.col("shorter"), F.col("part"))
+    rest, _ = _cut(F.col("word"), F.col("shorter"), F.col("part"))
     some = [F.struct(F.lit(k).alias("k"), *[F.col(f"p{b}").alias(f"x{i}") for i, b in enumerate(bs)]) for k, bs in enumerate(bands)]
-    rows = parts.withColumns({"rest": rest, "middle": middle}).select("*", F.explode(F.array(*some)).alias("band"))
-    whole = F.struct("word", "n", *PARITIES, "middle").alias(name)
-    return rows.select(F.xxhash64("shorter", "part", "band", "rest").alias("key"), (F.col("part") * len(bands) + F.col("band.k")).alias("way"), "shorter", whole)
+    rows = parts.withColumn("rest", rest).select("*", F.explode(F.array(*some)).alias("band"))
+    own = [F.col(c).alias(f"{name}_{c}") for c in ("word", "n", *PARITIES)]
+    return rows.select(F.xxhash64("shorter", "part", "band", "rest").alias("key"), (F.col("part") * len(bands) + F.col("band.k")).cast("tinyint").alias("way"), F.col("shorter").cast("int").alias("shorter"), *own)
 
 
 def _met(a: DataFrame, b: DataFrame, bands: list[list[int]], further: str) -> DataFrame:
@@ -86,24 +86,25 @@ def _met(a: DataFrame, b: DataFrame, bands: list[list[int]], further: str) -> Da
 
     Words that agree beside one part are as far apart as these parts.
     """
-    flipped = sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in PARITIES), F.lit(0))
-    same_bands = F.coalesce(*[F.when(F.expr(" AND ".join(f"a.p{x} = b.p{x}" for x in bs)), F.lit(k)) for k, bs in enumerate(bands)])
-    rest = lambda side, i: _cut(F.col(f"{side}.word"), F.col("shorter"), F.lit(i))[0]
-    same_rest = F.coalesce(*[F.when(rest("a", i) == rest("b", i), F.lit(i)) for i in range(PARTS)])
-    pairs = a.join(b, ["key", "way", "shorter"]).where(further).where(flipped <= 2).where(F.levenshtein("a.middle", "b.middle", 1) == 1)
+    flipped = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITIES), F.lit(0))
+    same_bands = F.coalesce(*[F.when(F.expr(" AND ".join(f"a_p{x} = b_p{x}" for x in bs)), F.lit(k)) for k, bs in enumerate(bands)])
+    cut = lambda side, part: _cut(F.col(f"{side}_word"), F.col("shorter"), part)
+    same_rest = F.coalesce(*[F.when(cut("a", F.lit(i))[0] == cut("b", F.lit(i))[0], F.lit(i)) for i in range(PARTS)])
+    part = F.floor(F.col("way") / len(bands))
+    pairs = a.join(b, ["key", "way", "shorter"]).where(further).where(flipped <= 2).where(F.levenshtein(cut("a", part)[1], cut("b", part)[1], 1) == 1)
     # A key is a hash: what it stands for is compared here.
-    return pairs.where(F.col("way") == same_rest * len(bands) + same_bands).select("a", "b")
+    return pairs.where(F.col("way") == same_rest * len(bands) + same_bands).select("a_word", "a_n", "b_word", "b_n")
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """(word, n, near, near_n): both directions of every pair of words (word, n) that one edit parts."""
     words = materialise(with_parities(words), "parities")
     one, two = [[0], [1], [2]], [[0, 1], [0, 2], [1, 2]]
-    replaced = _met(_keyed(words, F.col("len"), one, "a"), _keyed(words, F.col("len"), one, "b"), one, "a.word < b.word")
+    replaced = _met(_keyed(words, F.col("len"), one, "a"), _keyed(words, F.col("len"), one, "b"), one, "a_word < b_word")
     inserted = _met(_keyed(words, F.col("len"), two, "a"), _keyed(words, F.col("len") - 1, two, "b"), two, "true")
     pairs = replaced.unionByName(inserted)
-    ways = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p")
-    return pairs.select(ways).select(F.col("p.x.word").alias("word"), F.col("p.x.n").alias("n"), F.col("p.y.word").alias("near"), F.col("p.y.n").alias("near_n"))
+    side = lambda x, y: F.struct(F.col(f"{x}_word").alias("word"), F.col(f"{x}_n").alias("n"), F.col(f"{y}_word").alias("near"), F.col(f"{y}_n").alias("near_n"))
+    return pairs.select(F.explode(F.array(side("a", "b"), side("b", "a"))).alias("p")).select("p.*")
 
 
 def roots(forms: DataFrame) -> DataFrame:
