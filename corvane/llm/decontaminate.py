@@ -36,6 +36,8 @@ from .store import materialise, small_batches, tidied
 from .words import hash_words, rolled, text_pieces
 
 LEAST, PERCENT = 5, 80
+#: Meetings of an item's seeds with a document's, beyond which repetitions of up to so many words are shortened first.
+MOST_MET, MOST_PERIOD = 1 << 20, 16
 BROADCAST_SEEDS = 2_000_000
 LEAK = "struct<item_id:bigint,matched_words:bigint,item_words:bigint,coverage:double>"
 _LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("matched_words", T.LongType()), T.StructField("item_words", T.LongType()), T.StructField("coverage", T.DoubleType())]))
@@ -136,6 +138,28 @@ def indexed_seeds(item: Item, shared: dict[int, int], least: int, percent: int)
     return seeds[order[np.cumsum(times[order]) >= item.least_met(least, percent)]]
 
 
+def without_long_repeats(words: np.ndarray, n: int) -> np.ndarray:
+    """The words of a document with the middle of each long repetition of up to MOST_PERIOD words cut out, for an item of n words.
+
+    Tiles of an item have n words at most, and lie in a repetition, or over its beginning or its end. Four times n words of it
+    give all of them room, whatever greedy tiling leaves between them, so that no more is marked in a longer one.
+    """
+    for p in range(1, MOST_PERIOD + 1):
+        if len(words) <= p:
+            break
+        same = np.r_[False, words[p:] == words[:-p], False]
+        first, last = np.flatnonzero(~same[:-1] & same[1:]), np.flatnonzero(same[:-1] & ~same[1:])
+        room = 4 * n + 2 * p
+        long = last - first > room
+        gone = np.zeros(len(words) + 1, np.int64)
+        for lo, hi in zip(first[long].tolist(), last[long].tolist(), strict=True):
+            cut = (hi - lo - room) // p * p  # whole periods, from the middle
+            gone[lo + room // 2] += 1
+            gone[lo + room // 2 + cut] -= 1
+        words = words[np.cumsum(gone[:-1]) == 0]
+    return words
+
+
 def judge(item: Item, words: np.ndarray, seeds: np.ndarray, order: np.ndarray, least: int, percent: int) -> dict | None:
     """The leak of an item in a document of these words. seeds: its seeds, sorted; order: where they start."""
     n = len(item.words)
@@ -150,6 +174,12 @@ def judge(item: Item, words: np.ndarray, seeds: np.ndarray, order: np.ndarray, l
     if 100 * int((np.cumsum(hull)[:n] > 0).sum()) < percent * n:
         return None
     count = (hi - lo)[met]
+    if count.sum() > MOST_MET:
+        shorter = without_long_repeats(words, n)
+        if len(shorter) < len(words):
+            grams = rolled(shorter, k, _SEED + 2 * k)
+            order = np.argsort(grams, kind="stable")
+            return judge(item, shorter, grams[order], order, least, percent)
     i = np.repeat(met, count)
     j = order[np.repeat(lo[met] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())]
     same = (item.words[i[:, None] + np.arange(k)] == words[j[:, None] + np.arange(k)]).all(1)

@@ -560,3 +560,27 @@ def test_lm_on_held_out_documents(spark):
     """Over classes of unseen words, as the base has one, the model beats it; as strings, unseen words cost more than a class does."""
     scored = queries.op7_lattice_scores(spark, "/root/testdata/sf0.001").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("class_score").alias("k")).first()
     assert scored["k"] > scored["b"] and scored["s"] < scored["k"]
+
+
+def test_long_repetitions_take_bounded_memory_and_mark_the_same(monkeypatch):
+    rng = random.Random(31)
+    as_words = lambda t: np.array([hash(w) & 0xFFFFFFFF for w in t], np.uint64)
+    for case in range(60):
+        p = rng.randint(1, 4)
+        period = [f"w{rng.randint(0, 2)}" for _ in range(p)]
+        item = (period * 20)[: rng.randint(5, 25)] + [f"x{rng.randint(0, 3)}" for _ in range(rng.randint(0, 6))]
+        doc = [f"x{rng.randint(0, 3)}" for _ in range(rng.randint(0, 8))] + period * rng.randint(1, 300) + item[-rng.randint(1, 8) :] + period * rng.randint(0, 300)
+        found = []
+        for most in (1 << 40, 0):
+            monkeypatch.setattr(decontaminate, "MOST_MET", most)
+            x, words_ = decontaminate.item_of(1, as_words(item), 5), as_words(doc)
+            grams = words.rolled(words_, 5, decontaminate._SEED + 10)
+            order = np.argsort(grams, kind="stable")
+            found.append(decontaminate.judge(x, words_, grams[order], order, 5, 80))
+        assert found[0] == found[1], (item, doc[:40])
+    monkeypatch.undo()
+    large = pa.array(["same " * 1_000_000 + "end"])
+    items = decontaminate.items_of([(1, "same " * 100), (2, "ab cd " * 30)], 5)
+    index = np.unique(np.concatenate([x.seeds for x in items[:1]])), np.zeros(1, np.int64)
+    leaks = decontaminate.leaks_of(large, items, index, 5, 80)
+    assert leaks[0][0]["matched_words"] == 100
