@@ -54,6 +54,10 @@ def read_vocabulary(path: str) -> list[tuple[str, float]]:
     return [(m.id_to_piece(i), m.get_score(i)) for i in range(m.get_piece_size()) if not m.is_control(i) and not m.is_unknown(i)]
 
 
+#: Words of more characters are summed one at a time, all places of a piece length at once.
+LONG_WORD = 512
+
+
 class Lattice:
     """Pieces with probabilities, and the sums over all segmentations of many words at a time."""
 
@@ -134,10 +138,68 @@ class Lattice:
                 alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + self.log_p[piece])
         return alpha
 
+    def _long_edges(self, codes: np.ndarray) -> tuple[list[int], np.ndarray, list[int]]:
+        """The pieces of one long word by where they end: their starts, ids, and for each end the first of them. All places of a length at once."""
+        length = len(codes)
+        p, back = powers(_BASE, length + 1), powers(inverse(_BASE), length + 1)
+        sums = np.zeros(length + 1, np.uint64)
+        np.cumsum(mix(codes) * p[:length], out=sums[1:])
+        starts, ends, pieces = [], [], []
+        for n in range(1, min(self.longest, length) + 1):
+            h = mix((sums[n:] - sums[:-n]) * back[: length - n + 1])
+            begins = self.begins.take((h >> np.uint64(64 - LEADING_BITS)).view(np.int64))
+            rows = np.flatnonzero(begins >= 0)
+            at, h = begins[rows], h[rows]
+            for _ in range(self.deepest - 1):
+                at = np.where(self.keys.take(at) < h, np.minimum(at + 1, len(self.keys) - 1), at)
+            piece = self.keys.take(at) == h
+            starts.append(rows[piece])
+            ends.append(rows[piece] + n)
+            pieces.append(self.ids.take(at[piece]))
+        start, end, piece = (np.concatenate(x) for x in (starts, ends, pieces))
+        order = np.lexsort((start, end))
+        return start[order].tolist(), piece[order], np.searchsorted(end[order], np.arange(1, length + 2)).tolist()
+
+    def _long_forward(self, spelled: list[float], starts: list[int], log_p: list[float], first: list[int]) -> list[float]:
+        alpha = [0.0]
+        for j, by_bytes in enumerate(spelled):
+            x = alpha[j] + by_bytes
+            for e in range(first[j], first[j + 1]):
+                x = _log_sum(x, alpha[starts[e]] + log_p[e])
+            alpha.append(x)
+        return alpha
+
+    def _long_expected(self, codes: np.ndarray, count: float, out: np.ndarray) -> None:
+        """Adds the expected uses of each piece in one long word."""
+        spelled, at, parts = self._fallback(codes[None, :])
+        starts, pieces, first = self._long_edges(codes)
+        said, log_p = spelled[0].tolist(), self.log_p[pieces].tolist()
+        alpha = self._long_forward(said, starts, log_p, first)
+        length = len(codes)
+        beta = [-math.inf] * length + [math.log(count) - alpha[length]]
+        uses, by_bytes = np.zeros(len(pieces)), np.zeros(length)
+        for j in range(length, 0, -1):
+            spelt = beta[j] + said[j - 1]
+            beta[j - 1] = _log_sum(beta[j - 1], spelt)
+            by_bytes[j - 1] = math.exp(alpha[j - 1] + spelt)
+            for e in range(first[j - 1], first[j]):
+                i, through = starts[e], beta[j] + log_p[e]
+                uses[e] = math.exp(alpha[i] + through)
+                beta[i] = _log_sum(beta[i], through)
+        out += np.bincount(pieces, uses, len(out))
+        for xs, n in zip(parts, np.bincount(at[0], by_bytes, len(parts)).tolist(), strict=True):
+            for x in xs:
+                out[x] += n
+
     def log_probabilities(self, words: list[str]) -> np.ndarray:
         """Natural log of each word's marginal probability: all its segmentations, and the word end."""
         out = np.zeros(len(words))
         for rows, codes in _by_length(words):
+            if codes.shape[1] > LONG_WORD:
+                for row, word in zip(rows.tolist(), codes, strict=True):
+                    starts, pieces, first = self._long_edges(word)
+                    out[row] = self._long_forward(self._fallback(word[None, :])[0][0].tolist(), starts, self.log_p[pieces].tolist(), first)[-1] + self.log_end
+                continue
             spelled, _, _ = self._fallback(codes)
             out[rows] = self._forward(codes, self._edges(codes), spelled)[-1] + self.log_end
         return out
@@ -146,6 +208,10 @@ class Lattice:
         """Expected uses of each piece in all segmentations of the words, times their counts."""
         out = np.zeros(len(self.texts))
         for rows, codes in _by_length(words):
+            if codes.shape[1] > LONG_WORD:
+                for row, word in zip(rows.tolist(), codes, strict=True):
+                    self._long_expected(word, float(counts[row]), out)
+                continue
             spelled, at, parts = self._fallback(codes)
             edges = self._edges(codes)
             alpha = self._forward(codes, edges, spelled)
@@ -171,6 +237,12 @@ class Lattice:
         return out
 
 
+def _log_sum(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+
 def _byte_of(piece: str) -> int | None:
     return int(piece[3:5], 16) if len(piece) == 6 and piece.startswith("<0x") and piece.endswith(">") else None
 

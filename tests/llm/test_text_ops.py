@@ -584,3 +584,19 @@ def test_long_repetitions_take_bounded_memory_and_mark_the_same(monkeypatch):
     index = np.unique(np.concatenate([x.seeds for x in items[:1]])), np.zeros(1, np.int64)
     leaks = decontaminate.leaks_of(large, items, index, 5, 80)
     assert leaks[0][0]["matched_words"] == 100
+
+
+def test_long_words_are_summed_as_short_ones_are(monkeypatch):
+    lattice = lm.Lattice(lm.read_vocabulary(queries.subword_vocabulary()))
+    rng = random.Random(8)
+    words_ = ["".join(rng.choices("theandingé日x1", k=k)) for k in (1, 3, 40, 40, 200)]
+    counts = np.array([1.0, 2.0, 3.0, 1.0, 5.0])
+    short = lattice.log_probabilities(words_), lattice.expected(words_, counts)
+    monkeypatch.setattr(lm, "LONG_WORD", 0)
+    assert np.allclose(lattice.log_probabilities(words_), short[0], rtol=1e-10) and np.allclose(lattice.expected(words_, counts), short[1], rtol=1e-9, atol=1e-12)
+    monkeypatch.undo()
+    import time
+
+    word, start = "".join(rng.choices("theanding", k=200_000)), time.process_time()
+    assert np.isfinite(lattice.log_probabilities([word])[0]) and lattice.expected([word], np.ones(1)).sum() > 40_000
+    assert time.process_time() - start < 40
