@@ -5,6 +5,7 @@ Null in, null out, unless said otherwise.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -88,9 +89,9 @@ def ratio(part: Column, whole: Column) -> Column:
 @F.pandas_udf(T.StringType())
 def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
-        yield s.str.normalize("NFKC")
+        yield s.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t)).astype(object)
 
 
 def nfkc(c: Column | str) -> Column:
-    """NFKC form. There is no built-in for it; texts of ASCII only do not need it and skip the Python function's result."""
-    return F.when(col(c).rlike(r"[^\x00-\x7F]"), _nfkc(col(c))).otherwise(col(c))
+    """NFKC form. There is no built-in for it; texts of ASCII only do not need it, and Python gets nulls in their place."""
+    return F.coalesce(_nfkc(F.when(col(c).rlike(r"[^\x00-\x7F]"), col(c))), col(c))

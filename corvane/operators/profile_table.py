@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from corvane.functions.text import ratio, spread, ws_strip
+from corvane.operators.dedup import discard, written
 
 # Words that stand for a missing value.
 SENTINELS = ["n/a", "na", "null", "none", "unknown", "-", "--", "?", "nan", ""]
@@ -48,16 +49,24 @@ def value_counts(df: DataFrame) -> DataFrame:
     return df.select(F.explode(pairs).alias("p")).groupBy("p.column", "p.value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def distinct_counts(df: DataFrame) -> DataFrame:
-    """(column, row_count, null_count, unique_count), a null being one more value; values are grouped in their own type, integers and doubles without becoming strings."""
+def columns_by_kind(df: DataFrame) -> dict[str, list[str]]:
+    """The columns whose values are grouped as integers, as doubles, and as strings."""
     kinds: dict[str, list[str]] = {}
     for f in df.schema.fields:
         whole, real = isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)), isinstance(f.dataType, (T.FloatType, T.DoubleType))
         kinds.setdefault("bigint" if whole else "double" if real else "string", []).append(f.name)
+    return kinds
+
+
+def distinct_counts(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """(column, row_count, null_count, unique_count), a null being one more value; values are grouped in their own type, integers and doubles without becoming strings.
+
+    counted: the value counts of the columns that are grouped as strings, if they are known.
+    """
     each = []
-    for kind, names in kinds.items():
+    for kind, names in columns_by_kind(df).items():
         pairs = F.array(*[F.struct(F.lit(c).alias("column"), _c(c).cast(kind).alias("value")) for c in names])
-        counts = df.select(F.explode(pairs).alias("p")).groupBy("p.column", "p.value").agg(F.count(F.lit(1)).alias("n"))
+        counts = counted if counted is not None and kind == "string" else df.select(F.explode(pairs).alias("p")).groupBy("p.column", "p.value").agg(F.count(F.lit(1)).alias("n"))
         each.append(counts.groupBy("column").agg(F.sum("n").alias("row_count"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("null_count"), F.count(F.lit(1)).alias("unique_count")))
     return reduce(DataFrame.unionByName, each)
 
@@ -113,10 +122,19 @@ def outlier_counts(df: DataFrame, stats: DataFrame, columns: list[str], least: i
 
 
 def column_profile(df: DataFrame, sheet: bool = False, approximate: bool = False) -> DataFrame:
-    """One row per column. sheet: the workbook variant, whose outlier count is null under four values. approximate: distinct values are estimated."""
-    df = spread(df)
+    """One row per column. sheet: the workbook variant, whose outlier count is null under four values. approximate: distinct values are estimated.
+
+    A source of few files is dealt out once and kept for the scans, as are the counts of strings; both are deleted when the
+    profile, a row a column, is written.
+    """
+    dealt = spread(df)
+    storable = not any(isinstance(f.dataType, T.NullType) for f in df.schema.fields)
+    kept = [written(dealt, "profile-input")] if dealt is not df and storable else []
+    df = kept[0] if kept else dealt
     numbers, strings = numeric_columns(df), string_columns(df)
-    base = approximate_counts(df) if approximate else distinct_counts(df)
+    as_strings = columns_by_kind(df).get("string", [])
+    counted = written(value_counts(df.select(*[_c(c) for c in as_strings])), "profile-values") if as_strings and not (approximate and not strings) else None
+    base = approximate_counts(df) if approximate else distinct_counts(df, counted)
     kinds = df.sparkSession.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)], "position int, column string, inferred_type string")
     out = kinds.join(base, "column", "left").na.fill(0, ["row_count", "null_count", "unique_count"])
     out = out.withColumn("null_ratio", ratio(F.col("null_count"), F.greatest("row_count", F.lit(1)))).withColumn("unique_ratio", ratio(F.col("unique_count"), F.greatest("row_count", F.lit(1))))
@@ -126,13 +144,16 @@ def column_profile(df: DataFrame, sheet: bool = False, approximate: bool = False
         if sheet:
             out = out.withColumn("outlier_count", F.when(F.col("n_values") >= 4, F.col("outlier_count")))
     if strings:
-        signals = value_counts(df.select(*[_c(c) for c in strings])).where("value IS NOT NULL")
+        signals = counted.where(F.col("column").isin(strings) & F.col("value").isNotNull())
         v, n = F.col("value"), F.col("n")
         spaces = F.size(F.split(v, " ", -1))
         texts = signals.groupBy("column").agg(F.sum(F.when(is_sentinel(v), n).otherwise(0)).alias("sentinel_count"), F.bool_or(v != ws_strip(v)).alias("has_whitespace_issues"), (F.sum(spaces * n) / F.sum(n)).alias("avg_word_count"))
         folded = signals.groupBy("column", ws_strip(v).alias("s")).agg(F.count(F.lit(1)).alias("n")).groupBy("column", F.lower("s").alias("l")).agg(F.count(F.lit(1)).alias("spellings")).groupBy("column").agg(F.bool_or(F.col("spellings") > 1).alias("has_case_inconsistency"))
         out = out.join(F.broadcast(texts), "column", "left").join(F.broadcast(folded), "column", "left")
-    return out
+    profile = written(out, "profile")
+    for table in [*kept, *([counted] if counted is not None else [])]:
+        discard(table)
+    return profile
 
 
 def column_roles(profile: DataFrame, sheet: bool = False) -> DataFrame:
