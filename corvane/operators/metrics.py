@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,6 +110,63 @@ def optional_score(pairs: DataFrame, scorer=None, **columns) -> DataFrame:
     return pairs if scorer is None else scorer(pairs, **columns)
 
 
+def inverse_document_weights(tokens: DataFrame, document: str, token: str) -> DataFrame:
+    """(token, weight): log((documents + 1) / (documents with the token + 1)), so that a token of every document weighs nothing."""
+    total = tokens.agg(F.count_distinct(document).alias("__n"))  # one row
+    held = tokens.select(document, token).distinct().groupBy(token).agg(F.count(F.lit(1)).alias("__df"))
+    return held.crossJoin(F.broadcast(total)).select(token, F.log((F.col("__n") + 1) / (F.col("__df") + 1)).alias("weight"))
+
+
+def matched_scores(pairs: DataFrame, reference: str = "reference", generated: str = "generated", reference_weights: str | None = None, generated_weights: str | None = None) -> DataFrame:
+    """`pairs` with `precision`, `recall` and `f1` of texts as arrays of token vectors, which columns so named give way to.
+
+    Each token is matched with the token of the other side whose cosine is largest; recall is the mean over the reference's tokens
+    by their weights, precision over the generated ones, f1 their harmonic mean. The vectors come from the caller's encoder.
+    Without tokens or weights on either side the scores are 0; a null or zero vector is near to nothing (cosine 0).
+    """
+    given = [c for c in (reference_weights, generated_weights) if c]
+    rows = pairs.drop("precision", "recall", "f1")
+    names = [*rows.columns, "precision", "recall", "f1"]
+    at = {c: rows.columns.index(c) for c in (reference, generated, *given)}
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(c, T.DoubleType()) for c in names[-3:]]])
+
+    def unit(vectors: list | None) -> np.ndarray:
+        size = max((len(v) for v in vectors or [] if v), default=1)
+        m = np.array([v if v else [0.0] * size for v in vectors or []], float).reshape(-1, size)
+        norm = np.sqrt((m**2).sum(1, keepdims=True))
+        return m / np.where(norm > 0, norm, 1)
+
+    def mean(best: np.ndarray, weights: list | None) -> float:
+        w = np.ones(len(best)) if weights is None else np.array(weights, float)
+        return float((best * w).sum() / w.sum()) if w.sum() > 0 else 0.0
+
+    def largest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The largest cosine of each row of either side, over blocks of one side's rows."""
+        of_a, of_b = np.full(len(a), -np.inf), np.full(len(b), -np.inf)
+        for lo in range(0, len(a), 1024):
+            cos = a[lo : lo + 1024] @ b.T
+            of_a[lo : lo + 1024] = cos.max(1)
+            of_b = np.maximum(of_b, cos.max(0))
+        return of_a, of_b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = []
+            weights = [batch.column(at[c]).to_pylist() if c else [None] * batch.num_rows for c in (reference_weights, generated_weights)]
+            for x, y, wx, wy in zip(batch.column(at[reference]).to_pylist(), batch.column(at[generated]).to_pylist(), *weights, strict=True):
+                a, b = unit(x), unit(y)
+                if not len(a) or not len(b) or a.shape[1] != b.shape[1]:
+                    got.append((0.0, 0.0, 0.0))
+                    continue
+                of_a, of_b = largest(a, b)
+                p, r = mean(of_b, wy), mean(of_a, wx)
+                got.append((p, r, 2 * p * r / (p + r) if p + r > 0 else 0.0))
+            columns = [pa.array([g[k] for g in got], pa.float64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def label_of(c: Column | str) -> Column:
     """The first word of the first line, lower case, without marks at its edges."""
     first = F.get(words(F.split(F.lower(ws_strip(_text(c))), "\n")[0]), 0)

@@ -938,6 +938,24 @@ def metric_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), metrics.tier(v, good, ok).alias("tier"), metrics.is_suspicious(v, good).alias("suspicious"), metrics.tier_with_tolerance(v, good, ok, n).alias("banded"), metrics.recommendation(v, good, ok, n, F.col("p_partkey") % 2 == 0).alias("advice"))
 
 
+@query("""
+    WITH e AS (SELECT vec_id // 8 AS id, vec_id, label, list_transform(x, lambda y: y / sqrt(list_sum(list_transform(x, lambda z: z * z)))) AS u FROM (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings)),
+    w AS (SELECT label, ln(((SELECT count(DISTINCT id) FROM e) + 1) / (count(DISTINCT id) + 1)) AS w FROM e GROUP BY label),
+    c AS (SELECT r.id, r.vec_id AS a, h.vec_id AS b, r.label AS la, h.label AS lb, list_sum(list_transform(list_zip(r.u, h.u), lambda p: p[1] * p[2])) AS cos FROM e r JOIN e h ON r.id = h.id AND r.vec_id % 8 < 4 AND h.vec_id % 8 >= 4),
+    r AS (SELECT id, sum(w * m) / sum(w) AS recall FROM (SELECT id, a, la, max(cos) AS m FROM c GROUP BY ALL) JOIN w ON la = label GROUP BY id),
+    p AS (SELECT id, sum(w * m) / sum(w) AS precision FROM (SELECT id, b, lb, max(cos) AS m FROM c GROUP BY ALL) JOIN w ON lb = label GROUP BY id)
+    SELECT i.id, round(coalesce(precision, 0), 6) AS precision, round(coalesce(recall, 0), 6) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1
+    FROM (SELECT DISTINCT id FROM e) i LEFT JOIN r ON i.id = r.id LEFT JOIN p ON i.id = p.id""")
+def metric_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of eight vectors: the first four as a reference's tokens, the others as a generated text's, weighted by label."""
+    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("id"), "vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    weighted = e.join(F.broadcast(metrics.inverse_document_weights(e, "id", "label")), "label")
+    side = lambda test: F.array_sort(F.collect_list(F.when(test, F.struct("vec_id", "v", "weight"))))
+    items = weighted.groupBy("id").agg(side(F.col("vec_id") % 8 < 4).alias("r"), side(F.col("vec_id") % 8 >= 4).alias("g"))
+    scored = metrics.matched_scores(items.select("id", *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "rg" for c in ("v", "weight")]), "r_v", "g_v", "r_weight", "g_weight")
+    return rounded(scored.select("id", "precision", "recall", "f1"), "precision", "recall", "f1")
+
+
 @query(f"WITH {PAIRS} SELECT pair_id, {strip('left(answer, 20)')} AS text FROM pairs")
 def metric_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pairs(spark, sf_dir)

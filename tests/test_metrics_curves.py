@@ -169,3 +169,12 @@ def test_history(spark):
     assert value(spark, history.metric_line(m, F.lit("rouge1"))) == "ROUGE-1 = 0.500 | ROUGE-L = 0.250"
     nested = spark.createDataFrame([(1, ("x", [("m", 2)]))], "a int, b struct<messages:string,c:array<struct<messages:string,d:int>>>")
     assert history.sanitised(nested).first()["result"] == '{"a":1,"b":{"c":[{"d":2}]}}'
+
+
+def test_matched_scores(spark):
+    rows = [(1, [[1.0, 0.0], [0.0, 2.0]], [[3.0, 0.0]], [1.0, 3.0], [2.0]), (2, [], [[1.0, 0.0]], [], [1.0]), (3, None, None, None, None), (4, [[0.0, 0.0], [1.0, 1.0]], [[1.0, 1.0]], [1.0, 1.0], [0.0]), (5, [[1.0]], [[1.0, 2.0]], [1.0], [1.0])]
+    df = spark.createDataFrame([(*r, "mine") for r in rows], "id long, a array<array<double>>, b array<array<double>>, wa array<double>, wb array<double>, f1 string")
+    got = {r["id"]: (round(r["precision"], 9), round(r["recall"], 9), round(r["f1"], 9)) for r in M.matched_scores(df, "a", "b", "wa", "wb").collect()}
+    assert got == {1: (1.0, 0.25, 0.4), 2: (0, 0, 0), 3: (0, 0, 0), 4: (0.0, 0.5, 0.0), 5: (0, 0, 0)}
+    plain = {r["id"]: round(r["recall"], 9) for r in M.matched_scores(df, "a", "b").collect()}
+    assert plain[1] == 0.5 and plain[4] == 0.5
