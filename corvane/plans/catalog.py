@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.functions.text import spread
-from corvane.operators import chunk, clean, curves, dedup, export, history, metrics, profile_table, profile_text, qa_rules, registry, retrieval, sentences, verdicts
+from corvane.operators import chunk, clean, curves, dedup, export, history, metrics, profile_state, profile_table, profile_text, qa_rules, registry, retrieval, sentences, verdicts
 from corvane.plans import prepare
 from corvane.sources import files
 
@@ -714,6 +714,20 @@ def export_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- models
 
+@query("""
+    WITH o AS (SELECT o_totalprice AS p, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS s, o_custkey AS c FROM orders), n AS (SELECT count(*) AS rows FROM o)
+    SELECT 'o_totalprice' AS "column", rows AS row_count, 0 AS null_count, round(min(p), 6) AS min, round(max(p), 6) AS max, round(avg(p), 4) AS mean, round(stddev_samp(p), 4) AS std, NULL::BIGINT AS sentinel_count, NULL::DOUBLE AS avg_word_count FROM o, n GROUP BY rows
+    UNION ALL SELECT 'o_custkey', rows, 0, min(c)::DOUBLE, max(c)::DOUBLE, round(avg(c), 4), round(stddev_samp(c), 4), NULL, NULL FROM o, n GROUP BY rows
+    UNION ALL SELECT 'priority', rows, count(*) FILTER (s IS NULL), NULL, NULL, NULL, NULL, count(*) FILTER (lower(s) IN ('n/a', 'na', 'null', 'none', 'unknown', '-', '--', '?', 'nan', '')), round(avg(len(string_split(s, ' '))), 6) FROM o, n GROUP BY rows""")
+def profile_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as four files, of each of which only the state is kept."""
+    o = table(spark, sf_dir, "orders")
+    columns = ["o_totalprice", "o_custkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")).alias("priority")]
+    states = [profile_state.profile_state(o.where(F.col("o_orderkey") % 4 == k).select(*columns)) for k in range(4)]
+    found = profile_state.profile_of_states(states[0].unionByName(states[1]).unionByName(states[2]).unionByName(states[3]))
+    return rounded(rounded(found, "mean", "std", to=4), "min", "max", "avg_word_count").select("column", "row_count", "null_count", "min", "max", "mean", "std", "sentinel_count", "avg_word_count")
+
+
 MODELS = [("org/model-7B-chat", "qlora", "question-answering"), ("tiny-net", "full", "translation"), ("x-0.5B", "lora", "code-generation"), ("big_70b-base", "auto", "sentiment-analysis"), ("net-large", "dora", "other"), ("extra-large-net", "none", "classification"), ("medium one", "lora_int8", "summarization"), ("plain", "qlora", "chatbot"), ("m-13B", "full", "conversational-qa")]
 #: A model for each part, in SQL that Spark and DuckDB share: names in turn, with the part's size where a name has one over one.
 MODEL_COLUMNS = {c: "CASE p_partkey % 9 " + " ".join(f"WHEN {i} THEN " + re.sub("(70|13|7)(?=[bB])", "' || p_size || '", f"'{m[k]}'") for i, m in enumerate(MODELS)) + " END" for k, c in enumerate(("model", "peft", "task"))}
