@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 import weakref
@@ -88,6 +89,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+@contextlib.contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for cycles of objects inside: work that makes millions of lists and none that refer to each other is held up by it."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A task's function over batches that gives freed memory back to the system at its end: workers live on for other tasks."""
 

@@ -19,7 +19,8 @@ import io
 import re
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +31,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .store import materialise, small_batches, tidied
+from .store import materialise, small_batches, tidied, uncollected
 from .words import mix
 
-SEGMENT_CHARS, GROUP_CHARS = 1 << 18, 1 << 20
-#: Words whose ids a worker keeps, about 250 bytes each; those not met among as many as half of them go first.
+SEGMENT_CHARS, GROUP_CHARS = 1 << 18, 1 << 22
+#: Words and parts of words whose ids a worker keeps, about 250 bytes each; those not met among as many as half of them go first.
 CACHE_WORDS = 2_000_000
 KEYS_PER_INDEX = 100_000
 #: White space before a space: there, cutting before the space could change the ids.
 UNSAFE = re.compile(r"\s ")
+#: The same where Arrow looks for it, and a text that begins with a space.
+CLOSE = r"^ |[\s\x{0b}\pZ\x{85}\x{1c}-\x{1f}] "
+#: Letters, signs behind them, and perhaps a further line with its signs: a byte-level pre-tokenizer always cuts between letters and
+#: signs and on both sides of a single line feed within other characters.
+PARTS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~]*\n(?=.)|[!-/:-@\[-`{-~]+)(?:(?<=\n)([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~]+)?)?")
+#: An added token of letters and signs or of more than one line, which such a cut could divide.
+DIVIDED = re.compile(r"[^\W\d_]+[!-/:-@\[-`{-~]+|(?s:.*\n.*)")
 SHARD_TYPE = "doc_id bigint, ordinal bigint, shard int, offset bigint, n_tokens bigint"
 
 
@@ -46,8 +54,9 @@ class Encoder:
     """Ids of whole texts as bytes.
 
     Words are encoded once and kept: before a single space that follows no white space, a byte-level pre-tokenizer always
-    cuts, so a text's ids are those of its first word and of each further word with its space. Other texts go to the
-    tokenizer as they are.
+    cuts, so a text's ids are those of its first word and of each further word with its space. It also cuts between letters and
+    the signs behind them, so a new word with signs is made of parts that other words share. Other texts go to the tokenizer as
+    they are.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -60,6 +69,7 @@ class Encoder:
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.code = "I" if self.wide else "H"
         self.cuts = '"type":"ByteLevel"' in tokenizer_json.replace(" ", "") and '"normalizer":null' in tokenizer_json.replace(" ", "").replace("\n", "") and '"add_prefix_space":false' in tokenizer_json.replace(" ", "")
+        self.parts = self.cuts and not any(t.lstrip or t.rstrip or DIVIDED.fullmatch(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.most = CACHE_WORDS
@@ -90,6 +100,48 @@ class Encoder:
         out.update(zip(rest, self._batch([" " + w for w in rest]), strict=True))
         return [out[w] for w in words]
 
+    def _encoded(self, keys: list[str]) -> None:
+        """Encode and keep new keys; one that begins with a space is what follows the space, any other a word behind a space."""
+        inner = [k for k in keys if k[:1] == " "]
+        spaced = [k for k in keys if k[:1] != " "] if inner else keys
+        self.words.update(zip(spaced, self._spaced(spaced), strict=True))
+        self.words.update(zip(inner, self._batch([k[1:] for k in inner]), strict=True))
+
+    def _missing(self, keys: Iterable[str]) -> list[str]:
+        """Those of distinct keys that are not kept; older ones are kept anew."""
+        get, older, words, out = self.words.get, self.older.get, self.words, []
+        for k in keys:
+            if get(k) is None:
+                ids = older(k)
+                if ids is None:
+                    out.append(k)
+                else:
+                    words[k] = ids
+        return out
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of each of distinct words behind a space. Of new words, letters and the signs behind them are encoded apart, once for all words that have them."""
+        if len(self.words) > self.most // 2:
+            self.older, self.words = self.words, {}
+        ids = list(map(self.words.get, words))
+        parts, keys = {}, []
+        for w in self._missing([w for w, x in zip(words, ids, strict=True) if x is None]):
+            m = PARTS.fullmatch(w) if self.parts and not w.isalpha() else None
+            if m is None:
+                keys.append(w)
+            else:
+                parts[w] = [m[1], *[" " + x for x in m.group(2, 3, 4) if x]]
+        self._encoded(self._missing(dict.fromkeys(chain(keys, *parts.values()))))
+        get = self.words.__getitem__
+        for w, of in parts.items():
+            self.words[w] = b"".join(map(get, of))
+        return [get(w) if x is None else x for w, x in zip(words, ids, strict=True)]
+
+    def _coded(self, words: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """The ids of the distinct words behind a space, and the place of each word among them."""
+        coded = words.dictionary_encode()
+        return self._ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy()
+
     def _segments(self, text: str) -> Iterator[list[str]]:
         at = 0
         while at < len(text):
@@ -98,46 +150,39 @@ class Encoder:
             yield (text[at:to] if at == 0 else text[at + 1 : to]).split(" ") if to - at > 1 or at == 0 else [""]
             at = to
 
-    def _ids_of(self, texts: list[list[str]]) -> list[bytes]:
-        """The ids of the words of each text, each word behind a space; one look-up a word, and one encoding of all new words."""
-        if len(self.words) > self.most // 2:
-            self.older, self.words = self.words, {}
-        get, older = self.words.get, self.older
-        found = [list(map(get, words)) for words in texts]
-        open_ = [(ids, words, [i for i, x in enumerate(ids) if x is None]) for ids, words in zip(found, texts, strict=True) if None in ids]
-        new = {words[i] for _, words, at in open_ for i in at}
-        if new and older:
-            self.words.update((w, older[w]) for w in new & older.keys())
-            new -= older.keys()
-        new = list(new)
-        if open_:
-            self.words.update(zip(new, self._spaced(new), strict=True))
-            for ids, words, at in open_:
-                for i in at:
-                    ids[i] = get(words[i])
-        return [b"".join(ids) for ids in found]
-
-    def _whole(self, text: str) -> bool:
-        return not self.cuts or text[0] == " " or UNSAFE.search(text) is not None
+    def encode_group(self, texts: pa.Array, end: bytes = b"") -> tuple[memoryview, np.ndarray]:
+        """The ids of all of a bounded group of texts, each with `end` behind it, and the bytes before each text and behind the last.
+
+        Arrow cuts the texts and finds the distinct words, whose ids are then laid out in the order of the words.
+        """
+        given = texts.cast(pa.large_string()).fill_null("")
+        whole = pc.match_substring_regex(given, CLOSE) if self.cuts else pa.array([True] * len(given), pa.bool_())
+        lists = pc.split_pattern(pc.if_else(whole, "", given), " ")
+        starts = lists.offsets.to_numpy()
+        words = lists.flatten()
+        # The first word is behind no space; a text that is not cut is its own first word.
+        heads = pc.if_else(whole, given, words.take(pa.array(starts[:-1]))).to_pylist()
+        behind = np.ones(len(words), bool)
+        behind[starts[:-1]] = False
+        found, at = self._coded(words.filter(pa.array(behind)))
+        place = np.empty(len(words), np.int64)
+        place[behind] = at
+        place[~behind] = np.arange(len(found), len(found) + len(heads))
+        values = pa.array([*found, *self._batch(heads), end], pa.large_binary())
+        out = values.take(pa.array(np.insert(place, starts[1:], len(values) - 1)))
+        ends = np.frombuffer(out.buffers()[1], np.int64)[: len(out) + 1]
+        return memoryview(out.buffers()[2] or b""), ends[starts + np.arange(len(starts))]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each of a bounded group of texts."""
-        out = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if t and self._whole(t)]
-        for i, ids in zip(whole, self._batch([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        rest = sorted({i for i, t in enumerate(texts) if t} - set(whole))
-        words = [texts[i].split(" ") for i in rest]
-        heads = self._batch([w[0] for w in words])
-        for i, head, tail in zip(rest, heads, self._ids_of([w[1:] for w in words]), strict=True):
-            out[i] = head + tail
-        return out
+        body, at = self.encode_group(pa.array(texts, pa.large_string()))
+        return [bytes(body[a:b]) for a, b in pairwise(at.tolist())]
 
     def encode(self, text: str) -> Iterator[bytes]:
         """The ids of one text of any length, segment by segment."""
         if not text:
             return
-        if self._whole(text):
+        if not self.cuts or text[0] == " " or UNSAFE.search(text) is not None:
             yield self._batch([text])[0]
             return
         first = True
@@ -145,7 +190,8 @@ class Encoder:
             if first:
                 yield self._batch([words[0]])[0]
                 words, first = words[1:], False
-            yield self._ids_of([words])[0]
+            found, at = self._coded(pa.array(words, pa.large_string()))
+            yield b"".join(map(found.__getitem__, at.tolist()))
 
 
 _encoders: dict[int, Encoder] = {}
@@ -236,9 +282,10 @@ def _written(enc: Encoder, texts: pa.Array, end: bytes, out: pa.NativeFile) -> I
             yield n // enc.id_bytes + 1
             at += 1
             continue
-        for ids in enc.encode_all(texts.slice(at, to - at).to_pylist()):
-            out.write(ids + end)
-            yield len(ids) // enc.id_bytes + 1
+        with uncollected():
+            body, ends = enc.encode_group(texts.slice(at, to - at), end)
+        out.write(body)
+        yield from (np.diff(ends) // enc.id_bytes).tolist()
         at = to
 
 

@@ -438,6 +438,27 @@ def test_encoder_gives_the_tokenizers_ids(encoder, monkeypatch):
     assert [np.frombuffer(b"".join(encoder.encode(t)), np.uint16).tolist() for t in texts] == want
 
 
+def test_encoder_shares_the_parts_of_words():
+    with open(queries.token_vocabulary(), encoding="utf-8") as f:
+        enc = tokens.Encoder(f.read())
+    rng = random.Random(2)
+    marks = ["", ",", ".", "?!", "$$$", "'", "'s", "-", "\n", ".\n", "'\n", "\n\n", "\n.", "\t", "1", "_", "\u00b2", "\u0301", "\u00a0", "\u4e00", "\u00d7"]
+    texts = [" ".join("".join(rng.choice(["Foo", "barlo", "\u00e9t\u00e9", "s", "t", ""]) + rng.choice(marks) for _ in range(rng.randint(1, 3))) for _ in range(30)) for _ in range(300)]
+    for at in range(0, 300, 100):
+        some = texts[at : at + 100]
+        assert [np.frombuffer(x, np.uint16).tolist() for x in enc.encode_all(some)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+    sent, whole = [], enc._spaced
+    enc._spaced = lambda new: sent.extend(new) or whole(new)
+    said = "x " + " ".join(f"kalomi{m}" for m in (",", ".", "!!", ".\nkalomi", ".\nkalomi,", "\nkalomi"))
+    for _ in range(2):
+        assert np.frombuffer(enc.encode_all([said])[0], np.uint16).tolist() == enc.tokenizer.encode(said, add_special_tokens=False).ids
+    assert sent == ["kalomi"]  # six words, one of them new to the tokenizer
+    enc.tokenizer.add_tokens(["kalomi:"])
+    other = tokens.Encoder(enc.tokenizer.to_str())
+    assert enc.parts and not other.parts
+    assert np.frombuffer(other.encode_all(["a kalomi: b"])[0], np.uint16).tolist() == other.tokenizer.encode("a kalomi: b", add_special_tokens=False).ids
+
+
 def test_perfect_hash_is_minimal_and_refuses_foreign_keys():
     keys = np.unique(np.random.default_rng(0).integers(0, 2**63, 5000)).astype(np.uint64)
     mph = tokens.PerfectHash.build(keys)
