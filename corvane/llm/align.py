@@ -1,7 +1,8 @@
 """Alignment of two tokenizers on the same texts: groups of tokens between common ends, overlaps, and how usual each overlap is.
 
 A block is a run of whole texts in one task. Its texts are cut before single spaces behind a word, where both
-tokenizers always cut; each distinct piece is encoded once by either. DuckDB then works on the block's interval tables: an
+tokenizers always cut; each distinct piece is encoded once by either; A keeps the tokens of pieces and shares those of their
+letters. DuckDB then works on the block's interval tables: an
 ASOF join finds the first A token that a B token touches, a second one the last, a range over these gives all overlaps;
 running sums of common ends number the groups. Counts of id pairs leave the block as partial sums, which Spark merges;
 each block asks for the pairs it holds, and the answers meet its documents again by block.
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import materialise, small_batches, tidied
+from .store import materialise, small_batches, tidied, uncollected
+from .tokens import Encoder
 
 #: Bytes of texts that a block gathers before it is aligned; a longer text is a block of its own.
 BLOCK_BYTES = 5 << 20
-#: Words whose tokens A keeps, about 150 bytes each.
+#: Words and parts of words whose tokens A keeps, about 250 bytes each, beside those of a block.
 CACHE_WORDS = 200_000
 #: Before such a space both tokenizers cut: it follows no white space of any kind.
 CUT = re.compile(r"(?<=\S)(?= )")
@@ -63,12 +65,12 @@ class Pair:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
+        with open(a_path, encoding="utf-8") as f:
+            self.coder = Encoder(f.read())
+        self.coder.most = CACHE_WORDS
+        self.a = self.coder.tokenizer
         self.a.encode_special_tokens = True
-        if hasattr(self.a.model, "_resize_cache"):
-            self.a.model._resize_cache(CACHE_WORDS)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         to_byte = byte_level_bytes()
         vocab = self.a.get_vocab(with_added_tokens=True)
@@ -78,37 +80,43 @@ class Pair:
         n = self.b.get_piece_size()
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
         self.space = [self.b.piece_to_id("▁")]  # an empty text has no tokens, but an empty piece is a space
-        self.a_opens, self.b_opens = (np.array([x.startswith(b" ") for x in xs]) for xs in (self.a_bytes, self.b_bytes))
+        self.b_opens = np.array([x.startswith(b" ") for x in self.b_bytes])
+        self.a_spelt, self.b_spelt = (pa.array(xs, pa.large_binary()) for xs in (self.a_bytes, self.b_bytes))
         self.a_len, self.b_len = (np.array([len(x) for x in xs], np.int64) for xs in (self.a_bytes, self.b_bytes))
 
-    def _together(self, keys: list[str]) -> tuple[Tokens, Tokens] | None:
-        """Pieces without white space go as one text, which is cut at the tokens that open with a space; nothing if those are not as many."""
-        found = []
-        for ids, opens in ((self.a.encode_batch_fast([" " + " ".join(keys)], add_special_tokens=False)[0].ids, self.a_opens), (self.b.encode(" ".join(keys)), self.b_opens)):
-            ids = np.array(ids, np.int64)
-            starts = np.flatnonzero(opens[ids])
-            if len(starts) != len(keys) or starts[0] != 0:
-                return None
-            found.append(Tokens(ids, np.r_[starts, len(ids)]))
-        return found[0], found[1]
-
-    def _each(self, keys: list[str]) -> tuple[Tokens, Tokens]:
-        b = [ids if k else self.space for k, ids in zip(keys, self.b.encode(keys, num_threads=1), strict=True)]
-        return Tokens.of([e.ids for e in self.a.encode_batch_fast([" " + k for k in keys], add_special_tokens=False)]), Tokens.of(b)
+    def _kept(self, keys: list[str]) -> Tokens:
+        """A's tokens of pieces without white space, of which the encoder keeps those it met, and their parts."""
+        found = self.coder.words_ids(keys)
+        counts = np.fromiter(map(len, found), np.int64, len(found)) // self.coder.id_bytes
+        return Tokens(np.frombuffer(b"".join(found), self.coder.code).astype(np.int64), np.r_[0, np.cumsum(counts)])
+
+    def _together(self, keys: list[str]) -> Tokens | None:
+        """B's tokens: pieces without white space go as one text, which is cut at the tokens that open with a space; nothing if those are not as many."""
+        ids = np.array(self.b.encode(" ".join(keys)), np.int64)
+        starts = np.flatnonzero(self.b_opens[ids])
+        return Tokens(ids, np.r_[starts, len(ids)]) if len(starts) == len(keys) and starts[0] == 0 else None
+
+    def _each_a(self, keys: list[str]) -> Tokens:
+        return Tokens.of([e.ids for e in self.a.encode_batch_fast([" " + k for k in keys], add_special_tokens=False)])
+
+    def _each_b(self, keys: list[str]) -> Tokens:
+        return Tokens.of([ids if k else self.space for k, ids in zip(keys, self.b.encode(keys, num_threads=1), strict=True)])
 
     def encode(self, keys: list[str], plain: int) -> tuple[Tokens, Tokens, np.ndarray]:
         """The tokens of A and B of each piece, of which the first `plain` have no white space, and whether both give the piece back."""
-        done = [self._together(keys[at : min(at + 512, plain)]) or self._each(keys[at : min(at + 512, plain)]) for at in range(0, plain, 512)]
-        done += [self._each(keys[at : at + 512]) for at in range(plain, len(keys), 512)]
-        a, b = (Tokens.joined([x[i] for x in done]) for i in (0, 1))
+        odd = [keys[at : at + 512] for at in range(plain, len(keys), 512)]
+        a = Tokens.joined([self._kept(keys[:plain]), *map(self._each_a, odd)])
+        b = Tokens.joined([*[self._together(some) or self._each_b(some) for at in range(0, plain, 512) for some in [keys[at : min(at + 512, plain)]]], *map(self._each_b, odd)])
         said = [(" " + k).encode() for k in keys]
         sizes = np.fromiter(map(len, said), np.int64, len(said))
         joined = b"".join(said)
         whole = np.ones(len(keys), bool)
-        for tokens, length, spelt in ((a, self.a_len, self.a_bytes), (b, self.b_len, self.b_bytes)):
+        for tokens, length, spelt in ((a, self.a_len, self.a_spelt), (b, self.b_len, self.b_spelt)):
             same = tokens.sums(length[tokens.ids]) == sizes
-            if not same.all() or b"".join(map(spelt.__getitem__, tokens.ids.tolist())) != joined:
-                whole &= np.array([w == b"".join(map(spelt.__getitem__, ids.tolist())) for w, ids in zip(said, np.split(tokens.ids, tokens.ends[1:-1]), strict=True)], bool)
+            back = memoryview(spelt.take(pa.array(tokens.ids)).buffers()[2] or b"").cast("B")[: int(length[tokens.ids].sum())]  # Arrow says signed bytes
+            if not same.all() or back != joined:
+                ends = np.r_[0, np.cumsum(length[tokens.ids])][tokens.ends].tolist()
+                whole &= np.array([w == back[x:y] for w, (x, y) in zip(said, pairwise(ends), strict=True)], bool)
         return a, b, whole
 
 
@@ -167,6 +175,11 @@ ALIGN = f"""
         SELECT t.piece, a.id::BIGINT * {B_IDS} + t.id AS pair, count(*) AS n FROM (SELECT piece, id, unnest(range(first, last + 1)) AS seq FROM touched) t JOIN a ON a.seq = t.seq GROUP BY ALL"""
 
 
+def strings(values: pa.Array) -> list[str]:
+    """Arrow's strings at once; `to_pylist` makes a scalar of each before."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def distinct_pieces(texts: list[str | None]) -> tuple[list[str], int, np.ndarray, np.ndarray]:
     """The distinct pieces, first those without white space, and their number; the text and the piece of each occurrence, in order."""
     given = pa.array(texts, pa.large_string())
@@ -186,7 +199,7 @@ def distinct_pieces(texts: list[str | None]) -> tuple[list[str], int, np.ndarray
     if odd:
         by_text = np.argsort(rows, kind="stable")
         rows, piece = rows[by_text], piece[by_text]
-    return keys.take(pa.array(order)).to_pylist(), int((~spaced).sum()), rows, piece
+    return strings(keys.take(pa.array(order))), int((~spaced).sum()), rows, piece
 
 
 def numbers(db, name: str, n: int) -> np.ndarray:
@@ -239,7 +252,7 @@ def aligned_block(db, pair: Pair, texts: list[str | None]) -> tuple[list[dict],
     sums = lambda per_piece: np.bincount(row, per_piece[flat], n).astype(np.int64)
     columns = {"n_a": sums(a.counts), "n_b": sums(b.counts), "n_groups": sums(n_groups)}
     n_links = np.bincount(doc, times, n).astype(np.int64)
-    shown = groups.to_pylist()
+    shown = strings(groups)
     rows = [
         {**{c: int(v[i]) for c, v in columns.items()}, "n_links": int(n_links[i]), "groups": ";".join(map(shown.__getitem__, flat[ends[i] : ends[i + 1]].tolist())), "pairs": pairs[at[i] : at[i + 1]], "times": times[at[i] : at[i + 1]]}
         for i in range(n)
@@ -263,7 +276,8 @@ def aligned_blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc
         block = TaskContext.get().partitionId() << 32
 
         def flush(ids: list, texts: list) -> Iterator[pa.RecordBatch]:
-            found, pairs, docs_ = aligned_block(db, pair, texts)
+            with uncollected():
+                found, pairs, docs_ = aligned_block(db, pair, texts)
             out = [{"kind": DOCUMENT, "block": block, "doc_id": i, **r, "groups": groups_as(r["groups"]) if r["n_a"] else ""} for i, r in zip(ids, found, strict=True)]
             out.append({"kind": PARTIAL, "block": block, "pairs": pairs, "times": docs_})
             types = [pa.int32(), *[pa.int64()] * 6, pa.string(), *[pa.list_(pa.int64())] * 2]

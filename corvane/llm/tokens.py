@@ -119,7 +119,7 @@ class Encoder:
                     words[k] = ids
         return out
 
-    def _ids_of(self, words: list[str]) -> list[bytes]:
+    def words_ids(self, words: list[str]) -> list[bytes]:
         """The ids of each of distinct words behind a space. Of new words, letters and the signs behind them are encoded apart, once for all words that have them."""
         if len(self.words) > self.most // 2:
             self.older, self.words = self.words, {}
@@ -140,7 +140,7 @@ class Encoder:
     def _coded(self, words: pa.Array) -> tuple[list[bytes], np.ndarray]:
         """The ids of the distinct words behind a space, and the place of each word among them."""
         coded = words.dictionary_encode()
-        return self._ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy()
+        return self.words_ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy()
 
     def _segments(self, text: str) -> Iterator[list[str]]:
         at = 0

@@ -167,6 +167,19 @@ def test_blocks_of_any_size_align_alike(spark, monkeypatch):
     assert dict(zip(pairs.tolist(), docs.tolist(), strict=True)) == Counter(p for x in each for p in x["pairs"].tolist())
 
 
+def test_pieces_of_other_blocks_are_not_encoded_again(monkeypatch):
+    pair = align.Pair(queries.token_vocabulary(), queries.subword_vocabulary())
+    keys = ["kalomi", "kalomi,", "kalomi.", "kalomi!!", "don't", "\u65e5\u672c", "<|endoftext|>", "", "a\u2003b", "two  spaces"]
+    a, b, whole = pair.encode(keys, 7)
+    assert [x.tolist() for x in np.split(a.ids, a.ends[1:-1])] == [pair.a.encode(" " + k, add_special_tokens=False).ids for k in keys]
+    assert [x.tolist() for x in np.split(b.ids, b.ends[1:-1])] == [pair.b.encode(k) if k else pair.space for k in keys]
+    assert whole.tolist() == [b"".join(pair.b_bytes[i] for i in pair.b.encode(k)) == (" " + k).encode() if k else True for k in keys]
+    sent, spaced = [], pair.coder._spaced
+    monkeypatch.setattr(pair.coder, "_spaced", lambda new: sent.extend(new) or spaced(new))
+    pair.encode(["kalomi;", "kalomi", "thring", "thring."], 4)
+    assert sent == ["thring"]  # of four pieces, two of them new, one is new to the tokenizer
+
+
 def test_restored_text_is_the_most_probable_path():
     rng = np.random.RandomState(3)
     model = toxicity.language_model(rng.randint(0, 4, toxicity.SYMBOLS**toxicity.ORDER))
