@@ -15,6 +15,8 @@ Each task first joins its own equal pieces, so a passage that fills the corpus r
 dealt by minimiser and piece, so a minimiser in very many contexts is spread over all tasks; its distinct pieces are only
 counted, combined before the shuffle. Nothing but one row is held from batch to batch.
 
+Each step is a table of its own, so the disk holds the shuffle of one step at a time and the few tables that later steps read.
+
 Defined cases: null text has no words; a null id counts as the smallest id; rows that share an id and text are one
 occurrence and keep the same words; rows that share an id but not the text are ordered by text hash where their starts
 tie; texts shorter than a window keep all words; an empty table gives an empty table.
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import materialise, small_batches, tidied
+from .store import discard, materialise, shuffles_freed, small_batches, tidied, workspace
 from .words import bounds, hash_words, hashed_texts, inverse, mix, powers, rolled
 
 SUB = 6
@@ -222,8 +224,12 @@ def repeated_paths(docs: DataFrame, k: int) -> DataFrame:
     found = materialise(_reduced(_dealt(_emit(docs, k))), "path-pieces")
     distinct = found.where("kind = 2")
     branching = materialise(distinct.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("m"), "branching-minimisers")
-    finer = _reduced(_dealt(_window_questions(docs, distinct.select("m", "id", "version", "start", "n").join(branching, "m", "left_semi"), k))).where("kind = 1")
-    repeats = found.where("kind = 1").select(*_SPAN).union(finer.select(*_SPAN)).repartition("id", "version")
+    split = materialise(distinct.select("m", "id", "version", "start", "n").join(branching, "m", "left_semi").drop("m"), "branching-pieces")
+    whole = materialise(found.where("kind = 1").select(*_SPAN), "repeated-pieces")
+    discard(found, branching)
+    finer = materialise(_reduced(_dealt(_window_questions(docs, split, k))).where("kind = 1").select(*_SPAN), "repeated-windows")
+    discard(split)
+    repeats = whole.union(finer).repartition("id", "version")
     # Paths of pieces and of windows that continue each other are one path.
     keys = ["id", "version", "fid", "fversion", "shift"]
     order = Window.partitionBy(*keys).orderBy("start")
@@ -263,8 +269,9 @@ def remove_repeats(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_co
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     keyed = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("own"), text.alias("text")).select("own", F.coalesce("own", F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("version"), "text")
-    paths = materialise(repeated_paths(keyed, k), "repeated-paths")
-    spans = with_source_digests(keyed, paths, k).groupBy("id", "version").agg(F.collect_list(F.struct("start", "n", "digest")).alias("spans"))
+    with shuffles_freed(docs.sparkSession), workspace(docs.sparkSession) as keep:
+        paths = materialise(repeated_paths(keyed, k), "repeated-paths")
+        spans = keep(with_source_digests(keyed, paths, k).groupBy("id", "version").agg(F.collect_list(F.struct("start", "n", "digest")).alias("spans")), "repeated-spans")
     joined = keyed.join(spans, ["id", "version"], "left").select("own", "text", "spans.start", "spans.n", "spans.digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

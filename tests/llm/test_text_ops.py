@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import pathlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -243,6 +245,27 @@ def test_repeats_compact_to_paths_and_are_verified(spark):
         assert substring._digest(" ".join(source).encode()) == r["digest"] != substring._digest(" ".join(words_).encode())
 
 
+def test_substring_dedup_leaves_one_table_and_no_shuffle_behind(spark):
+    """What a step has shuffled or written goes when no later step reads it, whenever the driver collects its garbage."""
+    rng = random.Random(8)
+    pool = [f"w{i}" for i in range(300)]
+    passage = [rng.choice(pool) for _ in range(60)]
+    rows = [(i, " ".join([*rng.choices(pool, k=30), *passage[i % 7 :], *rng.choices(pool, k=30)])) for i in range(40)]
+    docs = spark.createDataFrame(corpus(rows), DOCS).repartition(3)
+    top = pathlib.Path(store.shared_dir(spark).removeprefix("file:"))
+    local = [pathlib.Path(str(d)) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    tables = lambda: {p.name for p in top.iterdir()}
+    shuffles = lambda: {p.name for d in local for p in d.rglob("shuffle_*.data")}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, old_tables, old_shuffles = spark.conf.get(name), tables(), shuffles()
+    done = substring.remove_repeats(docs)
+    until = time.time() + 10  # block managers delete in the background
+    while (left := shuffles() - old_shuffles) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and [n.rsplit("-", 1)[0] for n in tables() - old_tables] == ["repeated-spans"] and spark.conf.get(name) == was
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in done.collect()} == repeats_by_hand(rows, 20)
+
+
 def tiles_by_hand(item, doc, least):
     """Longest common runs of unmarked words, marked greedily."""
     mi, mj, total = [False] * len(item), [False] * len(doc), 0
