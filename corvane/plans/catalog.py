@@ -42,7 +42,9 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, *names: str, to: int = 6) -> DataFrame:
-    return df.withColumns({n: F.round(n, to) for n in names})
+    """Doubles rounded as SQL's round(x, to) does it: the product decides. Spark's own goes by the shortest decimal, which may be a half where the product is less."""
+    p = 10.0**to
+    return df.withColumns({n: F.round(F.col(n) * p) / p for n in names})
 
 
 def joined(c: Column | str) -> Column:
