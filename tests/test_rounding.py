@@ -20,3 +20,8 @@ def test_chunk_text_richness_rounds_as_its_sql(spark, tmp_path):
     gap = lambda i: "\n\n" if i in (200, 400) else " "
     rows = [(a, "".join(f"{gap(i)}word{i % a:03}" for i in range(640))) for a in (11, 61, 111, 161, 211)]
     assert differing(spark, tmp_path, "chunk_text_richness", rows) == (set(), set())
+
+def test_text_quality_rounds_as_its_sql(spark, tmp_path):
+    # So many of 640 lines are alike.
+    rows = [(n, "\n".join(["the same line"] * n + [f"line {i} stands alone" for i in range(640 - n)])) for n in (41, 323, 333)]
+    assert differing(spark, tmp_path, "text_quality", rows) == (set(), set())
